@@ -1,4 +1,4 @@
 """Named queries over the stand-in tables, each with a DuckDB oracle where SQL can express it."""
 
-from . import q_plan  # noqa: F401
+from . import q_plan, q_vectors  # noqa: F401
 from .registry import QUERIES, Entry, query  # noqa: F401
