@@ -28,7 +28,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "completions_raw": (["completions"], """
         SELECT prompt_id, completion_idx, text, 0 AS src_ord, prompt_id * 100 + completion_idx AS line_ord
         FROM completions
-        UNION ALL SELECT prompt_id, completion_idx, upper(text), 1, prompt_id * 100 + completion_idx
+        UNION ALL SELECT prompt_id, completion_idx, concat('v2: ', text), 1, prompt_id * 100 + completion_idx
         FROM completions WHERE prompt_id % 4 = 0"""),
     "merged_prompts": (["prompts_raw"], """
         SELECT prompt_id, min(prompt) AS prompt FROM prompts_raw GROUP BY prompt_id

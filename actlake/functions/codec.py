@@ -60,6 +60,8 @@ def fp8_encode_np(x: np.ndarray) -> np.ndarray:
     x = np.ascontiguousarray(x, dtype=np.float32)
     a = np.abs(x.astype(np.float64))
     sign = np.signbit(x).astype(np.uint8) << np.uint8(7)
+    bad = np.isnan(a) | (a > _FP8_NAN_ABOVE)
+    a = np.where(bad, 0.0, a)
     _, ex = np.frexp(a)                      # a = f * 2^ex, f in [0.5, 1)
     e = np.maximum(ex - 1, _FP8_EMIN)
     step = np.ldexp(1.0, e - _FP8_MANT)
@@ -71,7 +73,6 @@ def fp8_encode_np(x: np.ndarray) -> np.ndarray:
     code_n = ((E + _FP8_BIAS).clip(0, 15).astype(np.uint8) << np.uint8(3)) | mant_n.astype(np.uint8)
     code_s = (q / 2.0 ** (_FP8_EMIN - _FP8_MANT)).astype(np.uint8)
     code = np.where(normal, code_n, code_s).astype(np.uint8)
-    bad = np.isnan(a) | (a > _FP8_NAN_ABOVE)
     code = np.where(bad, np.uint8(_FP8_NAN_CODE), code)
     return code | sign
 

@@ -67,12 +67,12 @@ def prompts_raw(spark, d) -> DataFrame:
 
 
 def completions_raw(spark, d) -> DataFrame:
-    """Two completion "files" with line order; the second must win."""
+    """Two completion "files" with line order; the second (re-generated) must win."""
     c = completions(spark, d)
     line = (F.col("prompt_id") * 100 + F.col("completion_idx")).alias("line_ord")
     return (c.select("prompt_id", "completion_idx", "text", F.lit(0).alias("src_ord"), line)
             .unionByName(c.where(F.col("prompt_id") % 4 == 0)
-                         .select("prompt_id", "completion_idx", F.upper("text").alias("text"),
+                         .select("prompt_id", "completion_idx", F.concat(F.lit("v2: "), "text").alias("text"),
                                  F.lit(1).alias("src_ord"), line)))
 
 
