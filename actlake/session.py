@@ -46,6 +46,44 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Ship this package to the executors' Python workers (``addPyFile``).
+
+    The zip is written once per application into the shared checkpoint
+    folder; Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import io
+    import zipfile
+
+    from pyarrow import fs as pafs
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    target = f"{base}/actlake-pkg/{app}-{uuid.uuid4().hex[:8]}/actlake.zip"
+    if "://" in target and not target.startswith("file:"):
+        fs, path = pafs.FileSystem.from_uri(target)
+    else:
+        fs, path = pafs.LocalFileSystem(), local_path(target)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(target if "://" in target else path)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
@@ -58,6 +96,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
+    ship_package(spark)
     return d
 
 
