@@ -48,7 +48,7 @@ _SLICES = f"""
 _BQ = Sq.vmap("t.vec", Sq.bf16)
 
 
-@query("stream_ingest", "R1 R2 R3 R5 S9", with_views(
+@query("stream_ingest", "R1 R2 R3 S9", with_views(
     f"""SELECT s.prompt_id, s.completion_idx, CAST(s.prefix_len + i AS INT) AS token_pos, {CAPTURE_LAYER} AS layer,
           round({Sq.norm(_BQ)}, 6) AS norm, round({Sq.vsum(_BQ)}, 6) AS vsum
         FROM (SELECT *, unnest(range(seq_len)) AS i FROM slices WHERE seq_len > 0) s

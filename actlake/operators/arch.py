@@ -73,6 +73,15 @@ MODEL_ALIASES: dict[str, str] = {
 }
 
 
+def layer_class_of_model(model_class: str) -> str:
+    """The decoder-layer class a model class runs through."""
+    if model_class in MODEL_ALIASES:
+        return MODEL_ALIASES[model_class]
+    if model_class in ARCH_REGISTRY:
+        return model_class
+    raise GuardError(f"no architecture registered for {model_class}")
+
+
 def register_arch(layer_class: str, pattern: str, registry: dict | None = None) -> None:
     """A class needs both an extractor and an adder; re-registering the
     same pattern is a no-op, a different one is an error."""
