@@ -38,20 +38,28 @@ def require_valid_payloads(acts: DataFrame, d_model: int) -> None:
 
 
 def reconcile(index: DataFrame, acts: DataFrame, d_model: int, manifest_layers: DataFrame | None = None,
-              group=("run_id", "layer")) -> DataFrame:
-    """A4 + J10: sequences and tokens per layer from the index vs from stored bytes.
-
-    ``tokens_stored = sum(bytes) div (d x bytes per element)``; status is
-    ``ok`` or ``MISMATCH``; index layers missing from the manifest are
-    reported as ``unindexed_layer`` instead of failing.
+              group=("run_id", "layer"), check_bytes: bool = False) -> DataFrame:
+    """A4 + J10: sequences and tokens per layer from the index vs what is stored.
+
+    By default stored tokens are counted from rows (key columns only; Parquet
+    answers from metadata without reading payloads). With ``check_bytes`` the
+    reference rule is applied to the payload bytes:
+    ``sum(bytes) div (d x bytes per element)``, and the remainder is reported
+    as ``torn_bytes``. Status is ``ok`` or ``MISMATCH``; index layers missing
+    from the manifest are reported as ``unindexed_layer`` instead of failing.
     """
     idx = index.groupBy(*group).agg(F.count(F.lit(1)).alias("n_sequences"),
                                     F.sum("n_tokens").cast("bigint").alias("tokens_index"))
-    bpe = bytes_per_elem_col(F.col("dtype"))
-    st = acts.groupBy(*group).agg(
-        F.sum(F.octet_length("payload")).cast("bigint").alias("_bytes"), F.max(bpe).alias("_bpe"))
-    st = st.select(*group, (F.col("_bytes") / (F.lit(d_model) * F.col("_bpe"))).cast("bigint").alias("tokens_stored"),
-                   (F.col("_bytes") % (F.lit(d_model) * F.col("_bpe"))).cast("bigint").alias("torn_bytes"))
+    if check_bytes:
+        bpe = bytes_per_elem_col(F.col("dtype"))
+        st = acts.groupBy(*group).agg(
+            F.sum(F.octet_length("payload")).cast("bigint").alias("_bytes"), F.max(bpe).alias("_bpe"))
+        st = st.select(*group,
+                       (F.col("_bytes") / (F.lit(d_model) * F.col("_bpe"))).cast("bigint").alias("tokens_stored"),
+                       (F.col("_bytes") % (F.lit(d_model) * F.col("_bpe"))).cast("bigint").alias("torn_bytes"))
+    else:
+        st = acts.groupBy(*group).agg(F.count(F.lit(1)).cast("bigint").alias("tokens_stored"),
+                                      F.lit(0).cast("bigint").alias("torn_bytes"))
     x = idx.join(st, list(group), "full_outer").select(
         *group, F.coalesce("n_sequences", F.lit(0)).alias("n_sequences"),
         F.coalesce("tokens_index", F.lit(0)).alias("tokens_index"),

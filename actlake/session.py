@@ -27,6 +27,14 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
+# Settings every job of this library relies on; applied to any session it is given.
+# A join keyed on (sequence, token) may reuse a partitioning on the sequence key:
+# one sequence is bounded by max_tokens, so this adds no skew and saves a shuffle
+# of the vector rows per operator.
+JOB_CONF = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "actlake", extra: dict | None = None) -> SparkSession:
@@ -96,6 +104,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
+    for k, v in JOB_CONF.items():
+        spark.conf.set(k, v)
     ship_package(spark)
     return d
 

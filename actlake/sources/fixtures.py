@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import whitespace_tokens
 
 # The two runs and two layers of the stored-vector stand-in.
 RUN_LAYERS = [("base", 16), ("base", 32), ("variant", 16), ("variant", 32)]
@@ -148,7 +147,7 @@ def replica_rows(spark, d) -> DataFrame:
 def doc_index(spark, d) -> DataFrame:
     """A sequence index over the documents at two layers, with re-run duplicates."""
     docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("prompt_id"), F.size(whitespace_tokens("text")).cast("int").alias("n_tokens"))
+        F.col("doc_id").alias("prompt_id"), F.regexp_count("text", F.lit(r"\S+")).cast("int").alias("n_tokens"))
     q = (docs.withColumn("rerun", F.lit(0))
          .unionByName(docs.where(F.col("prompt_id") % 50 == 7).withColumn("rerun", F.lit(1))))
     return q.select("prompt_id", F.lit(0).alias("completion_idx"),
