@@ -133,3 +133,11 @@ def norm_sql(v: str) -> str:
 
 def r6(expr: str) -> str:
     return f"round({expr}, 6)"
+
+
+VIEWS["doc_tokens"] = ([], """
+    SELECT t.prompt_id, 0 AS completion_idx, t.token_pos, e.embedding AS vec
+    FROM (SELECT doc_id AS prompt_id, unnest(range(len(regexp_extract_all(text, '\\S+')))) AS token_pos
+          FROM documents) t
+    JOIN embeddings e
+      ON e.vec_id = (t.prompt_id * 7919 + t.token_pos * 104729) % (SELECT count(*) FROM embeddings)""")

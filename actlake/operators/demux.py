@@ -64,10 +64,17 @@ def with_offsets(meta: DataFrame) -> DataFrame:
             .withColumn("ends", F.zip_with("starts", "seq_lens", lambda s, n: s + n.cast("bigint"))))
 
 
+def with_parsed_rids(meta: DataFrame) -> DataFrame:
+    """P2 once per batch: ``pids`` / ``cidxs`` arrays parallel to ``rids``."""
+    z = F.arrays_zip(F.col("rids").alias("rid"), F.col("prefix_lens").alias("prefix_len"))
+    return (meta.withColumn("pids", F.transform(z, lambda s: parse_rid(s["rid"], s["prefix_len"])[0]))
+            .withColumn("cidxs", F.transform(z, lambda s: parse_rid(s["rid"], s["prefix_len"])[1])))
+
+
 def prefill_batches(meta: DataFrame, tp_size: int = 1) -> DataFrame:
-    """P4 + P5 + P6 + W2 on batch metadata."""
-    return with_offsets(meta.where(capturing_replica(F.col("global_rank"), tp_size) & is_prefill())
-                        .withColumn("dp_rank", dp_rank(F.col("gpu_id"), tp_size)))
+    """P4 + P5 + P6 + W2 + P2 on batch metadata (one row per batch)."""
+    return with_parsed_rids(with_offsets(meta.where(capturing_replica(F.col("global_rank"), tp_size) & is_prefill())
+                                         .withColumn("dp_rank", dp_rank(F.col("gpu_id"), tp_size))))
 
 
 def batch_report(meta: DataFrame, tp_size: int = 1) -> DataFrame:
@@ -101,15 +108,18 @@ def demux_rows(tokens: DataFrame, vec_col: str = "vec") -> DataFrame:
     own no token. ``token_pos = prefix_len + flat_pos - start`` keeps split
     (chunked) sequences aligned.
     """
+    if "pids" not in tokens.columns:
+        tokens = with_parsed_rids(tokens)
     i = F.size(F.filter("ends", lambda e: e <= F.col("flat_pos")))
     x = tokens.withColumn("_i", i).where(F.col("_i") < F.size("ends"))
     k = F.col("_i") + 1
     rid = F.element_at("rids", k)
     prefix = F.element_at("prefix_lens", k)
     start = F.element_at("starts", k)
-    pid, cidx = parse_rid(rid, prefix)
+    pid, cidx = F.element_at("pids", k), F.element_at("cidxs", k)
     keep = [c for c in tokens.columns if c not in (
-        "rids", "seq_lens", "prefix_lens", "starts", "ends", "flat_pos", "global_rank", "gpu_id", vec_col)]
+        "rids", "seq_lens", "prefix_lens", "starts", "ends", "flat_pos", "global_rank", "gpu_id", "pids",
+        "cidxs", vec_col)]
     return x.select(*keep, rid.alias("rid"), pid.alias("prompt_id"), cidx.alias("completion_idx"),
                     (prefix + F.col("flat_pos") - start).cast("int").alias("token_pos"), F.col(vec_col))
 
@@ -119,7 +129,8 @@ def demux(tokens: DataFrame, meta: DataFrame, tp_size: int = 1, vec_col: str = "
 
     ``tokens``: (batch_id, [layer,] flat_pos, vec); ``meta``: batch metadata.
     """
-    b = prefill_batches(meta, tp_size).select("batch_id", "dp_rank", "rids", "prefix_lens", "starts", "ends")
+    b = prefill_batches(meta, tp_size).select("batch_id", "dp_rank", "rids", "prefix_lens", "starts", "ends",
+                                              "pids", "cidxs")
     row_bytes = F.lit(64) + F.size("rids") * F.lit(64)
     b = size_checked_broadcast(b, row_bytes)
     return demux_rows(tokens.join(b, "batch_id", "inner"), vec_col)

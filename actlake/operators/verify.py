@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DTYPE_BYTES, bytes_per_elem_col, require_empty
-from ..functions.vec import has_nan, l2_norm
+from ..functions.vecops import token_stats
 
 SEQ_KEY = ("run_id", "layer", "prompt_id", "completion_idx")
 
@@ -77,7 +77,7 @@ def reconcile(index: DataFrame, acts: DataFrame, d_model: int, manifest_layers:
 
 def norm_health(vectors: DataFrame, key=SEQ_KEY) -> DataFrame:
     """A5: per sequence mean / min / max L2 norm and any NaN (NaN propagates)."""
-    x = vectors.select(*key, l2_norm("vec").alias("_n"), has_nan("vec").alias("_nan"))
+    x = token_stats(vectors.select(*key, "vec")).select(*key, F.col("norm").alias("_n"), F.col("has_nan").alias("_nan"))
     g = x.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("n_tokens"),
                             F.avg("_n").alias("norm_mean"), F.min("_n").alias("_min"),
                             F.max("_n").alias("norm_max"), F.bool_or("_nan").alias("any_nan"))

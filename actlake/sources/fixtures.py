@@ -178,3 +178,45 @@ def arch_states(spark, d) -> DataFrame:
     cls = F.when(F.col("label") < len(ARCH_CLASS_BY_LABEL), F.element_at(names, F.col("label") + 1)) \
            .otherwise(F.concat(F.lit("UnknownDecoderLayer"), F.col("label").cast("string")))
     return e.join(nxt, "vec_id").select("vec_id", cls.alias("layer_class"), F.col("embedding").alias("h"), "r")
+
+
+# Multipliers spreading document tokens over the embedding rows.
+DOC_VEC_MUL = (7919, 104729)
+
+
+def doc_tokens(spark, d) -> DataFrame:
+    """One token row per word of every document, with a 64-float vector taken
+    from the embeddings (a stored run at document scale)."""
+    from ..operators.joins import size_checked_broadcast
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("prompt_id"), F.regexp_count("text", F.lit(r"\S+")).cast("int").alias("n"))
+    emb = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    n_emb = emb.count()
+    t = docs.where(F.col("n") > 0).select("prompt_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("token_pos"))
+    t = t.withColumn("vec_id", F.pmod(F.col("prompt_id") * DOC_VEC_MUL[0] + F.col("token_pos") * DOC_VEC_MUL[1],
+                                      F.lit(n_emb)))
+    emb = size_checked_broadcast(emb, F.lit(16) + F.size("vec") * F.lit(4))
+    return t.join(emb, "vec_id").select("prompt_id", F.lit(0).alias("completion_idx"), "token_pos", "vec")
+
+
+# Documents per captured batch of the document-scale capture.
+DOC_BATCH = 4
+
+
+def doc_capture(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Document tokens as captured batches: (tokens, batch metadata)."""
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("prompt_id"), F.regexp_count("text", F.lit(r"\S+")).cast("int").alias("n"))
+    docs = docs.withColumn("batch_id", F.floor(F.col("prompt_id") / DOC_BATCH).cast("bigint"))
+    w = Window.partitionBy("batch_id").orderBy("prompt_id").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    seqs = docs.select("batch_id", (F.row_number().over(Window.partitionBy("batch_id").orderBy("prompt_id")) - 1)
+                       .cast("int").alias("seq_ord"),
+                       F.concat(F.col("prompt_id").cast("string"), F.lit("|0")).alias("rid"),
+                       F.col("n").alias("seq_len"), F.lit(0).alias("prefix_len"),
+                       F.lit(0).cast("bigint").alias("gpu_id"), F.lit(0).cast("bigint").alias("global_rank"))
+    from ..operators.demux import batch_metadata
+    meta = batch_metadata(seqs)
+    toks = doc_tokens(spark, d).join(docs.select("prompt_id", "batch_id", "offset"), "prompt_id")
+    toks = toks.select("batch_id", (F.col("offset") + F.col("token_pos")).cast("int").alias("flat_pos"), "vec")
+    return toks, meta
