@@ -26,8 +26,8 @@ def test_no_nested_loop_or_cartesian(spark, name):
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, p
 
 
-@pytest.mark.parametrize("name", ["compare_metrics", "run_diff", "steer_apply", "quant_int8", "arch_residual",
-                                  "demux_vectors", "plan", "index_offsets"])
+@pytest.mark.parametrize("name", ["run_diff", "steer_apply", "quant_int8", "arch_residual", "zero_ranges",
+                                  "demux_vectors", "plan", "index_offsets", "layer_filter"])
 def test_vector_maths_stays_native(spark, name):
     p = plan_text(E.queries()[name](spark, SF))
     for node in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "FlatMapGroupsInPandas"):
