@@ -173,6 +173,34 @@ def _float_list_array(flat: np.ndarray, lens: np.ndarray, valid: np.ndarray) ->
                                     mask=_mask(valid))
 
 
+def decode_batch(payload: pa.Array, dtypes: pa.Array, scales: pa.Array):
+    """Decode one Arrow batch of payloads: (flat fp32 values, per-row lengths, validity)."""
+    raw, nbytes, valid = _binary_parts(payload)
+    dts = np.asarray(dtypes.to_pylist(), dtype=object)
+    sc = scales.to_numpy(zero_copy_only=False).astype(np.float32)
+    bpe = np.array([DTYPE_BYTES.get(d, 0) if d is not None else 0 for d in dts], dtype=np.int64)
+    if (valid & (bpe == 0)).any():
+        raise ValueError(f"unknown dtype {dts[valid & (bpe == 0)][0]!r}")
+    nbytes = np.where(valid, nbytes, 0)
+    if ((nbytes % np.maximum(bpe, 1)) != 0).any():
+        raise ValueError("payload length is not a whole number of elements")
+    lens = nbytes // np.maximum(bpe, 1)
+    out = np.empty(int(lens.sum()), dtype=np.float32)
+    byte_starts = np.concatenate([[0], np.cumsum(nbytes)])
+    elem_starts = np.concatenate([[0], np.cumsum(lens)])
+    for d in set(dts[valid].tolist()):
+        rows = np.nonzero(valid & (dts == d))[0]
+        if _contiguous(rows):
+            b0, b1 = byte_starts[rows[0]], byte_starts[rows[-1] + 1]
+            e0, e1 = elem_starts[rows[0]], elem_starts[rows[-1] + 1]
+            out[e0:e1] = decode_np(raw[b0:b1], lens[rows], d, sc[rows])
+        else:
+            for r in rows:  # mixed dtypes interleaved inside one batch
+                out[elem_starts[r]:elem_starts[r + 1]] = decode_np(
+                    raw[byte_starts[r]:byte_starts[r + 1]], lens[r:r + 1], d, sc[r:r + 1])
+    return out, lens, valid
+
+
 # --------------------------------------------------------------------------- Spark jobs
 
 def encode_activations(df: DataFrame, dtype: str, vec_col: str = "vec",
@@ -213,31 +241,7 @@ def decode_activations(df: DataFrame, out_col: str = "vec", drop_payload: bool =
 
     def fn(batches):
         for rb in batches:
-            raw, nbytes, valid = _binary_parts(rb.column("payload"))
-            dts = np.asarray(rb.column("dtype").to_pylist(), dtype=object)
-            scales = rb.column("scale").to_numpy(zero_copy_only=False).astype(np.float32)
-            bpe = np.array([DTYPE_BYTES.get(d, 0) if d is not None else 0 for d in dts], dtype=np.int64)
-            unknown = valid & (bpe == 0)
-            if unknown.any():
-                raise ValueError(f"unknown dtype {dts[unknown][0]!r}")
-            nbytes = np.where(valid, nbytes, 0)
-            if ((nbytes % np.maximum(bpe, 1)) != 0).any():
-                raise ValueError("payload length is not a whole number of elements")
-            lens = nbytes // np.maximum(bpe, 1)
-            out = np.empty(int(lens.sum()), dtype=np.float32)
-            byte_starts = np.concatenate([[0], np.cumsum(nbytes)])
-            elem_starts = np.concatenate([[0], np.cumsum(lens)])
-            for d in set(dts[valid].tolist()):
-                rows = np.nonzero(valid & (dts == d))[0]
-                if len(rows) == len(dts) or _contiguous(rows):
-                    b0, b1 = byte_starts[rows[0]], byte_starts[rows[-1] + 1]
-                    e0, e1 = elem_starts[rows[0]], elem_starts[rows[-1] + 1]
-                    out[e0:e1] = decode_np(raw[b0:b1], lens[rows], d, scales[rows])
-                else:
-                    for r in rows:  # mixed dtypes interleaved inside one batch
-                        b0, b1 = byte_starts[r], byte_starts[r + 1]
-                        out[elem_starts[r]:elem_starts[r + 1]] = decode_np(
-                            raw[b0:b1], lens[r:r + 1], d, scales[r:r + 1])
+            out, lens, valid = decode_batch(rb.column("payload"), rb.column("dtype"), rb.column("scale"))
             cols = [rb.column(n) for n in keep_names]
             cols.append(_float_list_array(out, lens, valid))
             yield pa.RecordBatch.from_arrays(cols, names=keep_names + [out_col])

@@ -76,8 +76,11 @@ def reconcile(index: DataFrame, acts: DataFrame, d_model: int, manifest_layers:
 
 
 def norm_health(vectors: DataFrame, key=SEQ_KEY) -> DataFrame:
-    """A5: per sequence mean / min / max L2 norm and any NaN (NaN propagates)."""
-    x = token_stats(vectors.select(*key, "vec")).select(*key, F.col("norm").alias("_n"), F.col("has_nan").alias("_nan"))
+    """A5: per sequence mean / min / max L2 norm and any NaN (NaN propagates).
+
+    Takes decoded ``vec`` rows or stored payload rows (decoded in the same pass)."""
+    vcols = ["vec"] if "vec" in vectors.columns else ["payload", "dtype", "scale"]
+    x = token_stats(vectors.select(*key, *vcols)).select(*key, F.col("norm").alias("_n"), F.col("has_nan").alias("_nan"))
     g = x.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("n_tokens"),
                             F.avg("_n").alias("norm_mean"), F.min("_n").alias("_min"),
                             F.max("_n").alias("norm_max"), F.bool_or("_nan").alias("any_nan"))
