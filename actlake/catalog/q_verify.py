@@ -62,24 +62,44 @@ def _seq_bytes(spark, d):
             .agg((F.sum("n_tokens") * F.lit(D_MODEL * BPE)).cast("bigint").alias("n_bytes")))
 
 
-def _shards(spark, d):
-    return L.assign_shards(_seq_bytes(spark, d), SHARD_LIMIT, "append_ord")
+_GREEDY = [
+    ("seq_bytes", _SEQ_BYTES),
+    ("ord", "SELECT *, row_number() OVER (ORDER BY append_ord) AS i FROM seq_bytes"),
+    ("walk(i, shard, acc)", f"""
+        SELECT i, 0, n_bytes FROM ord WHERE i = 1
+        UNION ALL
+        SELECT o.i, CASE WHEN w.acc >= {SHARD_LIMIT} THEN w.shard + 1 ELSE w.shard END,
+               CASE WHEN w.acc >= {SHARD_LIMIT} THEN o.n_bytes ELSE w.acc + o.n_bytes END
+        FROM walk w JOIN ord o ON o.i = w.i + 1"""),
+    ("greedy", "SELECT o.*, CAST(w.shard AS INT) AS shard FROM ord o JOIN walk w ON o.i = w.i"),
+]
+
+
+def _shards(spark, d, policy="greedy"):
+    return L.assign_shards(_seq_bytes(spark, d), SHARD_LIMIT, "append_ord", policy=policy)
 
 
 @query("shard_assignment", "K7", with_views(
-    "SELECT prompt_id, append_ord, n_bytes, shard FROM shards", "doc_index",
-    extra=[("seq_bytes", _SEQ_BYTES), ("shards", _SHARDS)]))
+    "SELECT prompt_id, append_ord, n_bytes, shard FROM greedy", "doc_index", extra=_GREEDY, recursive=True))
 def q_shard_assignment(spark, d):
+    """K7 with the single-writer rule: rotate after the sequence that reaches the limit."""
     return _shards(spark, d).select("prompt_id", "append_ord", "n_bytes", "shard")
 
 
+@query("shard_assignment_floor", "K7 (parallel floor policy)", with_views(
+    "SELECT prompt_id, append_ord, n_bytes, shard FROM shards", "doc_index",
+    extra=[("seq_bytes", _SEQ_BYTES), ("shards", _SHARDS)]))
+def q_shard_assignment_floor(spark, d):
+    """K7 with shard = floor(bytes before the sequence / limit)."""
+    return _shards(spark, d, "floor").select("prompt_id", "append_ord", "n_bytes", "shard")
+
+
 @query("shard_manifest", "A3 K4 O4 V27", with_views(
     """SELECT s.shard, i.layer, CAST(sum(i.n_tokens) AS BIGINT) AS total_tokens, count(*) AS n_index_rows,
           count(DISTINCT (i.prompt_id, i.completion_idx)) AS n_sequences,
           printf('acts_layer_%03d.bin', i.layer) AS file_name
-       FROM doc_index i JOIN shards s ON i.append_ord = s.append_ord
-       GROUP BY s.shard, i.layer""", "doc_index",
-    extra=[("seq_bytes", _SEQ_BYTES), ("shards", _SHARDS)]))
+       FROM doc_index i JOIN greedy s ON i.append_ord = s.append_ord
+       GROUP BY s.shard, i.layer""", "doc_index", extra=_GREEDY, recursive=True))
 def q_shard_manifest(spark, d):
     idx = fx.doc_index(spark, d).join(_shards(spark, d).select("append_ord", "shard"), "append_ord")
     return L.manifest_rows(idx, ("shard",))

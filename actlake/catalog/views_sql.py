@@ -108,7 +108,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
 }
 
 
-def with_views(body: str, *names: str, extra: list[tuple[str, str]] = ()) -> str:
+def with_views(body: str, *names: str, extra: list[tuple[str, str]] = (), recursive: bool = False) -> str:
     """``WITH`` the named views (and their dependencies) followed by ``body``."""
     order: list[str] = []
 
@@ -124,7 +124,7 @@ def with_views(body: str, *names: str, extra: list[tuple[str, str]] = ()) -> str
     ctes = [f"{n} AS ({VIEWS[n][1]})" for n in order] + [f"{n} AS ({sql})" for n, sql in extra]
     if not ctes:
         return body
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
 
 
 def norm_sql(v: str) -> str:

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import Window
+
 from ..config import GuardError
 from ..functions.text import json_row, layer_file_name
-from .windows import running_sums
+from ..session import cut_lineage
+from .windows import bucket_of, default_buckets, quantile_bounds, running_sums
 
 INDEX_KEY = ("prompt_id", "completion_idx", "layer")
 
@@ -67,19 +70,85 @@ def manifest(index: DataFrame, model: str, d_model: int, dtype: str, shard_cols=
                     F.coalesce("n_sequences", F.lit(0)).cast("bigint").alias("n_sequences")))
 
 
+END = (1 << 62)
+MAX_BROADCAST_STARTS = 1_000_000
+
+
+def _next_starts(x: DataFrame, limit_bytes: int, part: list[str], n_buckets: int | None) -> DataFrame:
+    """For every sequence s (1-based ``_i``): the sequence after the first j with
+    inclusive bytes Q(j) >= P(s) + limit, i.e. where the next shard would start
+    if one started at s (END when the run ends first).
+
+    A sorted search without a range join: query rows (value P(s) + limit) and
+    data rows (value Q(j)) are ordered together, queries before data at equal
+    values; the answer is the smallest j at or after the query - a running
+    minimum in reverse order inside value buckets, else the smallest j of any
+    later bucket (a table of buckets, not of rows).
+    """
+    q = x.select(*part, (F.col("_P") + F.lit(int(limit_bytes))).alias("_v"), F.lit(0).alias("_kind"),
+                 F.lit(None).cast("bigint").alias("_j"), F.col("_i").alias("_s"))
+    d = x.select(*part, F.col("_Q").alias("_v"), F.lit(1).alias("_kind"), F.col("_i").alias("_j"),
+                 F.lit(None).cast("bigint").alias("_s"))
+    u = q.unionByName(d)
+    bounds = quantile_bounds(u, "_v", n_buckets or default_buckets(x))
+    u = u.withColumn("_b", bucket_of(F.col("_v"), bounds))
+    w = (Window.partitionBy(*part, "_b").orderBy(F.col("_v").desc(), F.col("_kind").desc(), F.col("_j").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    loc = u.withColumn("_jloc", F.min("_j").over(w)).where(F.col("_kind") == 0)
+    per_bucket = u.groupBy(*part, "_b").agg(F.min("_j").alias("_bmin"))
+    wb = Window.partitionBy(*part).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = per_bucket.select(*part, "_b", F.min("_bmin").over(wb).alias("_jlater"))
+    res = loc.join(later, [*part, "_b"], "left")
+    jstar = F.coalesce(F.col("_jloc"), F.col("_jlater"))
+    return res.select(*part, F.col("_s").alias("s"),
+                      F.when(jstar.isNull(), F.lit(END)).otherwise(jstar + 1).alias("t"))
+
+
 def assign_shards(seq_bytes: DataFrame, limit_bytes: int, order_col: str = "append_ord",
-                  partition=(), policy: str = "floor") -> DataFrame:
-    """K7: shard number per sequence from its byte size.
-
-    ``floor``: shard = floor(bytes before the sequence / limit) - fully
-    parallel; a shard closes at the first sequence that starts at or past
-    the next multiple of the limit. (The rotate-and-reset rule of the
-    single-writer tool starts counting again after each overshoot, so its
-    boundaries can differ by the overshoot.)
+                  partition=(), policy: str = "greedy", n_buckets: int | None = None) -> DataFrame:
+    """K7: shard number per sequence from its byte size, in ``order_col`` order.
+
+    ``greedy`` (the single-writer rule): a shard closes after the sequence
+    that brings its bytes to the limit or past it; the next one starts from
+    zero. The chain of shard starts is found by pointer doubling: each round
+    is one self-join of the one-row-per-sequence table (log2(shards) rounds,
+    lineage cut after each), then shard = number of starts at or before the
+    sequence, minus one. Only keys and byte counts move.
+
+    ``floor``: shard = floor(bytes before the sequence / limit), one pass;
+    boundaries can differ from ``greedy`` by the overshoot.
     """
     if limit_bytes <= 0:
         raise GuardError("limit_bytes must be > 0")
-    if policy != "floor":
+    if policy not in ("greedy", "floor"):
         raise GuardError(f"unknown shard policy {policy!r}")
-    x = running_sums(seq_bytes, order_col, {"_before": "n_bytes"}, partition_cols=partition, exclusive=True)
-    return x.withColumn("shard", F.floor(F.col("_before") / F.lit(int(limit_bytes))).cast("int")).drop("_before")
+    part = list(partition)
+    if policy == "floor":
+        x = running_sums(seq_bytes, order_col, {"_before": "n_bytes"}, partition_cols=part, exclusive=True,
+                         n_buckets=n_buckets)
+        return x.withColumn("shard", F.floor(F.col("_before") / F.lit(int(limit_bytes))).cast("int")).drop("_before")
+    x = running_sums(seq_bytes, order_col, {"_P": "n_bytes"}, partition_cols=part, exclusive=True,
+                     row_number_col="_i", n_buckets=n_buckets)
+    x = cut_lineage(x.withColumn("_Q", F.col("_P") + F.col("n_bytes")))
+    jump = cut_lineage(_next_starts(x, limit_bytes, part, n_buckets))
+    jumps = [jump]
+    # J_{k+1}(s) = J_k(J_k(s)) until the chain from sequence 1 leaves every run
+    while jump.where((F.col("s") == 1) & (F.col("t") != END)).limit(1).count() > 0:
+        y = jump.select(*[F.col(c).alias(f"_y_{c}") for c in part], F.col("s").alias("_m"), F.col("t").alias("_t2"))
+        cond = [F.col(c) == F.col(f"_y_{c}") for c in part] + [F.col("t") == F.col("_m")]
+        jump = cut_lineage(jump.join(y, cond, "left")
+                           .select(*part, "s", F.coalesce(F.col("_t2"), F.lit(END)).alias("t")))
+        jumps.append(jump)
+    # starts reachable from sequence 1: after using J_k it holds the first 2^(k+1) of them
+    n_max = (seq_bytes.groupBy(*part).agg(F.sum("n_bytes").alias("_b"))
+             .select(F.sum(F.floor(F.col("_b") / F.lit(int(limit_bytes))) + 2).alias("n")).collect()[0]["n"] or 0)
+    starts = x.where(F.col("_i") == 1).select(*part, F.col("_i").alias("s"))
+    for j in jumps:
+        c = F.broadcast(starts) if n_max <= MAX_BROADCAST_STARTS else starts
+        hop = j.join(c, [*part, "s"]).where(F.col("t") != END).select(*part, F.col("t").alias("s"))
+        starts = cut_lineage(starts.unionByName(hop).distinct())
+    marks = starts.select(*part, F.col("s").alias("_i"), F.lit(1).alias("_start"))
+    marks = F.broadcast(marks) if n_max <= MAX_BROADCAST_STARTS else marks
+    flagged = x.join(marks, [*part, "_i"], "left").withColumn("_start", F.coalesce(F.col("_start"), F.lit(0)))
+    y = running_sums(flagged, "_i", {"_n_starts": "_start"}, partition_cols=part, n_buckets=n_buckets)
+    return y.withColumn("shard", (F.col("_n_starts") - 1).cast("int")).drop("_P", "_Q", "_i", "_start", "_n_starts")

@@ -100,3 +100,28 @@ def test_running_sums_equal_plain_window(spark):
     a = sorted((r.g, r.k, r.s, r.rn) for r in got.collect())
     b = sorted((r.g, r.k, r.s, r.rn) for r in exp.collect())
     assert a == b
+
+
+def _greedy(bs, limit):
+    out, shard, acc = [], 0, 0
+    for b in bs:
+        out.append(shard)
+        acc += b
+        if acc >= limit:
+            shard, acc = shard + 1, 0
+    return out
+
+
+def test_greedy_shards_match_single_writer_rule_per_run(spark):
+    from actlake.operators.layout import assign_shards
+    random.seed(11)
+    runs = {"r1": [random.choice([0, 2, 5, 9, 10, 17]) for _ in range(300)],
+            "r2": [random.choice([1, 10, 40]) for _ in range(120)]}
+    rows = [(r, i * 2 + 5, b) for r, bs in runs.items() for i, b in enumerate(bs)]
+    df = spark.createDataFrame(rows, "run_id string, append_ord long, n_bytes long")
+    got = assign_shards(df, 20, "append_ord", partition=("run_id",), n_buckets=5).collect()
+    for r, bs in runs.items():
+        mine = [x.shard for x in sorted((x for x in got if x.run_id == r), key=lambda x: x.append_ord)]
+        assert mine == _greedy(bs, 20), r
+    floor = assign_shards(df, 20, "append_ord", partition=("run_id",), policy="floor").collect()
+    assert len(floor) == len(rows)
