@@ -31,9 +31,9 @@ _B = f"(SELECT * FROM vectors WHERE run_id = '{RUN_B}' AND completion_idx = {COM
 _SHAPES = f"""
     SELECT a.layer, a.prompt_id, a.completion_idx, a.n_a, b.n_b, a.d_a, b.d_b,
            (a.n_a = b.n_b AND a.d_a = b.d_b) AS shape_match
-    FROM (SELECT layer, prompt_id, completion_idx, CAST(count(*) AS INT) AS n_a, max(len(vec)) AS d_a FROM {_A} x
+    FROM (SELECT layer, prompt_id, completion_idx, CAST(count(*) AS INT) AS n_a, CAST(max(len(vec)) AS INT) AS d_a FROM {_A} x
           GROUP BY ALL) a
-    JOIN (SELECT layer, prompt_id, completion_idx, CAST(count(*) AS INT) AS n_b, max(len(vec)) AS d_b FROM {_B} y
+    JOIN (SELECT layer, prompt_id, completion_idx, CAST(count(*) AS INT) AS n_b, CAST(max(len(vec)) AS INT) AS d_b FROM {_B} y
           GROUP BY ALL) b
       ON a.layer = b.layer AND a.prompt_id = b.prompt_id AND a.completion_idx = b.completion_idx"""
 _PAIRS = f"""

@@ -79,7 +79,7 @@ def q_rid_parse(spark, d):
 
 
 _SLICES = f"""
-    SELECT s.batch_id, b.gpu_id AS dp_rank, s.seq_ord, s.rid, {_PID} AS prompt_id, {_CIDX} AS completion_idx,
+    SELECT s.batch_id, CAST(floor(coalesce(b.gpu_id, 0) / 1) AS INT) AS dp_rank, s.seq_ord, s.rid, {_PID} AS prompt_id, {_CIDX} AS completion_idx,
       CAST(coalesce(sum(s.seq_len) OVER (PARTITION BY s.batch_id ORDER BY s.seq_ord
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
       s.seq_len, s.prefix_len
