@@ -25,13 +25,14 @@ def sequence_lengths(acts: DataFrame, group=("run_id", "layer", "prompt_id", "co
 
 
 def index_offsets(seqs: DataFrame, order_col: str = "append_ord", partition=("layer",),
-                  prior_end: DataFrame | None = None) -> DataFrame:
+                  prior_end: DataFrame | None = None, n_buckets: int | None = None) -> DataFrame:
     """``start`` = tokens appended before this sequence in its (shard, layer).
 
     ``prior_end`` (partition columns + ``end``) continues a re-opened shard
     after its existing data. The running sum is split across tasks.
     """
-    x = running_sums(seqs, order_col, {"start": "n_tokens"}, partition_cols=partition, exclusive=True)
+    x = running_sums(seqs, order_col, {"start": "n_tokens"}, partition_cols=partition, exclusive=True,
+                     n_buckets=n_buckets)
     if prior_end is not None:
         x = (x.join(F.broadcast(prior_end.select(*partition, "end")), list(partition), "left")
              .withColumn("start", F.col("start") + F.coalesce(F.col("end"), F.lit(0))).drop("end"))
