@@ -9,8 +9,11 @@ Layout per shard directory (fixed by the existing tools)::
 
 Reading: the driver only lists files and reads the small ``meta.json``; each
 input partition is a row range of one layer file, read with positioned I/O
-and emitted as Arrow batches. Rows are then mapped to sequence keys by an
-equi-join with the exploded index (narrow key rows), never through the driver.
+and emitted as Arrow batches. With ``keys=true`` each task also reads its
+shard's ``index.jsonl`` (bounded by the shard size limit), keeps the first
+row per key (the reader's rule; ``policy=last`` keeps the last) and maps its
+flat rows to ``(prompt_id, completion_idx, token_pos)`` by binary search, so
+the import needs no join and no shuffle of payloads.
 
 Writing: rows are hash-partitioned by ``(shard, layer)`` and sorted by the
 flat row, so exactly one task writes each layer file, sequentially; a retried
@@ -31,10 +34,11 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 
 from ..config import DTYPE_BYTES
 from ..functions.text import LAYER_FILE, SCALE_FILE
-from ..operators.verify import resolve_duplicates
 
 FORMAT = "actlake_legacy"
 READ_SCHEMA = "shard string, layer int, flat_row bigint, dtype string, payload binary, scale float"
+KEYED_SCHEMA = ("shard string, layer int, prompt_id bigint, completion_idx int, token_pos int, "
+                "dtype string, payload binary, scale float")
 DEFAULT_SPLIT_BYTES = 128 * 1024 * 1024
 BATCH_ROWS = 4096
 
@@ -49,16 +53,37 @@ def _fs(uri: str):
 
 
 class _Range(InputPartition):
-    def __init__(self, shard, layer, path, scale_path, dtype, d_model, bpe, lo, hi):
+    def __init__(self, shard, layer, path, scale_path, dtype, d_model, bpe, lo, hi, index_path=None):
         super().__init__(0)
         self.shard, self.layer, self.path, self.scale_path = shard, layer, path, scale_path
         self.dtype, self.d_model, self.bpe, self.lo, self.hi = dtype, d_model, bpe, lo, hi
+        self.index_path = index_path
+
+
+def _layer_index(fs, path: str, layer: int, policy: str):
+    """(starts, lengths, prompt_ids, completion_idxs) of one layer, one row per key, sorted by start."""
+    with fs.open_input_stream(path) as f:
+        rows = [json.loads(x) for x in f.read().decode("utf-8").splitlines() if x.strip()]
+    chosen: dict = {}
+    for r in rows:
+        if int(r["layer"]) != layer:
+            continue
+        k = (int(r["prompt_id"]), int(r["completion_idx"]))
+        if policy == "last" or k not in chosen:
+            chosen[k] = r
+    sel = sorted(chosen.values(), key=lambda r: int(r["start"]))
+    return (np.array([int(r["start"]) for r in sel], dtype=np.int64),
+            np.array([int(r["n_tokens"]) for r in sel], dtype=np.int64),
+            np.array([int(r["prompt_id"]) for r in sel], dtype=np.int64),
+            np.array([int(r["completion_idx"]) for r in sel], dtype=np.int32))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
         self.split_bytes = int(options.get("splitBytes", DEFAULT_SPLIT_BYTES))
+        self.keys = str(options.get("keys", "false")).lower() == "true"
+        self.policy = options.get("policy", "first")
 
     def partitions(self):
         from pyarrow import fs as pafs
@@ -88,12 +113,15 @@ class _Reader(DataSourceReader):
                 step = max(1, self.split_bytes // row_bytes)
                 sp = f"{d}/{SCALE_FILE % int(L)}" if dtype == "int8" else None
                 for lo in range(0, n, step):
-                    parts.append(_Range(shard, int(L), path, sp, dtype, dm, bpe, lo, min(n, lo + step)))
+                    parts.append(_Range(shard, int(L), path, sp, dtype, dm, bpe, lo, min(n, lo + step),
+                                        f"{d}/index.jsonl"))
         return parts
 
     def read(self, part: _Range):
         fs, _ = _fs(self.root)
         row_bytes = part.d_model * part.bpe
+        if self.keys:
+            starts, lens, pids, cidxs = _layer_index(fs, part.index_path, part.layer, self.policy)
         with fs.open_input_file(part.path) as f:
             sf = fs.open_input_file(part.scale_path) if part.scale_path else None
             try:
@@ -107,11 +135,25 @@ class _Reader(DataSourceReader):
                         sc = pa.array(np.frombuffer(sf.read_at(n * 4, lo * 4), dtype="<f4"), pa.float32())
                     else:
                         sc = pa.nulls(n, pa.float32())
+                    rows = np.arange(lo, hi, dtype=np.int64)
+                    if not self.keys:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([part.shard] * n, pa.string()), pa.array([part.layer] * n, pa.int32()),
+                             pa.array(rows), pa.array([part.dtype] * n, pa.string()), payload, sc],
+                            names=["shard", "layer", "flat_row", "dtype", "payload", "scale"])
+                        continue
+                    k = np.searchsorted(starts, rows, side="right") - 1
+                    ok = k >= 0
+                    ok[ok] = rows[ok] < starts[k[ok]] + lens[k[ok]]
+                    idx = np.nonzero(ok)[0]
+                    kk = k[idx]
+                    m = len(idx)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.shard] * n, pa.string()), pa.array([part.layer] * n, pa.int32()),
-                         pa.array(np.arange(lo, hi, dtype=np.int64)), pa.array([part.dtype] * n, pa.string()),
-                         payload, sc],
-                        names=["shard", "layer", "flat_row", "dtype", "payload", "scale"])
+                        [pa.array([part.shard] * m, pa.string()), pa.array([part.layer] * m, pa.int32()),
+                         pa.array(pids[kk]), pa.array(cidxs[kk]), pa.array((rows[idx] - starts[kk]).astype(np.int32)),
+                         pa.array([part.dtype] * m, pa.string()), payload.take(pa.array(idx)), sc.take(pa.array(idx))],
+                        names=["shard", "layer", "prompt_id", "completion_idx", "token_pos", "dtype", "payload",
+                               "scale"])
             finally:
                 if sf is not None:
                     sf.close()
@@ -211,7 +253,7 @@ class LegacyShards(DataSource):
         return FORMAT
 
     def schema(self):
-        return READ_SCHEMA
+        return KEYED_SCHEMA if str(self.options.get("keys", "false")).lower() == "true" else READ_SCHEMA
 
     def reader(self, schema):
         return _Reader(self.options)
@@ -231,9 +273,11 @@ def export_legacy(acts: DataFrame, index: DataFrame, manifest: DataFrame, root:
     ``index``: (shard, layer, prompt_id, completion_idx, start, n_tokens, append_ord);
     ``manifest``: one row per shard (``operators.layout.manifest``).
     """
+    from ..operators.joins import size_checked_broadcast
     register(acts.sparkSession)
     key = ["shard", "layer", "prompt_id", "completion_idx"]
-    rows = acts.join(index.select(*key, "start"), key).select(
+    starts = size_checked_broadcast(index.select(*key, "start"), 48)
+    rows = acts.join(starts, key).select(
         "shard", "layer", (F.col("start") + F.col("token_pos")).alias("flat_row"), "dtype", "payload", "scale")
     (rows.repartition("shard", "layer").sortWithinPartitions("shard", "layer", "flat_row")
      .write.format(FORMAT).option("kind", "payload").mode("append").save(root))
@@ -247,19 +291,10 @@ def export_legacy(acts: DataFrame, index: DataFrame, manifest: DataFrame, root:
 def import_legacy(spark: SparkSession, root: str, policy: str = "first") -> DataFrame:
     """S6 + S5 + S7 + W3: legacy shards -> activation rows.
 
-    Index rows are made unique per key (``first`` = the reader's rule), then
-    exploded to one narrow row per token and equi-joined to the payload rows
-    on (shard, layer, flat_row).
+    One pass over the layer files: each task maps its row range to sequence
+    keys with its shard's index (first row per key wins, or ``policy="last"``).
     """
-    from .shards import read_index
+    if policy not in ("first", "last"):
+        raise ValueError(f"policy must be 'first' or 'last', got {policy!r}")
     register(spark)
-    raw = spark.read.format(FORMAT).load(root)
-    idx = resolve_duplicates(read_index(spark, root), ("shard", "prompt_id", "completion_idx", "layer"),
-                             "append_ord", policy)
-    pos = idx.select("shard", "layer", "prompt_id", "completion_idx", "start",
-                     F.explode(F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0), F.col("n_tokens") - 1))
-                               .otherwise(F.array().cast("array<int>"))).alias("token_pos"))
-    pos = pos.withColumn("flat_row", F.col("start") + F.col("token_pos"))
-    return raw.join(pos, ["shard", "layer", "flat_row"]).select(
-        "shard", "layer", "prompt_id", "completion_idx", F.col("token_pos").cast("int").alias("token_pos"),
-        "dtype", "payload", "scale")
+    return spark.read.format(FORMAT).option("keys", "true").option("policy", policy).load(root)
