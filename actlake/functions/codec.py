@@ -174,30 +174,37 @@ def _float_list_array(flat: np.ndarray, lens: np.ndarray, valid: np.ndarray) ->
 
 
 def decode_batch(payload: pa.Array, dtypes: pa.Array, scales: pa.Array):
-    """Decode one Arrow batch of payloads: (flat fp32 values, per-row lengths, validity)."""
+    """Decode one Arrow batch of payloads: (flat fp32 values, per-row lengths, validity).
+
+    Rows may mix dtypes; each dtype present is decoded in one vectorised call
+    over the bytes of its rows (gathered with an element mask when interleaved).
+    """
+    import pyarrow.compute as pc
     raw, nbytes, valid = _binary_parts(payload)
-    dts = np.asarray(dtypes.to_pylist(), dtype=object)
-    sc = scales.to_numpy(zero_copy_only=False).astype(np.float32)
-    bpe = np.array([DTYPE_BYTES.get(d, 0) if d is not None else 0 for d in dts], dtype=np.int64)
+    enc = pc.dictionary_encode(dtypes.combine_chunks() if isinstance(dtypes, pa.ChunkedArray) else dtypes)
+    names = enc.dictionary.to_pylist()
+    codes = enc.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    table = np.array([DTYPE_BYTES.get(n, 0) for n in names] + [0], dtype=np.int64)
+    bpe = table[codes]  # code -1 (null dtype) -> 0
     if (valid & (bpe == 0)).any():
-        raise ValueError(f"unknown dtype {dts[valid & (bpe == 0)][0]!r}")
+        bad = names[codes[valid & (bpe == 0)][0]] if (codes[valid & (bpe == 0)] >= 0).any() else None
+        raise ValueError(f"unknown dtype {bad!r}")
+    sc = scales.to_numpy(zero_copy_only=False).astype(np.float32)
     nbytes = np.where(valid, nbytes, 0)
     if ((nbytes % np.maximum(bpe, 1)) != 0).any():
         raise ValueError("payload length is not a whole number of elements")
     lens = nbytes // np.maximum(bpe, 1)
     out = np.empty(int(lens.sum()), dtype=np.float32)
-    byte_starts = np.concatenate([[0], np.cumsum(nbytes)])
-    elem_starts = np.concatenate([[0], np.cumsum(lens)])
-    for d in set(dts[valid].tolist()):
-        rows = np.nonzero(valid & (dts == d))[0]
-        if _contiguous(rows):
-            b0, b1 = byte_starts[rows[0]], byte_starts[rows[-1] + 1]
-            e0, e1 = elem_starts[rows[0]], elem_starts[rows[-1] + 1]
-            out[e0:e1] = decode_np(raw[b0:b1], lens[rows], d, sc[rows])
-        else:
-            for r in rows:  # mixed dtypes interleaved inside one batch
-                out[elem_starts[r]:elem_starts[r + 1]] = decode_np(
-                    raw[byte_starts[r]:byte_starts[r + 1]], lens[r:r + 1], d, sc[r:r + 1])
+    for code, name in enumerate(names):
+        rows = valid & (codes == code)
+        if not rows.any():
+            continue
+        if rows.all():
+            out[:] = decode_np(raw, lens, name, sc)
+            continue
+        bmask = np.repeat(rows, nbytes)
+        emask = np.repeat(rows, lens)
+        out[emask] = decode_np(np.ascontiguousarray(raw[bmask]), lens[rows], name, sc[rows])
     return out, lens, valid
 
 
@@ -248,6 +255,3 @@ def decode_activations(df: DataFrame, out_col: str = "vec", drop_payload: bool =
 
     return df.mapInArrow(fn, out_schema)
 
-
-def _contiguous(rows: np.ndarray) -> bool:
-    return len(rows) > 0 and rows[-1] - rows[0] + 1 == len(rows)

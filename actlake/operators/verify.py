@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DTYPE_BYTES, bytes_per_elem_col, require_empty
+from ..config import bytes_per_elem_col, require_empty
 from ..functions.vecops import token_stats
 
 SEQ_KEY = ("run_id", "layer", "prompt_id", "completion_idx")

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
-from ..config import DTYPE_BYTES
 from ..functions.text import LAYER_FILE, SCALE_FILE
 
 FORMAT = "actlake_legacy"

@@ -121,3 +121,19 @@ def test_spark_value_form_equals_byte_form(spark, dtype):
         assert np.array_equal(np.isnan(a), np.isnan(b)), r["id"]
         ok = ~np.isnan(a)
         assert np.array_equal(a[ok], b[ok]), (r["id"], a[ok][a[ok] != b[ok]][:3], b[ok][a[ok] != b[ok]][:3])
+
+
+def test_decode_mixed_interleaved_dtypes(spark):
+    from pyspark.sql import functions as F
+
+    from actlake.functions.codec import decode_activations, encode_activations
+    v = _random_vectors(n=60, d=8)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id int, vec array<float>")
+    parts = [encode_activations(df.where(F.col("id") % 3 == k), dt)
+             for k, dt in enumerate(["bfloat16", "float8_e4m3", "int8"])]
+    mixed = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(1).sortWithinPartitions("id")
+    got = {r.id: r.vec for r in decode_activations(mixed).collect()}
+    for k, p in enumerate(parts):
+        for r in decode_activations(p).collect():
+            a, b = np.array(got[r.id], dtype=np.float32), np.array(r.vec, dtype=np.float32)
+            assert np.array_equal(np.isnan(a), np.isnan(b)) and np.array_equal(a[~np.isnan(a)], b[~np.isnan(b)])
