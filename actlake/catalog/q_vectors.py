@@ -276,3 +276,24 @@ def q_payload_audit(spark, d):
         part = encode_activations(v, dt)
         enc = part if enc is None else enc.unionByName(part)
     return payload_audit(enc, D_MODEL)
+
+
+@query("capture_batch_report", "P6 (dropped-batch counts)", with_views(
+    f"""SELECT count(*) FILTER (WHERE NOT any_null) AS n_prefill_batches,
+          count(*) FILTER (WHERE any_null) AS n_dropped_batches, CAST(0 AS BIGINT) AS n_length_mismatch
+        FROM batches WHERE global_rank % {ROUTING_TP} = 0""", "capture_seqs", extra=[("batches", _BATCHES)]))
+def q_capture_batch_report(spark, d):
+    """Kept and dropped capture batches of the capturing replicas (tp = 4)."""
+    return D.batch_report(fx.capture_batches(spark, d), tp_size=ROUTING_TP)
+
+
+@query("replica_markers", "K6", with_views(
+    f"""SELECT 'capture' AS run_id, CAST(floor(coalesce(gpu_id, 0) / {ROUTING_TP}) AS INT) AS dp_rank,
+          {ROUTING_TP} AS tp_size, count(*) AS n_batches
+        FROM batches GROUP BY 2""", "capture_seqs", extra=[("batches", _BATCHES)]))
+def q_replica_markers(spark, d):
+    """One start-marker row per data-parallel replica seen in the capture batches."""
+    from ..config import RunConfig
+    from ..sinks.tables import replica_markers
+    cfg = RunConfig(run_id="capture", layers=(16,), tp_size=ROUTING_TP)
+    return replica_markers(fx.capture_batches(spark, d), cfg).select("run_id", "dp_rank", "tp_size", "n_batches")
