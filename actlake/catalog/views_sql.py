@@ -48,9 +48,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           || '<|im_start|>assistant' || {NL} || p.completion AS input_text
         FROM pairs p LEFT JOIN system_prompts s ON p.prompt_id = s.prompt_id"""),
     "token_base": ([], """
-        SELECT prompt_id, token_pos, embedding FROM (
-          SELECT CAST(floor(vec_id / 20.0) AS BIGINT) AS prompt_id, CAST(vec_id % 20 AS INT) AS token_pos, embedding
-          FROM embeddings) q WHERE token_pos < 1 + (prompt_id * 7) % 20"""),
+        SELECT blk * 2 + CASE WHEN pos >= cut THEN 1 ELSE 0 END AS prompt_id,
+               CAST(pos - CASE WHEN pos >= cut THEN cut ELSE 0 END AS INT) AS token_pos, embedding
+        FROM (SELECT CAST(floor(vec_id / 20.0) AS BIGINT) AS blk, CAST(vec_id % 20 AS INT) AS pos,
+                     1 + (CAST(floor(vec_id / 20.0) AS BIGINT) * 7) % 19 AS cut, embedding
+              FROM embeddings) q"""),
     "vectors": (["token_base"], """
         SELECT run_id, layer, b.prompt_id, 0 AS completion_idx, token_pos,
           CASE WHEN run_id = 'base' AND layer = 16 THEN embedding

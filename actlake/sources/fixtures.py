@@ -76,11 +76,15 @@ def completions_raw(spark, d) -> DataFrame:
 
 
 def token_base(spark, d) -> DataFrame:
-    """Token vectors: sequences of 1 to 20 tokens cut from the embeddings."""
+    """Token vectors: every embedding row, in blocks of 20 split into two
+    sequences at a cut that varies by block (lengths 1 to 19)."""
     e = table(spark, d, "embeddings")
-    q = e.select(F.floor(F.col("vec_id") / 20).cast("bigint").alias("prompt_id"),
-                 (F.col("vec_id") % 20).cast("int").alias("token_pos"), "embedding")
-    return q.where(F.col("token_pos") < 1 + (F.col("prompt_id") * 7) % 20)
+    blk = F.floor(F.col("vec_id") / 20).cast("bigint")
+    pos = (F.col("vec_id") % 20).cast("int")
+    cut = 1 + (blk * 7) % 19
+    second = pos >= cut
+    return e.select((blk * 2 + second.cast("bigint")).alias("prompt_id"),
+                    (pos - F.when(second, cut).otherwise(F.lit(0))).cast("int").alias("token_pos"), "embedding")
 
 
 def vectors(spark, d) -> DataFrame:
