@@ -52,3 +52,42 @@ def test_point_lookup_prunes_partitions_and_pushes_filters(spark, tmpdir_fresh):
 def test_demux_join_is_broadcast_after_size_check(spark):
     p = plan_text(E.queries()["demux_vectors"](spark, SF))
     assert "BroadcastHashJoin" in p
+
+
+def _nodes(plan):
+    yield plan
+    it = plan.children().iterator()
+    while it.hasNext():
+        yield from _nodes(it.next())
+
+
+def _output_names(node):
+    it = node.output().iterator()
+    out = []
+    while it.hasNext():
+        out.append(it.next().name())
+    return out
+
+
+def test_bucketed_runs_compare_without_shuffling_payloads(spark):
+    from actlake.operators import compare as C
+    from actlake.session import scratch_path
+    from actlake.sinks.tables import write_activations_bucketed
+    acts = encode_activations(fx.vectors(spark, SF), "bfloat16")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # buckets = shuffle partitions
+    write_activations_bucketed(acts, "acts_bucketed_t", n, path=scratch_path(spark, "acts_bucketed_t"))
+    t = spark.table("acts_bucketed_t")
+    a, b = C.run_slice(t, "base", completion_idx=0), C.run_slice(t, "variant", completion_idx=0)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = C.pair_metrics(C.token_pairs(a, b))
+        plan = m._jdf.queryExecution().executedPlan()
+        moved = [n.nodeName() for n in _nodes(plan)
+                 if "Exchange" in n.nodeName() and any("payload" in c for c in _output_names(n))]
+        assert moved == [], moved
+        assert m.count() > 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
