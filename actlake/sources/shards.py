@@ -97,6 +97,31 @@ def read_activations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_runs(spark: SparkSession, root: str, run_ids=None) -> DataFrame:
+    """All runs under ``root`` (one directory per run, as ``plans.jobs.ingest_job``
+    writes them), each read through its own root so a streaming run's commit
+    log decides which of its files exist. Lists run directory names only."""
+    from pyarrow import fs as pafs
+
+    from ..session import local_path
+    if "://" in root and not root.startswith("file:"):
+        fs, base = pafs.FileSystem.from_uri(root)
+        prefix = root.split("://", 1)[0] + "://"
+    else:
+        fs, base, prefix = pafs.LocalFileSystem(), local_path(root), ""
+    names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(base))
+                   if i.type == pafs.FileType.Directory and not i.base_name.startswith(("_", ".")))
+    if run_ids is not None:
+        names = [n for n in names if n in set(run_ids)]
+    if not names:
+        raise GuardError(f"no runs under {root}")
+    out = None
+    for n in names:
+        df = spark.read.parquet(f"{prefix}{base}/{n}")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def read_sequence(acts: DataFrame, run_id: str, layer: int, prompt_id: int, completion_idx: int,
                   strict: bool = True) -> DataFrame:
     """J8 + O3: one sequence at one layer, ordered by token, decoded to fp32.

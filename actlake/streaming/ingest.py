@@ -50,7 +50,7 @@ def capture_to_activations(tokens: DataFrame, cfg: RunConfig) -> DataFrame:
     x = with_offsets(x).withColumn("dp_rank", dp_rank(F.col("gpu_id"), cfg.tp))
     x = demux_rows(x)
     x = x.select(F.lit(cfg.run_id).alias("run_id"), "layer", "prompt_id", "completion_idx", "token_pos",
-                 "dp_rank", "batch_id", "vec")
+                 "rid", "dp_rank", "batch_id", "vec")
     return encode_activations(x, cfg.dtype)
 
 
