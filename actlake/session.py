@@ -103,10 +103,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="actlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
     for k, v in JOB_CONF.items():
         spark.conf.set(k, v)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the context and Python path
+        return d
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     ship_package(spark)
     return d
 
