@@ -46,3 +46,11 @@ def test_index_starts_are_gap_free(spark, rows):
         for _, start, n in seq:
             assert start == end
             end += n
+
+
+def test_index_offsets_continue_after_existing_end(spark):
+    df = spark.createDataFrame([(1, 0, 16, 4, 1), (2, 0, 16, 3, 2), (1, 0, 32, 5, 1)],
+                               "prompt_id long, completion_idx int, layer int, n_tokens int, append_ord long")
+    prior = spark.createDataFrame([(16, 100)], "layer int, end long")
+    got = {(r.layer, r.prompt_id): r.start for r in index_offsets(df, "append_ord", prior_end=prior).collect()}
+    assert got == {(16, 1): 100, (16, 2): 104, (32, 1): 0}
