@@ -197,8 +197,12 @@ def doc_tokens(spark, d) -> DataFrame:
     emb = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     n_emb = emb.count()
     t = docs.where(F.col("n") > 0).select("prompt_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("token_pos"))
-    # the table is a few files; spread the (narrow) token keys before vectors are attached
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # the table is a few files; spread the (narrow) token keys before vectors are attached,
+    # about 250k tokens per partition, at least the cluster's parallelism
+    total = docs.agg(F.sum("n")).collect()[0][0] or 0
+    par = spark.sparkContext.defaultParallelism
+    n_parts = int(min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 4,
+                      max(par, -(-total // 250_000))))
     t = t.repartition(n_parts, "prompt_id")
     t = t.withColumn("vec_id", F.pmod(F.col("prompt_id") * DOC_VEC_MUL[0] + F.col("token_pos") * DOC_VEC_MUL[1],
                                       F.lit(n_emb)))
