@@ -51,12 +51,14 @@ def quantile_bounds(df: DataFrame, order_col: str, n_buckets: int) -> list:
 
 def running_sums(df: DataFrame, order_col: str, sums: dict[str, str], partition_cols=(),
                  exclusive: bool = False, row_number_col: str | None = None,
-                 n_buckets: int | None = None, bounds: list | None = None) -> DataFrame:
+                 n_buckets: int | None = None, bounds: list | None = None,
+                 total_count_col: str | None = None) -> DataFrame:
     """Add ``out = sum(value) over (partition by g order by order_col)`` columns.
 
     ``sums`` maps output column -> value column. With ``exclusive`` the
     current row is left out. ``row_number_col`` adds the 1-based row number
-    in the same order. ``order_col`` must be numeric.
+    in the same order; ``total_count_col`` the number of rows of the row's
+    group (from the bucket totals, no extra pass). ``order_col`` must be numeric.
     """
     part = list(partition_cols)
     if bounds is None:
@@ -76,6 +78,8 @@ def running_sums(df: DataFrame, order_col: str, sums: dict[str, str], partition_
     w_b = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     off_cols = [F.coalesce(F.sum(f"_tot_{out}").over(w_b), F.lit(0)).alias(f"_off_{out}") for out in sums]
     off_cols.append(F.coalesce(F.sum("_tot__n").over(w_b), F.lit(0)).alias("_off__n"))
+    if total_count_col:
+        off_cols.append(F.sum("_tot__n").over(Window.partitionBy(*part)).alias(total_count_col))
     off = tot.select(*keys, *off_cols)
     y = x.join(off, keys, "left")
     for out in sums:

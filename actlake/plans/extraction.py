@@ -98,9 +98,8 @@ def running_progress(seqs: DataFrame, cfg: RunConfig, every: int = 10) -> DataFr
     skipped = F.col("n_tokens") < F.lit(cfg.min_tokens)
     x = seqs.select("prompt_id", F.when(skipped, F.lit(0)).otherwise(F.col("n_tokens")).alias("_kept"),
                     skipped.alias("_skipped"))
-    x = running_sums(x, "prompt_id", {"tokens_so_far": "_kept"}, row_number_col="seq_no")
-    n_total = seqs.select("prompt_id").count()  # one number on the driver
-    return (x.where(((F.col("seq_no") % every == 0) | (F.col("seq_no") == F.lit(n_total))) & ~F.col("_skipped"))
+    x = running_sums(x, "prompt_id", {"tokens_so_far": "_kept"}, row_number_col="seq_no", total_count_col="_n")
+    return (x.where(((F.col("seq_no") % every == 0) | (F.col("seq_no") == F.col("_n"))) & ~F.col("_skipped"))
             .select("seq_no", "prompt_id", F.col("tokens_so_far").cast("bigint").alias("tokens_so_far")))
 
 
