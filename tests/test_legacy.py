@@ -79,3 +79,28 @@ def test_duplicate_index_first_wins_and_meta_defaults(spark, tmpdir_fresh):
     assert read_index(spark, root).count() == 2
     back = decode_activations(import_legacy(spark, root)).collect()
     assert len(back) == 1 and list(back[0].vec) == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_shard_discovery_fallback_and_error(spark, tmpdir_fresh):
+    import pytest
+
+    from actlake.config import GuardError
+    from actlake.sources.legacy import import_legacy
+    root = os.path.join(tmpdir_fresh, "single")
+    os.makedirs(root)
+    v = np.arange(8, dtype=np.float32)
+    with open(os.path.join(root, "acts_layer_007.bin"), "wb") as f:
+        f.write(C.fp8_encode_np(v).tobytes())
+    with open(os.path.join(root, "index.jsonl"), "w") as f:
+        f.write(json.dumps({"prompt_id": 9, "completion_idx": 1, "layer": 7, "start": 0, "n_tokens": 2}) + "\n")
+    with open(os.path.join(root, "meta.json"), "w") as f:
+        json.dump({"model": "m", "layers": [7], "d_model": 4, "dtype": "float8_e4m3", "bytes_per_elem": 1}, f)
+    man = read_manifest(spark, root).first()  # the root itself is the shard
+    assert (man.dtype, man.d_model, man.shard) == ("float8_e4m3", 4, "")
+    rows = sorted(decode_activations(import_legacy(spark, root)).collect(), key=lambda r: r.token_pos)
+    assert [(r.prompt_id, r.completion_idx, r.token_pos) for r in rows] == [(9, 1, 0), (9, 1, 1)]
+    assert [list(r.vec) for r in rows] == [[0.0, 1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0]]
+    empty = os.path.join(tmpdir_fresh, "empty")
+    os.makedirs(empty)
+    with pytest.raises(GuardError):
+        read_manifest(spark, empty).collect()
