@@ -79,17 +79,20 @@ _LEG_ROWS = " UNION ALL ".join(
     f"""SELECT shard, layer, prompt_id, completion_idx, token_pos, round({Sq.norm('q')}, 6) AS norm,
           round({Sq.vsum('q')}, 6) AS vsum FROM ({_LEG_ROWS}) t""", "vectors"))
 def q_legacy_roundtrip(spark, d):
+    """Two runs stored as legacy shards (bf16 and int8 with scale sidecar),
+    exported with K9 and imported back with S6."""
     v = fx.vectors(spark, d)
-    acts = idx = man = None
+    acts = None
     for run, (shard, dt) in LEGACY_SHARDS.items():
         part = encode_activations(v.where(F.col("run_id") == run).drop("run_id")
                                   .withColumn("shard", F.lit(shard)), dt)
-        seqs = (L.sequence_lengths(part, ("shard", "layer", "prompt_id", "completion_idx"))
-                .withColumn("append_ord", F.col("prompt_id") * 1000 + F.col("completion_idx")))
-        ix = L.index_offsets(seqs, "append_ord", partition=("shard", "layer"))
-        mf = L.manifest(ix, "stand-in", 64, dt)
         acts = part if acts is None else acts.unionByName(part)
-        idx = ix if idx is None else idx.unionByName(ix)
+    seqs = (L.sequence_lengths(acts, ("shard", "layer", "prompt_id", "completion_idx"))
+            .withColumn("append_ord", F.col("prompt_id") * 1000 + F.col("completion_idx")))
+    idx = L.index_offsets(seqs, "append_ord", partition=("shard", "layer"))
+    man = None
+    for shard, dt in LEGACY_SHARDS.values():
+        mf = L.manifest(idx.where(F.col("shard") == shard), "stand-in", 64, dt)
         man = mf if man is None else man.unionByName(mf)
     root = scratch_path(spark, "legacy")
     export_legacy(acts, idx, man, root)
