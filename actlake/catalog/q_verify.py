@@ -135,7 +135,7 @@ _MANIFEST_VALUES = ", ".join(f"('{r}', {l})" for r, l in MANIFEST_LAYERS)
     "vectors", "token_base", extra=[("claimed", _CLAIMED)]))
 def q_verify_reconcile(spark, d):
     man = spark.createDataFrame(MANIFEST_LAYERS, "run_id string, layer int")
-    return VF.reconcile(_claimed_index(spark, d), _stored(spark, d), 64, manifest_layers=man)
+    return VF.reconcile(_claimed_index(spark, d), _stored(spark, d), 64, manifest_layers=man, check_bytes=True)
 
 
 def _bf16_norm_sql(v):
