@@ -5,7 +5,9 @@ prompts + completions -> merge (A1) -> last rollout (A2, P10) -> join (J1)
 -> rid (P1) -> plan rows (V24, K2), plus the run summary (A9), progress
 (W7), storage sizing (A10) and the minimum-length rule (P9).
 
-One lazy plan; it shuffles only at the prompt-id aggregates and the join.
+The plan itself is lazy and shuffles only at the prompt-id aggregates and the
+join; the guards (prompt conflicts, empty plan) run as their own small actions,
+and the progress report samples its order-key bounds once.
 """
 
 from __future__ import annotations
