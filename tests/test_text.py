@@ -27,3 +27,12 @@ def test_render_chat(spark):
 def test_layer_from_key(spark):
     df = spark.createDataFrame([("layer_16",), ("layer_x",), ("other",), ("layer_007",), ("layer_",)], "k string")
     assert [r.l for r in df.select(layer_from_key("k").alias("l")).collect()] == [16, None, None, 7, None]
+
+
+@pytest.mark.parametrize("n,expect", [
+    (1, [0]), (4, [0, 1, 2, 3]), (5, [0, 1, 2, 3, 4]), (6, [0, 1, 5, 3, 4]), (100, [0, 1, 5, 25, 50, 75, 95, 99]),
+])
+def test_sample_positions_clamped_and_distinct(spark, n, expect):
+    from actlake.operators.compare import sample_positions
+    got = spark.createDataFrame([(n,)], "n long").select(sample_positions("n").alias("p")).first().p
+    assert got == expect
