@@ -70,11 +70,15 @@ def int8_scale(v) -> Column:
 
 
 def int8_codes(v, scale) -> Column:
-    """V6: clamp(rint(x / scale), -128, 127) as ARRAY<TINYINT>."""
+    """V6: clamp(rint(x / scale), -128, 127) as ARRAY<TINYINT>; a NaN quotient
+    (NaN element or NaN scale) gives code 0, as in the byte form."""
     s = _c(scale).cast("double")
-    return F.transform(_c(v), lambda x: F.least(F.greatest(
-        F.rint((x.cast("double") / s).cast("float").cast("double")),
-        F.lit(float(INT8_MIN))), F.lit(float(INT8_MAX))).cast("tinyint"))
+
+    def code(x):
+        q = F.rint((x.cast("double") / s).cast("float").cast("double"))
+        return F.when(F.isnan(q), F.lit(0)).otherwise(
+            F.least(F.greatest(q, F.lit(float(INT8_MIN))), F.lit(float(INT8_MAX)))).cast("tinyint")
+    return F.transform(_c(v), code)
 
 
 def int8_dequant(q, scale) -> Column:

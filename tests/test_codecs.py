@@ -137,3 +137,13 @@ def test_decode_mixed_interleaved_dtypes(spark):
         for r in decode_activations(p).collect():
             a, b = np.array(got[r.id], dtype=np.float32), np.array(r.vec, dtype=np.float32)
             assert np.array_equal(np.isnan(a), np.isnan(b)) and np.array_equal(a[~np.isnan(a)], b[~np.isnan(b)])
+
+
+def test_int8_nan_element_same_codes_in_both_forms(spark):
+    from actlake.functions.quant import int8_codes, int8_scale, int8_value
+    v = [1.0, float("nan"), -2.0]
+    q, s = C.int8_encode_np(np.array(v, dtype=np.float32), np.array([3]))
+    assert list(q) == [0, 0, 0] and np.isnan(s[0])
+    df = spark.createDataFrame([(v,)], "v array<float>")
+    r = df.select(int8_codes("v", int8_scale("v")).alias("c"), int8_value("v").alias("x")).first()
+    assert list(r.c) == [0, 0, 0] and all(np.isnan(r.x))
