@@ -265,6 +265,24 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LegacyShards)
 
 
+def layer_file_report(spark: SparkSession, root: str) -> DataFrame:
+    """A4 / D19 on legacy files: bytes, whole token rows and torn tail bytes
+    (``bytes mod (d x bytes per element)``) per (shard, layer) file, from the
+    file listing and ``meta.json`` only (no payload is read)."""
+    parts = _Reader({"path": root}).partitions()
+    fs, _ = _fs(root)
+    seen = {}
+    for p in parts:
+        seen.setdefault((p.shard, p.layer), p)
+    rows = []
+    for (shard, layer), p in sorted(seen.items()):
+        size = fs.get_file_info(p.path).size
+        row_bytes = p.d_model * p.bpe
+        rows.append((shard, layer, p.dtype, int(size), int(size // row_bytes), int(size % row_bytes)))
+    return spark.createDataFrame(rows, "shard string, layer int, dtype string, file_bytes long, "
+                                       "tokens_in_file long, torn_bytes long")
+
+
 def export_legacy(acts: DataFrame, index: DataFrame, manifest: DataFrame, root: str) -> None:
     """K9: write activations, index and manifest in the legacy layout.
 

@@ -104,3 +104,18 @@ def test_shard_discovery_fallback_and_error(spark, tmpdir_fresh):
     os.makedirs(empty)
     with pytest.raises(GuardError):
         read_manifest(spark, empty).collect()
+
+
+def test_torn_tail_is_reported(spark, tmpdir_fresh):
+    from actlake.sources.legacy import layer_file_report
+    root = os.path.join(tmpdir_fresh, "torn")
+    sd = os.path.join(root, "shard_0000")
+    os.makedirs(sd)
+    with open(os.path.join(sd, "acts_layer_003.bin"), "wb") as f:
+        f.write(C.bf16_encode_np(np.arange(8, dtype=np.float32)).astype("<u2").tobytes() + b"\x01\x02\x03")
+    with open(os.path.join(sd, "index.jsonl"), "w") as f:
+        f.write(json.dumps({"prompt_id": 1, "completion_idx": 0, "layer": 3, "start": 0, "n_tokens": 2}) + "\n")
+    with open(os.path.join(sd, "meta.json"), "w") as f:
+        json.dump({"model": "m", "layers": [3], "d_model": 4}, f)
+    r = layer_file_report(spark, root).first()
+    assert (r.file_bytes, r.tokens_in_file, r.torn_bytes) == (19, 2, 3)
