@@ -49,6 +49,7 @@ _CMP_EXTRA = [("shapes", _SHAPES), ("pairs", _PAIRS)]
     f"""SELECT layer, prompt_id, completion_idx FROM {_A} a INTERSECT
         SELECT layer, prompt_id, completion_idx FROM {_B} b""", "vectors"))
 def q_run_keys_common(spark, d):
+    """Sequence keys present in both runs."""
     a, b = _runs(spark, d)
     return C.common_keys(a, b)
 
@@ -56,6 +57,7 @@ def q_run_keys_common(spark, d):
 @query("compare_shapes", "A7 P16", with_views(
     "SELECT * FROM shapes", "vectors", extra=[("shapes", _SHAPES)]))
 def q_compare_shapes(spark, d):
+    """Token count and vector dimension of each common sequence in both runs, with a match flag."""
     a, b = _runs(spark, d)
     return C.shapes(a, b)
 
@@ -83,6 +85,7 @@ _ABS = Sq.zipmap("a", "b", lambda x, y: f"abs(CAST({x} AS DOUBLE) - CAST({y} AS
           ON t.layer = m.layer AND t.prompt_id = m.prompt_id AND t.completion_idx = m.completion_idx""",
     "vectors", extra=_CMP_EXTRA))
 def q_compare_metrics(spark, d):
+    """Per-sequence cosine, absolute / relative error and norm metrics of shape-matched pairs, exact lower medians."""
     a, b = _runs(spark, d)
     m = C.pair_metrics(C.token_pairs(a, b))
     cols = ["cos_mean", "cos_min", "cos_median", "abs_mean", "abs_max", "rel_mean", "rel_median",
@@ -100,6 +103,7 @@ def q_compare_metrics(spark, d):
          AND p.token_pos = s.pos
         WHERE s.pos >= 0 AND s.pos < s.n""", "vectors", extra=_CMP_EXTRA))
 def q_compare_positions(spark, d):
+    """Cosine and norms at the sampled token positions of each shape-matched sequence."""
     a, b = _runs(spark, d)
     t = C.position_samples(C.token_pairs(a, b))
     return t.select("layer", "prompt_id", "completion_idx", "token_pos", r6(F.col("cos")).alias("cos"),
@@ -113,6 +117,7 @@ def q_compare_positions(spark, d):
         JOIN shapes s ON s.layer = a.layer AND s.prompt_id = a.prompt_id AND s.completion_idx = a.completion_idx
         WHERE s.shape_match AND s.n_a > 1 GROUP BY ALL""", "vectors", extra=[("shapes", _SHAPES)]))
 def q_compare_shift(spark, d):
+    """Mean cosine of a[t] with b[t+1] per shape-matched sequence of more than one token."""
     a, b = _runs(spark, d)
     x = C.shift_check(a, b)
     return x.select("layer", "prompt_id", "completion_idx", r6(F.col("cos_shift")).alias("cos_shift"))
@@ -123,6 +128,7 @@ def q_compare_shift(spark, d):
           count(*) AS n_tokens, round(avg(cos), 6) AS cos_mean, round(min(cos), 6) AS cos_min
         FROM (SELECT *, {_COS} AS cos FROM pairs) q GROUP BY ALL""", "vectors", extra=_CMP_EXTRA))
 def q_drift_by_position(spark, d):
+    """Cosine by token-position bucket over all shape-matched pairs."""
     a, b = _runs(spark, d)
     x = C.drift_by_position(C.token_pairs(a, b), DRIFT_BUCKET)
     return x.select("layer", "pos_bucket", "n_tokens", r6(F.col("cos_mean")).alias("cos_mean"),
@@ -137,6 +143,7 @@ def q_drift_by_position(spark, d):
               FROM vectors WHERE {Sq.norm('vec')} = 0) z
         GROUP BY run_id, layer, prompt_id, completion_idx, island""", "vectors"))
 def q_zero_ranges(spark, d):
+    """Contiguous all-zero token ranges per stored sequence."""
     return C.zero_ranges(fx.vectors(spark, d))
 
 
@@ -146,6 +153,7 @@ def q_zero_ranges(spark, d):
           round({Sq.vsum(Sq.zipmap('b', 'a', lambda y, x: f'({y} - {x})'))}, 6) AS delta_sum
         FROM pairs""", "vectors", extra=_CMP_EXTRA))
 def q_run_diff(spark, d):
+    """Per-token difference variant - base for shape-matched sequences, as norm and sum."""
     a, b = _runs(spark, d)
     x = C.run_diff(a, b)
     return x.select("layer", "prompt_id", "completion_idx", "token_pos", r6(V.l2_norm("delta")).alias("delta_norm"),
@@ -156,6 +164,7 @@ def q_run_diff(spark, d):
     """SELECT prompt_id, layer, count(DISTINCT dp_rank) AS n_replicas, list_sort(list(DISTINCT dp_rank)) AS replicas
        FROM replica_rows GROUP BY prompt_id, layer HAVING count(DISTINCT dp_rank) > 1""", "replica_rows"))
 def q_replica_duplicates(spark, d):
+    """Sequences captured by more than one data-parallel replica."""
     return replica_duplicates(fx.replica_rows(spark, d), ("prompt_id", "layer"))
 
 
@@ -163,5 +172,6 @@ def q_replica_duplicates(spark, d):
     f"""SELECT layer, prompt_id, token_pos, min(dp_rank) AS dp_rank, round(min({Sq.norm('vec')}), 6) AS norm
         FROM replica_rows GROUP BY layer, prompt_id, token_pos""", "replica_rows"))
 def q_replica_dedup(spark, d):
+    """One copy per token key across replicas, the lowest replica rank."""
     x = dedup_replicas(fx.replica_rows(spark, d), ("layer", "prompt_id", "token_pos"))
     return x.select("layer", "prompt_id", "token_pos", "dp_rank", r6(V.l2_norm("vec")).alias("norm"))

@@ -55,6 +55,7 @@ _BQ = Sq.vmap("t.vec", Sq.bf16)
         JOIN capture_tokens t ON t.batch_id = s.batch_id AND t.flat_pos = s.start + s.i""",
     "capture_seqs", "capture_tokens", extra=[("batches", _BATCHES), ("slices", _SLICES)]))
 def q_stream_ingest(spark, d):
+    """Captured token rows written as files, ingested by the streaming job (one file per trigger, available-now), read back and decoded."""
     src, out, ck = (scratch_path(spark, n) for n in ("capture-src", "stream-out", "stream-ckpt"))
     capture_rows(spark, d).repartition(STREAM_FILES).write.parquet(src)
     q = start_ingest(capture_stream(spark, src, max_files_per_trigger=1), STREAM_CFG, out, ck)

@@ -39,6 +39,7 @@ def r9(c):
     f"""SELECT run_id, layer, prompt_id, completion_idx, token_pos, round({Sq.norm('vec')}, 6) AS norm
         FROM vectors WHERE layer IN ({", ".join(map(str, LAYERS_KEPT))})""", "vectors"))
 def q_layer_filter(spark, d):
+    """Stored vectors of layer 16 only, with their norms."""
     v = fx.vectors(spark, d).where(F.col("layer").isin(list(LAYERS_KEPT)))
     return v.select("run_id", "layer", "prompt_id", "completion_idx", "token_pos", r6(V.l2_norm("vec")).alias("norm"))
 
@@ -52,6 +53,7 @@ _BATCHES = """
     f"""SELECT batch_id, gpu_id, CAST(floor(coalesce(gpu_id, 0) / {ROUTING_TP}) AS INT) AS dp_rank
         FROM batches WHERE global_rank % {ROUTING_TP} = 0""", "capture_seqs", extra=[("batches", _BATCHES)]))
 def q_replica_filter(spark, d):
+    """Capture batches of the capturing tensor-parallel rank and their data-parallel replica, tp = 4."""
     m = fx.capture_batches(spark, d)
     return (m.where(D.capturing_replica(F.col("global_rank"), ROUTING_TP))
             .select("batch_id", "gpu_id", D.dp_rank(F.col("gpu_id"), ROUTING_TP).alias("dp_rank")))
@@ -62,6 +64,7 @@ def q_replica_filter(spark, d):
        JOIN batches b ON s.batch_id = b.batch_id WHERE NOT b.any_null AND s.seq_len > 0""",
     "capture_seqs", extra=[("batches", _BATCHES)]))
 def q_prefill_filter(spark, d):
+    """Sequences of prefill batches with a non-zero length."""
     s = D.sequence_slices(fx.capture_batches(spark, d), tp_size=1)
     return s.select("batch_id", "seq_ord", "rid", "seq_len")
 
@@ -73,6 +76,7 @@ _PID, _CIDX = Sq.rid_parts("rid", "prefix_len")
     f"SELECT batch_id, seq_ord, rid, {_PID} AS prompt_id, {_CIDX} AS completion_idx FROM capture_seqs",
     "capture_seqs"))
 def q_rid_parse(spark, d):
+    """Request ids parsed to (prompt_id, completion_idx) with the fallback rule."""
     s = fx.capture_seqs(spark, d)
     pid, cidx = parse_rid(F.col("rid"), F.col("prefix_len"))
     return s.select("batch_id", "seq_ord", "rid", pid.alias("prompt_id"), cidx.alias("completion_idx"))
@@ -90,6 +94,7 @@ _SLICES = f"""
     """SELECT batch_id, dp_rank, seq_ord, rid, prompt_id, completion_idx, start, seq_len
        FROM slices WHERE seq_len > 0""", "capture_seqs", extra=[("batches", _BATCHES), ("slices", _SLICES)]))
 def q_demux_offsets(spark, d):
+    """Start offset and length of every captured sequence inside its batch."""
     s = D.sequence_slices(fx.capture_batches(spark, d), tp_size=1)
     return s.select("batch_id", "dp_rank", "seq_ord", "rid", "prompt_id", "completion_idx", "start", "seq_len")
 
@@ -101,6 +106,7 @@ def q_demux_offsets(spark, d):
         JOIN capture_tokens t ON t.batch_id = s.batch_id AND t.flat_pos = s.start + s.i""",
     "capture_seqs", "capture_tokens", extra=[("batches", _BATCHES), ("slices", _SLICES)]))
 def q_demux_vectors(spark, d):
+    """Captured flat tokens assigned to their sequence and position, as norm and sum."""
     x = D.demux(fx.capture_tokens(spark, d), fx.capture_batches(spark, d), tp_size=1)
     return x.select("batch_id", "prompt_id", "completion_idx", "token_pos",
                     r6(V.l2_norm("vec")).alias("norm"), r6(V.array_sum("vec")).alias("vsum"))
@@ -122,6 +128,7 @@ _RESID = f"CASE p.pattern WHEN 'single' THEN s.h ELSE {_tuple_sum('s.h', 's.r')}
               ON s.layer_class = p.layer_class) s JOIN arch_patterns p ON s.layer_class = p.layer_class""",
     "arch_states", "arch_patterns"))
 def q_arch_residual(spark, d):
+    """The residual stream of each registered layer class's output, single or tuple sum."""
     x = A.attach_pattern(fx.arch_states(spark, d)).where(F.col("pattern").isNotNull())
     res = A.residual("h", "r", "pattern")
     return x.select("vec_id", "layer_class", "pattern", r6(V.l2_norm(res)).alias("res_norm"),
@@ -133,6 +140,7 @@ def q_arch_residual(spark, d):
        WHERE layer_class NOT IN (SELECT layer_class FROM arch_patterns) GROUP BY layer_class""",
     "arch_states", "arch_patterns"))
 def q_arch_unregistered(spark, d):
+    """Layer classes without a registered pattern and their row counts."""
     return A.unregistered(fx.arch_states(spark, d)).groupBy("layer_class").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -160,6 +168,7 @@ _STEERED = (f"CASE WHEN delta IS NULL THEN {_CAPT} WHEN pattern = 'single' THEN
     "arch_states", "arch_patterns", "directions_raw",
     extra=[("dirs", _DIRS), ("deltas", _DELTAS), ("steer_in", _STEER)]))
 def q_steer_apply(spark, d):
+    """Captured and steered residual norms at layers 16 and 32, directions scaled by 1.5 in bf16."""
     st = A.attach_pattern(fx.arch_states(spark, d)).where(F.col("pattern").isNotNull())
     st = st.select("vec_id", "pattern", "h", "r", F.explode(F.array(*[F.lit(x) for x in STEER_LAYERS])).alias("layer"))
     deltas = S.scaled_directions(S.parse_directions(fx.directions_raw(spark, d)), STEER_ALPHA)
@@ -172,6 +181,7 @@ def q_steer_apply(spark, d):
     f"SELECT layer, round({Sq.norm('vec')}, 6) AS dir_norm, CAST(len(vec) AS INT) AS dim FROM dirs",
     "directions_raw", extra=[("dirs", _DIRS)]))
 def q_directions_parse(spark, d):
+    """Steering directions keyed layer_<n>, one per layer, with norm and dimension."""
     x = S.parse_directions(fx.directions_raw(spark, d))
     return x.select("layer", r6(V.l2_norm("vec")).alias("dir_norm"), F.size("vec").alias("dim"))
 
@@ -195,11 +205,13 @@ def _quant_spark(spark, d, qcol, extra=()):
 
 @query("quant_bf16", "V1", with_views(_quant_sql(Sq.vmap("embedding", Sq.bf16))))
 def q_quant_bf16(spark, d):
+    """bf16 value form of every embedding: norm, sum and number of changed elements (V1)."""
     return _quant_spark(spark, d, Q.bf16_vec("embedding"))
 
 
 @query("quant_fp8", "V3", with_views(_quant_sql(Sq.vmap("embedding", Sq.fp8))))
 def q_quant_fp8(spark, d):
+    """float8 e4m3fn value form of every embedding: norm, sum and number of changed elements (V3)."""
     return _quant_spark(spark, d, Q.fp8_vec("embedding"))
 
 
@@ -212,6 +224,7 @@ _I8_SCALE = Sq.int8_scale("embedding")
         FROM (SELECT vec_id, embedding, scale, {Sq.int8_value('embedding', 'scale')} AS q
               FROM (SELECT vec_id, embedding, {_I8_SCALE} AS scale FROM embeddings) s) t"""))
 def q_quant_int8(spark, d):
+    """int8 round trip of every embedding with its per-token scale (V5-V7)."""
     return _quant_spark(spark, d, Q.int8_value("embedding"),
                         extra=(r9(Q.int8_scale("embedding").cast("double")).alias("scale"),))
 
@@ -232,6 +245,7 @@ def _err_rows(dtype: str, qsql: str) -> str:
           UNION ALL {_err_rows('int8', Sq.int8_value('embedding', _I8_SCALE))}) t
         GROUP BY dtype"""))
 def q_quant_error_by_dtype(spark, d):
+    """Mean and max absolute quantisation error per storage dtype over all embeddings (V1, V3, V6)."""
     e = fx.table(spark, d, "embeddings").select("embedding")
     forms = F.array(*[F.struct(F.lit(dt).alias("dtype"), Q.value_form("embedding", dt).alias("q"))
                       for dt in DTYPE_BYTES])
@@ -253,6 +267,7 @@ def _value_rows(dtype: str, qsql: str) -> str:
               UNION ALL {_value_rows('float8_e4m3', Sq.vmap('embedding', Sq.fp8))}
               UNION ALL {_value_rows('int8', Sq.int8_value('embedding', _I8_SCALE))}) t"""))
 def q_codec_roundtrip(spark, d):
+    """Every embedding encoded to bytes and decoded in each dtype (V2, V4, V8, V9)."""
     e = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     enc = None
     for dt in DTYPE_BYTES:
@@ -270,6 +285,7 @@ def q_codec_roundtrip(spark, d):
         FROM vectors CROSS JOIN (VALUES ('bfloat16', 2), ('float8_e4m3', 1), ('int8', 1)) d(dtype, bpe)
         GROUP BY run_id, dtype""", "vectors"))
 def q_payload_audit(spark, d):
+    """Payload length, scale and dtype checks of both runs encoded in each dtype."""
     v = fx.vectors(spark, d)
     enc = None
     for dt in DTYPE_BYTES:

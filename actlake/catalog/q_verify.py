@@ -43,6 +43,7 @@ def _offsets(spark, d):
     f"SELECT prompt_id, layer, append_ord, n_tokens, start, {_JSON} AS line_md5 FROM offs",
     "doc_index", extra=[("offs", _OFFSETS)]))
 def q_index_offsets(spark, d):
+    """Index start offsets per layer in append order over the document index, with the JSON line's md5."""
     x = _offsets(spark, d)
     line = json_row("prompt_id", "completion_idx", "layer", "start", "n_tokens")
     return x.select("prompt_id", "layer", "append_ord", "n_tokens", "start", F.md5(line).alias("line_md5"))
@@ -101,6 +102,7 @@ def q_shard_assignment_floor(spark, d):
        FROM doc_index i JOIN greedy s ON i.append_ord = s.append_ord
        GROUP BY s.shard, i.layer""", "doc_index", extra=_GREEDY, recursive=True))
 def q_shard_manifest(spark, d):
+    """Tokens, index rows and sequences per (shard, layer) with single-writer shards of 1 GiB."""
     idx = fx.doc_index(spark, d).join(_shards(spark, d).select("append_ord", "shard"), "append_ord")
     return L.manifest_rows(idx, ("shard",))
 
@@ -134,6 +136,7 @@ _MANIFEST_VALUES = ", ".join(f"('{r}', {l})" for r, l in MANIFEST_LAYERS)
         LEFT JOIN (VALUES {_MANIFEST_VALUES}) m(run_id, layer) ON m.run_id = i.run_id AND m.layer = i.layer""",
     "vectors", "token_base", extra=[("claimed", _CLAIMED)]))
 def q_verify_reconcile(spark, d):
+    """Claimed index tokens vs stored payload bytes per (run, layer), with layers missing from the manifest."""
     man = spark.createDataFrame(MANIFEST_LAYERS, "run_id string, layer int")
     return VF.reconcile(_claimed_index(spark, d), _stored(spark, d), 64, manifest_layers=man, check_bytes=True)
 
@@ -150,6 +153,7 @@ def _bf16_norm_sql(v):
                 list_bool_or(list_transform(vec, lambda x: isnan(x))) AS has_nan FROM vectors) t
         GROUP BY run_id, layer, prompt_id, completion_idx""", "vectors"))
 def q_verify_norms(spark, d):
+    """Norm and NaN health of every stored sequence read back from bf16 payloads."""
     back = decode_activations(_stored(spark, d))
     h = VF.norm_health(back)
     return h.select("run_id", "layer", "prompt_id", "completion_idx", "n_tokens", r6(F.col("norm_mean")).alias("norm_mean"),
@@ -162,6 +166,7 @@ def q_verify_norms(spark, d):
                  row_number() OVER (PARTITION BY run_id, layer ORDER BY prompt_id) AS rn
           FROM vectors GROUP BY run_id, layer, prompt_id) t WHERE rn <= 3""", "vectors"))
 def q_verify_sample3(spark, d):
+    """Norm health of the first three sequences per (run, layer) in index order."""
     stored = _stored(spark, d)
     idx = L.sequence_lengths(stored).withColumn("append_ord", F.col("prompt_id"))
     first = VF.first_k_sequences(idx, 3, ("run_id", "layer"), "append_ord")
@@ -178,6 +183,7 @@ def q_verify_sample3(spark, d):
        FROM offs GROUP BY prompt_id, completion_idx, layer HAVING count(*) > 1""",
     "doc_index", extra=[("offs", _OFFSETS)]))
 def q_duplicate_keys(spark, d):
+    """Index keys appended more than once, with the first and last start."""
     return VF.duplicate_keys(_offsets(spark, d))
 
 
@@ -197,6 +203,7 @@ _PID, _CIDX = Sq.rid_parts("rid", "prefix_len")
           GROUP BY pid, cidx) i
         ON p.prompt_id = i.prompt_id AND p.completion_idx = i.completion_idx""", "token_base", "capture_seqs"))
 def q_plan_vs_index(spark, d):
+    """Plan vs captured index per sequence: ok, missing, unplanned or length mismatch."""
     plan = fx.token_base(spark, d).groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_tokens")) \
         .withColumn("completion_idx", F.lit(0))
     idx = sequence_slices(fx.capture_batches(spark, d), tp_size=1).withColumnRenamed("seq_len", "n_tokens")
@@ -208,5 +215,6 @@ def q_plan_vs_index(spark, d):
         FROM vectors WHERE run_id = '{LOOKUP['run_id']}' AND layer = {LOOKUP['layer']}
           AND prompt_id = {LOOKUP['prompt_id']} AND completion_idx = {LOOKUP['completion_idx']}""", "vectors"))
 def q_read_sequence(spark, d):
+    """Point lookup of one stored sequence at one layer, in token order."""
     x = read_sequence(_stored(spark, d), strict=False, **LOOKUP)
     return x.select("token_pos", r6(V.l2_norm("vec")).alias("norm"), r6(V.array_sum("vec")).alias("vsum"))
