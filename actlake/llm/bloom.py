@@ -53,7 +53,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1))).astype(np.uint32)
 
 
-def _mark(n_bits: int, k: int):
+def _mark(n_bits: int, k: int, min_count: int):
     def run(batches):
         got = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches if b.num_rows]
         if not got:
@@ -63,7 +63,7 @@ def _mark(n_bits: int, k: int):
         ends = np.searchsorted(cell, np.arange(0, n_bits + 1, SLICE_BITS, dtype=np.uint64))
         for s in np.flatnonzero(np.diff(ends)):
             at = cell[ends[s]:ends[s + 1]] - np.uint64(s * SLICE_BITS)
-            t = times[ends[s]:ends[s + 1]] > 1
+            t = times[ends[s]:ends[s + 1]] >= min_count
             yield pa.RecordBatch.from_pydict({
                 "slice": pa.array([s], pa.int32()), "part": pa.array([part], pa.int64()),
                 "once": pa.array([_pack(at[~t])], pa.binary()), "twice": pa.array([_pack(at[t])], pa.binary())})
@@ -102,15 +102,15 @@ class RepeatFilter:
 
 
 def repeat_filter(hashes: DataFrame, n_items: int, bits_per_item: int = 16, max_bits: int = 1 << 28,
-                  k: int = 3) -> RepeatFilter:
+                  k: int = 3, min_count: int = 2) -> RepeatFilter:
     """Build the filter over a frame with one non-null long column.
 
     ``max_bits`` bounds the broadcast (2**28 cells: 32 MB) and the driver's copy.
     With more items than it was sized for the filter lets more single hashes
-    through; no repeated hash is ever missed.
+    through; no repeated hash is ever missed. With ``min_count`` 1 it holds every hash: a plain Bloom filter.
     """
     n_bits = filter_bits(n_items, bits_per_item, max_bits)
-    parts = written(hashes.mapInArrow(_mark(n_bits, k), PARTS_SCHEMA), "filter")
+    parts = written(hashes.mapInArrow(_mark(n_bits, k, min_count), PARTS_SCHEMA), "filter")
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while n > FAN_IN:
         parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(_regroup, PARTS_SCHEMA)

@@ -57,13 +57,14 @@ def batch_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def hash_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, words of each text). A word never crosses texts."""
+def hash_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True,
+               space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, words of each text). A word is a run of bytes that ``space`` does not mark, within one text."""
     n_docs = len(offsets) - 1
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
     b = LOWER[raw] if lower else raw
-    inside = ~IS_SPACE[b]
+    inside = ~space[b]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     firsts = offsets[:-1][offsets[:-1] < len(raw)]
@@ -99,23 +100,3 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     for j in range(k):
         h += np.where(j < left, padded[idx + j] * p[j], np.uint64(0))
     return mix(h + left.astype(np.uint64)), n
-
-
-def distinct_by_doc(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values of each text in ascending order, how many of each text)."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((values, doc))
-    v, d = values[order], doc[order]
-    keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    return v[keep], np.bincount(d[keep], minlength=len(counts))
-
-
-def kgram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k-byte substring of ``raw`` (length len(raw) - k + 1)."""
-    n = len(raw)
-    if n < k:
-        return np.zeros(0, np.uint64)
-    pre = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[raw] * powers(BASE, n), out=pre[1:])
-    return mix((pre[k:] - pre[:-k]) * powers(BASE_INV, n - k + 1))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup as ED, mixing as MX, sharding as SH
+from . import decontaminate as DC, exact_dedup as ED, lang_id as LI, line_dedup as LD, mixing as MX, ngram_join as NJ, \
+    pii_feistel as PF, sharding as SH, suffix_dedup as SD, warc_revisit as WR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,102 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 F
 def op10_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document stays of every group of texts that are equal without blanks."""
     return ED.exact_dedup(documents(spark, sf_dir))
+
+
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, url, '"' || md5(html) || '"' AS tag, sha1(html) AS digest,
+  to_timestamp(1700000000 + page_id * 60)::TIMESTAMP AS t0 FROM pages),
+r AS (
+  SELECT page_id * 4 AS record_id, url, t0 AS ts, true AS is_full, tag AS etag, strftime(t0, '%Y-%m-%d %H:%M:%S') AS lm,
+    strftime(t0, '%Y-%m-%d %H:%M:%S') AS dt, 'max-age=60' AS cc, digest FROM p
+  UNION ALL SELECT page_id * 4 + 1, url || '#again', t0 + INTERVAL 1 HOUR, false, 'W/' || tag, NULL,
+    strftime(t0 + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S'), 'max-age=120', NULL FROM p
+  UNION ALL SELECT page_id * 4 + 2, 'HTTPS://WWW.' || regexp_replace(url, '^[a-z]+://(www\.)?', ''), t0 + INTERVAL 30 HOUR, false, NULL,
+    strftime(t0, '%Y-%m-%d %H:%M:%S'), strftime(t0 + INTERVAL 30 HOUR, '%Y-%m-%d %H:%M:%S'), NULL, NULL FROM p
+  UNION ALL SELECT page_id * 4 + 3, url, t0 - INTERVAL 1 HOUR, false, NULL, NULL,
+    strftime(t0 - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S'), NULL, NULL FROM p),
+b AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM r),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''),
+    '^www[0-9]*\.', '') AS host, regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT
+    regexp_matches(lower(q), '^(utm_[a-z]*|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=.*)?$'))), '&') AS query FROM b),
+d AS (SELECT *, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS u FROM c),
+e AS (SELECT *, last_value(CASE WHEN is_full THEN {'id': record_id, 'etag': etag, 'lm': lm, 'digest': digest} END IGNORE NULLS) OVER
+  (PARTITION BY u ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM d),
+f AS (SELECT *, CASE WHEN o IS NULL THEN 'no-response'
+  WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = o.etag THEN 'resolved' ELSE 'mismatch' END
+  WHEN lm IS NOT NULL THEN CASE WHEN lm = o.lm THEN 'resolved' ELSE 'mismatch' END ELSE 'no-validator' END AS verdict FROM e WHERE NOT is_full)
+SELECT record_id, u AS canonical_url, o.id AS response_id, verdict, CASE WHEN verdict = 'resolved' THEN
+  'cache-control: ' || coalesce(cc, 'max-age=60') || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || dt || chr(10) ||
+  'etag: ' || coalesce(etag, o.etag) || chr(10) || 'last-modified: ' || coalesce(lm, o.lm) || chr(10) || 'server: origin' END AS headers,
+  CASE WHEN verdict = 'resolved' THEN o.digest END AS payload_digest FROM f
+"""
+
+
+@query("op1_warc_revisit", OP1_SQL)
+def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-modified revisits of all pages resolved to their latest earlier response."""
+    out = WR.resolve_revisits(WR.captures_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return out.withColumn("headers", F.array_join(lines, "\n"))
+
+
+@query("op2_zstd_lang")
+def op2_zstd_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by zstandard dictionaries fitted on the labelled documents that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = LI.fit_dictionaries(docs.filter(rest != 2).select("text", "lang"))
+    return LI.predict(docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
+@query("op3_line_runs")
+def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least three lines that also start earlier, deleted from every document."""
+    return LD.remove_repeated_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_removed", F.size("runs").cast("long").alias("n_runs"), "text")
+
+
+#: A stand-in: a real run takes its secret from the caller.
+PII_KEY = "documents-1"
+
+
+@query("op4_feistel_pii")
+def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with validated numbers, dates and mailbox names replaced by format-preserving pseudonyms."""
+    return PF.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents covered by a 100-byte string that also starts earlier, removed."""
+    out = SD.remove_repeats(documents(spark, sf_dir), 100)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_bm25_leaks")
+def op7_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that a passage of a document holds."""
+    items = DC.question_and_answer(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return DC.find_leaks(documents(spark, sf_dir), items)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) c ON c.x = d.doc_id
+"""
+
+
+@query("op9_grouped_prefix_join", OP9_SQL)
+def op9_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: Jaccard of three-word shingles of at least 0.9."""
+    return NJ.jaccard_join(documents(spark, sf_dir), 3, (90, 100)).select("doc_id", "n_shingles", "component_id")
