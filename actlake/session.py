@@ -10,6 +10,7 @@ one. A local folder is chosen only when that setting is absent (tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -83,26 +84,31 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    target = f"{base}/actlake-pkg/{app}-{uuid.uuid4().hex[:8]}/actlake.zip"
-    if "://" in target and not target.startswith("file:"):
-        fs, path = pafs.FileSystem.from_uri(target)
-    else:
+    target = qualified(spark, f"{base}/actlake-pkg/{app}-{uuid.uuid4().hex[:8]}/actlake.zip")
+    if target.startswith("file:"):
         fs, path = pafs.LocalFileSystem(), local_path(target)
+    else:
+        fs, path = pafs.FileSystem.from_uri(target)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(path) as out:
         out.write(buf.getvalue())
-    sc.addPyFile(target if "://" in target else path)
+    sc.addPyFile(path if target.startswith("file:") else target)
     _SHIPPED.add(app)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    Reads ``spark.checkpoint.dir``; only when it is unset (a test on one
-    machine) a fresh folder under the system temp dir is set.
+    Reads ``spark.checkpoint.dir``; only when it is unset and the master is
+    ``local[...]`` (one process) a fresh folder under the system temp dir is
+    set. On a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: "
+                               f"a local folder serves only a local master, not {master!r}")
         d = tempfile.mkdtemp(prefix="actlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     for k, v in JOB_CONF.items():
@@ -123,12 +129,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/actlake/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it again.
+
+    The table replaces the lineage (an executor's loss costs no recomputation), what reads it
+    may read it twice, and its columns are pruned and pushed down like those of any table.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and authority, as the session's default file system resolves it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf).makeQualified(p).toString()
+
+
+def child_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Qualified names of the folders directly under ``path``, sorted; hidden ones are left out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(conf).listStatus(p)
+    return sorted(s.getPath().toString() for s in found
+                  if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(conf).exists(p))
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for local file APIs."""
     if p.startswith("file:"):
