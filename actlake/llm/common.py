@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from actlake.session import scratch_path
+from actlake.session import stored
 
 #: At most this many heavy keys are ever broadcast (each holds over 1/HEAVY_KEYS of all rows).
 HEAVY_KEYS = 1000
+#: Rows in a file of a small written table.
+FILE_ROWS = 100_000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` into the shared checkpoint folder and read it again.
 
     The written table replaces the lineage: a lost executor costs no recomputation.
+    With ``rows``, about that many, the files hold FILE_ROWS rows each at least.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df if rows is None else df.coalesce(rows // FILE_ROWS + 1), name)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Keep what is read several times on the executors' disks, computed once.
+
+    The lineage stays: partitions of a lost executor are computed again. Nothing is held in memory.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def row_uid() -> Column:
@@ -49,9 +58,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     folder. Neither edges nor labels reach the driver, which sees two numbers a round.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .filter("u <> v").distinct(), "cc")
+                    .filter("u <> v").distinct(), "cc", links.count())
     mark = None
     for _ in range(max_rounds):
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
+            break
+        mark = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
@@ -60,11 +73,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u")
         edges = written(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                         .unionByName(small.select("u", F.col("m").alias("v")))
-                        .filter("u <> v").distinct(), "cc")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
+                        .filter("u <> v").distinct(), "cc", now[0])
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
