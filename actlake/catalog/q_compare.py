@@ -161,17 +161,17 @@ def q_run_diff(spark, d):
 
 
 @query("replica_duplicates", "A13 R7", with_views(
-    """SELECT prompt_id, layer, count(DISTINCT dp_rank) AS n_replicas, list_sort(list(DISTINCT dp_rank)) AS replicas
-       FROM replica_rows GROUP BY prompt_id, layer HAVING count(DISTINCT dp_rank) > 1""", "replica_rows"))
+    """SELECT run_id, layer, prompt_id, completion_idx, count(DISTINCT dp_rank) AS n_replicas, list_sort(list(DISTINCT dp_rank)) AS replicas
+       FROM replica_rows GROUP BY run_id, layer, prompt_id, completion_idx HAVING count(DISTINCT dp_rank) > 1""", "replica_rows"))
 def q_replica_duplicates(spark, d):
     """Sequences captured by more than one data-parallel replica."""
-    return replica_duplicates(fx.replica_rows(spark, d), ("prompt_id", "layer"))
+    return replica_duplicates(fx.replica_rows(spark, d))
 
 
 @query("replica_dedup", "R7", with_views(
-    f"""SELECT layer, prompt_id, token_pos, min(dp_rank) AS dp_rank, round(min({Sq.norm('vec')}), 6) AS norm
-        FROM replica_rows GROUP BY layer, prompt_id, token_pos""", "replica_rows"))
+    f"""SELECT layer, prompt_id, completion_idx, token_pos, min(dp_rank) AS dp_rank, round(min({Sq.norm('vec')}), 6) AS norm
+        FROM replica_rows GROUP BY layer, prompt_id, completion_idx, token_pos""", "replica_rows"))
 def q_replica_dedup(spark, d):
     """One copy per token key across replicas, the lowest replica rank."""
-    x = dedup_replicas(fx.replica_rows(spark, d), ("layer", "prompt_id", "token_pos"))
-    return x.select("layer", "prompt_id", "token_pos", "dp_rank", r6(V.l2_norm("vec")).alias("norm"))
+    x = dedup_replicas(fx.replica_rows(spark, d))
+    return x.select("layer", "prompt_id", "completion_idx", "token_pos", "dp_rank", r6(V.l2_norm("vec")).alias("norm"))

@@ -21,7 +21,7 @@ _TOK_N = "len(regexp_extract_all(input_text, '\\S+'))"
 
 
 def _pairs(spark, d):
-    return X.pairs(fx.prompts_raw(spark, d), fx.completions_raw(spark, d), PLAN_CFG, on_conflict="drop")
+    return X.pairs(fx.prompts_clean(spark, d), fx.completions_raw(spark, d), PLAN_CFG)
 
 
 def _sequences(spark, d):

@@ -46,7 +46,8 @@ def q_layer_filter(spark, d):
 
 _BATCHES = """
     SELECT batch_id, min(gpu_id) AS gpu_id, min(global_rank) AS global_rank,
-           bool_or(seq_len IS NULL) AS any_null FROM capture_seqs GROUP BY batch_id"""
+           bool_or(seq_len IS NULL) AS no_lens, batch_id % 7 = 5 AS short_rids,
+           bool_or(seq_len IS NULL) OR batch_id % 7 = 5 AS any_null FROM capture_seqs GROUP BY batch_id"""
 
 
 @query("replica_filter", "P4 P5", with_views(
@@ -209,7 +210,7 @@ def q_quant_bf16(spark, d):
     return _quant_spark(spark, d, Q.bf16_vec("embedding"))
 
 
-@query("quant_fp8", "V3", with_views(_quant_sql(Sq.vmap("embedding", Sq.fp8))))
+@query("quant_fp8", "V3", with_views(_quant_sql(Sq.fp8_vec("embedding"))))
 def q_quant_fp8(spark, d):
     """float8 e4m3fn value form of every embedding: norm, sum and number of changed elements (V3)."""
     return _quant_spark(spark, d, Q.fp8_vec("embedding"))
@@ -241,7 +242,7 @@ def _err_rows(dtype: str, qsql: str) -> str:
             AS abs_err_max
         FROM (
           {_err_rows('bfloat16', Sq.vmap('embedding', Sq.bf16))}
-          UNION ALL {_err_rows('float8_e4m3', Sq.vmap('embedding', Sq.fp8))}
+          UNION ALL {_err_rows('float8_e4m3', Sq.fp8_vec('embedding'))}
           UNION ALL {_err_rows('int8', Sq.int8_value('embedding', _I8_SCALE))}) t
         GROUP BY dtype"""))
 def q_quant_error_by_dtype(spark, d):
@@ -264,7 +265,7 @@ def _value_rows(dtype: str, qsql: str) -> str:
     f"""SELECT vec_id, dtype, round({Sq.norm('q')}, 6) AS dec_norm, round({Sq.vsum('q')}, 6) AS dec_sum,
           CAST(len(q) AS INT) AS dim
         FROM ({_value_rows('bfloat16', Sq.vmap('embedding', Sq.bf16))}
-              UNION ALL {_value_rows('float8_e4m3', Sq.vmap('embedding', Sq.fp8))}
+              UNION ALL {_value_rows('float8_e4m3', Sq.fp8_vec('embedding'))}
               UNION ALL {_value_rows('int8', Sq.int8_value('embedding', _I8_SCALE))}) t"""))
 def q_codec_roundtrip(spark, d):
     """Every embedding encoded to bytes and decoded in each dtype (V2, V4, V8, V9)."""
@@ -279,24 +280,35 @@ def q_codec_roundtrip(spark, d):
 
 
 @query("payload_audit", "P13", with_views(
-    f"""SELECT run_id, dtype, count(*) AS n_rows,
-          count(*) FILTER (WHERE len(vec) * bpe <> {D_MODEL} * bpe) AS n_bad_length,
-          CAST(0 AS BIGINT) AS n_bad_scale, CAST(0 AS BIGINT) AS n_bad_dtype
-        FROM vectors CROSS JOIN (VALUES ('bfloat16', 2), ('float8_e4m3', 1), ('int8', 1)) d(dtype, bpe)
-        GROUP BY run_id, dtype""", "vectors"))
+    """SELECT run_id, CASE WHEN wrong = 3 THEN 'float4' ELSE dtype END AS dtype, count(*) AS n_rows,
+          count(*) FILTER (WHERE wrong = 1) AS n_bad_length,
+          count(*) FILTER (WHERE wrong = 2 OR (wrong = 3 AND dtype = 'int8')) AS n_bad_scale,
+          count(*) FILTER (WHERE wrong = 3) AS n_bad_dtype
+        FROM (SELECT run_id, dtype, CASE WHEN token_pos = 0 AND prompt_id % 9 = 4 THEN 1 WHEN token_pos = 0 AND prompt_id % 9 = 5 THEN 2
+                WHEN token_pos = 0 AND prompt_id % 9 = 6 THEN 3 ELSE 0 END AS wrong
+              FROM vectors CROSS JOIN (VALUES ('bfloat16'), ('float8_e4m3'), ('int8')) d(dtype)) q
+        GROUP BY ALL""", "vectors"))
 def q_payload_audit(spark, d):
-    """Payload length, scale and dtype checks of both runs encoded in each dtype."""
+    """Payload length, scale and dtype checks of both runs encoded in each dtype, with damaged rows among them."""
     v = fx.vectors(spark, d)
     enc = None
     for dt in DTYPE_BYTES:
         part = encode_activations(v, dt)
         enc = part if enc is None else enc.unionByName(part)
+    # damage as a faulty writer leaves it: a payload cut short, a scale lost or made up, a dtype unknown
+    first, kind = F.col("token_pos") == 0, F.col("prompt_id") % 9
+    cut = F.expr("substring(payload, 1, octet_length(payload) - 1)")
+    enc = enc.withColumn("payload", F.when(first & (kind == 4), cut).otherwise(F.col("payload"))) \
+        .withColumn("scale", F.when(first & (kind == 5), F.when(F.col("scale").isNull(), F.lit(1.0).cast("float")))
+                    .otherwise(F.col("scale"))) \
+        .withColumn("dtype", F.when(first & (kind == 6), F.lit("float4")).otherwise(F.col("dtype")))
     return payload_audit(enc, D_MODEL)
 
 
 @query("capture_batch_report", "P6 (dropped-batch counts)", with_views(
     f"""SELECT count(*) FILTER (WHERE NOT any_null) AS n_prefill_batches,
-          count(*) FILTER (WHERE any_null) AS n_dropped_batches, CAST(0 AS BIGINT) AS n_length_mismatch
+          count(*) FILTER (WHERE any_null) AS n_dropped_batches,
+          count(*) FILTER (WHERE short_rids AND NOT no_lens) AS n_length_mismatch
         FROM batches WHERE global_rank % {ROUTING_TP} = 0""", "capture_seqs", extra=[("batches", _BATCHES)]))
 def q_capture_batch_report(spark, d):
     """Kept and dropped capture batches of the capturing replicas (tp = 4)."""
@@ -305,11 +317,11 @@ def q_capture_batch_report(spark, d):
 
 @query("replica_markers", "K6", with_views(
     f"""SELECT 'capture' AS run_id, CAST(floor(coalesce(gpu_id, 0) / {ROUTING_TP}) AS INT) AS dp_rank,
-          {ROUTING_TP} AS tp_size, count(*) AS n_batches
+          {ROUTING_TP} AS tp_size, {D_MODEL} AS d_model, count(*) AS n_batches
         FROM batches GROUP BY 2""", "capture_seqs", extra=[("batches", _BATCHES)]))
 def q_replica_markers(spark, d):
     """One start-marker row per data-parallel replica seen in the capture batches."""
     from ..config import RunConfig
     from ..sinks.tables import replica_markers
     cfg = RunConfig(run_id="capture", layers=(16,), tp_size=ROUTING_TP)
-    return replica_markers(fx.capture_batches(spark, d), cfg).select("run_id", "dp_rank", "tp_size", "n_batches")
+    return replica_markers(fx.capture_batches(spark, d), cfg, D_MODEL).select("run_id", "dp_rank", "tp_size", "d_model", "n_batches")

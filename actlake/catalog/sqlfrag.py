@@ -20,15 +20,24 @@ def fp8(x: str) -> str:
             f"ELSE round_even({X(x)} / pow(2, {e}), 0) * pow(2, {e}) END AS FLOAT)")
 
 
+def bf16_vec(v: str) -> str:
+    return vmap(v, bf16)
+
+
+def fp8_vec(v: str) -> str:
+    """float8 of the bf16 value."""
+    return vmap(bf16_vec(v), fp8)
+
+
 def int8_scale(v: str) -> str:
-    return (f"CAST(CAST(greatest(list_max(list_transform({v}, lambda x: abs(x))), CAST(1e-8 AS FLOAT)) AS DOUBLE)"
+    return (f"CAST(CAST(greatest(list_max(list_transform({bf16_vec(v)}, lambda x: abs(x))), CAST(1e-8 AS FLOAT)) AS DOUBLE)"
             f" / 127.0 AS FLOAT)")
 
 
 def int8_value(v: str, scale: str) -> str:
     code = (f"least(greatest(round_even(CAST(CAST(CAST(x AS DOUBLE) / CAST({scale} AS DOUBLE) AS FLOAT) AS DOUBLE), 0),"
             f" -128), 127)")
-    return f"list_transform({v}, lambda x: CAST({code} * CAST({scale} AS DOUBLE) AS FLOAT))"
+    return f"list_transform({bf16_vec(v)}, lambda x: CAST({code} * CAST({scale} AS DOUBLE) AS FLOAT))"
 
 
 def vmap(v: str, fn) -> str:

@@ -12,18 +12,22 @@ NL = "chr(10)"
 # name -> (dependencies, SQL body)
 VIEWS: dict[str, tuple[list[str], str]] = {
     "prompts": ([], """
-        SELECT conv_id AS prompt_id, text AS prompt FROM (
-          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
-          FROM conversations WHERE role = 'user') q WHERE rn = 1"""),
+        SELECT conv_id * 1000 + turn AS prompt_id, text AS prompt FROM conversations WHERE role = 'user'"""),
     "completions": ([], """
-        SELECT conv_id AS prompt_id,
-               CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS completion_idx, text
-        FROM conversations WHERE role = 'assistant'"""),
-    "system_prompts": ([], """
-        SELECT conv_id AS prompt_id, text AS system FROM conversations WHERE role = 'system' AND turn = 0"""),
-    "prompts_raw": (["prompts"], """
+        SELECT prompt_id, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY again, turn) - 1 AS INT) AS completion_idx,
+               CASE WHEN again = 1 THEN concat(text, ' (again)') ELSE text END AS text
+        FROM (SELECT conv_id * 1000 + asked AS prompt_id, turn, text, unnest(range(1 + CAST((conv_id * 1000 + asked) % 2 = 0 AS INT))) AS again
+              FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations) q
+              WHERE role = 'assistant' AND asked IS NOT NULL) r"""),
+    "system_prompts": (["prompts"], """
+        SELECT p.prompt_id, c.text AS system FROM prompts p JOIN conversations c ON c.conv_id = p.prompt_id // 1000
+        WHERE c.role = 'system' AND c.turn = 0"""),
+    "prompts_clean": (["prompts"], """
         SELECT prompt_id, prompt, 0 AS src_ord FROM prompts
-        UNION ALL SELECT prompt_id, prompt, 1 FROM prompts WHERE prompt_id % 5 = 0
+        UNION ALL SELECT prompt_id, prompt, 1 FROM prompts WHERE prompt_id % 5 = 0"""),
+    "prompts_raw": (["prompts", "prompts_clean"], """
+        SELECT * FROM prompts_clean
         UNION ALL SELECT prompt_id, concat(prompt, '!'), 2 FROM prompts WHERE prompt_id % 17 = 3"""),
     "completions_raw": (["completions"], """
         SELECT prompt_id, completion_idx, text, 0 AS src_ord, prompt_id * 100 + completion_idx AS line_ord
@@ -37,9 +41,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT prompt_id, completion_idx, text AS completion FROM (
           SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY src_ord DESC, line_ord DESC) AS rn
           FROM completions_raw WHERE completion_idx = 0) q WHERE rn = 1"""),
-    "pairs": (["merged_prompts", "last_rollouts"], """
+    "pairs": (["prompts", "last_rollouts"], """
         SELECT p.prompt_id, p.prompt, r.completion_idx, r.completion
-        FROM merged_prompts p JOIN last_rollouts r ON p.prompt_id = r.prompt_id"""),
+        FROM prompts p JOIN last_rollouts r ON p.prompt_id = r.prompt_id"""),
     "rendered": (["pairs", "system_prompts"], f"""
         SELECT p.prompt_id, p.completion_idx,
           coalesce(CASE WHEN length(s.system) > 0 THEN '<|im_start|>system' || {NL} || s.system
@@ -66,8 +70,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         WHERE run_id = 'base' OR (b.prompt_id % 11 <> 5 AND NOT (b.prompt_id % 7 = 3 AND token_pos = mx))"""),
     "capture_seqs": (["token_base"], """
         SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY prompt_id) - 1 AS INT) AS seq_ord,
-          CASE WHEN prompt_id % 10 = 9 THEN 'warmup' ELSE concat(CAST(prompt_id AS VARCHAR), '|0') END AS rid,
-          CASE WHEN batch_id % 5 = 4 THEN NULL ELSE n END AS seq_len, 0 AS prefix_len,
+          CASE WHEN prompt_id % 10 = 9 THEN 'warmup'
+               ELSE concat(CAST(prompt_id // 2 AS VARCHAR), '|', CAST(prompt_id % 2 AS VARCHAR)) END AS rid,
+          CASE WHEN batch_id % 5 = 4 THEN NULL ELSE n END AS seq_len,
+          CAST(CASE WHEN prompt_id % 10 = 3 THEN 4 WHEN prompt_id % 10 = 9 THEN 2 ELSE 0 END AS INT) AS prefix_len,
           batch_id % 8 AS gpu_id, batch_id % 4 AS global_rank
         FROM (SELECT CAST(floor(prompt_id / 4.0) AS BIGINT) AS batch_id, prompt_id,
                 CAST(CASE WHEN prompt_id % 6 = 1 THEN 0 ELSE max(token_pos) + 1 END AS INT) AS n
@@ -76,11 +82,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY prompt_id, token_pos) - 1 AS INT) AS flat_pos,
           embedding AS vec
         FROM (SELECT CAST(floor(prompt_id / 4.0) AS BIGINT) AS batch_id, prompt_id, token_pos, embedding
-              FROM token_base WHERE prompt_id % 6 <> 1) q
-        WHERE batch_id % 5 <> 4"""),
+              FROM token_base WHERE prompt_id % 6 <> 1) q"""),
     "replica_rows": (["token_base"], """
-        SELECT prompt_id, token_pos, 16 AS layer, dp_rank, embedding AS vec
-        FROM token_base CROSS JOIN (VALUES (0), (1)) r(dp_rank) WHERE dp_rank = 0 OR prompt_id % 2 = 0"""),
+        SELECT 'run' AS run_id, prompt_id, CAST((prompt_id % 2) * dp_rank AS INT) AS completion_idx, token_pos, 16 AS layer, dp_rank,
+          embedding AS vec
+        FROM token_base CROSS JOIN (VALUES (0), (1)) r(dp_rank)"""),
     "doc_index": ([], """
         SELECT prompt_id, 0 AS completion_idx, layer, n_tokens,
                rerun * CAST(1099511627776 AS BIGINT) + prompt_id AS append_ord
@@ -100,8 +106,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             WHEN 2 THEN 'Qwen2DecoderLayer' WHEN 3 THEN 'Qwen3DecoderLayer' WHEN 4 THEN 'MistralDecoderLayer'
             WHEN 5 THEN 'MixtralDecoderLayer' WHEN 6 THEN 'DeciLMDecoderLayer'
             ELSE concat('UnknownDecoderLayer', CAST(e.label AS VARCHAR)) END AS layer_class,
-          e.embedding AS h, n.embedding AS r
-        FROM embeddings e JOIN embeddings n ON n.vec_id = e.vec_id + 1"""),
+          e.embedding AS h, coalesce(n.embedding, e.embedding) AS r
+        FROM embeddings e LEFT JOIN embeddings n ON n.vec_id = e.vec_id + 1"""),
     "arch_patterns": ([], """
         SELECT * FROM (VALUES ('Olmo2DecoderLayer', 'single'), ('LlamaDecoderLayer', 'tuple_sum'),
           ('Qwen2DecoderLayer', 'tuple_sum'), ('Qwen3DecoderLayer', 'tuple_sum'),

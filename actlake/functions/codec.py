@@ -103,14 +103,21 @@ def int8_decode_np(codes: np.ndarray, lens: np.ndarray, scales: np.ndarray) -> n
     return codes.astype(np.float32) * per
 
 
+# float8 code of every bf16 code: a captured value is bf16 before it is quantised further.
+with np.errstate(invalid="ignore"):  # the NaN codes
+    FP8_OF_BF16 = fp8_encode_np(bf16_decode_np(np.arange(65536, dtype=np.uint16)))
+
+
 def encode_np(flat: np.ndarray, lens: np.ndarray, dtype: str):
-    """V8: generic encode of a flat fp32 buffer; returns (bytes, scales or None)."""
+    """V8: generic encode of a flat fp32 buffer; returns (bytes, scales or None).
+    The fp8 and int8 forms are taken from the bf16 value."""
+    staged = bf16_encode_np(flat)
     if dtype == "bfloat16":
-        return bf16_encode_np(flat).astype("<u2").tobytes(), None
+        return staged.astype("<u2").tobytes(), None
     if dtype == "float8_e4m3":
-        return fp8_encode_np(flat).tobytes(), None
+        return FP8_OF_BF16[staged].tobytes(), None
     if dtype == "int8":
-        q, s = int8_encode_np(flat, lens)
+        q, s = int8_encode_np(bf16_decode_np(staged), lens)
         return q.tobytes(), s
     raise ValueError(f"unknown dtype {dtype}")
 
@@ -211,8 +218,9 @@ def decode_batch(payload: pa.Array, dtypes: pa.Array, scales: pa.Array):
 # --------------------------------------------------------------------------- Spark jobs
 
 def encode_activations(df: DataFrame, dtype: str, vec_col: str = "vec",
-                       keep_vec: bool = False) -> DataFrame:
-    """V8 as a job: ``vec ARRAY<FLOAT>`` -> ``dtype, payload BINARY, scale FLOAT``."""
+                       keep_vec: bool = False, d_model: int | None = None) -> DataFrame:
+    """V8 as a job: ``vec ARRAY<FLOAT>`` -> ``dtype, payload BINARY, scale FLOAT``.
+    With ``d_model`` a null vector or one of another length fails the job (P13, where the rows are)."""
     bytes_per_elem(dtype)
     keep = [f for f in df.schema.fields if keep_vec or f.name != vec_col]
     keep = [f for f in keep if f.name not in ("dtype", "payload", "scale")]
@@ -227,6 +235,8 @@ def encode_activations(df: DataFrame, dtype: str, vec_col: str = "vec",
         for rb in batches:
             flat, lens, valid = _list_parts(rb.column(vec_col))
             lens = np.where(valid, lens, 0)
+            if d_model is not None and (lens != d_model).any():
+                raise ValueError(f"a vector has {int(lens[lens != d_model][0])} elements instead of {d_model}")
             data, scales = encode_np(flat, lens, dtype)
             bpe = DTYPE_BYTES[dtype]
             cols = [rb.column(n) for n in keep_names]

@@ -7,11 +7,14 @@ representable values around ``x`` is ``2^(max(floor(log2|x|), emin) - m)``,
 and ``rint`` (round half to even) onto that grid is round-to-nearest-even.
 
 * V1  bf16: m = 7, emin = -126; zero, NaN and infinities pass unchanged.
-* V3  fp8 e4m3fn: m = 3, emin = -6, no infinities, largest finite 448;
-      |x| > 464 (the midpoint above 448) becomes NaN, no saturation.
-* V5  int8 scale per token: max(amax|x|, 1e-8) / 127 in fp32.
+* V3  fp8 e4m3fn of the bf16 value: m = 3, emin = -6, no infinities, largest
+      finite 448; |x| > 464 (the midpoint above 448) becomes NaN, no saturation.
+* V5  int8 scale per token: max(amax|x|, 1e-8) / 127 in fp32, x the bf16 value.
 * V6  int8 code: clamp(rint(x / scale), -128, 127) with fp32 division.
 * V7  int8 dequantise: code * scale in fp32.
+
+A captured vector is bf16 before it is stored in any form, so the fp8 and
+int8 forms of a vector are those of its bf16 value.
 """
 
 from __future__ import annotations
@@ -31,6 +34,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value) with the value computed once: a lambda over a one-element array.
+    (A plain expression inside an element lambda is computed again for every element.)"""
+    return F.transform(F.array(value), use)[0]
+
+
 def _grid_round(X: Column, mant_bits: int, emin: int) -> Column:
     e = F.greatest(F.floor(F.log2(F.abs(X))), F.lit(emin))
     step = F.pow(F.lit(2.0), e - F.lit(mant_bits))
@@ -46,7 +55,7 @@ def bf16_value(x) -> Column:
 
 
 def fp8_value(x) -> Column:
-    """V3: fp32 -> nearest-even float8 e4m3fn, returned as FLOAT."""
+    """V3 rounding: a value -> nearest-even float8 e4m3fn, returned as FLOAT (``fp8_vec`` stages through bf16)."""
     x = _c(x)
     X = x.cast("double")
     return (F.when(F.isnan(X) | (F.abs(X) > F.lit(FP8_NAN_ABOVE)), F.lit(float("nan")))
@@ -59,37 +68,41 @@ def bf16_vec(v) -> Column:
 
 
 def fp8_vec(v) -> Column:
-    return F.transform(_c(v), fp8_value)
+    return F.transform(bf16_vec(v), fp8_value)
 
 
-def int8_scale(v) -> Column:
-    """V5: per-token scale max(amax|x|, 1e-8) / 127 as FLOAT."""
-    amax = F.array_max(F.transform(_c(v), lambda x: F.abs(x)))
+def _scale_of(staged: Column) -> Column:
+    amax = F.array_max(F.transform(staged, lambda x: F.abs(x)))
     floored = F.greatest(amax, F.lit(INT8_AMAX_FLOOR).cast("float"))
     return (floored.cast("double") / F.lit(127.0)).cast("float")
 
 
+def _code(x: Column, s: Column) -> Column:
+    q = F.rint((x.cast("double") / s.cast("double")).cast("float").cast("double"))
+    return F.when(F.isnan(q), F.lit(0)).otherwise(
+        F.least(F.greatest(q, F.lit(float(INT8_MIN))), F.lit(float(INT8_MAX)))).cast("tinyint")
+
+
+def int8_scale(v) -> Column:
+    """V5: per-token scale max(amax|x|, 1e-8) / 127 of the bf16 values, as FLOAT."""
+    return _scale_of(bf16_vec(v))
+
+
 def int8_codes(v, scale) -> Column:
     """V6: clamp(rint(x / scale), -128, 127) as ARRAY<TINYINT>; a NaN quotient
     (NaN element or NaN scale) gives code 0, as in the byte form."""
-    s = _c(scale).cast("double")
-
-    def code(x):
-        q = F.rint((x.cast("double") / s).cast("float").cast("double"))
-        return F.when(F.isnan(q), F.lit(0)).otherwise(
-            F.least(F.greatest(q, F.lit(float(INT8_MIN))), F.lit(float(INT8_MAX)))).cast("tinyint")
-    return F.transform(_c(v), code)
+    return _bind(_c(scale), lambda s: F.transform(bf16_vec(v), lambda x: _code(x, s)))
 
 
 def int8_dequant(q, scale) -> Column:
     """V7: code * scale in fp32 as ARRAY<FLOAT>."""
-    s = _c(scale).cast("double")
-    return F.transform(_c(q), lambda c: (c.cast("double") * s).cast("float"))
+    return _bind(_c(scale).cast("double"), lambda s: F.transform(_c(q), lambda c: (c.cast("double") * s).cast("float")))
 
 
 def int8_value(v) -> Column:
-    """V5 + V6 + V7: the int8 round trip of a token vector."""
-    return int8_dequant(int8_codes(v, int8_scale(v)), int8_scale(v))
+    """V5 + V6 + V7: the int8 round trip of a token vector, linear in its length."""
+    return _bind(bf16_vec(v), lambda w: _bind(_scale_of(w), lambda s: F.transform(
+        w, lambda x: (_code(x, s).cast("double") * s.cast("double")).cast("float"))))
 
 
 def value_form(v, dtype: str) -> Column:

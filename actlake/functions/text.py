@@ -159,10 +159,6 @@ def layer_file_name(layer) -> Column:
     return F.format_string(LAYER_FILE, _c(layer))
 
 
-def scale_file_name(layer) -> Column:
-    return F.format_string(SCALE_FILE, _c(layer))
-
-
 def json_row(*cols) -> Column:
     """One JSON object per row."""
     return F.to_json(F.struct(*[_c(c) for c in cols]))

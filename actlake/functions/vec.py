@@ -70,12 +70,3 @@ def vec_add(a, b) -> Column:
 
 def vec_scale(v, alpha: float) -> Column:
     return F.transform(_c(v), lambda x: (x * F.lit(alpha).cast("float")).cast("float"))
-
-
-def has_nan(v) -> Column:
-    """Any NaN element."""
-    return F.exists(_c(v), lambda x: F.isnan(x))
-
-
-def dim(v) -> Column:
-    return F.size(_c(v))

@@ -36,7 +36,7 @@ def add_single(h: Column, r: Column, delta: Column) -> tuple[Column, Column]:
     return bf16_vec(vec_add(h, delta)), r
 
 
-def add_tuple_residual(h: Column, r: Column, delta: Column) -> tuple[Column, Column]:
+def add_to_second(h: Column, r: Column, delta: Column) -> tuple[Column, Column]:
     """H unchanged, r + delta (bf16 add)."""
     return h, bf16_vec(vec_add(r, delta))
 
@@ -44,7 +44,7 @@ def add_tuple_residual(h: Column, r: Column, delta: Column) -> tuple[Column, Col
 # Pattern -> (extractor, adder)
 PATTERNS: dict[str, tuple[Extractor, Adder]] = {
     "single": (extract_single, add_single),
-    "tuple_sum": (extract_tuple_sum, add_tuple_residual),
+    "tuple_sum": (extract_tuple_sum, add_to_second),
 }
 
 # Decoder-layer classes and their pattern.
@@ -82,12 +82,19 @@ def layer_class_of_model(model_class: str) -> str:
     raise GuardError(f"no architecture registered for {model_class}")
 
 
+def attach_layer_class(df: DataFrame, model_col: str = "model_class") -> DataFrame:
+    """``layer_class`` of each row's model class; a decoder-layer class names itself, an unknown class gives null."""
+    names = MODEL_ALIASES | {k: k for k in ARCH_REGISTRY}
+    m = F.create_map(*[x for k, v in sorted(names.items()) for x in (F.lit(k), F.lit(v))])
+    return df.withColumn("layer_class", F.element_at(m, F.col(model_col)))
+
+
 def register_arch(layer_class: str, pattern: str, registry: dict | None = None) -> None:
     """A class needs both an extractor and an adder; re-registering the
     same pattern is a no-op, a different one is an error."""
     reg = ARCH_REGISTRY if registry is None else registry
     if pattern not in PATTERNS:
-        raise GuardError(f"no extractor/adder for pattern {pattern!r}; known: {sorted(PATTERNS)}")
+        raise GuardError(f"unknown output pattern {pattern!r}; known: {sorted(PATTERNS)}")
     old = reg.get(layer_class)
     if old is not None and old != pattern:
         raise GuardError(f"{layer_class} is already registered as {old!r}")
@@ -115,7 +122,7 @@ def unregistered(df: DataFrame, class_col: str = "layer_class", registry: dict |
 def require_registered(df: DataFrame, class_col: str = "layer_class") -> None:
     row = unregistered(df.select(class_col), class_col).limit(1).collect()
     if row:
-        raise GuardError(f"no extractor/adder registered for {row[0][0]}")
+        raise GuardError(f"layer class {row[0][0]} has no pattern in the registry")
 
 
 def residual(h, r, pattern) -> Column:

@@ -58,10 +58,13 @@ def is_prefill(meta_cols=("rids", "seq_lens", "prefix_lens")) -> Column:
 
 def with_offsets(meta: DataFrame) -> DataFrame:
     """``starts`` / ``ends`` arrays = exclusive / inclusive running sums of lengths."""
-    starts = F.transform("seq_lens", lambda x, i: F.aggregate(
-        F.slice("seq_lens", 1, i), F.lit(0).cast("bigint"), lambda a, y: a + y.cast("bigint")))
-    return (meta.withColumn("starts", starts)
-            .withColumn("ends", F.zip_with("starts", "seq_lens", lambda s, n: s + n.cast("bigint"))))
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ends"))
+
+    def step(acc, n):
+        at = acc["at"] + n.cast("bigint")
+        return F.struct(at.alias("at"), F.concat(acc["ends"], F.array(at)).alias("ends"))
+    return (meta.withColumn("ends", F.aggregate("seq_lens", none, step, lambda acc: acc["ends"]))
+            .withColumn("starts", F.zip_with("ends", "seq_lens", lambda e, n: e - n.cast("bigint"))))
 
 
 def with_parsed_rids(meta: DataFrame) -> DataFrame:

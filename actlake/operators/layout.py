@@ -13,8 +13,8 @@ from pyspark.sql import Window
 
 from ..config import GuardError
 from ..functions.text import json_row, layer_file_name
-from ..session import cut_lineage
-from .windows import bucket_of, default_buckets, quantile_bounds, running_sums
+from ..session import stored
+from .windows import range_buckets, running_sums
 
 INDEX_KEY = ("prompt_id", "completion_idx", "layer")
 
@@ -34,7 +34,7 @@ def index_offsets(seqs: DataFrame, order_col: str = "append_ord", partition=("la
     x = running_sums(seqs, order_col, {"start": "n_tokens"}, partition_cols=partition, exclusive=True,
                      n_buckets=n_buckets)
     if prior_end is not None:
-        x = (x.join(F.broadcast(prior_end.select(*partition, "end")), list(partition), "left")
+        x = (x.join(prior_end.select(*partition, "end"), list(partition), "left")
              .withColumn("start", F.col("start") + F.coalesce(F.col("end"), F.lit(0))).drop("end"))
     return x.withColumn("start", F.col("start").cast("bigint"))
 
@@ -72,7 +72,6 @@ def manifest(index: DataFrame, model: str, d_model: int, dtype: str, shard_cols=
 
 
 END = (1 << 62)
-MAX_BROADCAST_STARTS = 1_000_000
 
 
 def _next_starts(x: DataFrame, limit_bytes: int, part: list[str], n_buckets: int | None) -> DataFrame:
@@ -91,8 +90,7 @@ def _next_starts(x: DataFrame, limit_bytes: int, part: list[str], n_buckets: int
     d = x.select(*part, F.col("_Q").alias("_v"), F.lit(1).alias("_kind"), F.col("_i").alias("_j"),
                  F.lit(None).cast("bigint").alias("_s"))
     u = q.unionByName(d)
-    bounds = quantile_bounds(u, "_v", n_buckets or default_buckets(x))
-    u = u.withColumn("_b", bucket_of(F.col("_v"), bounds))
+    u = range_buckets(u, "_v", n_buckets).withColumnRenamed("_bkt", "_b")
     w = (Window.partitionBy(*part, "_b").orderBy(F.col("_v").desc(), F.col("_kind").desc(), F.col("_j").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     loc = u.withColumn("_jloc", F.min("_j").over(w)).where(F.col("_kind") == 0)
@@ -113,7 +111,7 @@ def assign_shards(seq_bytes: DataFrame, limit_bytes: int, order_col: str = "appe
     that brings its bytes to the limit or past it; the next one starts from
     zero. The chain of shard starts is found by pointer doubling: each round
     is one self-join of the one-row-per-sequence table (log2(shards) rounds,
-    lineage cut after each), then shard = number of starts at or before the
+    each written), then shard = number of starts at or before the
     sequence, minus one. Only keys and byte counts move.
 
     ``floor``: shard = floor(bytes before the sequence / limit), one pass;
@@ -130,26 +128,24 @@ def assign_shards(seq_bytes: DataFrame, limit_bytes: int, order_col: str = "appe
         return x.withColumn("shard", F.floor(F.col("_before") / F.lit(int(limit_bytes))).cast("int")).drop("_before")
     x = running_sums(seq_bytes, order_col, {"_P": "n_bytes"}, partition_cols=part, exclusive=True,
                      row_number_col="_i", n_buckets=n_buckets)
-    x = cut_lineage(x.withColumn("_Q", F.col("_P") + F.col("n_bytes")))
-    jump = cut_lineage(_next_starts(x, limit_bytes, part, n_buckets))
+    x = stored(x.withColumn("_Q", F.col("_P") + F.col("n_bytes")), "shard-sums")
+    jump = stored(_next_starts(x, limit_bytes, part, n_buckets), "shard-jumps")
     jumps = [jump]
     # J_{k+1}(s) = J_k(J_k(s)) until the chain from sequence 1 leaves every run
     while jump.where((F.col("s") == 1) & (F.col("t") != END)).limit(1).count() > 0:
         y = jump.select(*[F.col(c).alias(f"_y_{c}") for c in part], F.col("s").alias("_m"), F.col("t").alias("_t2"))
         cond = [F.col(c) == F.col(f"_y_{c}") for c in part] + [F.col("t") == F.col("_m")]
-        jump = cut_lineage(jump.join(y, cond, "left")
-                           .select(*part, "s", F.coalesce(F.col("_t2"), F.lit(END)).alias("t")))
+        jump = stored(jump.join(y, cond, "left")
+                      .select(*part, "s", F.coalesce(F.col("_t2"), F.lit(END)).alias("t")), "shard-jumps")
         jumps.append(jump)
     # starts reachable from sequence 1: after using J_k it holds the first 2^(k+1) of them
-    n_max = (seq_bytes.groupBy(*part).agg(F.sum("n_bytes").alias("_b"))
-             .select(F.sum(F.floor(F.col("_b") / F.lit(int(limit_bytes))) + 2).alias("n")).collect()[0]["n"] or 0)
     starts = x.where(F.col("_i") == 1).select(*part, F.col("_i").alias("s"))
-    for j in jumps:
-        c = F.broadcast(starts) if n_max <= MAX_BROADCAST_STARTS else starts
-        hop = j.join(c, [*part, "s"]).where(F.col("t") != END).select(*part, F.col("t").alias("s"))
-        starts = cut_lineage(starts.unionByName(hop).distinct())
+    for n, j in enumerate(jumps):
+        hop = j.join(starts, [*part, "s"]).where(F.col("t") != END).select(*part, F.col("t").alias("s"))
+        starts = starts.unionByName(hop).distinct()
+        if n % 3 == 2:  # the plan doubles with each hop
+            starts = stored(starts, "shard-starts")
     marks = starts.select(*part, F.col("s").alias("_i"), F.lit(1).alias("_start"))
-    marks = F.broadcast(marks) if n_max <= MAX_BROADCAST_STARTS else marks
     flagged = x.join(marks, [*part, "_i"], "left").withColumn("_start", F.coalesce(F.col("_start"), F.lit(0)))
     y = running_sums(flagged, "_i", {"_n_starts": "_start"}, partition_cols=part, n_buckets=n_buckets)
     return y.withColumn("shard", (F.col("_n_starts") - 1).cast("int")).drop("_P", "_Q", "_i", "_start", "_n_starts")

@@ -33,7 +33,7 @@ def merge_prompts(raw: DataFrame, on_conflict: str = "error") -> DataFrame:
     bad = F.col("prompt") != F.col("_pmax")
     if on_conflict == "error":
         try:
-            require_empty(g.where(bad).select("prompt_id"), "prompt disagrees across files")
+            require_empty(g.where(bad).select("prompt_id"), "one prompt id has several texts")
         except GuardError as e:
             raise GuardError(str(e)) from None
         return g.drop("_pmax")

@@ -52,11 +52,11 @@ def reconcile(index: DataFrame, acts: DataFrame, d_model: int, manifest_layers:
                                     F.sum("n_tokens").cast("bigint").alias("tokens_index"))
     if check_bytes:
         bpe = bytes_per_elem_col(F.col("dtype"))
-        st = acts.groupBy(*group).agg(
-            F.sum(F.octet_length("payload")).cast("bigint").alias("_bytes"), F.max(bpe).alias("_bpe"))
-        st = st.select(*group,
-                       (F.col("_bytes") / (F.lit(d_model) * F.col("_bpe"))).cast("bigint").alias("tokens_stored"),
-                       (F.col("_bytes") % (F.lit(d_model) * F.col("_bpe"))).cast("bigint").alias("torn_bytes"))
+        # one (run, layer) may hold several dtypes: bytes count per dtype, then per group
+        st = acts.groupBy(*group, bpe.alias("_bpe")).agg(F.sum(F.octet_length("payload")).cast("bigint").alias("_bytes"))
+        row = F.lit(d_model) * F.col("_bpe")
+        st = st.groupBy(*group).agg(F.sum(F.floor(F.col("_bytes") / row)).cast("bigint").alias("tokens_stored"),
+                                    F.sum(F.col("_bytes") % row).cast("bigint").alias("torn_bytes"))
     else:
         st = acts.groupBy(*group).agg(F.count(F.lit(1)).cast("bigint").alias("tokens_stored"),
                                       F.lit(0).cast("bigint").alias("torn_bytes"))
@@ -69,7 +69,7 @@ def reconcile(index: DataFrame, acts: DataFrame, d_model: int, manifest_layers:
                     F.lit("ok")).otherwise(F.lit("MISMATCH"))
     if manifest_layers is not None:
         known = manifest_layers.select(*group).withColumn("_known", F.lit(True))
-        x = x.join(F.broadcast(known), list(group), "left")
+        x = x.join(known, list(group), "left")
         status = F.when(F.col("_known").isNull(), F.lit("unindexed_layer")).otherwise(status)
         return x.withColumn("status", status).drop("_known")
     return x.withColumn("status", status)

@@ -4,66 +4,47 @@ A plain ``sum(..) over (partition by g order by k)`` puts a whole group in
 one task. When a group can hold a large share of all rows (a layer of an
 index, a whole extraction plan), the work is split instead:
 
-1. bounds of the order key are sampled once (``approxQuantile``, a bounded
-   list of numbers on the driver) and each row gets a bucket by a balanced
-   comparison tree (log2(buckets) comparisons, native code);
-2. within ``(group, bucket)`` the window runs as usual - each bucket holds
-   about rows/buckets rows;
-3. per ``(group, bucket)`` totals are summed, offset by an exclusive window
-   over buckets (a table of groups x buckets rows) and joined back on
-   ``(group, bucket)``; the big side is already partitioned on those keys by
+1. the rows are dealt to sorted ranges of the order key (Spark's range
+   partitioning) and written once with their range number, so every later
+   pass, and a retried task, sees the same ranges;
+2. within ``(group, range)`` the window runs as usual - each range holds
+   about rows / ranges rows;
+3. per ``(group, range)`` totals are summed, offset by an exclusive window
+   over ranges (a table of groups x ranges rows) and joined back on
+   ``(group, range)``; the big side is already partitioned on those keys by
    step 2, so only the small side moves.
 
-Rows with equal order keys always land in one bucket, so results equal the
-plain window. The bounds are literals in the plan, so a retried task
-computes the same buckets.
+Rows with equal order keys always land in one range, so results equal the
+plain window. The number of ranges is ``spark.sql.shuffle.partitions`` unless
+given, and grows with the cluster; no bound is written into the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 4096
+from ..session import stored
 
 
-def bucket_of(col: Column, bounds: list) -> Column:
-    """Index i with bounds[i-1] <= x < bounds[i], by a balanced when-tree."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return tree(0, len(bounds)).cast("int")
-
-
-def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(MAX_BUCKETS, 4 * n))
-
-
-def quantile_bounds(df: DataFrame, order_col: str, n_buckets: int) -> list:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.select(F.col(order_col).cast("double").alias(order_col)).approxQuantile(
-        order_col, probs, 1.0 / (10 * n_buckets))
-    return sorted(set(qs))
+def range_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None) -> DataFrame:
+    """``df``, written, with ``_bkt``: the number of the sorted range of ``order_col`` a row is in."""
+    dealt = df.repartitionByRange(n_buckets, order_col) if n_buckets else df.repartitionByRange(order_col)
+    return stored(dealt.withColumn("_bkt", F.spark_partition_id()), "ranges")
 
 
 def running_sums(df: DataFrame, order_col: str, sums: dict[str, str], partition_cols=(),
                  exclusive: bool = False, row_number_col: str | None = None,
-                 n_buckets: int | None = None, bounds: list | None = None,
-                 total_count_col: str | None = None) -> DataFrame:
+                 n_buckets: int | None = None, total_count_col: str | None = None) -> DataFrame:
     """Add ``out = sum(value) over (partition by g order by order_col)`` columns.
 
     ``sums`` maps output column -> value column. With ``exclusive`` the
     current row is left out. ``row_number_col`` adds the 1-based row number
     in the same order; ``total_count_col`` the number of rows of the row's
-    group (from the bucket totals, no extra pass). ``order_col`` must be numeric.
+    group (from the range totals, no extra pass). The rows are written when this is called.
     """
     part = list(partition_cols)
-    if bounds is None:
-        bounds = quantile_bounds(df, order_col, n_buckets or default_buckets(df))
-    x = df.withColumn("_bkt", bucket_of(F.col(order_col), bounds))
+    ranged = x = range_buckets(df, order_col, n_buckets)
     keys = part + ["_bkt"]
     hi = -1 if exclusive else 0
     w_in = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, hi)
@@ -74,7 +55,7 @@ def running_sums(df: DataFrame, order_col: str, sums: dict[str, str], partition_
                          F.row_number().over(Window.partitionBy(*keys).orderBy(order_col)))
     aggs = [F.sum(val).alias(f"_tot_{out}") for out, val in sums.items()]
     aggs.append(F.count(F.lit(1)).alias("_tot__n"))
-    tot = df.withColumn("_bkt", bucket_of(F.col(order_col), bounds)).groupBy(*keys).agg(*aggs)
+    tot = ranged.groupBy(*keys).agg(*aggs)
     w_b = Window.partitionBy(*part).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     off_cols = [F.coalesce(F.sum(f"_tot_{out}").over(w_b), F.lit(0)).alias(f"_off_{out}") for out in sums]
     off_cols.append(F.coalesce(F.sum("_tot__n").over(w_b), F.lit(0)).alias("_off__n"))

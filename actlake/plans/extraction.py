@@ -63,6 +63,12 @@ def plan_rows(seqs: DataFrame) -> DataFrame:
     return seqs.select("rid", "n_tokens")
 
 
+def ordered_plan(seqs: DataFrame) -> DataFrame:
+    """O1: plan rows in prompt order (then rollout); written, file names and lines follow it."""
+    narrow = seqs.select("prompt_id", "completion_idx", "rid", "n_tokens")
+    return plan_rows(narrow.orderBy("prompt_id", "completion_idx"))
+
+
 def keep_min_length(seqs: DataFrame, min_tokens: int) -> DataFrame:
     """Drop sequences shorter than ``min_tokens`` (0 keeps all)."""
     if min_tokens <= 0:
@@ -72,7 +78,7 @@ def keep_min_length(seqs: DataFrame, min_tokens: int) -> DataFrame:
 
 def guard_plan(seqs: DataFrame) -> None:
     """An empty plan is an error."""
-    require_nonempty(seqs.select("rid"), "no overlapping prompt ids between prompts and completions")
+    require_nonempty(seqs.select("rid"), "the plan is empty; prompts and rollouts share no id")
 
 
 def run_summary(seqs: DataFrame, cfg: RunConfig, n_shards: int | Column = 1,

@@ -2,8 +2,9 @@
 
 * ``plan_job``    - extraction planning: prompt / completion files -> plan, run metadata, summary.
 * ``ingest_job``  - captured batches (static or streaming) -> stored activations, index, manifest.
-* ``verify_job``  - reconciliation, first sequences' norm health, payload audit.
-* ``compare_job`` - two stored runs at one layer: metrics, sampled positions, shift check, drift.
+* ``verify_job``  - reconciliation, first sequences' norm health, payload audit (``verify_legacy_job``: of shard folders).
+* ``compare_job`` - two stored runs at one layer: metrics, sampled positions, shift check, drift
+  (``compare_legacy_job``: of two shard roots).
 
 Each returns DataFrames (and writes what the reference writes); nothing is collected except
 guard probes and the one-row summary.
@@ -16,13 +17,15 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RunConfig
+from ..config import GuardError, RunConfig
+from ..functions.text import REPLICA_DIR, SHARD_DIR
 from ..operators import compare as C
 from ..operators import layout as L
 from ..operators import verify as VF
 from ..sinks import tables as K
 from ..sources.jsonl import read_completions, read_prompts
-from ..sources.shards import read_capture
+from ..sources.legacy import import_legacy, legacy_report
+from ..sources.shards import read_capture, read_index
 from ..streaming.ingest import capture_stream, capture_to_activations, drain, start_ingest
 from . import extraction as X
 
@@ -34,39 +37,78 @@ def plan_job(spark: SparkSession, prompt_files: list[str], completion_files: lis
     pairs = X.pairs(read_prompts(spark, prompt_files), read_completions(spark, completion_files), cfg)
     seqs = X.sequences(pairs, cfg, system=system, tokenizer=tokenizer)
     X.guard_plan(seqs)
-    K.write_plan(X.plan_rows(X.keep_min_length(seqs, cfg.min_tokens)), f"{out_dir}/plan")
+    K.write_plan(X.ordered_plan(X.keep_min_length(seqs, cfg.min_tokens)), f"{out_dir}/plan")
     K.write_run_rows(K.run_meta(spark, cfg), f"{out_dir}/runs")
     summary = X.run_summary(seqs, cfg, elapsed_s=time.time() - t0)
     K.write_run_rows(summary, f"{out_dir}/summary")
     return summary.first().asDict()
 
 
+def sequence_order() -> F.Column:
+    """The order sequences are appended in: prompt, then rollout (a pair, so no number can overflow or collide)."""
+    return F.struct("prompt_id", "completion_idx")
+
+
+def shard_index(stored: DataFrame, cfg: RunConfig, d_model: int, sharding: str) -> DataFrame:
+    """Index rows of a stored run: run_id, shard, layer, prompt_id, completion_idx, start, n_tokens, append_ord.
+
+    ``rotate``: shards ``shard_0000``, ``shard_0001``, ... close when a sequence (all its layers) brings them to
+    ``cfg.shard_bytes`` (K7). ``replica``: one shard ``shard_dp00``, ... for each data-parallel replica (K8).
+    """
+    if sharding not in ("rotate", "replica"):
+        raise GuardError(f"unknown sharding {sharding!r}")
+    key = ["prompt_id", "completion_idx"]
+    group = ["run_id", "layer", *key] + (["dp_rank"] if sharding == "replica" else [])
+    seqs = L.sequence_lengths(stored, group).withColumn("append_ord", sequence_order())
+    if sharding == "replica":
+        seqs = seqs.withColumn("shard", F.format_string(REPLICA_DIR, F.col("dp_rank"))).drop("dp_rank")
+    else:
+        token = d_model * cfg.bytes_per_elem + (4 if cfg.dtype == "int8" else 0)
+        whole = seqs.groupBy("run_id", *key).agg((F.sum("n_tokens") * token).cast("bigint").alias("n_bytes")) \
+            .withColumn("append_ord", sequence_order())
+        shards = L.assign_shards(whole, cfg.shard_bytes, "append_ord", partition=("run_id",))
+        seqs = seqs.join(shards.select("run_id", *key, F.format_string(SHARD_DIR, F.col("shard")).alias("shard")), ["run_id", *key])
+    return L.index_offsets(seqs, "append_ord", partition=("run_id", "shard", "layer"))
+
+
 def ingest_job(spark: SparkSession, capture_path: str, cfg: RunConfig, out_dir: str, d_model: int,
-               stream: bool = False, checkpoint: str | None = None, max_files_per_trigger: int = 64) -> None:
-    """Store captured batches as ``activations`` and derive the index and manifest.
+               stream: bool = False, checkpoint: str | None = None, max_files_per_trigger: int = 64,
+               sharding: str = "rotate", dedup: bool = True) -> dict:
+    """Store captured batches as ``activations`` with index, manifest, replica markers, run metadata and summary.
 
     Each run has its own root ``out_dir/activations/<run_id>`` (partitioned by
-    ``run_id, layer``): a streaming sink's commit log then governs only its own
-    files, and ``sources.shards.read_runs`` unions the roots. Streaming needs
-    ``checkpoint`` (exactly-once, resumable); batch mode validates payloads
-    before writing.
+    ``run_id, layer``, sorted by sequence). A streamed run is first appended by the stream under
+    ``out_dir/incoming/<run_id>`` (exactly-once through ``checkpoint``, resumable) and, when the stream has ended, rewritten
+    sorted like a batch run. Vectors of another length than ``d_model`` fail the encoder. ``dedup`` keeps one replica's copy
+    of each token. Returns the summary row.
     """
+    t0 = time.time()
+    K.write_run_rows(K.run_meta(spark, cfg), f"{out_dir}/runs")
+    batches = read_capture(spark, capture_path).select("batch_id", "gpu_id").distinct()
+    K.write_run_rows(K.replica_markers(batches, cfg, d_model), f"{out_dir}/replicas")
     acts_path = f"{out_dir}/activations/{cfg.run_id}"
     if stream:
         if not checkpoint:
             raise ValueError("a streaming ingest needs a checkpoint location")
-        q = start_ingest(capture_stream(spark, capture_path, max_files_per_trigger), cfg, acts_path, checkpoint)
-        drain(q)
+        incoming = f"{out_dir}/incoming/{cfg.run_id}"
+        drain(start_ingest(capture_stream(spark, capture_path, max_files_per_trigger), cfg, incoming, checkpoint, d_model=d_model))
+        acts = spark.read.parquet(incoming)
     else:
-        acts = capture_to_activations(read_capture(spark, capture_path), cfg)
-        K.write_activations(acts, acts_path, d_model, cfg.bytes_per_elem)
+        acts = capture_to_activations(read_capture(spark, capture_path), cfg, d_model)
+    K.write_activations(acts, acts_path, d_model, cfg.bytes_per_elem, mode="overwrite", validate=False, dedup=dedup)
     stored = spark.read.parquet(acts_path)
-    seqs = (L.sequence_lengths(stored, ("run_id", "layer", "prompt_id", "completion_idx"))
-            .withColumn("shard", F.lit(0))
-            .withColumn("append_ord", F.col("prompt_id") * F.lit(1 << 20) + F.col("completion_idx")))
-    index = L.index_offsets(seqs, "append_ord", partition=("run_id", "shard", "layer"))
-    K.write_index(index, f"{out_dir}/index/run_id={cfg.run_id}", mode="overwrite")
-    K.write_manifest(L.manifest(index, cfg.model, d_model, cfg.dtype), f"{out_dir}/manifest/run_id={cfg.run_id}")
+    if not dedup:
+        K.check_unique_keys(stored.where("prompt_id >= 0"))
+    index = shard_index(stored, cfg, d_model, sharding)
+    index_path = f"{out_dir}/index/run_id={cfg.run_id}"
+    K.write_index(index, index_path, mode="overwrite")
+    written = spark.read.parquet(index_path)
+    K.write_manifest(L.manifest(written, cfg.model, d_model, cfg.dtype), f"{out_dir}/manifest/run_id={cfg.run_id}")
+    summary = written.agg(F.count_distinct("prompt_id", "completion_idx").alias("n_sequences"), F.sum("n_tokens").alias("tokens_all_layers"),
+                          F.count_distinct("shard").alias("n_shards")).withColumn("run_id", F.lit(cfg.run_id)) \
+        .withColumn("elapsed_s", F.lit(time.time() - t0))
+    K.write_run_rows(summary, f"{out_dir}/summary")
+    return summary.first().asDict()
 
 
 def verify_job(spark: SparkSession, acts: DataFrame, d_model: int, index: DataFrame | None = None,
@@ -75,8 +117,7 @@ def verify_job(spark: SparkSession, acts: DataFrame, d_model: int, index: DataFr
     first ``k`` sequences per layer."""
     if index is None:
         index = L.sequence_lengths(acts)
-    idx = index if "append_ord" in index.columns else index.withColumn(
-        "append_ord", F.col("prompt_id") * F.lit(1 << 20) + F.col("completion_idx"))
+    idx = index if "append_ord" in index.columns else index.withColumn("append_ord", sequence_order())
     first = VF.first_k_sequences(idx, k, ("run_id", "layer"), "append_ord")
     sample = acts.join(first.select("run_id", "layer", "prompt_id", "completion_idx"),
                        ["run_id", "layer", "prompt_id", "completion_idx"], "left_semi")
@@ -85,6 +126,15 @@ def verify_job(spark: SparkSession, acts: DataFrame, d_model: int, index: DataFr
             "norms": VF.norm_health(sample)}
 
 
+def verify_legacy_job(spark: SparkSession, root: str, k: int = 3) -> dict[str, DataFrame]:
+    """Read-back check of legacy shards: the file report, and the norm health of the first ``k`` sequences
+    per (shard, layer), read from their files alone."""
+    key = ("shard", "layer", "prompt_id", "completion_idx")
+    first = VF.first_k_sequences(read_index(spark, root), k, ("shard", "layer"), "append_ord")
+    rows = import_legacy(spark, root, strict=False, only=first.select(*key))
+    return {"files": legacy_report(spark, root), "norms": VF.norm_health(rows, key)}
+
+
 def compare_job(acts: DataFrame, run_a: str, run_b: str, layer: int, completion_idx: int = 0,
                 prompt_ids=None, exclude_unparsed: bool = True) -> dict[str, DataFrame]:
     """The per-sequence report of two runs at one layer (keys present in both).
@@ -101,3 +151,10 @@ def compare_job(acts: DataFrame, run_a: str, run_b: str, layer: int, completion_
     return {"keys": C.common_keys(a, b), "shapes": C.shapes(a, b), "metrics": C.pair_metrics(pairs),
             "positions": C.position_samples(pairs), "shift": C.shift_check(a, b),
             "drift": C.drift_by_position(pairs)}
+
+
+def compare_legacy_job(spark: SparkSession, root_a: str, root_b: str, layer: int, completion_idx: int = 0,
+                       prompt_ids=None) -> dict[str, DataFrame]:
+    """``compare_job`` of two legacy shard roots."""
+    sides = [import_legacy(spark, root).withColumn("run_id", F.lit(name)).drop("shard") for name, root in (("a", root_a), ("b", root_b))]
+    return compare_job(sides[0].unionByName(sides[1]), "a", "b", layer, completion_idx, prompt_ids)

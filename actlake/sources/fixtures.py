@@ -3,8 +3,9 @@
 Each builder only shapes rows into the schema a job expects (prompts,
 completions, captured batches, stored vectors, an index); none of them does
 a job's work, and no job relies on how these rows were made. Duplicates,
-conflicts, decode batches, bad request ids, short and zeroed sequences are
-planted here so the jobs meet them. Every builder reads a whole table.
+conflicts, decode batches, mismatched batches, cached prefixes, bad request
+ids, short and zeroed sequences are planted here so the jobs meet them. Every
+builder reads a whole table.
 """
 
 from __future__ import annotations
@@ -36,33 +37,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Turns of one conversation are numbered below this.
+TURNS = 1000
+
+
 def prompts(spark, d) -> DataFrame:
-    """First user turn of each conversation."""
+    """Every user turn is a prompt."""
     return (table(spark, d, "conversations").where(F.col("role") == "user")
-            .groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
-            .select(F.col("conv_id").alias("prompt_id"), "prompt"))
+            .select((F.col("conv_id") * TURNS + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt")))
 
 
 def completions(spark, d) -> DataFrame:
-    """Assistant turns, numbered per conversation."""
+    """Every assistant turn is a rollout of the user turn before it; even prompts have each rollout again."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return (table(spark, d, "conversations").where(F.col("role") == "assistant")
-            .select(F.col("conv_id").alias("prompt_id"),
-                    (F.row_number().over(w) - 1).cast("int").alias("completion_idx"), "text"))
+    asked = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w)
+    x = table(spark, d, "conversations").withColumn("asked", asked).where((F.col("role") == "assistant") & F.col("asked").isNotNull())
+    x = x.select((F.col("conv_id") * TURNS + F.col("asked")).alias("prompt_id"), "turn", "text")
+    x = x.withColumn("again", F.explode(F.sequence(F.lit(0), (F.col("prompt_id") % 2 == 0).cast("int"))))
+    n = F.row_number().over(Window.partitionBy("prompt_id").orderBy("again", "turn")) - 1
+    return x.select("prompt_id", n.cast("int").alias("completion_idx"),
+                    F.when(F.col("again") == 1, F.concat("text", F.lit(" (again)"))).otherwise(F.col("text")).alias("text"))
 
 
 def system_prompts(spark, d) -> DataFrame:
-    return (table(spark, d, "conversations").where((F.col("role") == "system") & (F.col("turn") == 0))
-            .select(F.col("conv_id").alias("prompt_id"), F.col("text").alias("system")))
+    """The system turn of a conversation, for each of its prompts."""
+    s = table(spark, d, "conversations").where((F.col("role") == "system") & (F.col("turn") == 0)) \
+        .select(F.col("conv_id").alias("conv"), F.col("text").alias("system"))
+    p = prompts(spark, d).select("prompt_id", F.floor(F.col("prompt_id") / TURNS).alias("conv"))
+    return p.join(s, "conv").select("prompt_id", "system")
 
 
-def prompts_raw(spark, d) -> DataFrame:
-    """Three prompt "files": the clean one, a repeat, and one that conflicts."""
+def prompts_clean(spark, d) -> DataFrame:
+    """Two prompt "files": all prompts, and a repeat of some."""
     p = prompts(spark, d)
     return (p.select("prompt_id", "prompt", F.lit(0).alias("src_ord"))
-            .unionByName(p.where(F.col("prompt_id") % 5 == 0).select("prompt_id", "prompt", F.lit(1).alias("src_ord")))
-            .unionByName(p.where(F.col("prompt_id") % 17 == 3)
-                         .select("prompt_id", F.concat("prompt", F.lit("!")).alias("prompt"), F.lit(2).alias("src_ord"))))
+            .unionByName(p.where(F.col("prompt_id") % 5 == 0).select("prompt_id", "prompt", F.lit(1).alias("src_ord"))))
+
+
+def prompts_raw(spark, d) -> DataFrame:
+    """``prompts_clean`` and a third "file" that conflicts."""
+    return prompts_clean(spark, d).unionByName(
+        prompts(spark, d).where(F.col("prompt_id") % 17 == 3)
+        .select("prompt_id", F.concat("prompt", F.lit("!")).alias("prompt"), F.lit(2).alias("src_ord")))
 
 
 def completions_raw(spark, d) -> DataFrame:
@@ -107,7 +123,8 @@ def vectors(spark, d) -> DataFrame:
 
 
 def capture_seqs(spark, d) -> DataFrame:
-    """Captured batches in long form: one row per sequence of a batch."""
+    """Captured batches in long form: one row per sequence of a batch. Two sequences are the rollouts of one
+    prompt; some go on from a cached prefix, some request ids cannot be parsed, every fifth batch is a decode step."""
     tb = token_base(spark, d)
     q = (tb.groupBy("prompt_id")
          .agg(F.when(F.col("prompt_id") % 6 == 1, F.lit(0)).otherwise(F.max("token_pos") + 1).cast("int").alias("n"))
@@ -117,9 +134,10 @@ def capture_seqs(spark, d) -> DataFrame:
         "batch_id",
         (F.row_number().over(w) - 1).cast("int").alias("seq_ord"),
         F.when(F.col("prompt_id") % 10 == 9, F.lit("warmup"))
-         .otherwise(F.concat(F.col("prompt_id").cast("string"), F.lit("|0"))).alias("rid"),
+         .otherwise(F.concat(F.floor(F.col("prompt_id") / 2).cast("string"), F.lit("|"), (F.col("prompt_id") % 2).cast("string")))
+         .alias("rid"),
         F.when(F.col("batch_id") % 5 == 4, F.lit(None).cast("int")).otherwise(F.col("n")).alias("seq_len"),
-        F.lit(0).alias("prefix_len"),
+        F.when(F.col("prompt_id") % 10 == 3, F.lit(4)).when(F.col("prompt_id") % 10 == 9, F.lit(2)).otherwise(F.lit(0)).alias("prefix_len"),
         (F.col("batch_id") % 8).alias("gpu_id"),
         (F.col("batch_id") % 4).alias("global_rank"))
 
@@ -129,23 +147,21 @@ def capture_tokens(spark, d) -> DataFrame:
     tb = token_base(spark, d).where(F.col("prompt_id") % 6 != 1)
     tb = tb.withColumn("batch_id", F.floor(F.col("prompt_id") / 4).cast("bigint"))
     w = Window.partitionBy("batch_id").orderBy("prompt_id", "token_pos")
-    return (tb.select("batch_id", (F.row_number().over(w) - 1).cast("int").alias("flat_pos"),
-                      F.col("embedding").alias("vec"))
-            .where(F.col("batch_id") % 5 != 4))
+    return tb.select("batch_id", (F.row_number().over(w) - 1).cast("int").alias("flat_pos"), F.col("embedding").alias("vec"))
 
 
 def capture_batches(spark, d) -> DataFrame:
-    """Per-batch metadata arrays (the engine's view of one forward)."""
+    """Per-batch metadata arrays (the engine's view of one forward); some batches report one request id too few."""
     from ..operators.demux import batch_metadata
-    return batch_metadata(capture_seqs(spark, d))
+    m = batch_metadata(capture_seqs(spark, d))
+    return m.withColumn("rids", F.when(F.col("batch_id") % 7 == 5, F.slice("rids", 1, F.size("rids") - 1)).otherwise(F.col("rids")))
 
 
 def replica_rows(spark, d) -> DataFrame:
-    """Half of the prompts captured twice, by two data-parallel replicas."""
+    """Two data-parallel replicas: they capture the same rollout of even prompts, and different ones of the others."""
     tb = token_base(spark, d).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("dp_rank"))
-    return (tb.where((F.col("dp_rank") == 0) | (F.col("prompt_id") % 2 == 0))
-            .select("prompt_id", "token_pos", F.lit(16).alias("layer"), "dp_rank",
-                    F.col("embedding").alias("vec")))
+    return tb.select(F.lit("run").alias("run_id"), "prompt_id", ((F.col("prompt_id") % 2) * F.col("dp_rank")).cast("int").alias("completion_idx"),
+                     "token_pos", F.lit(16).alias("layer"), "dp_rank", F.col("embedding").alias("vec"))
 
 
 def doc_index(spark, d) -> DataFrame:
@@ -159,12 +175,6 @@ def doc_index(spark, d) -> DataFrame:
                     (F.col("rerun") * F.lit(RERUN_STRIDE) + F.col("prompt_id")).alias("append_ord"))
 
 
-def doc_sequences(spark, d) -> DataFrame:
-    """Documents as (prompt, completion) pairs for large planning runs."""
-    return table(spark, d, "documents").select(
-        F.col("doc_id").alias("prompt_id"), F.col("lang").alias("prompt"), F.col("text").alias("completion"))
-
-
 def directions_raw(spark, d) -> DataFrame:
     """Steering directions keyed like a tensor file: ``layer_<n>`` plus other keys."""
     e = table(spark, d, "embeddings")
@@ -177,11 +187,12 @@ def directions_raw(spark, d) -> DataFrame:
 def arch_states(spark, d) -> DataFrame:
     """A layer's outputs: ``h`` and a residual ``r`` per row, with its layer class."""
     e = table(spark, d, "embeddings")
-    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("r"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("n"))
     names = F.array(*[F.lit(n) for n in ARCH_CLASS_BY_LABEL])
     cls = F.when(F.col("label") < len(ARCH_CLASS_BY_LABEL), F.element_at(names, F.col("label") + 1)) \
            .otherwise(F.concat(F.lit("UnknownDecoderLayer"), F.col("label").cast("string")))
-    return e.join(nxt, "vec_id").select("vec_id", cls.alias("layer_class"), F.col("embedding").alias("h"), "r")
+    return e.join(nxt, "vec_id", "left").select("vec_id", cls.alias("layer_class"), F.col("embedding").alias("h"),
+                                                F.coalesce("n", "embedding").alias("r"))
 
 
 # Multipliers spreading document tokens over the embedding rows.
@@ -201,8 +212,7 @@ def doc_tokens(spark, d) -> DataFrame:
     # about 250k tokens per partition, at least the cluster's parallelism
     total = docs.agg(F.sum("n")).collect()[0][0] or 0
     par = spark.sparkContext.defaultParallelism
-    n_parts = int(min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 4,
-                      max(par, -(-total // 250_000))))
+    n_parts = int(max(par, -(-total // 250_000)))
     t = t.repartition(n_parts, "prompt_id")
     t = t.withColumn("vec_id", F.pmod(F.col("prompt_id") * DOC_VEC_MUL[0] + F.col("token_pos") * DOC_VEC_MUL[1],
                                       F.lit(n_emb)))
@@ -231,3 +241,16 @@ def doc_capture(spark, d) -> tuple[DataFrame, DataFrame]:
     toks = doc_tokens(spark, d).join(docs.select("prompt_id", "batch_id", "offset"), "prompt_id")
     toks = toks.select("batch_id", (F.col("offset") + F.col("token_pos")).cast("int").alias("flat_pos"), "vec")
     return toks, meta
+
+
+def odd_vectors(spark, d) -> DataFrame:
+    """``vectors`` of two runs that are hard to compare: some sequences are equal, some hold a NaN in one run, and in some the
+    runs have different widths."""
+    v = vectors(spark, d).where(F.col("layer") == 16)
+    base = v.where(F.col("run_id") == "base")
+    pid, first = F.col("prompt_id"), F.col("token_pos") == 0
+    nan = F.transform("vec", lambda x, i: F.when(i == 0, F.lit(float("nan")).cast("float")).otherwise(x))
+    short = F.slice("vec", 1, 32)
+    moved = F.transform("vec", lambda x: (x.cast("double") * 0.75 + 0.01).cast("float"))
+    vec = (F.when((pid % 4 == 1) & first, nan).when(pid % 4 == 2, moved).when(pid % 4 == 3, short).otherwise(F.col("vec")))
+    return base.unionByName(base.withColumn("run_id", F.lit("odd")).withColumn("vec", vec))

@@ -1,4 +1,4 @@
-"""Legacy shard layout as a Python Data Source (S4-S7 import, K9 export).
+"""Legacy shard layout: index-driven import (S4-S7), export and append (K9).
 
 Layout per shard directory (fixed by the existing tools)::
 
@@ -7,243 +7,297 @@ Layout per shard directory (fixed by the existing tools)::
     index.jsonl               {prompt_id, completion_idx, layer, start, n_tokens}
     meta.json                 {model, layers, d_model, dtype, bytes_per_elem, ...}
 
-Reading: the driver only lists files and reads the small ``meta.json``; each
-input partition is a row range of one layer file, read with positioned I/O
-and emitted as Arrow batches. With ``keys=true`` each task also reads its
-shard's ``index.jsonl`` (bounded by the shard size limit), keeps the first
-row per key (the reader's rule; ``policy=last`` keeps the last) and maps its
-flat rows to ``(prompt_id, completion_idx, token_pos)`` by binary search, so
-the import needs no join and no shuffle of payloads.
+Reading: Spark lists the layer files and reads every index and ``meta.json`` once, as tables.
+The chosen index rows (the first per key, the reader's rule, or the last) are spread over
+tasks by the bytes they point at, and each task reads its sequences with positioned I/O. Before that the three are reconciled
+(``legacy_report``); an absent or torn file, rows that no index entry covers and entries past a
+file's end are errors unless the caller asks to go on without them.
 
 Writing: rows are hash-partitioned by ``(shard, layer)`` and sorted by the
-flat row, so exactly one task writes each layer file, sequentially; a retried
-task rewrites its whole file, so the write is idempotent. File access goes
-through ``pyarrow.fs`` (local, HDFS, S3, GCS alike).
+flat row, so exactly one task writes each layer file, sequentially. A task writes attempt files;
+the driver publishes those of the successful attempts when all tasks have ended and removes the rest, so a retried or
+speculative attempt leaves nothing behind. An existing file is an error, unless the shard is
+re-opened: then its bytes are kept and the new rows must continue where they end. A layer file is as large as its shard,
+which rotation bounds (``layout.assign_shards``). File access goes through ``pyarrow.fs`` on the paths as Spark resolves them.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
-                                    WriterCommitMessage)
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from ..functions.text import LAYER_FILE, SCALE_FILE
+from ..config import require_empty
+from ..functions.text import LAYER_FILE, SCALE_FILE, json_row
+from ..operators.layout import index_offsets, manifest as manifest_of, sequence_lengths
+from ..operators.verify import resolve_duplicates
+from ..session import qualified
+from .shards import read_index, read_manifest
 
 FORMAT = "actlake_legacy"
-READ_SCHEMA = "shard string, layer int, flat_row bigint, dtype string, payload binary, scale float"
 KEYED_SCHEMA = ("shard string, layer int, prompt_id bigint, completion_idx int, token_pos int, "
                 "dtype string, payload binary, scale float")
-DEFAULT_SPLIT_BYTES = 128 * 1024 * 1024
-BATCH_ROWS = 4096
+SPLIT_BYTES = 128 * 1024 * 1024
+BATCH_BYTES = 16 * 1024 * 1024
+KEY = ["shard", "layer", "prompt_id", "completion_idx"]
+INDEX_COLS = ("prompt_id", "completion_idx", "layer", "start", "n_tokens")
 
 
 def _fs(uri: str):
+    """File system and path of a location as Spark qualifies it (``file:/a/b``, ``scheme://host/a``)."""
     from pyarrow import fs as pafs
-    if "://" not in uri:
-        import os
-        uri = os.path.abspath(uri)
-        return pafs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return pafs.FileSystem.from_uri(uri)
 
 
-class _Range(InputPartition):
-    def __init__(self, shard, layer, path, scale_path, dtype, d_model, bpe, lo, hi, index_path=None):
-        super().__init__(0)
-        self.shard, self.layer, self.path, self.scale_path = shard, layer, path, scale_path
-        self.dtype, self.d_model, self.bpe, self.lo, self.hi = dtype, d_model, bpe, lo, hi
-        self.index_path = index_path
-
-
-def _layer_index(fs, path: str, layer: int, policy: str):
-    """(starts, lengths, prompt_ids, completion_idxs) of one layer, one row per key, sorted by start."""
-    with fs.open_input_stream(path) as f:
-        rows = [json.loads(x) for x in f.read().decode("utf-8").splitlines() if x.strip()]
-    chosen: dict = {}
-    for r in rows:
-        if int(r["layer"]) != layer:
-            continue
-        k = (int(r["prompt_id"]), int(r["completion_idx"]))
-        if policy == "last" or k not in chosen:
-            chosen[k] = r
-    sel = sorted(chosen.values(), key=lambda r: int(r["start"]))
-    return (np.array([int(r["start"]) for r in sel], dtype=np.int64),
-            np.array([int(r["n_tokens"]) for r in sel], dtype=np.int64),
-            np.array([int(r["prompt_id"]) for r in sel], dtype=np.int64),
-            np.array([int(r["completion_idx"]) for r in sel], dtype=np.int32))
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.root = options["path"]
-        self.split_bytes = int(options.get("splitBytes", DEFAULT_SPLIT_BYTES))
-        self.keys = str(options.get("keys", "false")).lower() == "true"
-        self.policy = options.get("policy", "first")
+# --------------------------------------------------------------------------- reading
 
-    def partitions(self):
-        from pyarrow import fs as pafs
-        fs, base = _fs(self.root)
-        infos = fs.get_file_info(pafs.FileSelector(base, recursive=False))
-        shards = sorted(i.base_name for i in infos if i.type == pafs.FileType.Directory
-                        and i.base_name.startswith("shard_"))
-        dirs = [(s, f"{base}/{s}") for s in shards]
-        if not dirs:
-            if fs.get_file_info(f"{base}/meta.json").type == pafs.FileType.NotFound:
-                raise FileNotFoundError(f"no shard_*/ found under {self.root}")
-            dirs = [("", base)]
-        parts = []
-        for shard, d in dirs:
-            with fs.open_input_stream(f"{d}/meta.json") as f:
-                meta = json.loads(f.read().decode("utf-8"))
-            dtype = meta.get("dtype", "bfloat16")
-            bpe = int(meta.get("bytes_per_elem", 2))
-            dm = int(meta["d_model"])
-            row_bytes = dm * bpe
-            for L in meta["layers"]:
-                path = f"{d}/{LAYER_FILE % int(L)}"
-                info = fs.get_file_info(path)
-                if info.type == pafs.FileType.NotFound:
-                    continue
-                n = info.size // row_bytes
-                step = max(1, self.split_bytes // row_bytes)
-                sp = f"{d}/{SCALE_FILE % int(L)}" if dtype == "int8" else None
-                for lo in range(0, n, step):
-                    parts.append(_Range(shard, int(L), path, sp, dtype, dm, bpe, lo, min(n, lo + step),
-                                        f"{d}/index.jsonl"))
-        return parts
-
-    def read(self, part: _Range):
-        fs, _ = _fs(self.root)
-        row_bytes = part.d_model * part.bpe
-        if self.keys:
-            starts, lens, pids, cidxs = _layer_index(fs, part.index_path, part.layer, self.policy)
-        with fs.open_input_file(part.path) as f:
-            sf = fs.open_input_file(part.scale_path) if part.scale_path else None
-            try:
-                for lo in range(part.lo, part.hi, BATCH_ROWS):
-                    hi = min(part.hi, lo + BATCH_ROWS)
-                    n = hi - lo
-                    raw = f.read_at(n * row_bytes, lo * row_bytes)
-                    offs = np.arange(n + 1, dtype=np.int32) * row_bytes
-                    payload = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(raw)])
-                    if sf is not None:
-                        sc = pa.array(np.frombuffer(sf.read_at(n * 4, lo * 4), dtype="<f4"), pa.float32())
-                    else:
-                        sc = pa.nulls(n, pa.float32())
-                    rows = np.arange(lo, hi, dtype=np.int64)
-                    if not self.keys:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([part.shard] * n, pa.string()), pa.array([part.layer] * n, pa.int32()),
-                             pa.array(rows), pa.array([part.dtype] * n, pa.string()), payload, sc],
-                            names=["shard", "layer", "flat_row", "dtype", "payload", "scale"])
-                        continue
-                    k = np.searchsorted(starts, rows, side="right") - 1
-                    ok = k >= 0
-                    ok[ok] = rows[ok] < starts[k[ok]] + lens[k[ok]]
-                    idx = np.nonzero(ok)[0]
-                    kk = k[idx]
-                    m = len(idx)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.shard] * m, pa.string()), pa.array([part.layer] * m, pa.int32()),
-                         pa.array(pids[kk]), pa.array(cidxs[kk]), pa.array((rows[idx] - starts[kk]).astype(np.int32)),
-                         pa.array([part.dtype] * m, pa.string()), payload.take(pa.array(idx)), sc.take(pa.array(idx))],
-                        names=["shard", "layer", "prompt_id", "completion_idx", "token_pos", "dtype", "payload",
-                               "scale"])
-            finally:
-                if sf is not None:
-                    sf.close()
+def layer_files(spark: SparkSession, root: str) -> DataFrame:
+    """(shard, layer, path, file_bytes) of every layer file under ``root``, from the listing alone."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "acts_layer_*.bin").load(root).select("path", "length"))
+    return files.select(F.regexp_extract("path", r"/(shard_[^/]+)/[^/]+$", 1).alias("shard"),
+                        F.regexp_extract("path", r"acts_layer_([0-9]+)\.bin$", 1).cast("int").alias("layer"),
+                        "path", F.col("length").alias("file_bytes"))
+
+
+def legacy_report(spark: SparkSession, root: str) -> DataFrame:
+    """A4 / D19 / J10 on legacy files: one row per (shard, layer) that the manifest, the index or a file names.
+
+    ``status``: ``ok``; ``absent`` (listed or indexed, no file); ``unlisted`` (file or index rows without manifest
+    entry); ``torn`` (bytes after the last whole row); ``past_end`` (index rows beyond the file); ``uncovered`` (stored
+    rows that no index entry points at). The first that holds is given. No payload is read.
+    """
+    meta = read_manifest(spark, root).select("shard", F.explode("layers").alias("layer"), "dtype", "d_model", "bytes_per_elem")
+    idx = read_index(spark, root).groupBy("shard", "layer").agg(
+        F.count(F.lit(1)).alias("n_index_rows"), F.sum("n_tokens").cast("bigint").alias("index_tokens"),
+        F.max(F.col("start") + F.col("n_tokens")).alias("index_end"))
+    x = meta.join(layer_files(spark, root), ["shard", "layer"], "full_outer").join(idx, ["shard", "layer"], "full_outer")
+    row = F.col("d_model") * F.col("bytes_per_elem")
+    x = x.withColumn("tokens_in_file", F.floor(F.col("file_bytes") / row)).withColumn("torn_bytes", F.col("file_bytes") % row)
+    seen = F.coalesce("index_tokens", F.lit(0))
+    status = (F.when(F.col("d_model").isNull(), "unlisted").when(F.col("path").isNull(), "absent")
+              .when(F.col("torn_bytes") > 0, "torn").when(F.col("index_end") > F.col("tokens_in_file"), "past_end")
+              .when(seen < F.col("tokens_in_file"), "uncovered").otherwise("ok"))
+    return x.select("shard", "layer", "dtype", "d_model", "bytes_per_elem", "path", "file_bytes", "tokens_in_file", "torn_bytes",
+                    F.coalesce("n_index_rows", F.lit(0)).alias("n_index_rows"), seen.alias("index_tokens"), status.alias("status"))
+
+
+def layer_file_report(spark: SparkSession, root: str) -> DataFrame:
+    """Bytes, whole token rows and torn tail bytes of every layer file."""
+    return legacy_report(spark, root).where("path is not null").select(
+        "shard", "layer", "dtype", "file_bytes", "tokens_in_file", "torn_bytes")
+
+
+def _read_sequences(batches):
+    """Index rows with their file -> token rows. Rows come sorted by file and offset."""
+    path = handle = scales = None
+    try:
+        for rb in batches:
+            held, size = [], 0
+            for r in rb.to_pylist():
+                if r["path"] != path:
+                    for h in (handle, scales):
+                        if h is not None:
+                            h.close()
+                    path, (fs, p) = r["path"], _fs(r["path"])
+                    handle = fs.open_input_file(p)
+                    folder = p.rsplit("/", 1)[0]
+                    scales = fs.open_input_file(f"{folder}/{SCALE_FILE % r['layer']}") if r["dtype"] == "int8" else None
+                width = r["d_model"] * r["bytes_per_elem"]
+                step = max(1, BATCH_BYTES // width)
+                for lo in range(0, r["n_tokens"], step):
+                    n = min(step, r["n_tokens"] - lo)
+                    at = r["start"] + lo
+                    raw = handle.read_at(n * width, at * width)
+                    sc = np.frombuffer(scales.read_at(n * 4, at * 4), "<f4") if scales else None
+                    if len(raw) != n * width or (sc is not None and len(sc) != n):
+                        raise ValueError(f"{path} ends before row {at + n}")
+                    held.append((r, lo, n, width, raw, sc))
+                    size += len(raw)
+                    if size >= BATCH_BYTES:
+                        yield _token_rows(held)
+                        held, size = [], 0
+            if held:
+                yield _token_rows(held)
+    finally:
+        for h in (handle, scales):
+            if h is not None:
+                h.close()
+
+
+def _token_rows(held) -> pa.RecordBatch:
+    n = np.array([h[2] for h in held])
+    rows = pa.array(np.repeat(np.arange(len(held)), n))
+
+    def col(name, kind):
+        return pa.array([h[0][name] for h in held], kind).take(rows)
+    pos = np.concatenate([np.arange(h[1], h[1] + h[2], dtype=np.int32) for h in held])
+    ends = np.concatenate([[0], np.cumsum(np.repeat([h[3] for h in held], n))]).astype(np.int32)
+    payload = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(h[4] for h in held))])
+    scale = pa.concat_arrays([pa.array(h[5], pa.float32()) if h[5] is not None else pa.nulls(h[2], pa.float32()) for h in held])
+    return pa.RecordBatch.from_arrays(
+        [col("shard", pa.string()), col("layer", pa.int32()), col("prompt_id", pa.int64()), col("completion_idx", pa.int32()),
+         pa.array(pos), col("dtype", pa.string()), payload, scale],
+        ["shard", "layer", "prompt_id", "completion_idx", "token_pos", "dtype", "payload", "scale"])
+
+
+def import_legacy(spark: SparkSession, root: str, policy: str = "first", strict: bool = True,
+                  only: DataFrame | None = None) -> DataFrame:
+    """S6 + S5 + S7 + W3: legacy shards -> activation rows, the sequences the index names.
+
+    ``policy``: which of several index rows of a key counts, the ``first`` or the ``last`` appended. With ``strict``
+    anything ``legacy_report`` finds wrong is an error; without it, sequences that lie whole in an
+    existing file are read and the report says what is missing. ``only`` (key columns) names the sequences to read.
+    """
+    if policy not in ("first", "last"):
+        raise ValueError(f"policy must be 'first' or 'last', got {policy!r}")
+    report = legacy_report(spark, root)
+    if strict:
+        require_empty(report.where("status <> 'ok'").select("shard", "layer", "status", "tokens_in_file", "index_tokens", "torn_bytes"),
+                      "legacy shards do not agree with their index and manifest")
+    chosen = resolve_duplicates(read_index(spark, root), KEY, "append_ord", policy)
+    if only is not None:
+        chosen = chosen.join(only, KEY, "left_semi")
+    files = report.where("path is not null and d_model is not null").select(
+        "shard", "layer", "path", "dtype", "d_model", "bytes_per_elem", "tokens_in_file")
+    x = chosen.join(files, ["shard", "layer"]).where(F.col("start") + F.col("n_tokens") <= F.col("tokens_in_file")).drop("tokens_in_file")
+    width = F.col("d_model") * F.col("bytes_per_elem")
+    total = report.agg(F.sum("file_bytes")).first()[0] or 0
+    n = max(1, -(-total // SPLIT_BYTES), min(spark.sparkContext.defaultParallelism, total // (1 << 20)))
+    spread = x.withColumn("_part", F.floor(F.col("start") * width / F.lit(max(1, total // n))))
+    return (spread.repartition(int(n), "path", "_part").sortWithinPartitions("path", "start")
+            .select(*KEY, "start", "n_tokens", "path", "dtype", "d_model", "bytes_per_elem")
+            .mapInArrow(_read_sequences, KEYED_SCHEMA))
+
+
+# --------------------------------------------------------------------------- writing
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list = field(default_factory=list)  # (attempt file, final file)
 
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options):
         self.root = options["path"]
-        self.kind = options.get("kind", "payload")
+        self.kind = options["kind"]
+        self.reopen = str(options.get("reopen", "false")).lower() == "true"
+        self.width = int(options.get("rowBytes", 0))
+        self.mark = options["mark"]
 
+    # ---- one task
     def write(self, iterator):
         fs, base = _fs(self.root)
-        if self.kind == "payload":
-            self._write_payload(fs, base, iterator)
-        elif self.kind == "index":
-            self._write_lines(fs, base, iterator, "index.jsonl",
-                              ("prompt_id", "completion_idx", "layer", "start", "n_tokens"))
-        elif self.kind == "meta":
-            self._write_meta(fs, base, iterator)
-        else:
-            raise ValueError(f"unknown kind {self.kind}")
-        return WriterCommitMessage()
-
-    def _write_payload(self, fs, base, iterator):
-        cur, out, sout, expect = None, None, None, 0
+        out = _Written()
+        handles: dict = {}
         try:
-            for rb in iterator:
-                shard = rb.column("shard").to_pylist()
-                layer = rb.column("layer").to_numpy(zero_copy_only=False)
-                row = rb.column("flat_row").to_numpy(zero_copy_only=False)
-                pay = rb.column("payload")
-                scale = rb.column("scale")
-                dtypes = rb.column("dtype").to_pylist()
-                shard_np = np.asarray(shard, dtype=object)
-                change = np.ones(rb.num_rows, dtype=bool)
-                change[1:] = (shard_np[1:] != shard_np[:-1]) | (layer[1:] != layer[:-1])
-                starts = list(np.nonzero(change)[0]) + [rb.num_rows]
-                for i, j in zip(starts[:-1], starts[1:]):
-                    key = (shard[i], int(layer[i]))
-                    if key != cur:
-                        for h in (out, sout):
-                            if h is not None:
-                                h.close()
-                        d = f"{base}/{key[0]}"
-                        fs.create_dir(d, recursive=True)
-                        out = fs.open_output_stream(f"{d}/{LAYER_FILE % key[1]}")
-                        sout = (fs.open_output_stream(f"{d}/{SCALE_FILE % key[1]}")
-                                if dtypes[i] == "int8" else None)
-                        cur, expect = key, 0
-                    rows = row[i:j]
-                    if rows[0] != expect or (len(rows) > 1 and not np.all(np.diff(rows) == 1)):
-                        raise ValueError(f"rows of {key} are not contiguous from 0 (at {rows[0]}, expected {expect})")
-                    expect = int(rows[-1]) + 1
-                    seg = pay.slice(i, j - i)
-                    bufs = seg.buffers()
-                    o = np.frombuffer(bufs[1], dtype=np.int32)[seg.offset: seg.offset + len(seg) + 1]
-                    out.write(memoryview(bufs[2])[o[0]:o[-1]])
-                    if sout is not None:
-                        sc = scale.slice(i, j - i).to_numpy(zero_copy_only=False).astype("<f4")
-                        sout.write(sc.tobytes())
+            if self.kind == "payload":
+                self._payload(fs, base, iterator, handles, out)
+            else:
+                self._text(fs, base, iterator, handles, out)
         finally:
-            for h in (out, sout):
-                if h is not None:
-                    h.close()
+            for h in handles.values():
+                h.close()
+        return out
 
-    def _write_lines(self, fs, base, iterator, name, cols):
-        cur, out = None, None
-        try:
-            for rb in iterator:
-                data = {c: rb.column(c).to_pylist() for c in ("shard",) + cols}
-                for k in range(rb.num_rows):
-                    if data["shard"][k] != cur:
-                        if out is not None:
-                            out.close()
-                        cur = data["shard"][k]
-                        fs.create_dir(f"{base}/{cur}", recursive=True)
-                        out = fs.open_output_stream(f"{base}/{cur}/{name}")
-                    out.write((json.dumps({c: data[c][k] for c in cols}) + "\n").encode("utf-8"))
-        finally:
-            if out is not None:
-                out.close()
-
-    def _write_meta(self, fs, base, iterator):
+    def _open(self, fs, base, shard, name, out, keep=True):
+        """An attempt file for ``name``; a re-opened one starts with the bytes there are."""
+        from pyarrow import fs as pafs
+        folder = f"{base}/{shard}" if shard else base
+        fs.create_dir(folder, recursive=True)
+        final = f"{folder}/{name}"
+        attempt = f"{folder}/_{self.mark}-{uuid.uuid4().hex}-{name}"
+        exists = fs.get_file_info(final).type != pafs.FileType.NotFound
+        if exists and keep and not self.reopen:
+            raise FileExistsError(f"{final} exists; re-open the shard to append to it")
+        out.files.append((attempt, final))
+        h, size = fs.open_output_stream(attempt), 0
+        if exists and keep:
+            with fs.open_input_stream(final) as old:
+                while chunk := old.read(1 << 24):
+                    h.write(chunk)
+                    size += len(chunk)
+        return h, size
+
+    def _payload(self, fs, base, iterator, handles, out):
+        cur, expect = None, 0
         for rb in iterator:
-            for r in rb.to_pylist():
-                shard = r.pop("shard")
-                tpl = r.get("total_tokens_per_layer") or []
-                r["total_tokens_per_layer"] = {str(k): v for k, v in (tpl.items() if isinstance(tpl, dict) else tpl)}
-                fs.create_dir(f"{base}/{shard}", recursive=True)
-                with fs.open_output_stream(f"{base}/{shard}/meta.json") as f:
-                    f.write(json.dumps(r, indent=2).encode("utf-8"))
+            if not rb.num_rows:
+                continue
+            shard = np.asarray(rb.column("shard").to_pylist(), dtype=object)
+            layer = rb.column("layer").to_numpy(zero_copy_only=False)
+            row = rb.column("flat_row").to_numpy(zero_copy_only=False)
+            change = np.ones(rb.num_rows, dtype=bool)
+            change[1:] = (shard[1:] != shard[:-1]) | (layer[1:] != layer[:-1])
+            starts = np.append(np.flatnonzero(change), rb.num_rows)
+            for i, j in zip(starts[:-1], starts[1:]):
+                key = (shard[i], int(layer[i]))
+                if key != cur:
+                    for h in handles.values():
+                        h.close()
+                    handles.clear()
+                    handles["data"], size = self._open(fs, base, key[0], LAYER_FILE % key[1], out)
+                    if rb.column("dtype")[int(i)].as_py() == "int8":
+                        handles["scale"], _ = self._open(fs, base, key[0], SCALE_FILE % key[1], out)
+                    if size % self.width:
+                        raise ValueError(f"layer file of {key} has a torn last row; it cannot be continued")
+                    cur, expect = key, size // self.width
+                rows = row[i:j]
+                if rows[0] != expect or (len(rows) > 1 and not np.all(np.diff(rows) == 1)):
+                    raise ValueError(f"rows of {key} do not follow on (at {rows[0]}, expected {expect})")
+                expect = int(rows[-1]) + 1
+                seg = rb.column("payload").slice(i, j - i)
+                bufs = seg.buffers()
+                o = np.frombuffer(bufs[1], dtype=np.int32)[seg.offset: seg.offset + len(seg) + 1]
+                if int(o[-1] - o[0]) != (j - i) * self.width:
+                    raise ValueError(f"payloads of {key} are not {self.width} bytes each")
+                handles["data"].write(memoryview(bufs[2])[o[0]:o[-1]])
+                if "scale" in handles:
+                    handles["scale"].write(rb.column("scale").slice(i, j - i).to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+
+    def _text(self, fs, base, iterator, handles, out):
+        """One line per row: the index (continued when re-opened) or a shard's meta.json (replaced)."""
+        cur = None
+        for rb in iterator:
+            for shard, value in zip(rb.column("shard").to_pylist(), rb.column("value").to_pylist()):
+                if shard != cur:
+                    for h in handles.values():
+                        h.close()
+                    handles.clear()
+                    cur = shard
+                    name = "index.jsonl" if self.kind == "index" else "meta.json"
+                    handles["text"], _ = self._open(fs, base, shard, name, out, keep=self.kind == "index")
+                handles["text"].write((value + "\n").encode("utf-8"))
+
+    # ---- the driver
+    def commit(self, messages):
+        from pyarrow import fs as pafs
+        fs, _ = _fs(self.root)
+        for m in messages:
+            for attempt, final in (m.files if m else ()):
+                if (self.reopen or self.kind == "meta") and fs.get_file_info(final).type != pafs.FileType.NotFound \
+                        and not isinstance(fs, pafs.LocalFileSystem):
+                    fs.delete_file(final)
+                fs.move(attempt, final)
+        self._sweep()
+
+    def abort(self, messages):
+        self._sweep()
+
+    def _sweep(self):
+        """Remove attempt files of this job that no message names (failed or speculative tasks)."""
+        from pyarrow import fs as pafs
+        fs, base = _fs(self.root)
+        for i in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
+            if i.type == pafs.FileType.File and i.base_name.startswith(f"_{self.mark}-"):
+                fs.delete_file(i.path)
 
 
 class LegacyShards(DataSource):
@@ -252,10 +306,7 @@ class LegacyShards(DataSource):
         return FORMAT
 
     def schema(self):
-        return KEYED_SCHEMA if str(self.options.get("keys", "false")).lower() == "true" else READ_SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options)
+        return KEYED_SCHEMA
 
     def writer(self, schema, overwrite):
         return _Writer(self.options)
@@ -265,53 +316,46 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LegacyShards)
 
 
-def layer_file_report(spark: SparkSession, root: str) -> DataFrame:
-    """A4 / D19 on legacy files: bytes, whole token rows and torn tail bytes
-    (``bytes mod (d x bytes per element)``) per (shard, layer) file, from the
-    file listing and ``meta.json`` only (no payload is read)."""
-    parts = _Reader({"path": root}).partitions()
-    fs, _ = _fs(root)
-    seen = {}
-    for p in parts:
-        seen.setdefault((p.shard, p.layer), p)
-    rows = []
-    for (shard, layer), p in sorted(seen.items()):
-        size = fs.get_file_info(p.path).size
-        row_bytes = p.d_model * p.bpe
-        rows.append((shard, layer, p.dtype, int(size), int(size // row_bytes), int(size % row_bytes)))
-    return spark.createDataFrame(rows, "shard string, layer int, dtype string, file_bytes long, "
-                                       "tokens_in_file long, torn_bytes long")
-
-
-def export_legacy(acts: DataFrame, index: DataFrame, manifest: DataFrame, root: str) -> None:
+def export_legacy(acts: DataFrame, index: DataFrame, manifest: DataFrame, root: str, reopen: bool = False) -> None:
     """K9: write activations, index and manifest in the legacy layout.
 
     ``acts``: (shard, layer, prompt_id, completion_idx, token_pos, dtype, payload, scale);
     ``index``: (shard, layer, prompt_id, completion_idx, start, n_tokens, append_ord);
-    ``manifest``: one row per shard (``operators.layout.manifest``).
+    ``manifest``: one row per shard (``operators.layout.manifest``). One width and row size per call and
+    dtype. Existing layer or index files are an error unless ``reopen`` (``append_legacy``).
     """
     from ..operators.joins import size_checked_broadcast
-    register(acts.sparkSession)
-    key = ["shard", "layer", "prompt_id", "completion_idx"]
-    starts = size_checked_broadcast(index.select(*key, "start"), 48)
-    rows = acts.join(starts, key).select(
+    spark = acts.sparkSession
+    register(spark)
+    root = qualified(spark, root)
+    starts = size_checked_broadcast(index.select(*KEY, "start"), 48)
+    rows = acts.join(starts, KEY).select(
         "shard", "layer", (F.col("start") + F.col("token_pos")).alias("flat_row"), "dtype", "payload", "scale")
-    (rows.repartition("shard", "layer").sortWithinPartitions("shard", "layer", "flat_row")
-     .write.format(FORMAT).option("kind", "payload").mode("append").save(root))
-    (index.repartition("shard").sortWithinPartitions("shard", "append_ord")
-     .select("shard", "prompt_id", "completion_idx", "layer", "start", "n_tokens")
-     .write.format(FORMAT).option("kind", "index").mode("append").save(root))
-    (manifest.repartition("shard")
-     .write.format(FORMAT).option("kind", "meta").mode("append").save(root))
 
+    def save(df, kind, row_bytes=0):
+        (df.write.format(FORMAT).option("kind", kind).option("mark", uuid.uuid4().hex).option("reopen", str(reopen).lower())
+         .option("rowBytes", row_bytes).mode("append").save(root))
+    for m in manifest.select("d_model", "bytes_per_elem", "dtype").distinct().collect():
+        part = rows.where(F.col("dtype") == m["dtype"])
+        save(part.repartition("shard", "layer").sortWithinPartitions("shard", "layer", "flat_row"), "payload",
+             m["d_model"] * m["bytes_per_elem"])
+    save(index.repartition("shard").sortWithinPartitions("shard", "append_ord")
+         .select("shard", json_row(*INDEX_COLS).alias("value")), "index")
+    cols = [c for c in manifest.columns if c != "shard"]
+    save(manifest.repartition("shard").select("shard", F.to_json(F.struct(*cols)).alias("value")), "meta")
 
-def import_legacy(spark: SparkSession, root: str, policy: str = "first") -> DataFrame:
-    """S6 + S5 + S7 + W3: legacy shards -> activation rows.
 
-    One pass over the layer files: each task maps its row range to sequence
-    keys with its shard's index (first row per key wins, or ``policy="last"``).
+def append_legacy(acts: DataFrame, root: str, model: str, d_model: int, dtype: str, order_cols=("prompt_id", "completion_idx")) -> None:
+    """K9 on shards that exist: new sequences go after the rows each (shard, layer) already holds.
+
+    The index continues (``index_offsets`` with the present ends), the manifest counts old and new rows. A key that is
+    appended again keeps both index rows; readers choose (``import_legacy`` policy).
     """
-    if policy not in ("first", "last"):
-        raise ValueError(f"policy must be 'first' or 'last', got {policy!r}")
-    register(spark)
-    return spark.read.format(FORMAT).option("keys", "true").option("policy", policy).load(root)
+    spark = acts.sparkSession
+    old = read_index(spark, root)
+    ends = old.groupBy("shard", "layer").agg(F.max(F.col("start") + F.col("n_tokens")).alias("end"))
+    seqs = sequence_lengths(acts, KEY).withColumn("append_ord", F.struct(*order_cols))
+    index = index_offsets(seqs, "append_ord", partition=("shard", "layer"), prior_end=ends)
+    names = ["shard", *INDEX_COLS]
+    both = old.select(*names).unionByName(index.select(*names)).join(index.select("shard").distinct(), "shard", "left_semi")
+    export_legacy(acts, index, manifest_of(both, model, d_model, dtype), root, reopen=True)

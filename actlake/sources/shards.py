@@ -48,7 +48,7 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     if df is None:
         df = _read_json_glob(spark, [f"{root.rstrip('/')}/meta.json"], MANIFEST_SCHEMA, multi_line=True)
         if df is None:
-            raise GuardError(f"no shard_*/ found under {root}")
+            raise GuardError(f"{root} holds neither shard folders nor a meta.json")
     return df.select(
         shard_of_path().alias("shard"), "model", "layers", "d_model",
         F.coalesce("dtype", F.lit("bfloat16")).alias("dtype"),
@@ -65,20 +65,16 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
         df = _read_json_glob(spark, [f"{root.rstrip('/')}/index.jsonl"], INDEX_SCHEMA)
         if df is None:
             raise GuardError(f"no index under {root}")
-    return df.select(shard_of_path().alias("shard"), "*",
-                     F.monotonically_increasing_id().alias("append_ord"))
+    # lines of a file in order: by the split's offset in the file, then by row
+    return df.select(shard_of_path().alias("shard"), "*", F.struct(
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("append_ord"))
 
 
 def _read_json_glob(spark, paths, schema, multi_line=False):
     from pyspark.errors import AnalysisException
     try:
         r = spark.read.schema(schema).option("mode", "FAILFAST")
-        if multi_line:
-            r = r.option("multiLine", "true")
-        else:
-            # one task per file keeps line order for the append order
-            r = r.option("maxPartitionBytes", str(1 << 40))
-        return r.json(paths)
+        return r.option("multiLine", str(multi_line).lower()).json(paths)
     except AnalysisException:
         return None
 
@@ -99,26 +95,16 @@ def read_activations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, root: str, run_ids=None) -> DataFrame:
     """All runs under ``root`` (one directory per run, as ``plans.jobs.ingest_job``
-    writes them), each read through its own root so a streaming run's commit
-    log decides which of its files exist. Lists run directory names only."""
-    from pyarrow import fs as pafs
-
-    from ..session import local_path
-    if "://" in root and not root.startswith("file:"):
-        fs, base = pafs.FileSystem.from_uri(root)
-        prefix = root.split("://", 1)[0] + "://"
-    else:
-        fs, base, prefix = pafs.LocalFileSystem(), local_path(root), ""
-    names = sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(base))
-                   if i.type == pafs.FileType.Directory and not i.base_name.startswith(("_", ".")))
-    if run_ids is not None:
-        names = [n for n in names if n in set(run_ids)]
-    if not names:
-        raise GuardError(f"no runs under {root}")
-    out = None
-    for n in names:
-        df = spark.read.parquet(f"{prefix}{base}/{n}")
-        out = df if out is None else out.unionByName(df)
+    writes them), each read through its own root, so that a streamed run's commit
+    log decides which of its files exist (a read of several roots at once would pass it
+    over). Only run directory names are listed, on the session's file system."""
+    from ..session import child_dirs
+    dirs = [x for x in child_dirs(spark, root) if run_ids is None or x.rsplit("/", 1)[-1] in set(run_ids)]
+    if not dirs:
+        raise GuardError(f"{root} holds no run of those asked for")
+    out = spark.read.parquet(dirs[0])
+    for x in dirs[1:]:
+        out = out.unionByName(spark.read.parquet(x))
     return out
 
 
@@ -131,7 +117,7 @@ def read_sequence(acts: DataFrame, run_id: str, layer: int, prompt_id: int, comp
     x = acts.where((F.col("run_id") == run_id) & (F.col("layer") == layer)
                    & (F.col("prompt_id") == prompt_id) & (F.col("completion_idx") == completion_idx))
     if strict and not x.select("token_pos").limit(1).collect():
-        raise KeyError(f"not found: prompt={prompt_id} comp={completion_idx} layer={layer}")
+        raise KeyError(f"run {run_id} stores no sequence ({prompt_id}, {completion_idx}) at layer {layer}")
     if "payload" in x.columns:
         x = decode_activations(x)
     return x.orderBy("token_pos")

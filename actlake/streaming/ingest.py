@@ -12,7 +12,9 @@ needs no join and no state. The same functions run in batch mode.
 * R5  incremental manifest: per-micro-batch token counts written idempotently
       by epoch id (``foreachBatch``); the manifest is their sum.
 * R6  resume: the checkpoint makes restarts exactly-once.
-* R7  replica duplicates: stateful ``dropDuplicates`` on the token key.
+* R7  replica duplicates: resolved when the run has ended (``sinks.tables.write_activations``
+      with ``dedup``), in the shuffle that sorts the run; a stream would have to keep every
+      token key of the run as state.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ def capture_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
     return r.parquet(path)
 
 
-def capture_to_activations(tokens: DataFrame, cfg: RunConfig) -> DataFrame:
-    """P3 + P4 + P5 + P6 + W2 + P7 + V8 on token rows carrying batch arrays.
+def capture_to_tokens(tokens: DataFrame, cfg: RunConfig) -> DataFrame:
+    """P3 + P4 + P5 + P6 + W2 + P7 on token rows carrying batch arrays, not yet encoded.
 
     Works on a static DataFrame and on a stream alike.
     """
@@ -49,15 +51,23 @@ def capture_to_activations(tokens: DataFrame, cfg: RunConfig) -> DataFrame:
     x = x.where(capturing_replica(F.col("global_rank"), cfg.tp) & is_prefill())
     x = with_offsets(x).withColumn("dp_rank", dp_rank(F.col("gpu_id"), cfg.tp))
     x = demux_rows(x)
-    x = x.select(F.lit(cfg.run_id).alias("run_id"), "layer", "prompt_id", "completion_idx", "token_pos",
-                 "rid", "dp_rank", "batch_id", "vec")
-    return encode_activations(x, cfg.dtype)
+    return x.select(F.lit(cfg.run_id).alias("run_id"), "layer", "prompt_id", "completion_idx", "token_pos",
+                    "rid", "dp_rank", "batch_id", "vec")
+
+
+def capture_to_activations(tokens: DataFrame, cfg: RunConfig, d_model: int | None = None) -> DataFrame:
+    """``capture_to_tokens`` + V8; with ``d_model`` vectors of another length fail the job."""
+    return encode_activations(capture_to_tokens(tokens, cfg), cfg.dtype, d_model=d_model)
 
 
 def start_ingest(stream: DataFrame, cfg: RunConfig, out_path: str, checkpoint: str,
-                 available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
-    """R1 + R3 + R6: start the ingest query (exactly-once through the checkpoint)."""
-    acts = capture_to_activations(stream, cfg)
+                 available_now: bool = True, processing_time: str | None = None,
+                 d_model: int | None = None) -> StreamingQuery:
+    """R1 + R3 + R6: start the ingest query (exactly-once through the checkpoint).
+
+    Files come as small as the triggers; ``plans.jobs.ingest_job`` rewrites the run sorted when it has ended.
+    """
+    acts = capture_to_activations(stream, cfg, d_model)
     w = (acts.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).partitionBy("run_id", "layer"))
     if available_now:
@@ -68,20 +78,26 @@ def start_ingest(stream: DataFrame, cfg: RunConfig, out_path: str, checkpoint: s
 
 
 def drain(q: StreamingQuery, timeout_s: float | None = None) -> None:
-    """R3 + R4: wait for the query; re-raise its failure."""
+    """R3 + R4: wait for the query's end; re-raise its failure. With a limit, a query that has
+    not ended by then is stopped and ``TimeoutError`` is raised: what it wrote is a part of the run."""
+    ended = True
     if timeout_s is None:
         q.awaitTermination()
     else:
-        q.awaitTermination(timeout_s)
+        ended = q.awaitTermination(timeout_s)
     exc = q.exception()
     if exc is not None:
         raise RuntimeError(f"ingest failed: {exc}")
+    if not ended:
+        q.stop()
+        raise TimeoutError(f"ingest has not ended after {timeout_s} s; its output is incomplete")
 
 
 def start_manifest_updates(stream: DataFrame, cfg: RunConfig, out_path: str, checkpoint: str,
                            available_now: bool = True) -> StreamingQuery:
     """Per-epoch token and sequence-row counts per (run, layer), idempotent on replay."""
-    counts = capture_to_activations(stream, cfg).select("run_id", "layer", "prompt_id", "completion_idx")
+    # counted before any vector is encoded: the scan reads no vector column
+    counts = capture_to_tokens(stream, cfg).select("run_id", "layer", "prompt_id", "completion_idx")
 
     def per_batch(df: DataFrame, epoch: int) -> None:
         (df.groupBy("run_id", "layer").agg(F.count(F.lit(1)).alias("tokens"))
@@ -98,13 +114,3 @@ def read_manifest_updates(spark: SparkSession, out_path: str) -> DataFrame:
     """R5 read side: current tokens per (run, layer)."""
     return (spark.read.parquet(out_path).groupBy("run_id", "layer")
             .agg(F.sum("tokens").cast("bigint").alias("total_tokens")))
-
-
-def dedup_stream(acts: DataFrame, keys=("run_id", "layer", "prompt_id", "completion_idx", "token_pos")) -> DataFrame:
-    """R7 for a stream: keep the first copy of each token key.
-
-    There is no event time to bound the state with a watermark; the state
-    holds the keys of the running run and is dropped with the query when the
-    run ends (batch ``dedup_replicas`` after the run is the cheaper choice).
-    """
-    return acts.dropDuplicates(list(keys))

@@ -129,13 +129,12 @@ def test_greedy_shards_match_single_writer_rule_per_run(spark):
 
 def test_running_sums_split_a_hot_group(spark):
     """One group (a layer) holding most rows is spread over many window partitions."""
-    from actlake.operators.windows import bucket_of, quantile_bounds
+    from actlake.operators.windows import range_buckets
     n_hot, n_cold = 6000, 3000
     rows = [("hot", i, 1) for i in range(n_hot)] + [(f"g{i % 3}", i, 1) for i in range(n_cold)]
     df = spark.createDataFrame(rows, "g string, k long, v long")
     nb = 12
-    bounds = quantile_bounds(df, "k", nb)
-    sizes = df.withColumn("_b", bucket_of(F.col("k"), bounds)).groupBy("g", "_b").count().collect()
+    sizes = range_buckets(df, "k", nb).groupBy("g", "_bkt").count().collect()
     assert max(r["count"] for r in sizes) <= 2 * (n_hot + n_cold) / nb
     got = running_sums(df, "k", {"s": "v"}, partition_cols=("g",), row_number_col="rn", n_buckets=nb)
     hot = sorted((r.k, r.s, r.rn) for r in got.where("g = 'hot'").collect())
