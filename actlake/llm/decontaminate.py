@@ -27,7 +27,9 @@ K1, B = 1.2, 0.75
 BLOCK_ITEMS = 32
 INDEX_BYTES = 16 << 20
 #: Bytes of text that one numpy pass takes at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Up to so many cells a distinct or a sum is taken in a dense array, beyond by sorting.
+DENSE = 1 << 24
 #: Share of an item's BM25 mass that retrieves it; share of five-word shingles that verifies it.
 THRESHOLD = 0.5
 OVERLAP = 0.8
@@ -103,6 +105,23 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return src, np.arange(len(src)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[src]
 
 
+def _distinct(key: np.ndarray, size: int) -> np.ndarray:
+    """The distinct values of ``key``, all below ``size``, ascending."""
+    if size > DENSE:
+        return np.unique(key)
+    seen = np.zeros(size, bool)
+    seen[key] = True
+    return np.flatnonzero(seen)
+
+
+def _sums(key: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sum of each, the place of every element's key among them)."""
+    if size > DENSE:
+        keys, at = np.unique(key, return_inverse=True)
+        return keys, np.bincount(at, weight, minlength=len(keys)), at
+    return np.arange(size), np.bincount(key, weight, minlength=size), key
+
+
 def retrieve(index: Index, words: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, passage, item, score) of every passage and item with score >= threshold.
 
@@ -123,24 +142,24 @@ def retrieve(index: Index, words: np.ndarray, counts: np.ndarray, threshold: flo
     own = np.concatenate([base[text] + np.minimum(late, n_pass[text] - 1), base[text] + late - 1])
     ok = np.concatenate([np.ones(len(hit), bool), (late >= 1) & (late - 1 < n_pass[text] - 1)])
     v = len(index.vocab)
-    key = np.unique(own[ok] * v + np.concatenate([term, term])[ok])
+    passages = int(n_pass.sum())
+    key = _distinct(own[ok] * v + np.concatenate([term, term])[ok], passages * v)
     passage, term = key // v, key % v
     eps = 1e-9
     # pivot test over the whole index
-    alive = np.bincount(passage, index.top[term], minlength=int(n_pass.sum())) >= threshold - eps
+    alive = np.bincount(passage, index.top[term], minlength=passages) >= threshold - eps
     m = alive[passage]
     passage, term = passage[m], term[m]
     # pivot test in every block
     src, entry = _spread(index.term_at[term], index.term_at[term + 1] - index.term_at[term])
     n_blocks = int(index.block.max()) + 1
-    cell, inv = np.unique(passage[src] * n_blocks + index.block[entry], return_inverse=True)
-    m = (np.bincount(inv, index.bound[entry], minlength=len(cell)) >= threshold - eps)[inv]
+    _, bound, at = _sums(passage[src] * n_blocks + index.block[entry], index.bound[entry], passages * n_blocks)
+    m = (bound >= threshold - eps)[at]
     passage, entry = passage[src[m]], entry[m]
     # score the postings of the blocks that are left
     src, post = _spread(index.entry_at[entry], index.entry_at[entry + 1] - index.entry_at[entry])
     n_items = len(index.ids)
-    cell, inv = np.unique(passage[src] * n_items + index.item[post], return_inverse=True)
-    score = np.bincount(inv, index.weight[post], minlength=len(cell))
+    cell, score, _ = _sums(passage[src] * n_items + index.item[post], index.weight[post], passages * n_items)
     m = score >= threshold - eps
     passage, item, score = cell[m] // n_items, cell[m] % n_items, score[m]
     text = np.searchsorted(base, passage, "right") - 1
