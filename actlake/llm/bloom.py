@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import held
 from .hashing import mix
 
 SLICE_BITS = 1 << 20
@@ -110,7 +110,7 @@ def repeat_filter(hashes: DataFrame, n_items: int, bits_per_item: int = 16, max_
     through; no repeated hash is ever missed. With ``min_count`` 1 it holds every hash: a plain Bloom filter.
     """
     n_bits = filter_bits(n_items, bits_per_item, max_bits)
-    parts = written(hashes.mapInArrow(_mark(n_bits, k, min_count), PARTS_SCHEMA), "filter")
+    parts = held(hashes.mapInArrow(_mark(n_bits, k, min_count), PARTS_SCHEMA))
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while n > FAN_IN:
         parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(_regroup, PARTS_SCHEMA)

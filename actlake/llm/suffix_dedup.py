@@ -26,7 +26,7 @@ from .suffix_sort import repeated_starts
 CHUNK_BYTES = 1 << 20
 COLLAPSE_ROWS = 1_000_000
 #: Bytes of segments in one suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 _LOW = np.uint64(127)
 
 
@@ -104,6 +104,10 @@ def _collapse(rows: list[tuple], length: int) -> pa.RecordBatch:
     doc, uid, start, size, h, digest = (np.concatenate(x) for x in zip(*rows, strict=True))
     both = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ digest)
     order = np.lexsort((start, uid, doc, both))
+    # rows that repeat id and text are one document: their segments coincide
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (doc, uid, start, h, digest)], axis=0)
+    order = order[new]
     doc, uid, start, size, h, digest, both = (x[order] for x in (doc, uid, start, size, h, digest, both))
     first = np.ones(len(doc), bool)
     first[1:] = (both[1:] != both[:-1]) | (h[1:] != h[:-1]) | (digest[1:] != digest[:-1])
@@ -260,14 +264,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     grams = src.mapInArrow(_least_grams(length), "h long")
     filt = repeat_filter(grams, 2 * total // (w + 1) + 1, k=1)
     rows = written(src.mapInArrow(_maybe_repeated(length, filt), "h long, digest long, doc long, uid long, a long, z long"), "segments")
+    n = 2 * total // (w + 1)  # segments, about
     spans = rows.filter("digest is null").select("uid", "a", "z")
     # at most one row of a segment comes from each collapsed piece of a task
     one = W.partitionBy("h", "digest").orderBy("doc", "uid", "a")
-    ranked = written(rows.filter("digest is not null").withColumn("copy", F.row_number().over(one)).drop("digest"), "ranked")
+    ranked = written(rows.filter("digest is not null").withColumn("copy", F.rank().over(one)).drop("digest"), "ranked", n)
     spans = spans.unionByName(ranked.filter("copy > 1").select("uid", "a", "z"))
-    first = ranked.filter("copy = 1").drop("copy")
+    first = ranked.filter("copy = 1").drop("copy").dropDuplicates(["h", "uid", "a"])
     several = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    mixed = written(first.join(several.select("h"), "h", "left_semi"), "mixed")
+    mixed = written(first.join(several.select("h"), "h", "left_semi"), "mixed", n)
     keys = mixed.select(F.shiftleft("uid", 24).bitwiseXOR(F.col("a")).alias("key"))
     want = repeat_filter(keys, mixed.count(), min_count=1)
     texts = src.mapInArrow(_segment_texts(length, want), "uid long, a long, segment binary").dropDuplicates(["uid", "a"])
