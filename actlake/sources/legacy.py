@@ -36,7 +36,7 @@ from ..config import require_empty
 from ..functions.text import LAYER_FILE, SCALE_FILE, json_row
 from ..operators.layout import index_offsets, manifest as manifest_of, sequence_lengths
 from ..operators.verify import resolve_duplicates
-from ..session import qualified
+from ..session import qualified, stored
 from .shards import read_index, read_manifest
 
 FORMAT = "actlake_legacy"
@@ -357,5 +357,6 @@ def append_legacy(acts: DataFrame, root: str, model: str, d_model: int, dtype: s
     seqs = sequence_lengths(acts, KEY).withColumn("append_ord", F.struct(*order_cols))
     index = index_offsets(seqs, "append_ord", partition=("shard", "layer"), prior_end=ends)
     names = ["shard", *INDEX_COLS]
+    index = stored(index, "append-index")  # the files it is derived from are about to be replaced
     both = old.select(*names).unionByName(index.select(*names)).join(index.select("shard").distinct(), "shard", "left_semi")
-    export_legacy(acts, index, manifest_of(both, model, d_model, dtype), root, reopen=True)
+    export_legacy(acts, index, stored(manifest_of(both, model, d_model, dtype), "append-manifest"), root, reopen=True)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actlake.config import GuardError, RunConfig, check_layers_in_data
+from actlake.functions.codec import encode_activations
 from actlake.operators import arch as A
 from actlake.operators.compare import run_slice
 from actlake.operators.demux import batch_metadata
@@ -13,7 +14,6 @@ from actlake.operators.verify import resolve_duplicates
 from actlake.plans import extraction as X
 from actlake.sinks import tables as K
 from actlake.sources import fixtures as fx
-from actlake.streaming.ingest import dedup_stream
 
 from .conftest import SF
 
@@ -29,12 +29,12 @@ def test_plan_meta_and_marker_writers(spark, tmpdir_fresh):
     assert spark.read.json(os.path.join(tmpdir_fresh, "runs")).first().layers == [16, 32]
     s = spark.read.json(os.path.join(tmpdir_fresh, "summary")).first()
     assert s.total_tokens == 6 and s.tok_per_s == 3.0
-    markers = K.replica_markers(fx.capture_batches(spark, SF), cfg).collect()
+    markers = K.replica_markers(fx.capture_batches(spark, SF), cfg, 64).collect()
     assert sorted(r.dp_rank for r in markers) == [0, 1] and markers[0].tp_size == 4
 
 
 def test_write_by_replica(spark, tmpdir_fresh):
-    rows = fx.replica_rows(spark, SF).withColumn("run_id", F.lit("r")).withColumn("completion_idx", F.lit(0))
+    rows = fx.replica_rows(spark, SF)
     K.write_by_replica(rows, os.path.join(tmpdir_fresh, "rep"))
     assert {"dp_rank=0", "dp_rank=1"} <= set(os.listdir(os.path.join(tmpdir_fresh, "rep")))
 
@@ -95,16 +95,18 @@ def test_resolve_duplicates_policies(spark):
     assert resolve_duplicates(idx, policy="last").first().start == 5
 
 
-def test_stream_dedup(spark, tmpdir_fresh):
-    src = os.path.join(tmpdir_fresh, "rep")
-    fx.replica_rows(spark, SF).withColumn("run_id", F.lit("r")).withColumn("completion_idx", F.lit(0)) \
-        .repartition(3).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = dedup_stream(s).writeStream.format("memory").queryName("dedup_t").trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    n = spark.sql("select count(*) c from dedup_t").first().c
-    assert n == fx.token_base(spark, SF).count()
+def test_replicas_are_resolved_when_the_run_is_written(spark, tmpdir_fresh):
+    """Two replicas captured even prompts' rollout 0; one copy of each token stays, the lower replica's."""
+    rows = fx.replica_rows(spark, SF).withColumn("batch_id", F.lit(1).cast("long"))
+    acts = encode_activations(rows, "bfloat16", d_model=64)
+    K.write_activations(acts, os.path.join(tmpdir_fresh, "acts"), 64, 2, validate=False, dedup=True)
+    back = spark.read.parquet(os.path.join(tmpdir_fresh, "acts"))
+    keys = ["run_id", "layer", "prompt_id", "completion_idx", "token_pos"]
+    assert back.count() == rows.select(*keys).distinct().count() < rows.count()
+    assert back.where("prompt_id % 2 = 0 and dp_rank = 1").count() == 0
+    K.check_unique_keys(back)
+    with pytest.raises(GuardError):
+        K.check_unique_keys(acts)
 
 
 def test_batch_metadata_orders_sequences(spark):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from actlake.catalog import QUERIES
 from actlake.functions.codec import encode_activations
 from actlake.sinks.tables import write_activations
 from actlake.sources import fixtures as fx
@@ -13,21 +14,22 @@ from actlake.sources.shards import read_sequence
 
 from .conftest import SF
 
-WRITES = {"stream_ingest", "legacy_roundtrip"}
+WRITES = {"stream_ingest", "legacy_roundtrip", "doc_compare_metrics"}
+JOBS = {n for n, e in QUERIES.items() if e.build.__module__.endswith(".q_jobs")}
 
 
 def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - WRITES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES - JOBS))
 def test_no_nested_loop_or_cartesian(spark, name):
     p = plan_text(E.queries()[name](spark, SF))
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p, p
 
 
 @pytest.mark.parametrize("name", ["run_diff", "steer_apply", "quant_int8", "arch_residual", "zero_ranges",
-                                  "demux_vectors", "plan", "index_offsets", "layer_filter"])
+                                  "demux_vectors", "plan", "layer_filter"])
 def test_vector_maths_stays_native(spark, name):
     p = plan_text(E.queries()[name](spark, SF))
     for node in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "FlatMapGroupsInPandas"):
