@@ -123,10 +123,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/actlake/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/actlake/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table this application has written under ``scratch_path``. Results that still read them
+    must have been written or collected before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    p.getFileSystem(conf).delete(p, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
