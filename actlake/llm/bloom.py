@@ -21,6 +21,8 @@ from .hashing import mix
 
 SLICE_BITS = 1 << 20
 FAN_IN = 64
+#: Hashes that a task marks at a time.
+MARK_HASHES = 500_000
 PARTS_SCHEMA = "slice int, part long, once binary, twice binary"
 
 
@@ -54,10 +56,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _mark(n_bits: int, k: int, min_count: int):
-    def run(batches):
-        got = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches if b.num_rows]
-        if not got:
-            return
+    def marks(got):
         cell, times = np.unique(cells(np.concatenate(got), n_bits, k).ravel(), return_counts=True)
         part = TaskContext.get().partitionId()
         ends = np.searchsorted(cell, np.arange(0, n_bits + 1, SLICE_BITS, dtype=np.uint64))
@@ -67,6 +66,18 @@ def _mark(n_bits: int, k: int, min_count: int):
             yield pa.RecordBatch.from_pydict({
                 "slice": pa.array([s], pa.int32()), "part": pa.array([part], pa.int64()),
                 "once": pa.array([_pack(at[~t])], pa.binary()), "twice": pa.array([_pack(at[t])], pa.binary())})
+
+    def run(batches):
+        got, held_rows = [], 0
+        for b in batches:
+            if b.num_rows:
+                got.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                held_rows += b.num_rows
+            if held_rows >= MARK_HASHES:  # pieces of one task merge like those of several
+                yield from marks(got)
+                got, held_rows = [], 0
+        if got:
+            yield from marks(got)
     return run
 
 

@@ -1,11 +1,13 @@
 """Grouped prefix join: documents whose word-shingle sets have a Jaccard similarity of at least t.
 
 A document's set is ordered by one global order (shingles that are frequent among
-first prefixes come last, all others by hash). Two sets that link share a shingle
-in their prefixes of n - ceil(t n) + 1 shingles. Documents with equal sets form a
+first prefixes come last, all others by hash). Two sets that link share m
+shingles in their prefixes of n - ceil(t n) + m shingles; m grows with the size
+n, so that long documents must share many. Documents with equal sets form a
 class; classes with the same size and the same prefix form a group, so the inverted index
-holds groups. Group pairs are filtered by size and by a 256-bit parity sketch,
-expanded to member pairs, filtered again, and verified by exact intersection.
+holds groups. Group pairs are filtered by size, by a 256-bit parity sketch and by
+the number of shared prefix shingles, expanded to member pairs, filtered again, and
+verified by exact intersection.
 
 The join works in two rounds. Round one tries every group against one hub per list and every
 member against its group's hub; what links becomes one component. Round two pairs
@@ -20,11 +22,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bloom import repeat_filter
-from .common import connected_components, written
+from .common import connected_components, held, written
 from .hashing import batch_bytes, hash_words, shingles
 
 #: A shingle that more prefixes hold goes to the end of the order; at least this, and so many
@@ -32,13 +35,24 @@ from .hashing import batch_bytes, hash_words, shingles
 HOT_PREFIXES = 64
 HOT_LIST = 1_000_000
 #: Bytes of text that one numpy pass takes at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
+#: One shared prefix shingle more is asked for every so many shingles of a set.
+SHARE_STEP = 64
+#: A set, and a prefix, are as large as so many narrow rows.
+SET_ROWS, PREFIX_ROWS = 100, 16
 SKETCH = ["b0", "b1", "b2", "b3"]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets) in pieces of whole texts of about CHUNK_BYTES."""
+def _chunks(batches: Iterator[pa.RecordBatch], only=None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, bytes, offsets) in pieces of whole texts of about CHUNK_BYTES.
+
+    With ``only``, a filter of ids, the texts of other ids are passed over; null ids are kept.
+    """
     for b in batches:
+        if only is not None and b.num_rows:
+            ids = b.column(0)
+            keep = only.maybe_repeated(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            b = b.filter(pa.array(keep | ids.is_null().to_numpy(zero_copy_only=False)))
         raw, off = batch_bytes(b.column(1))
         at = 0
         while at < b.num_rows:
@@ -67,12 +81,16 @@ class Sets:
         return self.values[self.starts[i]:self.starts[i + 1]]
 
     def prefixes(self, t: tuple[int, int], hot: np.ndarray) -> list[np.ndarray]:
-        """The prefix of every document; hot holds the hot shingles by value, with their ranks in the order."""
-        size = self.n - -(-t[0] * self.n // t[1]) + 1
+        """The prefix of every document; hot holds the hot shingles by value, with their ranks in the order.
+        Also sets ``hot``, the number of hot shingles in each set."""
+        size = np.minimum(self.n, self.n - -(-t[0] * self.n // t[1]) + 1 + self.n // SHARE_STEP)
         if not len(hot):
+            self.hot = np.zeros(len(self.n), np.int64)
             return [self.of(i)[:size[i]] if self.n[i] else self.of(i) for i in range(len(self.n))]
         at = np.minimum(np.searchsorted(hot[0], self.values), len(hot[0]) - 1)
         is_hot, rank = hot[0][at] == self.values, hot[1][at]
+        upto = np.concatenate([[0], np.cumsum(is_hot)])
+        self.hot = upto[self.starts[1:]] - upto[self.starts[:-1]]
         out = []
         for i in range(len(self.n)):
             a, z = self.starts[i], self.starts[i + 1]
@@ -120,7 +138,8 @@ def _prefix_tokens(k, t, hot):
 
 
 def _documents(k, t, hot):
-    """(doc_id, n, cid, gid, sketch): the class and group of every document."""
+    """(doc_id, n, hot, cid, gid, sketch, prefix, least): size, hot shingles, class, group, prefix and two least shingles
+    of every document."""
     def run(batches):
         for ids, raw, off in _chunks(batches):
             s = Sets(raw, off, k)
@@ -128,55 +147,48 @@ def _documents(k, t, hot):
             cid = [s.digest(i) if s.n[i] else None for i in range(len(s.n))]
             gid = [_long(np.append(x, np.uint64(n)).tobytes()) for x, n in zip(p, s.n, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(s.n, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()),
-                 *(pa.array(x) for x in s.sketches())], ["doc_id", "n", "cid", "gid", *SKETCH])
+                [ids, pa.array(s.n, pa.int64()), pa.array(s.hot, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()),
+                 *(pa.array(x) for x in s.sketches()), _lists(p), _lists([s.of(i)[:2] for i in range(len(p))])],
+                ["doc_id", "n", "hot", "cid", "gid", *SKETCH, "prefix", "least"])
     return run
 
 
-def _postings(k, t, hot, filt):
-    """(token, gid, cid, n, sketch) for prefix shingles that may occur in another document."""
-    def run(batches):
-        for _, raw, off in _chunks(batches):
-            s = Sets(raw, off, k)
-            p = s.prefixes(t, _hot_arrays(hot))
-            if not p:
-                continue
-            tok = np.concatenate(p)
-            doc = np.repeat(np.arange(len(p)), [len(x) for x in p])
-            keep = filt.maybe_repeated(tok)
-            tok, doc = tok[keep], doc[keep]
-            has = np.unique(doc)
-            cid, gid = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-            for i in has:
-                cid[i] = s.digest(i)
-                gid[i] = _long(np.append(p[i], np.uint64(s.n[i])).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tok.view(np.int64)), pa.array(gid[doc]), pa.array(cid[doc]), pa.array(s.n[doc], pa.int64()),
-                 *(pa.array(x[doc]) for x in s.sketches())], ["token", "gid", "cid", "n", *SKETCH])
-    return run
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([len(x) for x in parts])
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def _wanted_sets(k, filt):
-    """(cid, tokens) of the classes the filter asks for, once a task."""
+def _in_filter(filt):
+    @F.pandas_udf("boolean")
+    def maybe(value: pd.Series) -> pd.Series:
+        return pd.Series(filt.maybe_repeated(value.to_numpy().view(np.uint64)))
+    return maybe
+
+
+def _wanted_sets(k, ids, classes):
+    """(cid, tokens) of the classes asked for, once a task: only texts with their ids are read."""
     def run(batches):
         sent: set[int] = set()
-        for _, raw, off in _chunks(batches):
+        for _, raw, off in _chunks(batches, ids):
             s = Sets(raw, off, k)
             cid = np.array([s.digest(i) if s.n[i] else 0 for i in range(len(s.n))], np.int64)
             cids, toks = [], []
-            for i in np.flatnonzero(filt.maybe_repeated(cid.view(np.uint64)) & (s.n > 0)):
+            for i in np.flatnonzero(classes.maybe_repeated(cid.view(np.uint64)) & (s.n > 0)):
                 if (c := int(cid[i])) not in sent:
                     sent.add(c)
                     cids.append(c)
-                    toks.append(s.of(i).view(np.int64))
+                    toks.append(s.of(i))
             if cids:
-                off32 = np.concatenate([[0], np.cumsum([len(x) for x in toks])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cids, pa.int64()), pa.ListArray.from_arrays(pa.array(off32), pa.array(np.concatenate(toks)))],
-                    ["cid", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), _lists(toks)], ["cid", "tokens"])
     return run
 
 
+def _share(n: Column) -> Column:
+    """Prefix shingles that a set of n shingles shares with any it links to, at least."""
+    return F.floor(n / SHARE_STEP) + 1
+
+
 def _close(a: str, b: str, t: tuple[int, int]) -> Column:
     """Sizes within the threshold: necessary for a link."""
     return (F.least(f"{a}.n", f"{b}.n") * t[1]) >= (F.greatest(f"{a}.n", f"{b}.n") * t[0])
@@ -185,8 +197,9 @@ def _close(a: str, b: str, t: tuple[int, int]) -> Column:
 def _alike(a: str, b: str, t: tuple[int, int]) -> Column:
     """Sketches differ in no more cells than a linked pair's shingles can: necessary for a link."""
     total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in SKETCH[1:]),
-                 F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+    differ = F.lit(0)
+    for w in SKETCH:
+        differ = differ + F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
     return differ <= total - 2 * F.ceil(total * t[0] / (t[0] + t[1]) - 1e-9)
 
 
@@ -202,14 +215,15 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     component. Rows with equal ids or repeated rows are each answered; a null id is passed over as
     a component's name unless the component has no other. Other columns are not read.
 
-    Equality of shingles and of sets is by 64-bit hashes. Texts are read four to five times and never shuffled;
-    only prefix postings that may be shared, and the sets of candidate pairs, are. Broadcast: the
-    hot list (at most HOT_LIST longs) and two filters (at most 32 MB each).
+    Equality of shingles and of sets is by 64-bit hashes. Texts are read twice, those of candidates
+    twice again, and never shuffled; only prefix postings that may be shared, and the sets of candidate pairs, are. Broadcast: the
+    hot list (at most HOT_LIST longs) and filters (at most 32 MB each).
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = written(src.mapInArrow(_prefix_tokens(k, t, None), "token long").groupBy("token").agg(F.count("*").alias("c"))
-                     .filter(f"c > {HOT_PREFIXES}"), "prefix-counts")
+    n_docs = src.count()
+    counts = held(src.mapInArrow(_prefix_tokens(k, t, None), "token long").groupBy("token").agg(F.count("*").alias("c"))
+                  .filter(f"c > {HOT_PREFIXES}"))
     # each listed shingle has over `least` of at most sum(c) prefix rows
     listed, rows = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     least = HOT_PREFIXES if listed <= HOT_LIST else max(HOT_PREFIXES, rows // HOT_LIST)
@@ -220,61 +234,81 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
         order = np.argsort(tokens)
         hot = spark.sparkContext.broadcast((tokens[order], order.astype(np.int64)))
 
-    own = written(src.mapInArrow(_documents(k, t, hot), "doc_id long, n long, cid long, gid long, b0 long, b1 long, "
-                                 "b2 long, b3 long"), "sets")
-    n_prefix = own.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * t[0] / t[1]) + 1), F.lit(0))).first()[0]
-    filt = repeat_filter(src.mapInArrow(_prefix_tokens(k, t, hot), "token long"), int(n_prefix), k=1)
-    post = src.mapInArrow(_postings(k, t, hot, filt), "token long, gid long, cid long, n long, b0 long, b1 long, b2 long, b3 long")
-    post = written(post.groupBy("token", "gid").agg(
-        F.min("cid").alias("cid"), F.max("cid").alias("last_cid"), F.first("n").alias("n"),
-        *(F.first(w).alias(w) for w in SKETCH)).withColumn("single", F.expr("cid = last_cid")).drop("last_cid"), "postings")
-    classes = written(own.filter("n > 0").groupBy("cid").agg(
-        F.first("gid").alias("gid"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in SKETCH)), "classes")
-
-    # Round one: hubs. Sizes of one bucket differ by a factor of at most 1 / t.
+    own = written(src.mapInArrow(_documents(k, t, hot), "doc_id long, n long, hot long, cid long, gid long, b0 long, b1 long, "
+                                 "b2 long, b3 long, prefix array<long>, least array<long>"), "sets")
+    rows = own.filter("n > 0")
+    sketch = [F.first(w).alias(w) for w in SKETCH]
+    classes = written(rows.groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("hot").alias("hot"), *sketch), "classes", n_docs)
+    # a group of one document goes through as it is; only possibly repeated groups shuffle
+    again = repeat_filter(rows.select("gid"), n_docs)
+    cols = ["gid", "cid", "n", "hot", "prefix", "least", *SKETCH]
+    several = written(rows.filter(_in_filter(again)("gid")).groupBy("gid").agg(
+        F.min("cid").alias("cid"), F.max("cid").alias("last"), *(F.first(c).alias(c) for c in cols[2:])), "groups", PREFIX_ROWS * n_docs // 4)
+    groups = rows.filter(~_in_filter(again)("gid")).select(*cols, F.lit(True).alias("single")).unionByName(
+        several.select(*cols, F.expr("cid = last").alias("single")))
+    n_prefix = groups.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    filt = repeat_filter(groups.select(F.explode("prefix").alias("token")), int(n_prefix), k=2)
+
+    # Round one: hubs. In a group, and among groups of near sizes (buckets within a factor of 1 / t) that share one of their
+    # two least shingles, as similar sets mostly do. The set with the most hot shingles is the hub: near copies resemble their
+    # original more than each other. A guess, which only spares work: round two misses nothing.
     bucket = F.floor(F.log("n") / F.lit(float(np.log(t[1] / t[0])))).alias("bucket")
-    hubs = classes.groupBy("gid").agg(F.min("cid").alias("hub"), F.count("*").alias("m")).filter("m > 1")
+    typical = F.max_by("cid", F.struct(F.col("hot") / F.col("n"), F.col("cid")))
+    hubs = classes.groupBy("gid").agg(typical.alias("hub"), F.count("*").alias("m")).filter("m > 1")
     in_group = classes.alias("a").join(hubs.alias("h"), F.expr("a.gid = h.gid")).filter("a.cid <> h.hub") \
         .select(F.col("a.cid").alias("a"), F.col("h.hub").alias("b"))
-    lists = post.select("*", bucket)
-    heads = lists.groupBy("token", "bucket").agg(F.min("cid").alias("cid"), F.count("*").alias("m")).filter("m > 1")
-    heads = heads.join(lists.select("token", "bucket", "cid", "n", *SKETCH), ["token", "bucket", "cid"])
+    lists = groups.select(F.explode("least").alias("token"), bucket, "cid", "n", "hot", *SKETCH)
+    heads = lists.groupBy("token", "bucket").agg(typical.alias("cid"))
+    heads = heads.join(lists, ["token", "bucket", "cid"]).withColumn("bucket", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")))
     stars = lists.alias("a").join(heads.alias("b"), F.expr("a.token = b.token and a.bucket = b.bucket")) \
         .filter(F.expr("a.cid <> b.cid") & _close("a", "b", t) & _alike("a", "b", t)) \
         .select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
-    tried = written(_pairs(in_group.unionByName(stars)), "star-pairs")
-    links = written(_verify(src, tried, k, t), "links-1")
-    comps = written(connected_components(links), "comps-1")
+    tried = written(_pairs(in_group.unionByName(stars)), "star-pairs", n_docs)
+    links = written(_verify(src, own, tried, k, t), "links-1", n_docs)
+    comps = connected_components(links)
 
     # Round two: what lies between different components.
     member = written(classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-                     .withColumn("comp", F.coalesce("comp", "cid")), "members")
-    group = member.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("last"), F.count("*").alias("m"))
-    mixed = group.filter("comp <> last")
-    inner = member.join(mixed.select("gid"), "gid", "left_semi")
-    within = _between(inner, inner, "gid", t, F.lit(True))
-    # A group of several components is its own component here: it can never be left out.
-    gcomp = group.select("gid", F.when(F.expr("comp = last"), F.col("comp")).alias("comp"))
-    lists = written(post.join(gcomp, "gid"), "lists")
-    pairs = _between(lists, lists, "token", t, F.expr("not (a.single and b.single)"))
-    pairs = pairs.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).filter("ga <> gb").distinct()
-    across = pairs.join(member.alias("a"), F.expr("ga = a.gid")).join(member.alias("b"), F.expr("gb = b.gid")) \
+                     .withColumn("comp", F.coalesce("comp", "cid")), "members", n_docs)
+    group = member.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("last"), F.max(F.expr("comp <> cid")).alias("moved"))
+    inner = member.join(group.filter("comp <> last").select("gid"), "gid", "left_semi")
+    within = _between(inner, "gid", t, F.lit(True)).select("a", "b")
+    # A group goes by its least class; one of several components is its own component here and can never be left out.
+    # A group of one class that no link has moved is its own component and needs no row here.
+    linked = group.filter("moved or comp <> last").select("gid", F.expr("comp <> last").alias("mixed"), F.col("comp").alias("whole"))
+    lists = groups.select("gid", "cid", "n", "single", F.explode("prefix").alias("token"), *SKETCH) \
+        .filter(_in_filter(filt)("token")).join(linked, "gid", "left") \
+        .withColumn("comp", F.when(F.col("mixed"), F.lit(None)).otherwise(F.coalesce("whole", "cid"))).drop("gid", "mixed", "whole")
+    # lists of one component have no pairs: what is left is told by a filter and exact in the join
+    held_by = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("c"))
+    mixed = held(held_by.filter("lo < hi or (k < c and c > 1)").select("token"))
+    open_lists = repeat_filter(mixed, mixed.count(), min_count=1)
+    lists = lists.filter(_in_filter(open_lists)("token"))
+    pairs = written(_between(lists, "token", t, F.expr("a.single and b.single")).groupBy("a", "b")
+                    .agg(F.count("*").alias("c"), F.min("n").alias("n"), F.first("plain").alias("plain"))
+                    .filter(F.col("c") >= _share(F.col("n"))).select("a", "b", "plain"), "group-pairs", n_docs)
+    # groups of one class are classes already, and have been compared as such; only others are expanded
+    of_group = member.select("cid", "gid")
+    wide = pairs.filter("not plain").join(of_group.toDF("a", "ga"), "a").join(of_group.toDF("b", "gb"), "b").select("ga", "gb")
+    across = wide.join(member.alias("a"), F.expr("ga = a.gid")).join(member.alias("b"), F.expr("gb = b.gid")) \
         .filter(F.expr("a.comp <> b.comp") & _close("a", "b", t) & _alike("a", "b", t)) \
-        .select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
-    left = _pairs(within.select("a", "b").unionByName(across))
-    left = written(left.join(tried, ["a", "b"], "left_anti"), "pairs-2")
-    more = written(_verify(src, left, k, t), "links-2")
+        .select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).unionByName(pairs.filter("plain").select("a", "b"))
+    left = written(_pairs(within.unionByName(across)).join(tried, ["a", "b"], "left_anti"), "pairs-2", n_docs)
+    more = written(_verify(src, own, left, k, t), "links-2", n_docs)
+    # the components themselves are the nodes now
+    of = member.select("cid", "comp")
+    merged = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    comps = connected_components(merged).toDF("comp", "whole")
     links = links.unionByName(more)
-    comps = connected_components(links)
 
     degree = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))) \
         .groupBy("cid").agg(F.count("*").alias("n_links"))
-    label = classes.select("cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left") \
-        .join(degree, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    first_id = own.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"))
-    label = written(label.join(first_id, "cid"), "labels")
+    first_id = rows.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
+    label = of.join(comps, "comp", "left").join(degree, "cid", "left").join(first_id, "cid").select(
+        "cid", "first_id", F.coalesce("whole", "comp").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    label = written(label, "labels", n_docs)
     label = label.join(label.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("cid", "component_id", "n_links")
-    return own.join(label, "cid", "left").select(
+    return own.select("doc_id", "n", "cid").join(label, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("cid").alias("class_id"))
 
@@ -283,30 +317,38 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _between(every: DataFrame, some: DataFrame, key: str, t: tuple[int, int], loose: Column) -> DataFrame:
-    """Pairs (a, b; their groups ga, gb) of one list with different components.
+def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column) -> DataFrame:
+    """Pairs (a, b, n, plain) of classes in one list of ``key`` with different components, once a list; n is the smaller size.
 
-    Each list's most frequent component is not paired with itself: one side leaves
-    it out. A null component (a mixed group) differs from all. ``loose`` says when the sketch cannot be used.
+    Each list's most frequent component is not paired with itself: one side leaves it out, and lists of a single component
+    give nothing. A null component (a mixed group) differs from all. ``plain`` says when both stand for one class, so
+    that their sketches can be compared.
     """
-    by_comp = some.filter("comp is not null").groupBy(key, "comp").agg(F.count("*").alias("m"))
+    by_comp = rows.filter("comp is not null").groupBy(key, "comp").agg(F.count("*").alias("m"))
     top = by_comp.groupBy(key).agg(F.max(F.struct("m", "comp")).alias("top")).select(key, F.col("top.comp").alias("top"))
-    rest = some.join(top, key, "left").filter("comp is null or not (comp <=> top)")
-    use_sketch = _alike("a", "b", t)
-    if key == "token":
-        use_sketch = loose | use_sketch
-    return every.alias("a").join(rest.alias("b"), F.expr(f"a.{key} = b.{key}") & F.expr(
-        "a.cid <> b.cid and (a.comp is null or b.comp is null or a.comp <> b.comp)") & _close("a", "b", t) & use_sketch) \
-        .select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"), F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"))
+    rest = rows.join(top, key, "left").filter("comp is null or not (comp <=> top)")
+    # two classes of the rest meet twice; the smaller one leads
+    once = F.expr("(a.comp is not null and a.comp <=> b.top) or a.cid < b.cid")
+    return rows.alias("a").join(rest.alias("b"), F.expr(f"a.{key} = b.{key}") & F.expr(
+        "a.cid <> b.cid and (a.comp is null or b.comp is null or a.comp <> b.comp)") & once & _close("a", "b", t)
+        & (~plain | _alike("a", "b", t))) \
+        .select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b"), F.least("a.n", "b.n").alias("n"),
+                plain.alias("plain"))
 
 
-def _verify(src: DataFrame, pairs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
+def _verify(src: DataFrame, own: DataFrame, pairs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
     """The pairs that link, by exact intersection of their sets."""
     asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    # one document of each class; its text is read again
+    few = pairs.count()
+    asked = written(own.select("cid", "doc_id").join(asked, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")),
+                    "asked", 2 * few)
     n = asked.count()
-    filt = repeat_filter(asked, n, min_count=1)
-    sets = src.mapInArrow(_wanted_sets(k, filt), "cid long, tokens array<long>")
-    sets = written(sets.join(asked, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens")), "wanted-sets")
+    classes = repeat_filter(asked.select("cid"), n, min_count=1)
+    ids = repeat_filter(asked.select("doc_id").filter("doc_id is not null"), n, min_count=1)
+    sets = src.mapInArrow(_wanted_sets(k, ids, classes), "cid long, tokens array<long>")
+    sets = written(sets.join(asked, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens")), "wanted-sets",
+                   SET_ROWS * n)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a") \
         .join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
