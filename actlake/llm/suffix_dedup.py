@@ -44,7 +44,15 @@ class Cutter:
     def __init__(self, length: int):
         self.length = length
         self.k, self.w = _geometry(length)
-        self.pow = self.inv = np.zeros(0, np.uint64)
+        self._tables(CHUNK_BYTES)
+
+    def _tables(self, n: int) -> None:
+        """Powers, block starts and places in a block for up to n bytes."""
+        self.n = n
+        self.pow, self.inv = powers(BASE, n + 1), powers(BASE_INV, n + 1)
+        at = np.arange(n + self.w)
+        self.block = at // self.w * self.w
+        self.place = (at - self.block).astype(np.uint64)
 
     def segments(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, first window, last window, least k-gram, digest); window starts are within ``raw``."""
@@ -52,33 +60,39 @@ class Cutter:
         empty = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
         if n < length:
             return empty
-        if len(self.pow) <= n:
-            self.pow, self.inv = powers(BASE, 2 * n), powers(BASE_INV, 2 * n)
+        if n > self.n:
+            self._tables(2 * n)
         pre = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_VALUE[raw] * self.pow[:n], out=pre[1:])
-        grams = mix((pre[k:] - pre[:-k]) * self.inv[:n - k + 1])
-        m = -(-len(grams) // w) * w
+        count = n - k + 1
+        m = -(-count // w) * w
         packed = np.full(m, np.uint64(2**64 - 1))
-        packed[:len(grams)] = (grams & ~_LOW) | (np.arange(len(grams), dtype=np.uint64) % np.uint64(w))
+        grams = packed[:count]
+        np.subtract(pre[k:], pre[:-k], out=grams)
+        grams *= self.inv[:count]
+        grams[:] = mix(grams)
+        grams &= ~_LOW
+        grams |= self.place[:count]
         blocks = packed.reshape(-1, w)
-        pre_min = np.minimum.accumulate(blocks, axis=1).ravel()
-        suf_min = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        at = np.arange(n - length + 1)
-        left, right = suf_min[:len(at)], pre_min[w - 1:w - 1 + len(at)]
-        use_left = (left >> np.uint64(7)) <= (right >> np.uint64(7))
+        windows = n - length + 1
+        left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:windows]
+        right = np.minimum.accumulate(blocks, axis=1).ravel()[w - 1:w - 1 + windows]
+        use_left = (left | _LOW) <= (right | _LOW)
         least = np.where(use_left, left, right)
-        pos = np.where(use_left, at, at + (w - 1)) // w * w + (least & _LOW).astype(np.int64)
-        doc = np.searchsorted(off, at, "right") - 1
-        inside = at + length <= off[doc + 1]
-        cut = np.ones(len(at), bool)
-        cut[1:] = (pos[1:] != pos[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+        pos = np.where(use_left, self.block[:windows], self.block[w - 1:w - 1 + windows])
+        pos += (least & _LOW).astype(np.int64)
+        cut = np.ones(windows, bool)
+        np.not_equal(pos[1:], pos[:-1], out=cut[1:])
+        edges = np.concatenate([off[:-1], off[1:] - length + 1])  # where a document, or what is left of it, begins
+        cut[edges[(edges >= 0) & (edges < windows)]] = True
         first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(at)) - 1
-        keep = inside[first]
-        first, last = first[keep], last[keep]
+        last = np.append(first[1:], windows) - 1
+        doc = np.searchsorted(off, first, "right") - 1
+        keep = first + length <= off[doc + 1]
+        first, last, doc = first[keep], last[keep], doc[keep]
         end = last + length
         digest = mix((pre[end] - pre[first]) * self.inv[first] + (end - first).astype(np.uint64))
-        return doc[first], first, last, least[first] >> np.uint64(7), digest
+        return doc, first, last, least[first] >> np.uint64(7), digest
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
