@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .bloom import RepeatFilter, repeat_filter
-from .common import join_stats, row_uid, written
+from .common import held, join_stats, row_uid
 
 #: Characters that normalisation deletes: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -46,9 +46,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = docs.select(F.xxhash64(norm).alias("h"))
     n = docs.count()
     filt = repeat_filter(hashed, n, bits_per_row, max_bits)
-    rows = written(docs.select(
+    rows = held(docs.select(
         F.col(id_col).alias("doc_id"), row_uid().alias("uid"), F.length(text).alias("len"),
-        F.sha2(norm, 256).alias("text_sha256"), _flag(filt)(F.xxhash64(norm)).alias("maybe")), "exact")
+        F.sha2(norm, 256).alias("text_sha256"), _flag(filt)(F.xxhash64(norm)).alias("maybe")))
     alone = rows.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_uid, written
+from .common import held, row_uid, written
 
 #: Items per shard that small groups are bundled into, at most.
 GRAIN = 64
@@ -190,10 +190,10 @@ def shard_groups(docs: DataFrame, n_shards: int | None = None, capacity: int | N
     if n_shards is not None and not 1 <= n_shards <= CELL_SHARDS:
         raise ValueError(f"n_shards must be 1 to {CELL_SHARDS}; use capacity for more")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = written(docs.select(
+    rows = held(docs.select(
         F.col(id_col).alias("doc_id"), row_uid().alias("uid"), (F.octet_length(text).cast("long") + ROW_OVERHEAD).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group")), "shard-rows")
-    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group")))
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups", rows.count())
     n, total = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     per_shard = max(1, -(-total // n_shards) if n_shards else capacity)
     cells = 1 if n_shards else max(1, -(-total // (per_shard * CELL_SHARDS)))
@@ -207,7 +207,7 @@ def shard_groups(docs: DataFrame, n_shards: int | None = None, capacity: int | N
             F.concat(F.lit("b"), F.pmod(spread, F.lit(bundles)).cast("string"))).alias("item"))
     items = groups.groupBy("cell", "item").agg(F.sum("bytes").alias("bytes"))
     packed = written(items.groupBy("cell").applyInPandas(_packer(capacity, n_shards), "cell long, item string, bin long"),
-                     "shard-bins")
+                     "shard-bins", cells * bundles)
     # one row per shard cell: at most (number of shards) / CELL_SHARDS + 1 rows
     used = packed.groupBy("cell").agg((F.max("bin") + 1).alias("n")).orderBy("cell").collect()
     first, at = [], 0
@@ -222,7 +222,7 @@ def shard_groups(docs: DataFrame, n_shards: int | None = None, capacity: int | N
     heavy_rows = rows.join(F.broadcast(heavy.select("group", "shard")) if cells == 1 else heavy.select("group", "shard"), "group")
     light_rows = rows.join(light, "group")
     out = written(heavy_rows.unionByName(light_rows).withColumn(
-        "piece", F.pmod(F.xxhash64("uid"), F.lit(max(1, n // (SLOT_ROWS * max(1, at)))))), "sharded")
+        "piece", F.pmod(F.xxhash64("uid"), F.lit(max(1, n // (SLOT_ROWS * max(1, at)))))), "sharded", n)
     from pyspark.sql import Window as W
     sizes = out.groupBy("shard", "piece").agg(F.count("*").alias("c"))
     before = sizes.select("shard", "piece", (F.sum("c").over(W.partitionBy("shard").orderBy("piece")) - F.col("c")).alias("before"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import written
+from .common import held
 
 #: Header fields that a 304 response may update (fixed by the HTTP standard).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -32,8 +32,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def _lower_names(headers: Column) -> Column:
-    """Header map with lower-case names; of names that differ in case only the first stays. Null is empty."""
-    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    """Header map with lower-case names; of names that differ in case only the least stays. Null is empty."""
+    entries = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     names = F.transform(entries, lambda e: e["key"])
     first = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
     return F.coalesce(F.map_from_entries(first), F.create_map().cast("map<string,string>"))
@@ -63,7 +63,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     r = r.filter(((F.col("status") == 200) & F.col("full")) | is_revisit)
     placed = r.filter("u is not null and ts is not null")
     lost = r.filter("(u is null or ts is null) and not full")
-    dealt = written(placed.repartitionByRange("u", "ts", "record_id").withColumn("part", F.spark_partition_id()), "captures")
+    dealt = held(placed.repartitionByRange("u", "ts", "record_id").withColumn("part", F.spark_partition_id()))
     response = F.struct(F.col("record_id").alias("id"), F.col("headers").alias("headers"), F.col("payload_digest").alias("digest"))
     run = W.partitionBy("part", "u").orderBy("ts", "record_id").rowsBetween(W.unboundedPreceding, -1)
     own = dealt.withColumn("own", F.last(F.when(F.col("full"), response), ignorenulls=True).over(run)).filter("not full")
