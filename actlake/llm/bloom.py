@@ -134,6 +134,6 @@ def repeat_filter(hashes: DataFrame, n_items: int, bits_per_item: int = 16, max_
     return RepeatFilter(hashes.sparkSession, bits, n_bits, k)
 
 
-def _regroup(key, table: pa.Table) -> pa.Table:
+def _regroup(key, table):  # without type hints: half of them would mislead applyInArrow
     out = _merge(table)
     return out.set_column(1, "part", pa.array([int(key[1].as_py())], pa.int64()))

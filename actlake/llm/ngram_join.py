@@ -243,9 +243,9 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     again = repeat_filter(rows.select("gid"), n_docs)
     cols = ["gid", "cid", "n", "hot", "prefix", "least", *SKETCH]
     several = written(rows.filter(_in_filter(again)("gid")).groupBy("gid").agg(
-        F.min("cid").alias("cid"), F.max("cid").alias("last"), *(F.first(c).alias(c) for c in cols[2:])), "groups", PREFIX_ROWS * n_docs // 4)
-    groups = rows.filter(~_in_filter(again)("gid")).select(*cols, F.lit(True).alias("single")).unionByName(
-        several.select(*cols, F.expr("cid = last").alias("single")))
+        F.min("cid").alias("cid"), F.max("cid").alias("last"), *(F.first(c).alias(c) for c in cols[2:])), "several", PREFIX_ROWS * n_docs // 4)
+    groups = written(rows.filter(~_in_filter(again)("gid")).select(*cols, F.lit(True).alias("single")).unionByName(
+        several.select(*cols, F.expr("cid = last").alias("single"))), "groups", PREFIX_ROWS * n_docs)
     n_prefix = groups.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     filt = repeat_filter(groups.select(F.explode("prefix").alias("token")), int(n_prefix), k=2)
 
@@ -276,14 +276,15 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     # A group goes by its least class; one of several components is its own component here and can never be left out.
     # A group of one class that no link has moved is its own component and needs no row here.
     linked = group.filter("moved or comp <> last").select("gid", F.expr("comp <> last").alias("mixed"), F.col("comp").alias("whole"))
-    lists = groups.select("gid", "cid", "n", "single", F.explode("prefix").alias("token"), *SKETCH) \
-        .filter(_in_filter(filt)("token")).join(linked, "gid", "left") \
-        .withColumn("comp", F.when(F.col("mixed"), F.lit(None)).otherwise(F.coalesce("whole", "cid"))).drop("gid", "mixed", "whole")
+    every = groups.select("gid", "cid", "n", "single", F.explode("prefix").alias("token"), *SKETCH)
+
+    def postings(kept) -> DataFrame:
+        return every.filter(_in_filter(kept)("token")).join(linked, "gid", "left").withColumn(
+            "comp", F.when(F.col("mixed"), F.lit(None)).otherwise(F.coalesce("whole", "cid"))).drop("gid", "mixed", "whole")
     # lists of one component have no pairs: what is left is told by a filter and exact in the join
-    held_by = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("c"))
+    held_by = postings(filt).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("c"))
     mixed = held(held_by.filter("lo < hi or (k < c and c > 1)").select("token"))
-    open_lists = repeat_filter(mixed, mixed.count(), min_count=1)
-    lists = lists.filter(_in_filter(open_lists)("token"))
+    lists = postings(repeat_filter(mixed, mixed.count(), min_count=1))
     pairs = written(_between(lists, "token", t, F.expr("a.single and b.single")).groupBy("a", "b")
                     .agg(F.count("*").alias("c"), F.min("n").alias("n"), F.first("plain").alias("plain"))
                     .filter(F.col("c") >= _share(F.col("n"))).select("a", "b", "plain"), "group-pairs", n_docs)
