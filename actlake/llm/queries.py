@@ -126,8 +126,8 @@ def op2_zstd_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_runs")
 def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of at least three lines that also start earlier, deleted from every document."""
-    return LD.remove_repeated_lines(documents(spark, sf_dir)).select(
+    """Runs of at least three lines, or of over 50 words, that also start earlier, deleted from every document."""
+    return LD.remove_repeated_lines(documents(spark, sf_dir), min_words=LD.MIN_WORDS).select(
         "doc_id", "n_lines", "n_removed", F.size("runs").cast("long").alias("n_runs"), "text")
 
 

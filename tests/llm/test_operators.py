@@ -168,6 +168,35 @@ def test_line_dedup(docs, empty):
     assert nulls and all(r["n_lines"] == 0 and r["n_removed"] == 0 for r in nulls)
 
 
+def test_line_dedup_counts_words(spark):
+    """A run of one or two lines goes if it has over min_words words; three lines go anyhow."""
+    rnd = random.Random(8)
+    passage = lambda n: " ".join(f"p{rnd.randrange(10**6)}" for _ in range(n))
+    one, a, b, half, short = passage(51), passage(30), passage(21), passage(50), passage(5)
+    texts = [f"x1\n{one}\nx2\n{a}\n{b}\nx3\n{half}\nx4\n{short}\nl1\nl2\nl3", f"y1\n{one}\ny2", f"{a}\n{b}\nz2", f"u1\n{half}\n{short}",
+             f"{b}\n{a}", f"l1\nl2\nl3\n{one}", f"{one}\n{one}", "字" * 400, "字" * 400, "字" * 200, "字" * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def weight(line):
+        return max(len(line.split()), len(line.encode()) // LD.WORD_BYTES)
+    for m in (1, 2, 3, 4):
+        seen, want = set(), {}
+        for d, t in enumerate(texts):
+            x = t.split("\n")
+            gone = [False] * len(x)
+            for i in range(len(x)):
+                for n in range(1, m + 1):
+                    run = tuple(x[i:i + n])
+                    if len(run) == n and (n == m or sum(map(weight, run)) > 50):
+                        gone[i:i + n] = [True] * n if run in seen else gone[i:i + n]
+                        seen.add(run)
+            want[d] = (sum(gone), "\n".join(w for w, g in zip(x, gone, strict=True) if not g))
+        got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in LD.remove_repeated_lines(df, m, min_words=50).collect()}
+        assert got == want
+        if m == 3:
+            assert [got[i][0] for i in range(11)] == [0, 1, 2, 0, 0, 4, 2, 0, 1, 0, 0]
+
+
 def test_sharding(docs, empty):
     got = SH.shard_groups(docs, n_shards=4).collect()
     assert len(got) == len(ROWS)
