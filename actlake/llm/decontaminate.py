@@ -4,7 +4,7 @@ The index is block-max: the items are cut into blocks, and every posting list ke
 weight of its term in each block. A passage's terms first add up to an upper bound for
 the whole index and for each block (the pivot test of WAND, done for all passages of a piece of
 text at once with numpy); only blocks whose bound reaches the threshold have their postings
-scored. Retrieved items are verified by word shingles of question and answer.
+scored. Retrieved items are verified by word shingles of question and answer, or of the two as one sequence.
 
 A weight is divided by the score that the item has against itself, so a score is the share of the
 item's own BM25 mass that a passage holds, and one threshold fits items of every length.
@@ -59,6 +59,8 @@ class Index:
     ids: list
     questions: list          # item -> shingle hashes
     answers: list
+    wholes: list             # item -> shingle hashes of question and answer in one sequence, by place
+    sides: list              # item -> words of the question, of the answer
     span: int                # words of the longest item
 
 
@@ -96,7 +98,10 @@ def build_index(items: list[tuple]) -> Index:
         return np.unique(shingles(hashes[ends[i] - n[i]:ends[i]], np.array([n[i]]), min(SHINGLE, max(1, int(n[i]))))[0])
     return Index(vocab, term_at, block[first], bound, np.append(first, len(tid)), doc, w, top, [ids[i] for i in keep],
                  [(int(min(SHINGLE, qn[i])), grams(qw, qn, qe, i)) for i in keep],
-                 [(int(min(SHINGLE, an[i])), grams(aw, an, ae, i)) for i in keep], int(lens.max()) if len(lens) else 1)
+                 [(int(min(SHINGLE, an[i])), grams(aw, an, ae, i)) for i in keep],
+                 [(min(SHINGLE, len(w)), shingles(w, np.array([len(w)]), min(SHINGLE, len(w)))[0]) for w in words],
+                 [(w[:qn[i]], w[qn[i]:]) for i, w in zip(keep, words, strict=True)],
+                 int(lens.max()) if len(lens) else 1)
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,6 +194,21 @@ def _search(index_var, threshold: float, overlap: float):
     return run
 
 
+def _edited(index: Index, item: int, held, overlap: float) -> bool:
+    """Whether question and answer as one sequence hold, and neither side is missing as a whole.
+
+    A side is there if a shingle of the sequence that touches it is held, or half of its words are.
+    """
+    k, want = index.wholes[item]
+    got = held(k, want)
+    if len(np.unique(want[got])) < (overlap - 1e-9) * len(np.unique(want)):
+        return False
+    q, a = index.sides[item]
+    at = np.arange(len(want))
+    return all(not len(side) or got[touch].any() or 2 * held(1, shingles(side, np.array([len(side)]), 1)[0]).sum() >= len(side)
+               for side, touch in ((q, at < len(q)), (a, at + k > len(q))))
+
+
 def _verified(index: Index, words, counts, threshold: float, overlap: float) -> list[tuple]:
     """The best passage of every text and item that verifies."""
     best: dict[tuple[int, int], tuple] = {}
@@ -197,16 +217,13 @@ def _verified(index: Index, words, counts, threshold: float, overlap: float) ->
     for text, passage, item, score in zip(*retrieve(index, words, counts, threshold), strict=True):
         a = ends[text] - counts[text] + passage * index.span
         z = min(int(ends[text]), int(a) + 2 * index.span)
-        shares = []
-        for k, want in (index.questions[item], index.answers[item]):
-            if not len(want):
-                shares.append(1.0)
-                continue
+        def held(k, want, a=a, z=z):
             have = grams.get((a, z, k))
             if have is None:
                 have = grams[(a, z, k)] = shingles(words[a:z], np.array([z - a]), k)[0]
-            shares.append(float(np.isin(want, have).mean()))
-        if min(shares) >= overlap - 1e-9:
+            return np.isin(want, have)
+        shares = [float(held(k, want).mean()) if len(want) else 1.0 for k, want in (index.questions[item], index.answers[item])]
+        if min(shares) >= overlap - 1e-9 or _edited(index, item, held, overlap):
             row = (int(text), int(item), int(passage), float(score), *shares)
             old = best.get(row[:2])
             if old is None or (sum(shares), -passage) > (old[4] + old[5], -old[2]):
@@ -221,7 +238,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     ``items``: item_id, question, answer. A leak is a passage whose BM25 score reaches
     ``threshold`` of the item's own and which holds at least ``overlap`` of the five-word shingles of
     the question and of the answer (a side with fewer words: its whole sequence; a side
-    without words holds). All items above the threshold are verified, none is cut off.
+    without words holds), or of the question with the answer after it as one sequence, of which neither
+    side may be missing as a whole: there a changed or missing word weighs the same wherever it stands. All items above the threshold are verified, none is cut off.
 
     Null or empty texts hold nothing; items with neither question nor answer words, like null ones, are left
     out; repeated rows and ids are each answered; empty tables give an empty result. Other columns are not read.

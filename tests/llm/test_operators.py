@@ -331,6 +331,27 @@ def test_decontamination(spark, docs, empty):
     assert DC.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_and_shortened_copies_are_leaks(spark):
+    """One changed word, anywhere, or missing last words leave a leak as long as 0.8 of the item's shingles are there."""
+    rnd = random.Random(12)
+    items = [(i, " ".join(f"q{rnd.randrange(900)}" for _ in range(27)), " ".join(f"a{rnd.randrange(900)}" for _ in range(9))) for i in range(6)]
+    rows, want = [], set()
+    fill = " ".join(f"f{rnd.randrange(900)}" for _ in range(50))
+    for i, q, a in items:
+        w = f"{q} {a}".split()
+        grams = lambda x: {tuple(x[p:p + 5]) for p in range(len(x) - 4)}
+        copies = [[*w[:p], "changed", *w[p + 1:]] for p in range(len(w))] + [w[:-n] for n in range(1, 12)] + [q.split(), a.split()]
+        for j, x in enumerate(copies):
+            d = 100 * i + j
+            rows.append((d, f"{fill} {' '.join(x)} . {fill}"))
+            if len(grams(w) & grams(x)) >= 0.8 * len(grams(w)):
+                want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]): r for r in DC.find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string, answer string")).collect()}
+    assert set(got) == want and len(want) > 6 * 36
+    assert any(r["answer_overlap"] < 0.8 for r in got.values()) and all(r["score"] >= 0.5 for r in got.values())
+
+
 def test_block_bounds_lose_nothing():
     """Retrieval equals scoring every item for every passage."""
     import numpy as np
