@@ -6,8 +6,8 @@ Feistel network whose round function is a keyed SHA-256. Equal values get equal
 document; different ones stay different; the result is valid again.
 
 | kind | valid if | domain |
-| card | 13-19 digits with a correct Luhn digit | the digits before the check digit, which is computed anew |
-| iban | correct mod-97 check digits | the digits of the account part, check digits computed anew |
+| card | 13-19 digits with a correct Luhn digit, whole blocks of a longer run too | the digits before the check digit, which is computed anew |
+| iban | correct mod-97 check digits, also in blocks parted by blanks | the digits of the account part, check digits computed anew |
 | ssn | area 001-899 but 666, group and serial not zero | 898 x (99 * 9999) |
 | phone | North American, area and exchange from 200 | 800 x 8,000,000, separators stay |
 | ipv4 | four octets without leading zeros | 65536 x 65536 |
@@ -28,8 +28,17 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "card": r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)",
 }
+#: Blocks of digits, or of capitals and digits after the head of an IBAN, parted by single blanks or hyphens. Cards and printed
+#: IBANs are looked for inside; a run ends where a value of a fixed format begins.
+_OTHER = "(?!" + "|".join(PATTERNS.values()) + ")"
+PATTERNS["run"] = (rf"(?<!\d)\d(?:\d|[ -]{_OTHER}\d){{12,}}+"
+                   rf"|(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?=(?:[ -]?[A-Z0-9]){{11}})(?:[ -]{_OTHER}[A-Z0-9]++(?![a-z]))++"
+                   r"|(?<!\d)\d(?:[ -]?\d){12,18}(?=@)")
+CARD = r"^\d(?:[ -]?\d){12,18}[ -]?$"
+PRINTED_IBAN = r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}[ -]?$"
+#: What follows a mailbox name, and no other value.
+AFTER_EMAIL = r"^@[A-Za-z0-9-]{1,63}\.[A-Za-z]"
 ANY = "|".join(PATTERNS.values())
 DATE_FORMS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}\.": "dd.MM.yyyy", r"^\d{2}/": "MM/dd/yyyy"}
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 270, 271
@@ -134,6 +143,58 @@ def _iban(m: Column, c: Cipher) -> Column:
     return F.when(ok, _let(new, checked)).otherwise(m)
 
 
+def _text(toks: Column, start, n) -> Column:
+    return F.array_join(F.slice(toks, start, n), "")
+
+
+def _tokens(m: Column) -> Column:
+    """The digits and the capitals of a run, each with the separator after it."""
+    return F.regexp_extract_all(m, F.lit(r"((?:\d+|[A-Z]+)[ -]?)"), F.lit(1))
+
+
+def _found_in(toks: Column) -> Column:
+    """Disjoint (size, at, n) ranges of tokens that are valid IBANs (first) or cards, the longest first, in their order."""
+    def ranges(tok, i):
+        at = i + 1
+        digits = tok.rlike(r"^\d")
+        starts = digits | (tok.rlike("^[A-Z]{2}$") & ((i == 0) | F.get(toks, i - 1).rlike("[ -]$")))
+        most = F.least(F.when(digits, 19).otherwise(34), F.size(toks) - i)
+
+        def one(n):
+            def known(x):
+                bare = F.regexp_replace(x, "[ -]", "")
+                ends = (at + n > F.size(toks)) | x.rlike("[ -]$")
+                iban = F.when(x.rlike(PRINTED_IBAN) & ends, mod97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substr(
+                    bare, F.lit(1), F.lit(4)))) == 1).otherwise(False)
+                card = F.when(x.rlike(CARD), luhn_sum(bare) % 10 == 0).otherwise(False)
+                # an IBAN is before every card
+                size = F.when(iban, -100 - F.length(bare)).when(card, -F.length(bare)).otherwise(0)
+                return F.struct(size.alias("size"), at.alias("at"), n.alias("n"))
+            return _let(_text(toks, at, n), known)
+        none = F.array().cast("array<struct<size: int, at: int, n: int>>")
+        return F.when(starts, F.filter(F.transform(F.sequence(F.lit(1), most), one), lambda r: r["size"] < 0)).otherwise(none)
+
+    def pick(done, r):
+        clash = F.exists(done, lambda d: (r["at"] < d["at"] + d["n"]) & (d["at"] < r["at"] + r["n"]))
+        return F.when(clash, done).otherwise(F.concat(done, F.array(F.struct(r["at"].alias("at"), r["n"].alias("n"), r["size"].alias("size")))))
+    none = F.array().cast("array<struct<at: int, n: int, size: int>>")
+    return F.array_sort(F.aggregate(F.array_sort(F.flatten(F.transform(toks, ranges))), none, pick))
+
+
+def _run(m: Column, found: Column, c: Cipher) -> Column:
+    """A run with the values found in it replaced."""
+    def known(toks):
+        def add(done, r):
+            def new(x):
+                bare = F.regexp_replace(x, "[ -]", "")
+                return F.when(r["size"] < -100, _let(_iban(bare, c), lambda y: _put_back(x, y, "A-Z0-9"))).otherwise(_card(x, c))
+            gap = _text(toks, done["at"], r["at"] - done["at"])
+            return F.struct((r["at"] + r["n"]).alias("at"), F.concat(done["out"], gap, _let(_text(toks, r["at"], r["n"]), new)).alias("out"))
+        whole = F.aggregate(found, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), add)
+        return _let(whole, lambda w: F.concat(w["out"], _text(toks, w["at"], F.size(toks))))
+    return F.when(F.size(found) > 0, _let(_tokens(m), known)).otherwise(m)
+
+
 def _ssn(m: Column, c: Cipher) -> Column:
     part = lambda p, n: F.substr(m, F.lit(p), F.lit(n)).cast("int")
     area, group, serial = part(1, 3), part(5, 2), part(8, 4)
@@ -185,26 +246,36 @@ def _email(m: Column, c: Cipher) -> Column:
         c.string(s, 36, "email"), lambda x: _put_back(low, x, "a-z0-9"))))
 
 
-_KINDS = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "iban": _iban, "card": _card}
+_KINDS = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "iban": _iban}
 
 
-def pseudonym(m: Column, key: str, sign: int = 1) -> Column:
-    """The pseudonym of one found value; a value that is not valid in its format stays."""
-    cipher, out = Cipher(key, sign), m
-    for kind in reversed(list(PATTERNS)):
-        if kind == "email":  # the pattern ends before the @, which the value no longer has
-            is_kind = m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*$") & ~m.rlike("|".join(f"^(?:{PATTERNS[k]})$" for k in list(PATTERNS)[1:]))
-        else:
-            is_kind = m.rlike(f"^(?:{PATTERNS[kind]})$")
-        out = F.when(is_kind, _KINDS[kind](m, cipher)).otherwise(out)
-    return out
+def _is(m: Column, kind: str) -> Column:
+    return m.rlike(f"^(?:{PATTERNS[kind]})$")
+
+
+def _in_run(m: Column, is_email: Column) -> Column:
+    """The values in a hit that is a run; null if it is one value of a fixed format."""
+    fixed = is_email
+    for kind in list(_KINDS)[1:]:
+        fixed = fixed | _is(m, kind)
+    return F.when(~fixed, _let(_tokens(m), _found_in))
+
+
+def pseudonym(m: Column, found: Column, is_email: Column, cipher: Cipher) -> Column:
+    """The pseudonym of one hit, ``found`` by ``_in_run``; what is not valid in its format stays."""
+    out = m
+    for kind in reversed(list(_KINDS)[1:]):
+        out = F.when(_is(m, kind), _KINDS[kind](m, cipher)).otherwise(out)
+    return F.when(is_email, _email(m, cipher)).when(found.isNotNull(), _run(m, found, cipher)).otherwise(out)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", sign: int = 1) -> DataFrame:
     """``docs`` with every valid value in the text replaced by its pseudonym, and pii_found (values replaced).
 
     The key is a secret of at least one character: who has it can undo the permutation (``sign`` -1). All other
-    columns pass unchanged; a column pii_found is replaced. A null text stays null with 0 found; an empty one
+    columns pass unchanged; a column pii_found is replaced. In a run of blocks every start and end is tried, and where valid
+    values overlap, an IBAN and then the longest card is taken; a pseudonym may there form a longer valid number with its
+    neighbours, so only such a run may not be undone exactly. A null text stays null with 0 found; an empty one
     stays empty. Whole texts are read in place: no shuffle, no Python.
     """
     if not key:
@@ -212,11 +283,19 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", sign: int =
     docs = docs.drop("pii_found", "pii_gaps", "pii_hits", "pii_new")
     text = F.col(f"`{text_col}`")
     cols = docs.columns
+    cipher = Cipher(key, sign)
     found = text.rlike(ANY)
-    out = docs.withColumn("pii_hits", F.when(found, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))))
-    out = out.withColumn("pii_new", F.transform("pii_hits", lambda m: pseudonym(m, key, sign)))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.concat("pii_new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new))
-    changed = F.size(F.filter(F.zip_with("pii_hits", "pii_new", lambda a, b: a != b), lambda x: x))
+    out = docs.withColumn("pii_gaps", F.when(found, F.split(text, ANY, -1)))
+    out = out.withColumn("pii_hits", F.when(found, F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))))
+    # a mailbox name has no blank, and its domain follows in the next gap
+    hits = F.transform("pii_hits", lambda m, i: F.struct(m.alias("m"), (
+        F.get("pii_gaps", i + 1).rlike(AFTER_EMAIL) & ~m.contains(" ")).alias("is_email")))
+    hits = F.transform(hits, lambda h: F.struct(h["m"].alias("m"), h["is_email"].alias("is_email"), _in_run(h["m"], h["is_email"]).alias("found")))
+    out = out.withColumn("pii_hits", hits)
+    out = out.withColumn("pii_new", F.transform("pii_hits", lambda h: pseudonym(h["m"], h["found"], h["is_email"], cipher)))
+    pieces = F.zip_with("pii_gaps", F.concat("pii_new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new))
+    changed = F.aggregate(F.zip_with("pii_hits", "pii_new", lambda h, new: F.when(h["m"] == new, 0).when(
+        h["found"].isNotNull(), F.size(h["found"])).otherwise(1)), F.lit(0), lambda n, x: n + x)
     out = out.withColumn("pii_found", F.when(F.col("pii_new").isNotNull(), changed).otherwise(0))
     out = out.withColumn(text_col, F.when(F.col("pii_new").isNotNull(), F.array_join(pieces, "")).otherwise(text))
     return out.select(*(F.col(f"`{c}`") for c in cols), "pii_found")

@@ -88,6 +88,29 @@ def test_pii_formats(pii):
     assert rows[17]["text"] == (ip("1.2.3.4") + " ") * 500
 
 
+def test_cards_and_ibans_inside_runs(spark):
+    """Cards beside short numbers and IBANs printed in blocks go, with the pseudonym they have alone; their neighbours stay."""
+    card, iban = "4111111111111111", "DE89370400440532013000"
+    blocks = lambda x: " ".join(x[i:i + 4] for i in range(0, len(x), 4))
+    texts = [card, iban, f"{blocks(card)} 123", f"{card} 12/27", f"qty 12 {card}", blocks(iban), f"IBAN {blocks(iban)} USD, {card} 123-45-6789",
+             f"{blocks(card)} {blocks(card)}", f"ID12 {blocks(card)}", f"{card} 2027-01-31 x", "AB12 CD34 EF56 GH78 1234", f"X{card} 12",
+             "12345678901234567890@mail.example", "BE68 5390 0754 7034 BE68 5390 0754 7034", "NO9386011117947 NO9386011117947", "0 " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = PF.pseudonymise(df, KEY).orderBy("doc_id").collect()
+    got, n = [r["text"] for r in rows], [r["pii_found"] for r in rows]
+    new, acc = got[0], got[1]
+    assert new != card and luhn(new) and acc != iban
+    assert got[2:6] == [f"{blocks(new)} 123", f"{new} 12/27", f"qty 12 {new}", blocks(acc)] and n[2:6] == [1, 1, 1, 1]
+    assert got[6].startswith(f"IBAN {blocks(acc)} USD, {new} ") and not got[6].endswith("123-45-6789") and n[6] == 3
+    assert got[7] == f"{blocks(new)} {blocks(new)}" and n[7] == 2
+    assert got[8] == f"ID12 {blocks(new)}" and got[11] == f"X{new} 12"
+    assert got[9].startswith(new + " ") and "2027-01-31" not in got[9] and n[9] == 2
+    assert got[10] == texts[10] and n[10] == 0
+    assert got[12] != texts[12] and got[12].endswith("@mail.example")
+    assert got[13][:19] == got[13][20:] != texts[13][:19] and n[13] == 2
+    assert got[14].split()[0] == got[14].split()[1] != "NO9386011117947" and n[14] == 2
+
+
 def test_pii_is_a_permutation_and_native(spark, pii):
     df, out = pii
     back = PF.pseudonymise(out, KEY, sign=-1).collect()
