@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .bloom import repeat_filter
-from .common import written
+from .common import join_stats, written
 from .hashing import BASE, BASE_INV, BYTE_VALUE, batch_bytes, mix, powers
 from .suffix_sort import repeated_starts
 
@@ -27,6 +27,12 @@ CHUNK_BYTES = 1 << 20
 COLLAPSE_ROWS = 1_000_000
 #: Bytes of segments in one suffix array.
 SHARD_BYTES = 1 << 20
+#: Bytes of the segments of one k-gram beyond which they are compared by window hashes, so no task holds them whole.
+HOT_BYTES = 16 << 20
+#: A second polynomial over the bytes, for window hashes of 128 bits.
+BASE_2 = 0xD1342543DE82EF95
+BASE_2_INV = pow(BASE_2, -1, 2**64)
+BYTE_VALUE_2 = mix(BYTE_VALUE ^ np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64(127)
 
 
@@ -184,6 +190,35 @@ def _segment_texts(length: int, filt):
     return run
 
 
+def _windows(length: int):
+    """(doc, uid, a, segment) -> (w1, w2, doc, uid, a) of every window of ``length`` bytes."""
+    def run(batches):
+        for b, raw, off in _pieces(batches, 3):
+            n = len(raw)
+            row = np.repeat(np.arange(b.num_rows), np.diff(off))
+            at = np.arange(n)
+            at = at[at + length <= off[row + 1]]
+            row = row[at]
+            both = []
+            for base, inv, value in ((BASE, BASE_INV, BYTE_VALUE), (BASE_2, BASE_2_INV, BYTE_VALUE_2)):
+                pre = np.zeros(n + 1, np.uint64)
+                np.cumsum(value[raw] * powers(base, n + 1)[:n], out=pre[1:])
+                both.append(pa.array(mix((pre[at + length] - pre[at]) * powers(inv, n + 1)[at]).view(np.int64)))
+            a = b.column(2).to_numpy(zero_copy_only=False)[row] + at - off[row]
+            yield pa.RecordBatch.from_arrays([*both, b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(a, pa.int64())],
+                                             ["w1", "w2", "doc", "uid", "a"])
+    return run
+
+
+def _late_windows(segments: DataFrame, length: int) -> DataFrame:
+    """(uid, a, z) of the windows that also start earlier: their earliest places come from partial aggregates."""
+    rows = written(segments.select("doc", "uid", "a", "segment").mapInArrow(
+        _windows(length), "w1 long, w2 long, doc long, uid long, a long"), "windows")
+    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "uid", "a")).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    found = join_stats(rows, first.withColumnRenamed("w2", "second"), "w1", "c", rows.count()).filter("w2 = second")
+    return found.filter(F.expr("first <> struct(doc, uid, a)")).select("uid", "a", (F.col("a") + length).alias("z"))
+
+
 def _sort_shards(length: int):
     """Rows come ordered by h. Whole groups of one h fill shards of about SHARD_BYTES."""
     def shard(rows: pa.Table) -> pa.RecordBatch:
@@ -267,7 +302,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Texts are read three times in place and shuffled once, to meet their spans. The filters are at most 32 MB each.
     Equality of k-grams and segments is by 64-bit hashes of their bytes (57 bits of the
-    first with 64 of the second); windows are compared byte by byte in the suffix arrays.
+    first with 64 of the second); windows are compared byte by byte in the suffix arrays, but those of a k-gram
+    with over HOT_BYTES of segments by 128-bit hashes, so that no task holds all of them.
     """
     lowest = -(2**63)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -291,6 +327,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     want = repeat_filter(keys, mixed.count(), min_count=1)
     texts = src.mapInArrow(_segment_texts(length, want), "uid long, a long, segment binary").dropDuplicates(["uid", "a"])
     shards = mixed.join(texts, ["uid", "a"]).select("h", "doc", "uid", "a", "segment")
+    hot = written(mixed.groupBy("h").agg(F.sum(F.col("z") - F.col("a")).alias("bytes")).filter(F.col("bytes") > HOT_BYTES).select("h"), "hot", n)
+    if hot.limit(1).count():  # at most as many as the text has times HOT_BYTES
+        spans = spans.unionByName(_late_windows(shards.join(F.broadcast(hot), "h", "left_semi"), length))
+        shards = shards.join(F.broadcast(hot), "h", "left_anti")
     late = shards.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_shards(length), "uid long, a long, z long")
     spans = spans.unionByName(late).groupBy("uid").agg(F.collect_list("a").alias("a"), F.collect_list("z").alias("z"))
     return docs.select(docid.alias("doc_id"), text.alias("text"), F.xxhash64(docid, text).alias("uid")) \

@@ -143,6 +143,15 @@ def test_suffix_dedup(docs, empty):
     assert SD.remove_repeats(empty, length).count() == 0
 
 
+def test_suffix_dedup_hot_grams(docs, monkeypatch):
+    """With every k-gram taken as hot the results are the same, and no suffix array is built."""
+    rows = lambda: sorted(str((r["doc_id"], r["n_bytes"], r["spans"], bytes(r["kept"]))) for r in SD.remove_repeats(docs, 20).collect())
+    want = rows()
+    monkeypatch.setattr(SD, "HOT_BYTES", 0)
+    monkeypatch.setattr(SD, "_sort_shards", lambda length: lambda batches: (1 // 0 for b in batches if b.num_rows))
+    assert rows() == want
+
+
 def test_line_dedup(docs, empty):
     order = sorted({(d is not None, d if d is not None else 0, t) for d, t, *_ in ROWS if t is not None})
     for m in (1, 2, 3, 5):
