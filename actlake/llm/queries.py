@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate as DC, exact_dedup as ED, lang_id as LI, line_dedup as LD, mixing as MX, ngram_join as NJ, \
-    pii_feistel as PF, sharding as SH, suffix_dedup as SD, warc_revisit as WR
+    periodic_runs as PR, pii_feistel as PF, sharding as SH, suffix_dedup as SD, warc_revisit as WR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,54 @@ JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) c ON c.x = d.doc_id
 def op9_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: Jaccard of three-word shingles of at least 0.9."""
     return NJ.jaccard_join(documents(spark, sf_dir), 3, (90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+#: crc32 of the decimal digits of doc_id, unsigned: the bitwise rule of the reflected polynomial.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, x: list_reduce(list_concat([xor(c, x)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda d, z: xor(d // 2, 3988292384 * (d % 2)))), 4294967295::BIGINT)"""
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC_SQL} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+b AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM a),
+e AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM b),
+v AS (SELECT doc_id, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS w, n FROM e),
+x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM v),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS grp FROM m),
+t AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, grp HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM t GROUP BY doc_id, start, length),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM r),
+g AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(g.n_runs, 0) AS n_runs, o.start, o.length, o.period, 1000 * o.length // o.period AS exponent_milli,
+  sha256(coalesce(g.lines, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN (FROM o WHERE place = 1) o ON o.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
+def _with_period(docs: DataFrame) -> DataFrame:
+    """doc_id and text, of which every tenth document (by crc32 of its id) repeats its tail: word i >= a is word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    some = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("words"), F.floor(h / 10)
+    some = some.withColumn("a", F.when(n > 0, g % n)).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    place = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.get("words", F.when(
+        i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return some.select("doc_id", F.when(n > 0, F.array_join(place, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least six words and four periods in every document, the greatest exponent, and the words that stay."""
+    runs = PR.periodic_runs(_with_period(documents(spark, sf_dir).select("doc_id", "text")))
+    # runs come by start, then period: a later one must be strictly greater
+    best = F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"),
+                       lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    line = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    out = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "kept")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                      F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli"),
+                      F.sha2("lines", 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
