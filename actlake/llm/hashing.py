@@ -100,3 +100,29 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     for j in range(k):
         h += np.where(j < left, padded[idx + j] * p[j], np.uint64(0))
     return mix(h + left.astype(np.uint64)), n
+
+
+def word_chunks(raw: np.ndarray, offsets: np.ndarray, limit: int, space: np.ndarray = IS_SPACE, lower: bool = True):
+    """(first text, word hashes, words of each text) of texts end to end, about ``limit`` bytes at a time.
+
+    A text of more bytes comes by itself, in several chunks in order, each cut between two words.
+    """
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        low, end = int(offsets[at]), int(offsets[to])
+        if end - low <= limit:
+            yield at, *hash_words(raw[low:end], offsets[at:to + 1] - low, lower, space)
+        while end - low > limit:  # one text
+            gaps = np.flatnonzero(space[raw[low:low + limit]])
+            cut = low + int(gaps[-1]) + 1 if len(gaps) else low + limit
+            while not len(gaps) and cut < end:  # a word longer than a chunk stays whole
+                gaps = np.flatnonzero(space[raw[cut:cut + limit]])
+                cut = min(end, cut + (int(gaps[0]) if len(gaps) else limit))
+            words, counts = hash_words(raw[low:cut], np.array([0, cut - low]), lower, space)
+            yield at, words, counts
+            low = cut
+            if end - low <= limit and low < end:
+                words, counts = hash_words(raw[low:end], np.array([0, end - low]), lower, space)
+                yield at, words, counts
+        at = to

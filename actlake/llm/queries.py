@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate as DC, exact_dedup as ED, lang_id as LI, line_dedup as LD, mixing as MX, ngram_join as NJ, \
-    periodic_runs as PR, pii_feistel as PF, sharding as SH, suffix_dedup as SD, warc_revisit as WR
+    periodic_runs as PR, pii_feistel as PF, ranked_search as RS, sharding as SH, suffix_dedup as SD, warc_revisit as WR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +225,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
                       F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli"),
                       F.sha2("lines", 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS t FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+q AS (SELECT row_number() OVER () AS qr, item_id, list_distinct({_TERMS_SQL}) AS t FROM benchmark),
+qt AS (SELECT qr, item_id, unnest(t) AS term FROM q),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) x
+  WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term),
+x AS (SELECT qr, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM qt JOIN f USING (term) JOIN p USING (term), s GROUP BY qr, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score,
+  row_number() OVER (PARTITION BY qr ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM x WHERE score > 0) y WHERE rank <= 50
+"""
+
+
+@query("op12_taat_daat_search", OP12_SQL)
+def op12_taat_daat_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item by accumulators of short lists and skipping over long ones."""
+    return RS.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 50)
