@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate as DC, exact_dedup as ED, lang_id as LI, line_dedup as LD, mixing as MX, ngram_join as NJ, \
-    periodic_runs as PR, pii_feistel as PF, ranked_search as RS, sharding as SH, suffix_dedup as SD, warc_revisit as WR
+    periodic_runs as PR, pii_feistel as PF, ranked_search as RS, recompression as RC, sharding as SH, suffix_dedup as SD, \
+    warc_revisit as WR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -248,3 +249,27 @@ SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score,
 def op12_taat_daat_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for each benchmark item by accumulators of short lists and skipping over long ones."""
     return RS.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 50)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n FROM d),
+v AS (SELECT doc_id, unnest(list_transform(range(len(w) - 49), lambda i: array_to_string(w[i + 1:i + 50], ' '))) AS win,
+  unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+f AS (SELECT win, min(doc_id) AS first FROM v GROUP BY win),
+late AS (SELECT v.doc_id, v.i FROM v JOIN f USING (win) WHERE v.doc_id > f.first),
+y AS (SELECT x.*, max(late.i) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS UNBOUNDED PRECEDING) AS last_late
+  FROM x LEFT JOIN late ON late.doc_id = x.doc_id AND late.i = x.i),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE last_late > i - 50) AS n_removed,
+  string_agg(word, ' ' ORDER BY i) FILTER (WHERE last_late IS NULL OR last_late <= i - 50) AS kept FROM y GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op13_recompression_dedup", OP13_SQL)
+def op13_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents covered by a 50-word window that also starts in a smaller document, removed."""
+    out = RC.remove_repeated_windows(documents(spark, sf_dir), 50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
