@@ -22,6 +22,7 @@ from ..sources.jsonl import read_completions, read_prompts
 from ..sources.legacy import append_legacy, export_legacy, import_legacy
 from ..sources.shards import read_directions, read_index
 from ..operators.steer import parse_directions
+from ..streaming.dedup import mark_run_end, start_dedup_ingest, state_rows
 from ..streaming.ingest import capture_stream, drain, read_manifest_updates, start_ingest, start_manifest_updates
 from . import sqlfrag as Sq
 from .q_compare import _COS, _REL
@@ -236,6 +237,26 @@ def q_ingest_replicas(spark, d):
     return spark.read.parquet(f"{out}/index/run_id=replicas").select("shard", "layer", "prompt_id", "completion_idx", "n_tokens")
 
 
+@query("stream_dedup", "R7 R1 R6", with_views(
+    """SELECT prompt_id, completion_idx, CAST(sum(CASE WHEN prompt_id < 0 THEN 2 ELSE 1 END * seq_len) AS BIGINT) AS n_tokens,
+          CAST(0 AS BIGINT) AS state_rows FROM slices WHERE seq_len > 0 GROUP BY 1, 2""",
+    "capture_seqs", extra=[("batches", _BATCHES), ("slices", _SLICES)]))
+def q_stream_dedup(spark, d):
+    """A stream of batches that two replicas captured, stopped half way and resumed: each parsed token key once, and no state
+    left after the run's end marker (R7)."""
+    cfg = RunConfig(run_id="once", layers=(CAPTURE_LAYER,), tp_size=1)
+    src, out, ck = (scratch_path(spark, n) for n in ("dedup-src", "dedup-out", "dedup-ck"))
+    rows = capture_rows(spark, d)
+    for replica in (0, 1):  # the second replica's copies come after the restart
+        rows.withColumn("gpu_id", F.col("gpu_id") + 8 * replica).repartition(2).write.mode("append").parquet(src)
+        if replica:
+            mark_run_end(spark, src)
+        q = start_dedup_ingest(capture_stream(spark, src, 1), cfg, out, ck, d_model=D, buckets=8)
+        drain(q)
+    left = F.lit(state_rows(q)).cast("long")
+    return spark.read.parquet(out).groupBy("prompt_id", "completion_idx").agg(F.count(F.lit(1)).alias("n_tokens")).withColumn("state_rows", left)
+
+
 @query("replica_tables", "K8", with_views(
     """SELECT dp_rank, run_id, layer, prompt_id, completion_idx, count(*) AS n_tokens FROM replica_rows GROUP BY ALL""", "replica_rows"))
 def q_replica_tables(spark, d):

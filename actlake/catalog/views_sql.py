@@ -69,20 +69,19 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         CROSS JOIN (VALUES ('base', 16), ('base', 32), ('variant', 16), ('variant', 32)) r(run_id, layer)
         WHERE run_id = 'base' OR (b.prompt_id % 11 <> 5 AND NOT (b.prompt_id % 7 = 3 AND token_pos = mx))"""),
     "capture_seqs": (["token_base"], """
-        SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY prompt_id) - 1 AS INT) AS seq_ord,
-          CASE WHEN prompt_id % 10 = 9 THEN 'warmup'
+        SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY prompt_id, empty) - 1 AS INT) AS seq_ord,
+          CASE WHEN empty = 1 THEN concat(CAST(prompt_id + 1000000000 AS VARCHAR), '|0') WHEN prompt_id % 10 = 9 THEN 'warmup'
                ELSE concat(CAST(prompt_id // 2 AS VARCHAR), '|', CAST(prompt_id % 2 AS VARCHAR)) END AS rid,
-          CASE WHEN batch_id % 5 = 4 THEN NULL ELSE n END AS seq_len,
+          CASE WHEN batch_id % 5 = 4 THEN NULL WHEN empty = 1 THEN 0 ELSE n END AS seq_len,
           CAST(CASE WHEN prompt_id % 10 = 3 THEN 4 WHEN prompt_id % 10 = 9 THEN 2 ELSE 0 END AS INT) AS prefix_len,
           batch_id % 8 AS gpu_id, batch_id % 4 AS global_rank
-        FROM (SELECT CAST(floor(prompt_id / 4.0) AS BIGINT) AS batch_id, prompt_id,
-                CAST(CASE WHEN prompt_id % 6 = 1 THEN 0 ELSE max(token_pos) + 1 END AS INT) AS n
+        FROM (SELECT CAST(floor(prompt_id / 4.0) AS BIGINT) AS batch_id, prompt_id, CAST(max(token_pos) + 1 AS INT) AS n,
+                unnest(range(1 + CAST(prompt_id % 6 = 1 AS INT))) AS empty
               FROM token_base GROUP BY prompt_id) q"""),
     "capture_tokens": (["token_base"], """
         SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY prompt_id, token_pos) - 1 AS INT) AS flat_pos,
           embedding AS vec
-        FROM (SELECT CAST(floor(prompt_id / 4.0) AS BIGINT) AS batch_id, prompt_id, token_pos, embedding
-              FROM token_base WHERE prompt_id % 6 <> 1) q"""),
+        FROM (SELECT CAST(floor(prompt_id / 4.0) AS BIGINT) AS batch_id, prompt_id, token_pos, embedding FROM token_base) q"""),
     "replica_rows": (["token_base"], """
         SELECT 'run' AS run_id, prompt_id, CAST((prompt_id % 2) * dp_rank AS INT) AS completion_idx, token_pos, 16 AS layer, dp_rank,
           embedding AS vec

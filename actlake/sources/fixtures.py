@@ -122,30 +122,34 @@ def vectors(spark, d) -> DataFrame:
                                 F.lit(0).alias("completion_idx"), "token_pos", vec.alias("vec"))
 
 
+# Request ids of the planted empty sequences start here.
+EMPTY_PROMPT = 1_000_000_000
+
+
 def capture_seqs(spark, d) -> DataFrame:
     """Captured batches in long form: one row per sequence of a batch. Two sequences are the rollouts of one
-    prompt; some go on from a cached prefix, some request ids cannot be parsed, every fifth batch is a decode step."""
+    prompt; some go on from a cached prefix, some request ids cannot be parsed, every fifth batch is a decode step, and
+    behind every sixth sequence stands an empty one with a request id of its own."""
     tb = token_base(spark, d)
-    q = (tb.groupBy("prompt_id")
-         .agg(F.when(F.col("prompt_id") % 6 == 1, F.lit(0)).otherwise(F.max("token_pos") + 1).cast("int").alias("n"))
-         .withColumn("batch_id", F.floor(F.col("prompt_id") / 4).cast("bigint")))
-    w = Window.partitionBy("batch_id").orderBy("prompt_id")
+    q = tb.groupBy("prompt_id").agg((F.max("token_pos") + 1).cast("int").alias("n"))
+    q = q.withColumn("empty", F.explode(F.sequence(F.lit(0), (F.col("prompt_id") % 6 == 1).cast("int"))))
+    q = q.withColumn("batch_id", F.floor(F.col("prompt_id") / 4).cast("bigint"))
+    w = Window.partitionBy("batch_id").orderBy("prompt_id", "empty")
+    pair = F.concat(F.floor(F.col("prompt_id") / 2).cast("string"), F.lit("|"), (F.col("prompt_id") % 2).cast("string"))
     return q.select(
         "batch_id",
         (F.row_number().over(w) - 1).cast("int").alias("seq_ord"),
-        F.when(F.col("prompt_id") % 10 == 9, F.lit("warmup"))
-         .otherwise(F.concat(F.floor(F.col("prompt_id") / 2).cast("string"), F.lit("|"), (F.col("prompt_id") % 2).cast("string")))
-         .alias("rid"),
-        F.when(F.col("batch_id") % 5 == 4, F.lit(None).cast("int")).otherwise(F.col("n")).alias("seq_len"),
+        F.when(F.col("empty") == 1, F.concat((F.col("prompt_id") + EMPTY_PROMPT).cast("string"), F.lit("|0")))
+         .when(F.col("prompt_id") % 10 == 9, F.lit("warmup")).otherwise(pair).alias("rid"),
+        F.when(F.col("batch_id") % 5 == 4, F.lit(None).cast("int")).when(F.col("empty") == 1, F.lit(0)).otherwise(F.col("n")).alias("seq_len"),
         F.when(F.col("prompt_id") % 10 == 3, F.lit(4)).when(F.col("prompt_id") % 10 == 9, F.lit(2)).otherwise(F.lit(0)).alias("prefix_len"),
         (F.col("batch_id") % 8).alias("gpu_id"),
         (F.col("batch_id") % 4).alias("global_rank"))
 
 
 def capture_tokens(spark, d) -> DataFrame:
-    """The flattened hidden states of each captured batch, one row per token."""
-    tb = token_base(spark, d).where(F.col("prompt_id") % 6 != 1)
-    tb = tb.withColumn("batch_id", F.floor(F.col("prompt_id") / 4).cast("bigint"))
+    """The flattened hidden states of each captured batch, one row per token of ``token_base``."""
+    tb = token_base(spark, d).withColumn("batch_id", F.floor(F.col("prompt_id") / 4).cast("bigint"))
     w = Window.partitionBy("batch_id").orderBy("prompt_id", "token_pos")
     return tb.select("batch_id", (F.row_number().over(w) - 1).cast("int").alias("flat_pos"), F.col("embedding").alias("vec"))
 

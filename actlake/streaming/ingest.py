@@ -12,9 +12,8 @@ needs no join and no state. The same functions run in batch mode.
 * R5  incremental manifest: per-micro-batch token counts written idempotently
       by epoch id (``foreachBatch``); the manifest is their sum.
 * R6  resume: the checkpoint makes restarts exactly-once.
-* R7  replica duplicates: resolved when the run has ended (``sinks.tables.write_activations``
-      with ``dedup``), in the shuffle that sorts the run; a stream would have to keep every
-      token key of the run as state.
+* R7  replica duplicates: in the stream by one bit of state per token, dropped at the run's end (``streaming.dedup``); in
+      a job when the run has ended, in the shuffle that sorts it (``sinks.tables.write_activations`` with ``dedup``).
 """
 
 from __future__ import annotations
@@ -67,14 +66,18 @@ def start_ingest(stream: DataFrame, cfg: RunConfig, out_path: str, checkpoint: s
 
     Files come as small as the triggers; ``plans.jobs.ingest_job`` rewrites the run sorted when it has ended.
     """
-    acts = capture_to_activations(stream, cfg, d_model)
+    return stream_writer(capture_to_activations(stream, cfg, d_model), checkpoint, available_now, processing_time).start(out_path)
+
+
+def stream_writer(acts: DataFrame, checkpoint: str, available_now: bool = True, processing_time: str | None = None):
+    """The Parquet sink of a stream of activation rows, one folder per run and layer."""
     w = (acts.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).partitionBy("run_id", "layer"))
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:
         w = w.trigger(processingTime=processing_time)
-    return w.start(out_path)
+    return w
 
 
 def drain(q: StreamingQuery, timeout_s: float | None = None) -> None:
