@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import join_stats, written
 from .hashing import BASE, BASE_INV, IS_SPACE, batch_bytes, mix, powers, word_chunks
 
 #: Bytes of text that one numpy pass takes; a longer text is taken in pieces that overlap by a window.
@@ -250,6 +250,16 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "spans", "kept"])
 
 
+def _with_stats(rows: DataFrame, stats: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join with one ``stats`` row per ``keys`` and its count c of rows; the few keys that hold many of the ``total`` rows are broadcast."""
+    name = F.xxhash64(*keys).alias("name")
+    out = join_stats(rows.select(name, "*"), stats.select(name, *(F.col(k).alias(f"{k}_") if k in keys else F.col(k) for k in stats.columns)),
+                     "name", "c", total)
+    for k in keys:
+        out = out.filter(F.col(k) == F.col(f"{k}_"))
+    return out.drop("name", "c", *(f"{k}_" for k in keys))
+
+
 def remove_repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text",
                             rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, n_words, spans (maximal removed stretches, in words), kept (UTF-8: the words that stay, parted by one blank).
@@ -271,12 +281,12 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "do
     src = docs.select(doc.alias("doc"), uid.alias("uid"), text.alias("text"))
     found = written(src.mapInArrow(_segments(length, rounds), SEGMENT_SCHEMA), "segments")
     # names over all documents: only what stands in several of them goes on
-    shared = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    common = written(found.join(shared.select("key"), "key"), "shared")
-    equal = common.groupBy("key", "digest").agg(F.min("doc").alias("first"))
+    names = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("c")).filter("least < most")
+    common = written(_with_stats(found, written(names.select("key", "c"), "names"), ["key"], found.count()), "shared")
+    equal = written(common.groupBy("key", "digest").agg(F.min("doc").alias("first"), F.count("*").alias("c")), "equal")
     several = equal.groupBy("key").agg(F.count("*").alias("digests")).filter("digests > 1")
-    known = equal.join(several, "key", "left")
-    rows = written(common.join(known, ["key", "digest"]).filter("doc > first or digests is not null"), "judged")
+    known = written(equal.join(several, "key", "left"), "known")
+    rows = written(_with_stats(common, known, ["key", "digest"], common.count()).filter("doc > first or digests is not null"), "judged")
     # a later copy of a segment goes whole
     whole = rows.filter("doc > first").select("doc", "uid", F.col("p").alias("a"), (F.col("p") + F.col("n") + F.col("again") + (length - 2)).alias("z"))
     # different segments of one name may share some windows
@@ -285,8 +295,9 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "do
     texts = src.join(parts.select("doc", "uid"), ["doc", "uid"], "left_semi").dropDuplicates(["doc", "uid"])
     windows = written(texts.join(parts, ["doc", "uid"]).select("doc", "uid", "text", "parts").mapInArrow(
         _windows(length), "key long, window long, doc long, uid long, p int"), "windows")
-    least = windows.groupBy("key", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    late = windows.join(least.select("key", "window", "least"), ["key", "window"]).filter("doc > least")
+    least = windows.groupBy("key", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("c")).filter("least < most")
+    least = written(least.drop("most"), "least")
+    late = _with_stats(windows, least, ["key", "window"], windows.count()).filter("doc > least")
     single = late.select("doc", "uid", F.col("p").alias("a"), (F.col("p") + length).alias("z"))
     spans = whole.unionByName(single).distinct().groupBy("doc", "uid").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
     mine = docs.select(docid.alias("doc_id"), doc.alias("doc"), uid.alias("uid"), text.alias("text"))
