@@ -10,7 +10,7 @@ from ..functions.codec import decode_activations, encode_activations
 from ..operators import layout as L
 from ..session import scratch_path
 from ..sources import fixtures as fx
-from ..sources.legacy import export_legacy, import_legacy
+from ..sources.legacy import export_legacy, read_legacy
 from ..streaming.ingest import capture_stream, drain, start_ingest
 from . import sqlfrag as Sq
 from .registry import query
@@ -81,14 +81,15 @@ _LEG_ROWS = " UNION ALL ".join(
           round({Sq.vsum('q')}, 6) AS vsum FROM ({_LEG_ROWS}) t""", "vectors"))
 def q_legacy_roundtrip(spark, d):
     """Two runs stored as legacy shards (bf16 and int8 with scale sidecar),
-    exported with K9 and imported back with S6."""
+    exported with K9 and read back with S6."""
     v = fx.vectors(spark, d)
     acts = None
     for run, (shard, dt) in LEGACY_SHARDS.items():
         part = encode_activations(v.where(F.col("run_id") == run).drop("run_id")
                                   .withColumn("shard", F.lit(shard)), dt)
         acts = part if acts is None else acts.unionByName(part)
-    seqs = (L.sequence_lengths(acts, ("shard", "layer", "prompt_id", "completion_idx"))
+    names = F.create_map(*(F.lit(x) for run, (shard, _) in LEGACY_SHARDS.items() for x in (run, shard)))
+    seqs = (L.sequence_lengths(v.withColumn("shard", names[F.col("run_id")]), ("shard", "layer", "prompt_id", "completion_idx"))
             .withColumn("append_ord", F.col("prompt_id") * 1000 + F.col("completion_idx")))
     idx = L.index_offsets(seqs, "append_ord", partition=("shard", "layer"))
     man = None
@@ -97,6 +98,6 @@ def q_legacy_roundtrip(spark, d):
         man = mf if man is None else man.unionByName(mf)
     root = scratch_path(spark, "legacy")
     export_legacy(acts, idx, man, root)
-    back = decode_activations(import_legacy(spark, root))
+    back = decode_activations(read_legacy(spark, root))
     return back.select("shard", "layer", "prompt_id", "completion_idx", "token_pos",
                        r6(V.l2_norm("vec")).alias("norm"), r6(V.array_sum("vec")).alias("vsum"))

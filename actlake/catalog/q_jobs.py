@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DTYPE_BYTES, RunConfig, check_layers_in_data, parse_layers
 from ..functions import vec as V
-from ..functions.codec import encode_activations
+from ..functions.codec import decode_activations, encode_activations
 from ..operators import arch as A
 from ..operators import compare as C
 from ..operators import layout as L
@@ -15,11 +15,12 @@ from ..operators.verify import norm_health
 from ..operators.windows import running_sums
 from ..plans import extraction as X
 from ..plans.jobs import compare_legacy_job, ingest_job, plan_job, verify_legacy_job
-from ..session import scratch_path
+from ..session import qualified, scratch_path
 from ..sinks.tables import write_by_replica
 from ..sources import fixtures as fx
 from ..sources.jsonl import read_completions, read_prompts
-from ..sources.legacy import append_legacy, export_legacy, import_legacy
+from ..sources.legacy import (append_legacy, commit_legacy, decide_legacy, export_legacy, import_legacy, read_legacy, recover_legacy,
+                              stage_append)
 from ..sources.shards import read_directions, read_index
 from ..operators.steer import parse_directions
 from ..streaming.dedup import mark_run_end, start_dedup_ingest, state_rows
@@ -331,6 +332,42 @@ def q_legacy_append(spark, d):
         "layer", "prompt_id", "completion_idx", "n_tokens", r6("norm_mean").alias("norm_mean"), "start")
 
 
+@query("legacy_recover", "K9 K4 S5", with_views(
+    f"""SELECT s.layer, s.prompt_id, s.completion_idx, s.n_tokens, round(s.norm_mean, 6) AS norm_mean,
+          CAST(coalesce(sum(s.n_tokens) OVER (PARTITION BY layer ORDER BY prompt_id % 3, prompt_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, t.n_seen
+        FROM (SELECT layer, prompt_id, completion_idx, CAST(count(*) AS INT) AS n_tokens, avg({_BFN}) AS norm_mean
+              FROM vectors WHERE run_id = 'base' GROUP BY 1, 2, 3) s,
+             (SELECT count(*) AS n_seen FROM vectors WHERE run_id = 'base' AND prompt_id % 3 = 0) t""", "vectors"))
+def q_legacy_recover(spark, d):
+    """A legacy shard that is appended to by three writers: one dies before its decision (nothing of it is seen), one after it (the
+    next to open the shard carries it out), one ends; every prompt is there once, the index goes on (K9)."""
+    acts = _shard(spark, d, "base", "shard_0000", "bfloat16")
+    part = [acts.where(F.col("prompt_id") % 3 == k) for k in range(3)]
+    root = _legacy_root(spark, part[0], "bfloat16")
+    stage_append(part[1], root, "stand-in", D, "bfloat16")
+    n_seen = read_legacy(spark, root).count()
+    recover_legacy(spark, root, discard=True)
+    decide_legacy(qualified(spark, root), stage_append(part[1], root, "stand-in", D, "bfloat16"))
+    commit_legacy(spark, root, stage_append(part[2], root, "stand-in", D, "bfloat16"))
+    h = norm_health(read_legacy(spark, root), ("shard", "layer", "prompt_id", "completion_idx"))
+    starts = read_index(spark, root).select("shard", "layer", "prompt_id", "completion_idx", "start")
+    return h.join(starts, ["shard", "layer", "prompt_id", "completion_idx"]).select(
+        "layer", "prompt_id", "completion_idx", "n_tokens", r6("norm_mean").alias("norm_mean"), "start", F.lit(n_seen).cast("long").alias("n_seen"))
+
+
+@query("legacy_pushdown", "S6 J8 P3 P14", with_views(
+    f"""SELECT CASE run_id WHEN 'base' THEN 'shard_0000' ELSE 'shard_0001' END AS shard, layer, prompt_id, token_pos, round({_BFN}, 6) AS norm
+        FROM vectors WHERE layer = 32 AND prompt_id >= 4 AND (run_id = 'base' OR token_pos < 3)""", "vectors"))
+def q_legacy_pushdown(spark, d):
+    """Two scans of legacy shards, each of the files and rows of some shard, layer, prompts and positions alone."""
+    acts = _shard(spark, d, "base", "shard_0000", "bfloat16").unionByName(_shard(spark, d, "variant", "shard_0001", "bfloat16"))
+    root, where = _legacy_root(spark, acts, "bfloat16"), {"layer": [32], "prompt_id": (4, None)}
+    both = read_legacy(spark, root, where | {"shard": ["shard_0000"]}).unionByName(
+        read_legacy(spark, root, where | {"shard": ["shard_0001"], "token_pos": (None, 2)}))
+    return decode_activations(both).select("shard", "layer", "prompt_id", "token_pos", r6(V.l2_norm("vec")).alias("norm"))
+
+
 @query("verify_legacy", "A4 A5 J10 W4 D19", with_views(
     f"""SELECT f.shard, f.layer, f.status, f.tokens_in_file, n.prompt_id, n.n_tokens, n.norm_mean
         FROM (SELECT 'shard_0000' AS shard, layer, 'ok' AS status, count(*) AS tokens_in_file FROM vectors WHERE run_id = 'base' GROUP BY layer

@@ -7,22 +7,23 @@ Layout per shard directory (fixed by the existing tools)::
     index.jsonl               {prompt_id, completion_idx, layer, start, n_tokens}
     meta.json                 {model, layers, d_model, dtype, bytes_per_elem, ...}
 
-Reading: Spark lists the layer files and reads every index and ``meta.json`` once, as tables.
-The chosen index rows (the first per key, the reader's rule, or the last) are spread over
-tasks by the bytes they point at, and each task reads its sequences with positioned I/O. Before that the three are reconciled
-(``legacy_report``); an absent or torn file, rows that no index entry covers and entries past a
-file's end are errors unless the caller asks to go on without them.
-
-Writing: rows are hash-partitioned by ``(shard, layer)`` and sorted by the
-flat row, so exactly one task writes each layer file, sequentially. A task writes attempt files;
-the driver publishes those of the successful attempts when all tasks have ended and removes the rest, so a retried or
-speculative attempt leaves nothing behind. An existing file is an error, unless the shard is
+Reading: ``read_legacy`` is a Python Data Source (``sources.legacy_reader``) that reads the files and rows it is
+asked for. ``import_legacy`` reconciles index, manifest and files of the whole root first (``legacy_report``); an absent or
+torn file, rows that no index entry covers and entries past a file's end are errors unless the caller asks to go on without them.
+
+Writing is one transaction. Rows are hash-partitioned by ``(shard, layer)`` and sorted by the flat row, so exactly one task
+writes each layer file, sequentially, as an attempt file; index and manifest follow the same way, and nothing is published yet. Each of these
+jobs leaves the list of its files in the transaction's folder ``_txn-...`` under the root. When all have ended, a ``COMMIT`` file there
+decides: then the files are moved to their names, layer files first, ``meta.json`` last, and the folder goes. A writer that dies before
+the decision leaves the old state and some attempt files, one that dies after it leaves a folder that whoever opens the
+root next carries out (``recover_legacy``). An existing file is an error, unless the shard is
 re-opened: then its bytes are kept and the new rows must continue where they end. A layer file is as large as its shard,
 which rotation bounds (``layout.assign_shards``). File access goes through ``pyarrow.fs`` on the paths as Spark resolves them.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -37,25 +38,17 @@ from ..functions.text import LAYER_FILE, SCALE_FILE, json_row
 from ..operators.layout import index_offsets, manifest as manifest_of, sequence_lengths
 from ..operators.verify import resolve_duplicates
 from ..session import qualified, stored
+from .legacy_reader import LegacyReader, SPLIT_BYTES, open_fs as _fs
 from .shards import read_index, read_manifest
 
 FORMAT = "actlake_legacy"
 KEYED_SCHEMA = ("shard string, layer int, prompt_id bigint, completion_idx int, token_pos int, "
                 "dtype string, payload binary, scale float")
-SPLIT_BYTES = 128 * 1024 * 1024
 BATCH_BYTES = 16 * 1024 * 1024
 KEY = ["shard", "layer", "prompt_id", "completion_idx"]
 INDEX_COLS = ("prompt_id", "completion_idx", "layer", "start", "n_tokens")
 
 
-def _fs(uri: str):
-    """File system and path of a location as Spark qualifies it (``file:/a/b``, ``scheme://host/a``)."""
-    from pyarrow import fs as pafs
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 # --------------------------------------------------------------------------- reading
 
 def layer_files(spark: SparkSession, root: str) -> DataFrame:
@@ -158,6 +151,7 @@ def import_legacy(spark: SparkSession, root: str, policy: str = "first", strict:
     """
     if policy not in ("first", "last"):
         raise ValueError(f"policy must be 'first' or 'last', got {policy!r}")
+    recover_legacy(spark, root)
     report = legacy_report(spark, root)
     if strict:
         require_empty(report.where("status <> 'ok'").select("shard", "layer", "status", "tokens_in_file", "index_tokens", "torn_bytes"),
@@ -177,6 +171,27 @@ def import_legacy(spark: SparkSession, root: str, policy: str = "first", strict:
             .mapInArrow(_read_sequences, KEYED_SCHEMA))
 
 
+def read_legacy(spark: SparkSession, root: str, where: dict | None = None, policy: str = "first", strict: bool = True) -> DataFrame:
+    """S6 + S5 + S7 + J8 as a scan. ``where`` asks by column (shard, layer, prompt_id, completion_idx, token_pos) for a list of
+    values or a pair (from, to) with both ends, None where one is open; only those files and rows are read.
+
+    Rows and policies are those of ``import_legacy``; with ``strict`` the layers that are read are checked where they
+    are read, so what disagrees fails the action, not this call.
+    """
+    recover_legacy(spark, root)
+    register(spark)
+    asked = {c: {"from": x[0], "to": x[1]} if isinstance(x, tuple) else list(x) for c, x in (where or {}).items()}
+    return (spark.read.format(FORMAT).option("policy", policy).option("strict", str(strict).lower()).option("where", json.dumps(asked))
+            .option("parallelism", spark.sparkContext.defaultParallelism).load(qualified(spark, root)))
+
+
+def read_legacy_sequence(spark: SparkSession, root: str, layer: int, prompt_id: int, completion_idx: int, shard: str | None = None,
+                         policy: str = "first") -> DataFrame:
+    """J8 + O3 on a legacy root: one sequence at one layer, by position. Payloads stay as stored (``decode_activations``)."""
+    where = {"layer": [layer], "prompt_id": [prompt_id], "completion_idx": [completion_idx]} | ({"shard": [shard]} if shard else {})
+    return read_legacy(spark, root, where, policy).orderBy("token_pos")
+
+
 # --------------------------------------------------------------------------- writing
 
 @dataclass
@@ -189,8 +204,9 @@ class _Writer(DataSourceArrowWriter):
         self.root = options["path"]
         self.kind = options["kind"]
         self.reopen = str(options.get("reopen", "false")).lower() == "true"
-        self.width = int(options.get("rowBytes", 0))
-        self.mark = options["mark"]
+        self.widths = {k: int(v) for k, v in json.loads(options.get("rowBytes", "{}")).items()}
+        self.txn = options["txn"]
+        self.mark = f"{self.txn[len(TXN):]}.{options['job']}"
 
     # ---- one task
     def write(self, iterator):
@@ -227,7 +243,7 @@ class _Writer(DataSourceArrowWriter):
         return h, size
 
     def _payload(self, fs, base, iterator, handles, out):
-        cur, expect = None, 0
+        cur, expect, width = None, 0, 1
         for rb in iterator:
             if not rb.num_rows:
                 continue
@@ -244,11 +260,13 @@ class _Writer(DataSourceArrowWriter):
                         h.close()
                     handles.clear()
                     handles["data"], size = self._open(fs, base, key[0], LAYER_FILE % key[1], out)
-                    if rb.column("dtype")[int(i)].as_py() == "int8":
+                    dtype = rb.column("dtype")[int(i)].as_py()
+                    width = self.widths[dtype]
+                    if dtype == "int8":
                         handles["scale"], _ = self._open(fs, base, key[0], SCALE_FILE % key[1], out)
-                    if size % self.width:
+                    if size % width:
                         raise ValueError(f"layer file of {key} has a torn last row; it cannot be continued")
-                    cur, expect = key, size // self.width
+                    cur, expect = key, size // width
                 rows = row[i:j]
                 if rows[0] != expect or (len(rows) > 1 and not np.all(np.diff(rows) == 1)):
                     raise ValueError(f"rows of {key} do not follow on (at {rows[0]}, expected {expect})")
@@ -256,8 +274,8 @@ class _Writer(DataSourceArrowWriter):
                 seg = rb.column("payload").slice(i, j - i)
                 bufs = seg.buffers()
                 o = np.frombuffer(bufs[1], dtype=np.int32)[seg.offset: seg.offset + len(seg) + 1]
-                if int(o[-1] - o[0]) != (j - i) * self.width:
-                    raise ValueError(f"payloads of {key} are not {self.width} bytes each")
+                if int(o[-1] - o[0]) != (j - i) * width:
+                    raise ValueError(f"payloads of {key} are not {width} bytes each")
                 handles["data"].write(memoryview(bufs[2])[o[0]:o[-1]])
                 if "scale" in handles:
                     handles["scale"].write(rb.column("scale").slice(i, j - i).to_numpy(zero_copy_only=False).astype("<f4").tobytes())
@@ -278,26 +296,23 @@ class _Writer(DataSourceArrowWriter):
 
     # ---- the driver
     def commit(self, messages):
-        from pyarrow import fs as pafs
-        fs, _ = _fs(self.root)
-        for m in messages:
-            for attempt, final in (m.files if m else ()):
-                if (self.reopen or self.kind == "meta") and fs.get_file_info(final).type != pafs.FileType.NotFound \
-                        and not isinstance(fs, pafs.LocalFileSystem):
-                    fs.delete_file(final)
-                fs.move(attempt, final)
-        self._sweep()
+        """Leave the list of files for the transaction; nothing is published here."""
+        fs, base = _fs(self.root)
+        named = [pair for m in messages for pair in (m.files if m else ())]
+        fs.create_dir(f"{base}/{self.txn}", recursive=True)
+        with fs.open_output_stream(f"{base}/{self.txn}/{self.mark}.json") as out:
+            out.write(json.dumps({"kind": self.kind, "files": named}).encode())
+        self._sweep({attempt for attempt, _ in named})
 
     def abort(self, messages):
         self._sweep()
 
-    def _sweep(self):
+    def _sweep(self, named=frozenset()):
         """Remove attempt files of this job that no message names (failed or speculative tasks)."""
-        from pyarrow import fs as pafs
         fs, base = _fs(self.root)
-        for i in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
-            if i.type == pafs.FileType.File and i.base_name.startswith(f"_{self.mark}-"):
-                fs.delete_file(i.path)
+        for path in _files(fs, base, f"_{self.mark}-"):
+            if path not in named:
+                fs.delete_file(path)
 
 
 class LegacyShards(DataSource):
@@ -308,6 +323,9 @@ class LegacyShards(DataSource):
     def schema(self):
         return KEYED_SCHEMA
 
+    def reader(self, schema):
+        return LegacyReader(self.options)
+
     def writer(self, schema, overwrite):
         return _Writer(self.options)
 
@@ -317,46 +335,135 @@ def register(spark: SparkSession) -> None:
 
 
 def export_legacy(acts: DataFrame, index: DataFrame, manifest: DataFrame, root: str, reopen: bool = False) -> None:
-    """K9: write activations, index and manifest in the legacy layout.
+    """K9: write activations, index and manifest in the legacy layout, all or nothing.
 
     ``acts``: (shard, layer, prompt_id, completion_idx, token_pos, dtype, payload, scale);
     ``index``: (shard, layer, prompt_id, completion_idx, start, n_tokens, append_ord);
     ``manifest``: one row per shard (``operators.layout.manifest``). One width and row size per call and
     dtype. Existing layer or index files are an error unless ``reopen`` (``append_legacy``).
     """
+    commit_legacy(acts.sparkSession, root, stage_legacy(acts, index, manifest, root, reopen))
+
+
+def stage_legacy(acts: DataFrame, index: DataFrame, manifest: DataFrame, root: str, reopen: bool = False) -> str:
+    """``export_legacy`` up to the decision: everything is written, nothing is visible. Returns the transaction for ``commit_legacy``."""
     from ..operators.joins import size_checked_broadcast
     spark = acts.sparkSession
     register(spark)
+    recover_legacy(spark, root)
     root = qualified(spark, root)
+    # one row per sequence and per shard, read by several jobs
+    index, manifest = stored(index, "legacy-index"), stored(manifest, "legacy-manifest")
     starts = size_checked_broadcast(index.select(*KEY, "start"), 48)
     rows = acts.join(starts, KEY).select(
         "shard", "layer", (F.col("start") + F.col("token_pos")).alias("flat_row"), "dtype", "payload", "scale")
-
-    def save(df, kind, row_bytes=0):
-        (df.write.format(FORMAT).option("kind", kind).option("mark", uuid.uuid4().hex).option("reopen", str(reopen).lower())
-         .option("rowBytes", row_bytes).mode("append").save(root))
+    widths: dict[str, int] = {}
     for m in manifest.select("d_model", "bytes_per_elem", "dtype").distinct().collect():
-        part = rows.where(F.col("dtype") == m["dtype"])
-        save(part.repartition("shard", "layer").sortWithinPartitions("shard", "layer", "flat_row"), "payload",
-             m["d_model"] * m["bytes_per_elem"])
+        if widths.setdefault(m["dtype"], m["d_model"] * m["bytes_per_elem"]) != m["d_model"] * m["bytes_per_elem"]:
+            raise ValueError(f"the manifest gives {m['dtype']} two row sizes")
+    txn = f"{TXN}{uuid.uuid4().hex}"
+    jobs: list[str] = []
+
+    def save(df, kind):
+        jobs.append(kind)
+        (df.write.format(FORMAT).option("kind", kind).option("txn", txn).option("job", len(jobs)).option("reopen", str(reopen).lower())
+         .option("rowBytes", json.dumps(widths)).mode("append").save(root))
+    save(rows.repartition("shard", "layer").sortWithinPartitions("shard", "layer", "flat_row"), "payload")
     save(index.repartition("shard").sortWithinPartitions("shard", "append_ord")
          .select("shard", json_row(*INDEX_COLS).alias("value")), "index")
     cols = [c for c in manifest.columns if c != "shard"]
     save(manifest.repartition("shard").select("shard", F.to_json(F.struct(*cols)).alias("value")), "meta")
+    return txn
+
+
+def commit_legacy(spark: SparkSession, root: str, txn: str) -> None:
+    """Decide a staged transaction and carry it out."""
+    root = qualified(spark, root)
+    decide_legacy(root, txn)
+    _carry_out(root, txn)
+
+
+TXN, DECISION = "_txn-", "COMMIT"
+#: The order in which a transaction's files are published.
+KINDS = ("payload", "index", "meta")
+
+
+def _files(fs, base: str, prefix: str) -> list[str]:
+    from pyarrow import fs as pafs
+    found = fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
+    return [i.path for i in found if i.type == pafs.FileType.File and i.base_name.startswith(prefix)]
+
+
+def decide_legacy(root: str, txn: str) -> None:
+    """From here on the transaction holds: whoever opens the root carries it out."""
+    fs, base = _fs(root)
+    with fs.open_output_stream(f"{base}/{txn}/{DECISION}"):
+        pass
+
+
+def _publish(fs, attempt: str, final: str) -> None:
+    """Move one file to its name. A file that has moved already is passed over, so this can be done again."""
+    from pyarrow import fs as pafs
+    if fs.get_file_info(attempt).type == pafs.FileType.NotFound:
+        return
+    if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(final).type != pafs.FileType.NotFound:
+        fs.delete_file(final)  # the attempt file holds all of it; a local move replaces
+    fs.move(attempt, final)
+
+
+def _carry_out(root: str, txn: str) -> None:
+    """Publish the files of a transaction that is decided; its folder goes last."""
+    fs, base = _fs(root)
+    lists = []
+    for path in _files(fs, f"{base}/{txn}", ""):
+        if path.endswith(".json"):
+            with fs.open_input_stream(path) as s:
+                lists.append(json.loads(s.read()))
+    for kind in KINDS:
+        for files in (x["files"] for x in lists if x["kind"] == kind):
+            for attempt, final in files:
+                _publish(fs, attempt, final)
+    fs.delete_dir(f"{base}/{txn}")
+
+
+def recover_legacy(spark: SparkSession, root: str, discard: bool = False) -> dict[str, int]:
+    """Bring a root to a state that holds: decided transactions are carried out. ``discard`` also removes undecided ones with their
+    attempt files; only where no writer is at work (one that is would lose its files). Returns how many of each there were."""
+    from pyarrow import fs as pafs
+    fs, base = _fs(qualified(spark, root))
+    found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    open_ = [i.base_name for i in found if i.type == pafs.FileType.Directory and i.base_name.startswith(TXN)]
+    out = {"carried_out": 0, "discarded": 0}
+    for txn in sorted(open_):
+        if fs.get_file_info(f"{base}/{txn}/{DECISION}").type != pafs.FileType.NotFound:
+            _carry_out(qualified(spark, root), txn)
+            out["carried_out"] += 1
+        elif discard:
+            for path in _files(fs, base, f"_{txn[len(TXN):]}."):
+                fs.delete_file(path)
+            fs.delete_dir(f"{base}/{txn}")
+            out["discarded"] += 1
+    return out
 
 
 def append_legacy(acts: DataFrame, root: str, model: str, d_model: int, dtype: str, order_cols=("prompt_id", "completion_idx")) -> None:
-    """K9 on shards that exist: new sequences go after the rows each (shard, layer) already holds.
+    """K9 on shards that exist: new sequences go after the rows each (shard, layer) already holds, all or nothing.
 
     The index continues (``index_offsets`` with the present ends), the manifest counts old and new rows. A key that is
     appended again keeps both index rows; readers choose (``import_legacy`` policy).
     """
+    commit_legacy(acts.sparkSession, root, stage_append(acts, root, model, d_model, dtype, order_cols))
+
+
+def stage_append(acts: DataFrame, root: str, model: str, d_model: int, dtype: str, order_cols=("prompt_id", "completion_idx")) -> str:
+    """``append_legacy`` up to the decision; returns the transaction for ``commit_legacy``."""
     spark = acts.sparkSession
+    recover_legacy(spark, root)
     old = read_index(spark, root)
     ends = old.groupBy("shard", "layer").agg(F.max(F.col("start") + F.col("n_tokens")).alias("end"))
     seqs = sequence_lengths(acts, KEY).withColumn("append_ord", F.struct(*order_cols))
     index = index_offsets(seqs, "append_ord", partition=("shard", "layer"), prior_end=ends)
     names = ["shard", *INDEX_COLS]
-    index = stored(index, "append-index")  # the files it is derived from are about to be replaced
+    index = stored(index, "append-index")
     both = old.select(*names).unionByName(index.select(*names)).join(index.select("shard").distinct(), "shard", "left_semi")
-    export_legacy(acts, index, stored(manifest_of(both, model, d_model, dtype), "append-manifest"), root, reopen=True)
+    return stage_legacy(acts, index, manifest_of(both, model, d_model, dtype), root, reopen=True)
