@@ -11,9 +11,10 @@ from ..operators import layout as L
 from ..operators import verify as VF
 from ..operators.demux import sequence_slices
 from ..session import scratch_path
-from ..sinks.tables import encode_and_write
+from ..functions.codec import decode_activations, encode_activations
+from ..sinks.tables import encode_and_write, write_activations
 from ..sources import fixtures as fx
-from ..sources.shards import read_sequence
+from ..sources.shards import lookup_sequence, lookup_sequences, read_sequence
 from . import sqlfrag as Sq
 from .registry import query
 from .views_sql import with_views
@@ -229,3 +230,20 @@ def q_read_sequence(spark, d):
     """Point lookup of one stored sequence at one layer, in token order."""
     x = read_sequence(_written(spark, d), strict=False, **LOOKUP)
     return x.select("token_pos", r6(V.l2_norm("vec")).alias("norm"), r6(V.array_sum("vec")).alias("vsum"))
+
+
+@query("sequence_lookup", "J8 O3 K1", with_views(
+    f"""SELECT run_id, layer, prompt_id, token_pos, round({_bf16_norm_sql('vec')}, 6) AS norm FROM vectors
+        WHERE (run_id = 'base' AND layer = 32 AND prompt_id = 3)
+           OR (run_id = 'variant' AND layer = 16 AND prompt_id IN (SELECT prompt_id FROM vectors WHERE run_id = 'variant' AND layer = 16
+               GROUP BY prompt_id HAVING count(*) = 1))""", "vectors"))
+def q_sequence_lookup(spark, d):
+    """Both runs written in buckets of their sequences; one sequence by its key and all that have a single token by a frame of
+    keys, from the folders of their buckets alone (J8, O3)."""
+    path, v = scratch_path(spark, "acts-buckets"), fx.vectors(spark, d)
+    write_activations(encode_activations(v, "bfloat16"), path, 64, 2, mode="overwrite", validate=False, buckets=16)
+    short = v.where("run_id = 'variant' and layer = 16").groupBy("prompt_id", "completion_idx").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    one = lookup_sequence(spark, path, "base", 32, 3, 0)
+    some = decode_activations(lookup_sequences(spark, path, "variant", 16, short))
+    cols = ["run_id", "layer", "prompt_id", "token_pos", r6(V.l2_norm("vec")).alias("norm")]
+    return one.select(*cols).unionByName(some.select(*cols))

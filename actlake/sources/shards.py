@@ -33,6 +33,11 @@ CAPTURE_SCHEMA = T.StructType([
     T.StructField("rids", T.ArrayType(T.StringType())), T.StructField("seq_lens", T.ArrayType(T.IntegerType())),
     T.StructField("prefix_lens", T.ArrayType(T.IntegerType()))])
 
+ACTIVATION_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType()), T.StructField("layer", T.IntegerType()), T.StructField("prompt_id", T.LongType()),
+    T.StructField("completion_idx", T.IntegerType()), T.StructField("token_pos", T.IntegerType()), T.StructField("dtype", T.StringType()),
+    T.StructField("payload", T.BinaryType()), T.StructField("scale", T.FloatType())])
+
 _SHARD_RE = r"/(shard_[^/]+)/[^/]+$"
 
 
@@ -121,3 +126,46 @@ def read_sequence(acts: DataFrame, run_id: str, layer: int, prompt_id: int, comp
     if "payload" in x.columns:
         x = decode_activations(x)
     return x.orderBy("token_pos")
+
+
+def _folder(spark: SparkSession, path: str, run_id: str, layer: int) -> str:
+    """The folder of a run's layer, its name as Spark writes it."""
+    escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+    return f"{path.rstrip('/')}/run_id={escaped}/layer={layer}"
+
+
+def lookup_sequences(spark: SparkSession, path: str, run_id: str, layer: int, keys: DataFrame | list[tuple[int, int]]) -> DataFrame:
+    """J8 on a table in buckets: the rows of some sequences (prompt_id, completion_idx) of a run at a layer, in no order.
+
+    Only the folders of the keys' buckets are listed and opened, one file each (more where a bucket outgrew the file size).
+    ``keys`` may be a frame; what reaches the driver is at most one number per bucket of the table.
+    """
+    from ..sinks.tables import BUCKET, read_layout, sequence_bucket
+    from ..session import exists
+    n = read_layout(spark, path)
+    if not isinstance(keys, DataFrame):
+        keys = spark.createDataFrame(keys, "prompt_id long, completion_idx int")
+    keys = keys.select("prompt_id", "completion_idx").distinct()
+    folder = _folder(spark, path, run_id, layer)
+    wanted = [r[0] for r in keys.select(sequence_bucket(n).alias(BUCKET)).distinct().collect()]
+    paths = [p for b in sorted(wanted) if exists(spark, p := f"{folder}/{BUCKET}={b}")]
+    if not paths:
+        return spark.createDataFrame([], ACTIVATION_SCHEMA)
+    rows = spark.read.option("basePath", path).parquet(*paths).withColumn("run_id", F.lit(run_id))
+    return rows.join(keys, ["prompt_id", "completion_idx"], "left_semi").select(*ACTIVATION_SCHEMA.names)
+
+
+def lookup_sequence(spark: SparkSession, path: str, run_id: str, layer: int, prompt_id: int, completion_idx: int, strict: bool = True) -> DataFrame:
+    """J8 + O3 on a table in buckets: one sequence, ordered by token, decoded; its one folder is opened. ``strict`` as ``read_sequence``."""
+    from ..sinks.tables import BUCKET, read_layout, sequence_bucket
+    from ..session import exists
+    n = read_layout(spark, path)
+    key = spark.range(1).select(F.lit(prompt_id).cast("bigint").alias("prompt_id"), F.lit(completion_idx).cast("int").alias("completion_idx"))
+    bucket = key.select(sequence_bucket(n)).first()[0]
+    folder = f"{_folder(spark, path, run_id, layer)}/{BUCKET}={bucket}"
+    if not exists(spark, folder):
+        if strict:
+            raise KeyError(f"run {run_id} stores no sequence ({prompt_id}, {completion_idx}) at layer {layer}")
+        return decode_activations(spark.createDataFrame([], ACTIVATION_SCHEMA))
+    rows = spark.read.option("basePath", path).parquet(folder).withColumn("run_id", F.lit(run_id))
+    return read_sequence(rows.select(*ACTIVATION_SCHEMA.names), run_id, layer, prompt_id, completion_idx, strict)

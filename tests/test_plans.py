@@ -93,3 +93,38 @@ def test_bucketed_runs_compare_without_shuffling_payloads(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_a_lookup_in_buckets_opens_its_file_alone(spark, tmpdir_fresh):
+    from actlake.config import GuardError
+    from actlake.sinks.tables import buckets_for, read_layout
+    from actlake.sources.shards import lookup_sequence, lookup_sequences
+    path = os.path.join(tmpdir_fresh, "acts")
+    v = spark.range(400).select(F.explode(F.array(*(F.lit(x) for x in ("base", "other run/x")))).alias("run_id"), F.col("id").alias("prompt_id"))
+    v = v.select("run_id", F.lit(16).alias("layer"), "prompt_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("completion_idx"))
+    v = v.select("*", F.explode(F.sequence(F.lit(0), (F.col("prompt_id") % 3).cast("int"))).alias("token_pos"))
+    acts = encode_activations(v.withColumn("vec", F.array_repeat(F.col("prompt_id").cast("float"), 4)), "bfloat16").cache()
+    write_activations(acts, path, 4, 2, mode="overwrite", validate=False, buckets=100)
+    stored = spark.read.parquet(path)
+    assert len(stored.inputFiles()) == 200 and stored.count() == acts.count()
+    for run in ("base", "other run/x"):
+        x = lookup_sequence(spark, path, run, 16, 77, 1)
+        assert len(x.inputFiles()) == 1 and [r.token_pos for r in x.collect()] == [0, 1, 2]
+        keys = [(5, 0), (5, 1), (399, 0), (1000, 0)]
+        some = lookup_sequences(spark, path, run, 16, keys)
+        assert len(some.inputFiles()) <= 4
+        assert sorted((r.prompt_id, r.completion_idx, r.token_pos) for r in some.collect()) == [(5, c, t) for c in (0, 1) for t in range(3)] + [(399, 0, 0)]
+        assert read_sequence(stored, run, 16, 77, 1).count() == 3
+    # a second write goes to the same buckets; another layout is an error; what is absent is told
+    write_activations(acts.where("run_id = 'base'").withColumn("layer", F.lit(7)), path, 4, 2, validate=False, buckets=100)
+    assert lookup_sequence(spark, path, "base", 7, 77, 1).count() == 3
+    with pytest.raises(GuardError, match="100 buckets"):
+        write_activations(acts, path, 4, 2, validate=False, buckets=50)
+    with pytest.raises(GuardError, match="not laid out"):
+        read_layout(spark, os.path.join(tmpdir_fresh, "none"))
+    for key in ((5000, 0), (5, 7)):
+        with pytest.raises(KeyError):
+            lookup_sequence(spark, path, "base", 16, *key)
+        assert lookup_sequence(spark, path, "base", 16, *key, strict=False).count() == 0
+    assert lookup_sequences(spark, path, "none", 16, [(1, 0)]).count() == 0
+    assert buckets_for(10 << 40, 5) == 4096 and buckets_for(0, 0) == 1
