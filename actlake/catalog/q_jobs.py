@@ -447,6 +447,31 @@ def q_compare_nan_and_ties(spark, d):
     return m.select("prompt_id", "n_tokens", *(r6(c).alias(c) for c in _METRICS))
 
 
+SKETCH_ACCURACY = 64
+_BASE_VARIANT = """
+    SELECT a.prompt_id, a.vec AS a, b.vec AS b FROM vectors a JOIN vectors b ON a.prompt_id = b.prompt_id AND a.token_pos = b.token_pos
+    AND a.layer = b.layer WHERE a.run_id = 'base' AND b.run_id = 'variant' AND a.layer = 16"""
+
+
+@query("compare_sketch", "A6 (one pass)", with_views(
+    f"""SELECT prompt_id, CAST(count(*) AS INT) AS n_tokens, CAST(sum(len(a)) AS BIGINT) AS n_elements, round(sum(list_sum({_REL})) / sum(len(a)), 6) AS rel_mean,
+          true AS within FROM pairs16 GROUP BY prompt_id""", "vectors", extra=[("pairs16", _BASE_VARIANT + """ AND a.prompt_id IN (
+          SELECT prompt_id FROM vectors WHERE layer = 16 GROUP BY prompt_id
+          HAVING count(*) FILTER (WHERE run_id = 'base') = count(*) FILTER (WHERE run_id = 'variant'))""")]))
+def q_compare_sketch(spark, d):
+    """Two runs at layer 16 compared in one pass by mergeable summaries; within: the rank of each median among all elements of its
+    sequence, counted exactly, lies in the stated bound (A6)."""
+    v = fx.vectors(spark, d).where("layer = 16")
+    pairs = C.token_pairs(C.run_slice(v, "base"), C.run_slice(v, "variant"))
+    m = C.pair_metrics(pairs, median="approx", accuracy=SKETCH_ACCURACY)
+    x = pairs.join(m.select("prompt_id", "rel_median"), "prompt_id").withColumn("rel", V.rel_err("a", "b"))
+    below, upto = (F.sum(F.size(F.filter("rel", f))) for f in (lambda e: e < F.col("rel_median"), lambda e: e <= F.col("rel_median")))
+    n = F.sum(F.size("rel"))
+    rank, off = F.floor((n - 1) / 2) + 1, n / SKETCH_ACCURACY + 2
+    ranks = x.groupBy("prompt_id").agg(n.cast("long").alias("n_elements"), ((below < rank + off) & (upto >= rank - off)).alias("within"))
+    return m.join(ranks, "prompt_id").select("prompt_id", "n_tokens", "n_elements", r6("rel_mean").alias("rel_mean"), "within")
+
+
 @query("verify_nan", "A5 V21", with_views(
     f"""SELECT run_id, prompt_id, CAST(count(*) AS INT) AS n_tokens, bool_or(list_bool_or(list_transform(vec, lambda x: isnan(x)))) AS any_nan
         FROM odd_vectors GROUP BY run_id, prompt_id""", "odd_vectors"))
