@@ -6,10 +6,11 @@ and lengths only); payload never moves through these shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from ..config import GuardError
 from ..functions.text import json_row, layer_file_name
@@ -71,36 +72,94 @@ def manifest(index: DataFrame, model: str, d_model: int, dtype: str, shard_cols=
                     F.coalesce("n_sequences", F.lit(0)).cast("bigint").alias("n_sequences")))
 
 
-END = (1 << 62)
-
-
-def _next_starts(x: DataFrame, limit_bytes: int, part: list[str], n_buckets: int | None) -> DataFrame:
-    """For every sequence s (1-based ``_i``): the sequence after the first j with
-    inclusive bytes Q(j) >= P(s) + limit, i.e. where the next shard would start
-    if one started at s (END when the run ends first).
-
-    A sorted search without a range join: query rows (value P(s) + limit) and
-    data rows (value Q(j)) are ordered together, queries before data at equal
-    values; the answer is the smallest j at or after the query - a running
-    minimum in reverse order inside value buckets, else the smallest j of any
-    later bucket (a table of buckets, not of rows).
+class _Chain:
+    """Shards of consecutive sequences: a shard closes with the sequence that brings its bytes to the limit or past it."""
+
+    def __init__(self, sizes: np.ndarray, limit: int):
+        self.ends, self.limit = np.cumsum(sizes), limit
+
+    def close(self, start: int, carried: int) -> int:
+        """The sequence that closes the shard which holds ``carried`` bytes before sequence ``start``; the number of sequences if none does."""
+        before = int(self.ends[start - 1]) if start else 0
+        return int(np.searchsorted(self.ends, before + self.limit - carried))
+
+    def walk(self, carried: int) -> list[int]:
+        """First sequence of each further shard, from a shard that holds ``carried`` bytes before all of them."""
+        starts, start = [], 0
+        while (j := self.close(start, carried)) < len(self.ends):
+            start, carried = j + 1, 0
+            starts.append(start)
+        return starts
+
+    def behind(self, start: int, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
+        """(shards closed after it, bytes in the last one) of a shard that begins at ``start``; ``known`` keeps what walks have met."""
+        path = []
+        while start not in known:
+            j = self.close(start, 0)
+            if j == len(self.ends):
+                known[start] = 0, int(self.ends[-1] - (self.ends[start - 1] if start else 0))
+            else:
+                path.append(start)
+                start = j + 1
+        for n, s in enumerate(reversed(path), 1):
+            known[s] = known[start][0] + n, known[start][1]
+        return known[path[0] if path else start]
+
+
+def _jump_table(limit: int, part: list[str]):
+    """What a range does to a shard that is open before it, as one row for each sequence that may be the first to close it.
+
+    (closes, after, left): bytes in the range up to that sequence, shards closed from there to the range's end, bytes in the shard that is open
+    then. The row with closes -1 has the range's bytes, for a shard that it leaves open. Rows end with the first sequence that closes an empty shard.
     """
-    q = x.select(*part, (F.col("_P") + F.lit(int(limit_bytes))).alias("_v"), F.lit(0).alias("_kind"),
-                 F.lit(None).cast("bigint").alias("_j"), F.col("_i").alias("_s"))
-    d = x.select(*part, F.col("_Q").alias("_v"), F.lit(1).alias("_kind"), F.col("_i").alias("_j"),
-                 F.lit(None).cast("bigint").alias("_s"))
-    u = q.unionByName(d)
-    u = range_buckets(u, "_v", n_buckets).withColumnRenamed("_bkt", "_b")
-    w = (Window.partitionBy(*part, "_b").orderBy(F.col("_v").desc(), F.col("_kind").desc(), F.col("_j").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    loc = u.withColumn("_jloc", F.min("_j").over(w)).where(F.col("_kind") == 0)
-    per_bucket = u.groupBy(*part, "_b").agg(F.min("_j").alias("_bmin"))
-    wb = Window.partitionBy(*part).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = per_bucket.select(*part, "_b", F.min("_bmin").over(wb).alias("_jlater"))
-    res = loc.join(later, [*part, "_b"], "left")
-    jstar = F.coalesce(F.col("_jloc"), F.col("_jlater"))
-    return res.select(*part, F.col("_s").alias("s"),
-                      F.when(jstar.isNull(), F.lit(END)).otherwise(jstar + 1).alias("t"))
+    def run(table: pa.Table) -> pa.Table:
+        sizes = table.column("n_bytes").to_numpy()[np.argsort(table.column("_i").to_numpy())]
+        chain = _Chain(sizes, limit)
+        n = min(chain.close(0, 0) + 1, len(sizes))
+        known: dict[int, tuple[int, int]] = {}
+        rows = [(-1, 0, int(sizes.sum()))]
+        for j in range(n):
+            closed, left = chain.behind(j + 1, known)
+            rows.append((int(chain.ends[j]), 1 + closed, left))
+        keys = {c: [table.column(c)[0].as_py()] * len(rows) for c in [*part, "_bkt"]}
+        cols = [pa.array(v, table.schema.field(c).type) for c, v in keys.items()]
+        cols += [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+        return pa.Table.from_arrays(cols, [*keys, "closes", "after", "left"])
+    return run
+
+
+def _compose(limit: int, part: list[str], shard: int, carried: int):
+    """Jump tables of all ranges of a run, applied one after the other: (range, shard, carried) at each range's begin, and at the end (_bkt -1)."""
+    def run(table: pa.Table) -> pa.Table:
+        at, held = shard, carried
+        frame = table.select(["_bkt", "closes", "after", "left"]).to_pandas().sort_values(["_bkt", "closes"], kind="stable")
+        out = []
+        for bucket, rows in frame.groupby("_bkt", sort=True):
+            if held >= limit:  # the open shard is full already
+                at, held = at + 1, 0
+            out.append((bucket, at, held))
+            closes, after, left = rows["closes"].to_numpy()[1:], rows["after"].to_numpy(), rows["left"].to_numpy()
+            j = int(np.searchsorted(closes, limit - held))
+            if j < len(closes):
+                at, held = at + int(after[j + 1]), int(left[j + 1])
+            else:
+                held += int(left[0])
+        out.append((-1, at, held))
+        cols = [pa.array([table.column(c)[0].as_py()] * len(out), table.schema.field(c).type) for c in part]
+        cols += [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)]
+        return pa.Table.from_arrays(cols, [*part, "_bkt", "_shard", "_carried"])
+    return run
+
+
+def _shards_of_range(limit: int, keep: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("_i").to_numpy())
+        table = table.take(pa.array(order))
+        chain = _Chain(table.column("n_bytes").to_numpy(), limit)
+        starts = chain.walk(table.column("_carried")[0].as_py())
+        shard = table.column("_shard")[0].as_py() + np.searchsorted(starts, np.arange(table.num_rows), "right")
+        return table.select(keep).append_column("shard", pa.array(shard.astype(np.int32)))
+    return run
 
 
 def assign_shards(seq_bytes: DataFrame, limit_bytes: int, order_col: str = "append_ord",
@@ -109,10 +168,9 @@ def assign_shards(seq_bytes: DataFrame, limit_bytes: int, order_col: str = "appe
 
     ``greedy`` (the single-writer rule): a shard closes after the sequence
     that brings its bytes to the limit or past it; the next one starts from
-    zero. The chain of shard starts is found by pointer doubling: each round
-    is one self-join of the one-row-per-sequence table (log2(shards) rounds,
-    each written), then shard = number of starts at or before the
-    sequence, minus one. Only keys and byte counts move.
+    zero. The sequences are dealt to sorted ranges; each range makes a jump table (``_jump_table``: where a shard that is open before it
+    closes, and what is open behind it), the tables of a run are applied one after the other, and each range numbers its own rows.
+    A table has at most as many rows as a shard has sequences. Only keys and byte counts move, and twice.
 
     ``floor``: shard = floor(bytes before the sequence / limit), one pass;
     boundaries can differ from ``greedy`` by the overshoot.
@@ -126,26 +184,32 @@ def assign_shards(seq_bytes: DataFrame, limit_bytes: int, order_col: str = "appe
         x = running_sums(seq_bytes, order_col, {"_before": "n_bytes"}, partition_cols=part, exclusive=True,
                          n_buckets=n_buckets)
         return x.withColumn("shard", F.floor(F.col("_before") / F.lit(int(limit_bytes))).cast("int")).drop("_before")
-    x = running_sums(seq_bytes, order_col, {"_P": "n_bytes"}, partition_cols=part, exclusive=True,
-                     row_number_col="_i", n_buckets=n_buckets)
-    x = stored(x.withColumn("_Q", F.col("_P") + F.col("n_bytes")), "shard-sums")
-    jump = stored(_next_starts(x, limit_bytes, part, n_buckets), "shard-jumps")
-    jumps = [jump]
-    # J_{k+1}(s) = J_k(J_k(s)) until the chain from sequence 1 leaves every run
-    while jump.where((F.col("s") == 1) & (F.col("t") != END)).limit(1).count() > 0:
-        y = jump.select(*[F.col(c).alias(f"_y_{c}") for c in part], F.col("s").alias("_m"), F.col("t").alias("_t2"))
-        cond = [F.col(c) == F.col(f"_y_{c}") for c in part] + [F.col("t") == F.col("_m")]
-        jump = stored(jump.join(y, cond, "left")
-                      .select(*part, "s", F.coalesce(F.col("_t2"), F.lit(END)).alias("t")), "shard-jumps")
-        jumps.append(jump)
-    # starts reachable from sequence 1: after using J_k it holds the first 2^(k+1) of them
-    starts = x.where(F.col("_i") == 1).select(*part, F.col("_i").alias("s"))
-    for n, j in enumerate(jumps):
-        hop = j.join(starts, [*part, "s"]).where(F.col("t") != END).select(*part, F.col("t").alias("s"))
-        starts = starts.unionByName(hop).distinct()
-        if n % 3 == 2:  # the plan doubles with each hop
-            starts = stored(starts, "shard-starts")
-    marks = starts.select(*part, F.col("s").alias("_i"), F.lit(1).alias("_start"))
-    flagged = x.join(marks, [*part, "_i"], "left").withColumn("_start", F.coalesce(F.col("_start"), F.lit(0)))
-    y = running_sums(flagged, "_i", {"_n_starts": "_start"}, partition_cols=part, n_buckets=n_buckets)
-    return y.withColumn("shard", (F.col("_n_starts") - 1).cast("int")).drop("_P", "_Q", "_i", "_start", "_n_starts")
+    return rotate_shards(seq_bytes, limit_bytes, order_col, part, n_buckets)[0]
+
+
+def rotate_shards(seq_bytes: DataFrame, limit_bytes: int, order_col: str = "append_ord", part=(), n_buckets: int | None = None,
+                  open_shard: int = 0, open_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``assign_shards`` going on from a shard that holds ``open_bytes``: (rows with ``shard``, the open shard and its bytes at the end).
+
+    The second frame has one row per run: the ``part`` columns, ``_shard``, ``_carried``."""
+    part = list(part)
+    spark = seq_bytes.sparkSession
+    if n_buckets is None:  # ranges of several shards, so that a jump table is a small part of its range
+        total = seq_bytes.agg(F.sum("n_bytes")).first()[0] or 0
+        n_buckets = int(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), total // (4 * limit_bytes))))
+    x = range_buckets(seq_bytes, order_col, n_buckets)
+    keep = [c for c in seq_bytes.columns]
+    keys = [*part, "_bkt"]
+    x = x.withColumn("n_bytes", F.coalesce(F.col("n_bytes"), F.lit(0)).cast("bigint")) \
+        .withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(order_col)))
+    kept = {f.name: f for f in x.schema.fields}
+    longs = [T.StructField(c, T.LongType()) for c in ("closes", "after", "left")]
+    jumps = x.select(*keys, "n_bytes", "_i").groupBy(*keys).applyInArrow(
+        _jump_table(limit_bytes, part), T.StructType([kept[c] for c in keys] + longs))
+    states = T.StructType([kept[c] for c in part] + [T.StructField("_bkt", T.IntegerType()), T.StructField("_shard", T.IntegerType()),
+                                                     T.StructField("_carried", T.LongType())])
+    state = stored(jumps.groupBy(*part).applyInArrow(_compose(limit_bytes, part, open_shard, open_bytes), states), "shard-states")
+    begin, end = state.where("_bkt >= 0"), state.where("_bkt < 0").drop("_bkt")
+    out = x.join(begin, keys).groupBy(*keys).applyInArrow(
+        _shards_of_range(limit_bytes, keep), T.StructType([kept[c] for c in keep] + [T.StructField("shard", T.IntegerType())]))
+    return out, end
