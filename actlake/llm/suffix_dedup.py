@@ -24,7 +24,7 @@ from .suffix_sort import repeated_starts
 
 #: Bytes of text that one numpy pass takes, and rows that a task collapses at a time.
 CHUNK_BYTES = 1 << 20
-COLLAPSE_ROWS = 1_000_000
+COLLAPSE_ROWS = 150_000
 #: Bytes of segments in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Bytes of the segments of one k-gram beyond which they are compared by window hashes, so no task holds them whole.
