@@ -15,7 +15,7 @@ from ..operators.verify import norm_health
 from ..operators.windows import running_sums
 from ..plans import extraction as X
 from ..plans.jobs import compare_legacy_job, ingest_job, plan_job, verify_legacy_job
-from ..session import qualified, scratch_path
+from ..session import qualified, scratch_path, stored
 from ..sinks.tables import write_by_replica
 from ..sources import fixtures as fx
 from ..sources.jsonl import read_completions, read_prompts
@@ -25,6 +25,7 @@ from ..sources.shards import read_directions, read_index
 from ..operators.steer import parse_directions
 from ..streaming.dedup import mark_run_end, start_dedup_ingest, state_rows
 from ..streaming.ingest import capture_stream, drain, read_manifest_updates, start_ingest, start_manifest_updates
+from ..streaming.rotate import read_rotating_index, start_rotating_index
 from . import sqlfrag as Sq
 from .q_compare import _COS, _REL
 from .q_io import _BATCHES, _SLICES, CAPTURE_LAYER, capture_rows
@@ -268,16 +269,47 @@ def q_replica_tables(spark, d):
 
 
 @query("stream_manifest", "R5", with_views(
-    f"""SELECT 'stream' AS run_id, {CAPTURE_LAYER} AS layer, CAST(sum(seq_len) AS BIGINT) AS total_tokens FROM slices WHERE seq_len > 0""",
+    f"""SELECT 'stream' AS run_id, {CAPTURE_LAYER} AS layer, CAST(sum(seq_len) AS BIGINT) AS total_tokens,
+          count(DISTINCT (prompt_id, completion_idx)) FILTER (WHERE prompt_id >= 0) AS n_sequences FROM slices WHERE seq_len > 0""",
     "capture_seqs", extra=[("batches", _BATCHES), ("slices", _SLICES)]))
 def q_stream_manifest(spark, d):
-    """The incremental manifest of a stream, one file per trigger."""
+    """The incremental manifest of a stream of as many triggers as files, kept in a log that merges its tables."""
     cfg = RunConfig(run_id="stream", layers=(CAPTURE_LAYER,), tp_size=1)
     out = scratch_path(spark, "manifest-updates")
     drain(start_manifest_updates(capture_stream(spark, _capture_files(spark, d), 1), cfg, out, scratch_path(spark, "manifest-ck")))
     return read_manifest_updates(spark, out)
 
 
+TRIGGERS = 5
+_STREAMED = [
+    ("batches", _BATCHES), ("slices", _SLICES),
+    ("seqs", """
+        SELECT epoch, prompt_id, completion_idx, CAST(sum(seq_len) AS INT) AS n_tokens FROM (
+          SELECT s.*, CAST(floor(5.0 * batch_id / (SELECT max(batch_id) + 1 FROM capture_seqs)) AS BIGINT) AS epoch FROM slices s WHERE seq_len > 0) q
+        GROUP BY 1, 2, 3"""),
+    ("ord", f"SELECT *, n_tokens * {D * 2} AS n_bytes, row_number() OVER (ORDER BY epoch, prompt_id, completion_idx) AS i FROM seqs"),
+    _ROTATED[-1],
+]
+
+
+@query("stream_rotated", "K7 W1 K3 R1 R6", with_views(
+    f"""SELECT printf('shard_%04d', w.shard) AS shard, {CAPTURE_LAYER} AS layer, o.prompt_id, o.completion_idx, o.n_tokens, o.epoch,
+          CAST(coalesce(sum(o.n_tokens) OVER (PARTITION BY w.shard ORDER BY o.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM ord o JOIN walk w ON o.i = w.i""", "capture_seqs", extra=_STREAMED, recursive=True))
+def q_stream_rotated(spark, d):
+    """The index of a streamed ingest whose shards rotate at 8 KiB while the batches arrive, in five triggers of two starts."""
+    cfg = RunConfig(run_id="rolling", layers=(CAPTURE_LAYER,), tp_size=1, shard_bytes=SHARD_BYTES)
+    src, out, ck = (scratch_path(spark, n) for n in ("rolling-src", "rolling-out", "rolling-ck"))
+    rows = capture_rows(spark, d).drop("vec").withColumn("vec", F.lit(None).cast("array<float>"))
+    n = rows.agg(F.max("batch_id")).first()[0] + 1
+    rows = stored(rows.withColumn("part", F.floor(F.lit(float(TRIGGERS)) * F.col("batch_id") / n)), "rolling-rows")
+    for part in range(TRIGGERS):  # a file for each trigger, in order
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(src)
+        if part in (1, TRIGGERS - 1):
+            drain(start_rotating_index(capture_stream(spark, src, 1), cfg, D, out, ck))
+    return read_rotating_index(spark, out).select("shard", "layer", "prompt_id", "completion_idx", "n_tokens", "epoch", "start")
+
+
 @query("stream_resume", "R6 R4", with_views(
     "SELECT prompt_id, completion_idx, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM slices WHERE seq_len > 0 GROUP BY 1, 2",
     "capture_seqs", extra=[("batches", _BATCHES), ("slices", _SLICES)]))

@@ -9,8 +9,8 @@ needs no join and no state. The same functions run in batch mode.
 * R2  back-pressure: ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
 * R3  drain and stop: ``trigger(availableNow=True)`` + ``awaitTermination``.
 * R4  failures surface through ``StreamingQuery.exception()`` and a raise.
-* R5  incremental manifest: per-micro-batch token counts written idempotently
-      by epoch id (``foreachBatch``); the manifest is their sum.
+* R5  incremental manifest: per-micro-batch token counts of sequences, put once per epoch
+      into a log that merges its tables (``epochlog``); the manifest is their sum.
 * R6  resume: the checkpoint makes restarts exactly-once.
 * R7  replica duplicates: in the stream by one bit of state per token, dropped at the run's end (``streaming.dedup``); in
       a job when the run has ended, in the shuffle that sorts it (``sinks.tables.write_activations`` with ``dedup``).
@@ -96,16 +96,20 @@ def drain(q: StreamingQuery, timeout_s: float | None = None) -> None:
         raise TimeoutError(f"ingest has not ended after {timeout_s} s; its output is incomplete")
 
 
+def sequence_counts(rows: DataFrame) -> DataFrame:
+    """Rows of a manifest log: tokens per sequence and layer of a run; a sequence that comes in parts is one row."""
+    return rows.groupBy("run_id", "layer", "prompt_id", "completion_idx").agg(F.sum("tokens").cast("bigint").alias("tokens"))
+
+
 def start_manifest_updates(stream: DataFrame, cfg: RunConfig, out_path: str, checkpoint: str,
                            available_now: bool = True) -> StreamingQuery:
-    """Per-epoch token and sequence-row counts per (run, layer), idempotent on replay."""
+    """Per-epoch token counts per (run, layer, sequence) in a log that stays short (``epochlog``); a replay changes nothing."""
+    from .epochlog import EpochLog
     # counted before any vector is encoded: the scan reads no vector column
-    counts = capture_to_tokens(stream, cfg).select("run_id", "layer", "prompt_id", "completion_idx")
+    counts = capture_to_tokens(stream, cfg).select("run_id", "layer", "prompt_id", "completion_idx", F.lit(1).cast("bigint").alias("tokens"))
 
     def per_batch(df: DataFrame, epoch: int) -> None:
-        (df.groupBy("run_id", "layer").agg(F.count(F.lit(1)).alias("tokens"))
-         .withColumn("epoch", F.lit(int(epoch)))
-         .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={int(epoch)}"))
+        EpochLog(df.sparkSession, out_path, sequence_counts).put(int(epoch), df)
 
     w = counts.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if available_now:
@@ -114,6 +118,8 @@ def start_manifest_updates(stream: DataFrame, cfg: RunConfig, out_path: str, che
 
 
 def read_manifest_updates(spark: SparkSession, out_path: str) -> DataFrame:
-    """R5 read side: current tokens per (run, layer)."""
-    return (spark.read.parquet(out_path).groupBy("run_id", "layer")
-            .agg(F.sum("tokens").cast("bigint").alias("total_tokens")))
+    """R5 read side: current tokens and sequences per (run, layer). Sequences are those with a parsed request id; the others share a key."""
+    from .epochlog import EpochLog
+    rows = EpochLog(spark, out_path, sequence_counts).read()
+    return rows.groupBy("run_id", "layer").agg(F.sum("tokens").cast("bigint").alias("total_tokens"),
+                                               F.count_if(F.col("prompt_id") >= 0).alias("n_sequences"))
