@@ -284,7 +284,7 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "do
     names = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("c")).filter("least < most")
     common = written(_with_stats(found, written(names.select("key", "c"), "names"), ["key"], found.count()), "shared")
     equal = written(common.groupBy("key", "digest").agg(F.min("doc").alias("first"), F.count("*").alias("c")), "equal")
-    several = equal.groupBy("key").agg(F.count("*").alias("digests")).filter("digests > 1")
+    several = written(equal.groupBy("key").agg(F.count("*").alias("digests")).filter("digests > 1"), "several")
     known = written(equal.join(several, "key", "left"), "known")
     rows = written(_with_stats(common, known, ["key", "digest"], common.count()).filter("doc > first or digests is not null"), "judged")
     # a later copy of a segment goes whole
