@@ -20,11 +20,12 @@ from ..sinks.tables import write_by_replica
 from ..sources import fixtures as fx
 from ..sources.jsonl import read_completions, read_prompts
 from ..sources.legacy import (append_legacy, commit_legacy, decide_legacy, export_legacy, import_legacy, read_legacy, recover_legacy,
-                              stage_append)
+                              stage_append, stream_legacy)
 from ..sources.shards import read_directions, read_index
 from ..operators.steer import parse_directions
 from ..streaming.dedup import mark_run_end, start_dedup_ingest, state_rows
 from ..streaming.ingest import capture_stream, drain, read_manifest_updates, start_ingest, start_manifest_updates
+from ..streaming.report import drain_reported
 from ..streaming.rotate import read_rotating_index, start_rotating_index
 from . import sqlfrag as Sq
 from .q_compare import _COS, _REL
@@ -310,6 +311,21 @@ def q_stream_rotated(spark, d):
     return read_rotating_index(spark, out).select("shard", "layer", "prompt_id", "completion_idx", "n_tokens", "epoch", "start")
 
 
+@query("stream_report", "R4 A9 K5", with_views(
+    """SELECT 'sound' AS run_id, 'ended' AS status, false AS told, count(*) AS n_input_rows FROM capture_tokens
+       UNION ALL SELECT 'unsound', 'failed', true, 0""", "capture_tokens"))
+def q_stream_report(spark, d):
+    """Summary rows of two streamed runs over the same captured files, one with the right vector length and one that fails at its first
+    trigger; told: the row gives the reason (R4, A9)."""
+    src, out = _capture_files(spark, d), scratch_path(spark, "reported")
+    for run, width in (("sound", D), ("unsound", D + 1)):
+        cfg = RunConfig(run_id=run, layers=(CAPTURE_LAYER,), tp_size=1)
+        drain_reported(spark, lambda: start_ingest(capture_stream(spark, src, 1), cfg, f"{out}/acts/{run}", f"{out}/ck/{run}", d_model=width),  # noqa: B023
+                       run, f"{out}/summary", raise_failure=False)
+    rows = spark.read.schema("run_id string, status string, reason string, n_input_rows long").json(f"{out}/summary")
+    return rows.select("run_id", "status", F.coalesce(F.col("reason").contains("elements instead of"), F.lit(False)).alias("told"), "n_input_rows")
+
+
 @query("stream_resume", "R6 R4", with_views(
     "SELECT prompt_id, completion_idx, CAST(sum(seq_len) AS BIGINT) AS n_tokens FROM slices WHERE seq_len > 0 GROUP BY 1, 2",
     "capture_seqs", extra=[("batches", _BATCHES), ("slices", _SLICES)]))
@@ -328,13 +344,13 @@ def q_stream_resume(spark, d):
 
 # --------------------------------------------------------------------------- legacy shards
 
-def _legacy_root(spark, acts, dtype: str, keep=None) -> str:
-    """Rows (shard, layer, keys, payload) exported as legacy shards; ``keep`` may change the manifest."""
+def _legacy_root(spark, acts, dtype: str, keep=None, root: str | None = None) -> str:
+    """Rows (shard, layer, keys, payload) exported as legacy shards, of a new root or into one; ``keep`` may change the manifest."""
     key = ("shard", "layer", "prompt_id", "completion_idx")
     seqs = L.sequence_lengths(acts, key).withColumn("append_ord", F.struct("prompt_id", "completion_idx"))
     idx = L.index_offsets(seqs, "append_ord", partition=("shard", "layer"))
     man = L.manifest(idx, "stand-in", D, dtype)
-    root = scratch_path(spark, "legacy")
+    root = root or scratch_path(spark, "legacy")
     export_legacy(acts, idx, keep(man) if keep else man, root)
     return root
 
@@ -388,6 +404,24 @@ def q_legacy_recover(spark, d):
         "layer", "prompt_id", "completion_idx", "n_tokens", r6("norm_mean").alias("norm_mean"), "start", F.lit(n_seen).cast("long").alias("n_seen"))
 
 
+@query("legacy_stream", "S9 R1 R6 K9", with_views(
+    f"""SELECT run_id AS shard, layer, prompt_id, completion_idx, CAST(count(*) AS BIGINT) AS n_tokens, round(sum({_BFN}), 4) AS norm_sum
+        FROM (SELECT * REPLACE (CASE run_id WHEN 'base' THEN 'shard_0000' ELSE 'shard_0001' END AS run_id) FROM vectors) v GROUP BY ALL""", "vectors"))
+def q_legacy_stream(spark, d):
+    """A root of legacy shards read as a stream while it is appended to twice, the last time by a new shard: every sequence once."""
+    base = _shard(spark, d, "base", "shard_0000", "bfloat16")
+    root = _legacy_root(spark, base.where("prompt_id % 2 = 0"), "bfloat16")
+    out, ck = scratch_path(spark, "legacy-stream"), scratch_path(spark, "legacy-stream-ck")
+    for step in range(3):
+        if step == 1:
+            append_legacy(base.where("prompt_id % 2 = 1"), root, "stand-in", D, "bfloat16")
+        elif step == 2:
+            _legacy_root(spark, _shard(spark, d, "variant", "shard_0001", "bfloat16"), "bfloat16", root=root)
+        drain(stream_legacy(spark, root).writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out))
+    x = decode_activations(spark.read.parquet(out)).withColumn("norm", V.l2_norm("vec"))
+    return x.groupBy("shard", "layer", "prompt_id", "completion_idx").agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("norm"), 4).alias("norm_sum"))
+
+
 @query("legacy_pushdown", "S6 J8 P3 P14", with_views(
     f"""SELECT CASE run_id WHEN 'base' THEN 'shard_0000' ELSE 'shard_0001' END AS shard, layer, prompt_id, token_pos, round({_BFN}, 6) AS norm
         FROM vectors WHERE layer = 32 AND prompt_id >= 4 AND (run_id = 'base' OR token_pos < 3)""", "vectors"))

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import DTYPE_BYTES, GuardError, RunConfig, require_nonempty
 from ..functions import text as tx
 from ..operators.prompts import first_n, join_pairs, last_rollout, merge_prompts
 from ..operators.windows import running_sums
+from ..session import stored
 
 
 def pairs(prompts_raw: DataFrame, completions_raw: DataFrame, cfg: RunConfig,
@@ -84,12 +85,33 @@ def guard_plan(seqs: DataFrame) -> None:
 def run_summary(seqs: DataFrame, cfg: RunConfig, n_shards: int | Column = 1,
                 elapsed_s: float | None = None) -> DataFrame:
     """Pairs, truncated, skipped, total tokens (of kept sequences), shards."""
+    return with_rate(seqs.agg(*plan_totals(cfg)), n_shards, elapsed_s)
+
+
+def plan_totals(cfg: RunConfig) -> list[Column]:
+    """The totals of a plan, as aggregates of its sequences."""
     skipped = F.col("n_tokens") < F.lit(cfg.min_tokens)
-    out = seqs.agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count_if(F.col("was_truncated")).alias("n_truncated"),
-        F.count_if(skipped).alias("n_skipped"),
-        F.coalesce(F.sum(F.when(~skipped, F.col("n_tokens"))), F.lit(0)).cast("bigint").alias("total_tokens"))
+    return [F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("was_truncated")).alias("n_truncated"), F.count_if(skipped).alias("n_skipped"),
+            F.coalesce(F.sum(F.when(~skipped, F.col("n_tokens"))), F.lit(0)).cast("bigint").alias("total_tokens")]
+
+
+def observed_plan(seqs: DataFrame, cfg: RunConfig) -> tuple[DataFrame, DataFrame]:
+    """(planned sequences without their texts and tokens, their totals) from one execution of the plan.
+
+    The narrow rows are written when this is called and counted on their way (``DataFrame.observe``); an empty plan is an error (P15).
+    """
+    seen = Observation("plan")
+    narrow = seqs.select("prompt_id", "completion_idx", "rid", "n_tokens", "was_truncated").observe(seen, *plan_totals(cfg))
+    planned = stored(narrow, "planned")
+    totals = seen.get
+    if not totals["n_pairs"]:
+        raise GuardError("the plan is empty; prompts and rollouts share no id")
+    row = [tuple(totals[c] for c in ("n_pairs", "n_truncated", "n_skipped", "total_tokens"))]
+    return planned, seqs.sparkSession.createDataFrame(row, "n_pairs long, n_truncated long, n_skipped long, total_tokens long")
+
+
+def with_rate(out: DataFrame, n_shards: int | Column = 1, elapsed_s: float | None = None) -> DataFrame:
+    """A plan's totals with shards and, if the seconds are given, tokens per second."""
     out = out.withColumn("n_shards", n_shards if isinstance(n_shards, Column) else F.lit(int(n_shards)))
     if elapsed_s is not None:
         out = (out.withColumn("elapsed_s", F.lit(float(elapsed_s)))

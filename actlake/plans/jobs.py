@@ -35,11 +35,11 @@ def plan_job(spark: SparkSession, prompt_files: list[str], completion_files: lis
     """Plan an extraction run; writes ``plan``, ``runs`` and ``summary`` under ``out_dir``."""
     t0 = time.time()
     pairs = X.pairs(read_prompts(spark, prompt_files), read_completions(spark, completion_files), cfg)
-    seqs = X.sequences(pairs, cfg, system=system, tokenizer=tokenizer)
-    X.guard_plan(seqs)
-    K.write_plan(X.ordered_plan(X.keep_min_length(seqs, cfg.min_tokens)), f"{out_dir}/plan")
+    # the plan runs once: its narrow rows are written and counted, guard, plan file and summary take them from there
+    planned, totals = X.observed_plan(X.sequences(pairs, cfg, system=system, tokenizer=tokenizer), cfg)
+    K.write_plan(X.ordered_plan(X.keep_min_length(planned, cfg.min_tokens)), f"{out_dir}/plan")
     K.write_run_rows(K.run_meta(spark, cfg), f"{out_dir}/runs")
-    summary = X.run_summary(seqs, cfg, elapsed_s=time.time() - t0)
+    summary = X.with_rate(totals, elapsed_s=time.time() - t0)
     K.write_run_rows(summary, f"{out_dir}/summary")
     return summary.first().asDict()
 

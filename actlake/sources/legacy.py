@@ -38,7 +38,7 @@ from ..functions.text import LAYER_FILE, SCALE_FILE, json_row
 from ..operators.layout import index_offsets, manifest as manifest_of, sequence_lengths
 from ..operators.verify import resolve_duplicates
 from ..session import qualified, stored
-from .legacy_reader import LegacyReader, SPLIT_BYTES, open_fs as _fs
+from .legacy_reader import LegacyReader, LegacyStreamReader, SPLIT_BYTES, open_fs as _fs
 from .shards import read_index, read_manifest
 
 FORMAT = "actlake_legacy"
@@ -185,6 +185,12 @@ def read_legacy(spark: SparkSession, root: str, where: dict | None = None, polic
             .option("parallelism", spark.sparkContext.defaultParallelism).load(qualified(spark, root)))
 
 
+def stream_legacy(spark: SparkSession, root: str) -> DataFrame:
+    """S9 + R1: rows of a root of legacy shards as they are appended, as a stream; new shards may come."""
+    register(spark)
+    return spark.readStream.format(FORMAT).load(qualified(spark, root))
+
+
 def read_legacy_sequence(spark: SparkSession, root: str, layer: int, prompt_id: int, completion_idx: int, shard: str | None = None,
                          policy: str = "first") -> DataFrame:
     """J8 + O3 on a legacy root: one sequence at one layer, by position. Payloads stay as stored (``decode_activations``)."""
@@ -326,6 +332,9 @@ class LegacyShards(DataSource):
     def reader(self, schema):
         return LegacyReader(self.options)
 
+    def streamReader(self, schema):  # noqa: N802
+        return LegacyStreamReader(self.options)
+
     def writer(self, schema, overwrite):
         return _Writer(self.options)
 

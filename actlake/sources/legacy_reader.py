@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.text import SCALE_FILE
 
@@ -236,35 +236,51 @@ class LegacyReader(DataSourceReader):
         yield batch if listed is None else batch.filter(pa.array(self.bounds["token_pos"].mask(pos)))
 
 
+INDEX = pa.schema([("prompt_id", pa.int64()), ("completion_idx", pa.int32()), ("layer", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32())])
+
+
+def _index_columns(lines) -> dict[str, np.ndarray]:
+    """Index lines (a file-like object) as columns; without lines, empty ones."""
+    from pyarrow import json as pj
+    table = INDEX.empty_table() if lines is None else pj.read_json(
+        lines, parse_options=pj.ParseOptions(explicit_schema=INDEX, unexpected_field_behavior="ignore"))
+    return {c: table.column(c).to_numpy().astype(np.int64) for c in INDEX.names}
+
+
+def _read_index(fs, path: str) -> dict[str, np.ndarray]:
+    if not fs.get_file_info(path).size:
+        return _index_columns(None)
+    with fs.open_input_stream(path) as s:
+        return _index_columns(s)
+
+
 class _Shard:
     """Manifest and index of one shard folder."""
 
     def __init__(self, root: str, f: LayerFile, policy: str, layers: tuple):
-        from pyarrow import fs as pafs, json as pj
         self.folder, self.layers = f.folder, layers
+        self._open(root, f.folder)
+        self.index = _read_index(self.fs, f"{f.folder}/index.jsonl") if self.has_index else _index_columns(None)
+        i, n = self.index, len(self.index["start"])
+        order = np.lexsort((np.arange(n) if policy == "first" else -np.arange(n), i["completion_idx"], i["prompt_id"], i["layer"]))
+        key = np.stack([i[c][order] for c in ("layer", "prompt_id", "completion_idx")])
+        new = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))[:n]
+        self.chosen = np.zeros(n, bool)
+        self.chosen[order[new]] = True
+
+    def _open(self, root: str, folder: str) -> None:
+        from pyarrow import fs as pafs
         self.fs, _ = open_fs(root)
-        has = {i.base_name for i in self.fs.get_file_info([f"{f.folder}/{x}" for x in ("meta.json", "index.jsonl")])
+        has = {i.base_name for i in self.fs.get_file_info([f"{folder}/{x}" for x in ("meta.json", "index.jsonl")])
                if i.type == pafs.FileType.File}
         meta = {}
         if "meta.json" in has:
-            with self.fs.open_input_stream(f"{f.folder}/meta.json") as s:
+            with self.fs.open_input_stream(f"{folder}/meta.json") as s:
                 meta = json.loads(s.read())
         self.dtype = meta.get("dtype") or "bfloat16"
         self.width = int(meta.get("d_model") or 0) * int(meta.get("bytes_per_elem") or 2)
         self.listed = set(meta.get("layers") or ())
-        names = {"prompt_id": pa.int64(), "completion_idx": pa.int32(), "layer": pa.int32(), "start": pa.int64(), "n_tokens": pa.int64()}
-        table = pa.table({c: pa.array([], t) for c, t in names.items()})
-        if "index.jsonl" in has and self.fs.get_file_info(f"{f.folder}/index.jsonl").size:
-            with self.fs.open_input_stream(f"{f.folder}/index.jsonl") as s:
-                table = pj.read_json(s, parse_options=pj.ParseOptions(explicit_schema=pa.schema(list(names.items())),
-                                                                     unexpected_field_behavior="ignore"))
-        self.index = {c: table.column(c).to_numpy().astype(np.int64) for c in names}
-        i, n = self.index, table.num_rows
-        order = np.lexsort((np.arange(n) if policy == "first" else -np.arange(n), i["completion_idx"], i["prompt_id"], i["layer"]))
-        key = np.stack([i[c][order] for c in ("layer", "prompt_id", "completion_idx")])
-        new = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))[:n]
-        self.chosen = np.zeros(n, bool)
-        self.chosen[order[new]] = True
+        self.has_index = "index.jsonl" in has
 
     def check(self, f: LayerFile, wanted: Bound) -> None:
         """Raise if the file, the index and the manifest disagree about a layer that is read; the shard's first file answers for absent ones."""
@@ -285,3 +301,81 @@ class _Shard:
         if wrong:
             raise ValueError(f"legacy shards do not agree with their index and manifest: {self.folder}: "
                              + ", ".join(f"layer {x} {why}" for x, why in wrong))
+
+
+# --------------------------------------------------------------------------- a root that grows
+
+class IndexRange(InputPartition):
+    """Bytes [low, high) of a shard's index."""
+
+    def __init__(self, folder: str, shard: str, low: int, high: int):
+        super().__init__(None)
+        self.folder, self.shard, self.low, self.high = folder, shard, low, high
+
+
+class _Appended(_Shard):
+    """Manifest and some new index rows of a shard; every row counts."""
+
+    def __init__(self, root: str, p: IndexRange):
+        self.folder = p.folder
+        self._open(root, p.folder)
+        with self.fs.open_input_file(f"{p.folder}/index.jsonl") as s:
+            self.index = _index_columns(pa.BufferReader(s.read_at(p.high - p.low, p.low)))
+        self.chosen = np.ones(len(self.index["start"]), bool)
+
+
+class LegacyStreamReader(DataSourceStreamReader):
+    """Rows that are appended to a root's shards while it grows (S9, R1): each index line once, with its tokens.
+
+    The offset is the number of index bytes of every shard, up to the last whole line. A writer publishes payloads before the index
+    that names them, and an append keeps what there is, so a range of lines always finds its rows. A key that is appended again comes again.
+    """
+
+    TAIL = 1 << 16
+
+    def __init__(self, options):
+        self.reader = LegacyReader(options)
+        self.known: dict[str, int] = {}
+
+    def initialOffset(self):  # noqa: N802
+        return {}
+
+    def latestOffset(self):  # noqa: N802
+        from pyarrow import fs as pafs
+        fs, base = open_fs(self.reader.root)
+        base = base.rstrip("/")
+        out = {}
+        for i in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
+            folder = i.path.rsplit("/", 1)[0]
+            name = folder[len(base) + 1:]
+            if i.base_name == "index.jsonl" and i.type == pafs.FileType.File and (not name or name.startswith("shard_") and "/" not in name):
+                out[name] = self._lines(fs, i.path, i.size, self.known.get(name, 0))
+        self.known |= out
+        return out
+
+    def _lines(self, fs, path: str, size: int, known: int) -> int:
+        """Bytes up to the end of the last whole line."""
+        with fs.open_input_file(path) as s:
+            while size > known:
+                low = max(known, size - self.TAIL)
+                at = s.read_at(size - low, low).rfind(b"\n")
+                if at >= 0:
+                    return low + at + 1
+                size = low
+        return known
+
+    def partitions(self, start, end):
+        _, base = open_fs(self.reader.root)
+        return [IndexRange(f"{base.rstrip('/')}/{name}".rstrip("/"), name, start.get(name, 0), high)
+                for name, high in sorted(end.items()) if high > start.get(name, 0)]
+
+    def read(self, partition):
+        shard = _Appended(self.reader.root, partition)
+        for layer in np.unique(shard.index["layer"]).tolist():
+            info = shard.fs.get_file_info(f"{partition.folder}/acts_layer_{layer:03d}.bin")
+            size = info.size or 0
+            rows = shard.index["layer"] == layer
+            if shard.width and int((shard.index["start"] + shard.index["n_tokens"])[rows].max()) * shard.width > size:
+                raise ValueError(f"{partition.folder}: layer {layer} past_end: the index names rows that its file does not hold")
+            if shard.width:
+                yield from self.reader._sequences(shard, LayerFile(partition.shard, partition.folder, layer, size), 0, size)

@@ -51,3 +51,64 @@ def test_reference_workflow(spark, tmpdir_fresh):
     assert len(m) == c["keys"].count() > 0 and all(r.cos_min > 0.99 for r in m)
     assert "rid" in acts.columns and acts.where("prompt_id = -1").select("rid").distinct().count() >= 1
     assert c["positions"].count() > 0 and c["shift"].count() > 0 and c["drift"].count() > 0
+
+
+def test_a_plan_runs_once_and_an_empty_one_is_refused(spark, tmpdir_fresh):
+    """The tokenizer sees each sequence once: guard, plan file and summary come from one execution."""
+    import json
+    import os
+
+    import pytest
+
+    from actlake.config import GuardError, RunConfig
+    from actlake.plans.jobs import plan_job
+    seen = os.path.join(tmpdir_fresh, "seen")
+    os.makedirs(seen)
+
+    def factory():
+        def tokens(texts):
+            import uuid
+            with open(os.path.join(seen, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join("x" for _ in texts))
+            return [list(range(len(t.split()))) for t in texts]
+        return tokens
+    prompts, completions = (os.path.join(tmpdir_fresh, n) for n in ("p.jsonl", "c.jsonl"))
+    with open(prompts, "w") as f, open(completions, "w") as g:
+        for i in range(50):
+            f.write(json.dumps({"id": i, "prompt": "a " * i}) + "\n")
+            g.write(json.dumps({"prompt_id": i, "completion_idx": 0, "text": "b " * 5}) + "\n")
+    cfg = RunConfig(max_tokens=30, min_tokens=8)
+    got = plan_job(spark, [prompts], [completions], cfg, os.path.join(tmpdir_fresh, "out"), tokenizer=factory)
+    assert sum(open(os.path.join(seen, f)).read().count("x") for f in os.listdir(seen)) == 50
+    lines = spark.read.json(os.path.join(tmpdir_fresh, "out", "plan"))
+    assert (got["n_pairs"], got["total_tokens"]) == (50, lines.agg({"n_tokens": "sum"}).first()[0])
+    assert got["n_skipped"] == 50 - lines.count() and got["n_truncated"] > 0 and got["tok_per_s"] > 0
+    with open(completions, "w") as g:
+        g.write(json.dumps({"prompt_id": 1000, "completion_idx": 0, "text": "b"}) + "\n")
+    with pytest.raises(GuardError, match="empty"):
+        plan_job(spark, [prompts], [completions], cfg, os.path.join(tmpdir_fresh, "none"), tokenizer=factory)
+    assert not os.path.exists(os.path.join(tmpdir_fresh, "none", "plan"))
+
+
+def test_a_failed_stream_leaves_its_reason_in_the_summary(spark, tmpdir_fresh):
+    import os
+
+    import pytest
+
+    from actlake.catalog.q_io import STREAM_CFG, capture_rows
+    from actlake.streaming.ingest import capture_stream, start_ingest
+    from actlake.streaming.report import drain_reported
+
+    from .conftest import SF
+    src, out = (os.path.join(tmpdir_fresh, n) for n in ("src", "out"))
+    rows = capture_rows(spark, SF)
+    rows.repartition(3).write.parquet(src)
+
+    def start(width, name):
+        return lambda: start_ingest(capture_stream(spark, src, 1), STREAM_CFG, os.path.join(out, name), os.path.join(out, "ck" + name), d_model=width)
+    ok = drain_reported(spark, start(64, "a"), "a", os.path.join(out, "summary")).first()
+    assert (ok.status, ok.reason, ok.n_triggers, ok.n_input_rows, ok.last_epoch) == ("ended", None, 3, rows.count(), 2)
+    with pytest.raises(RuntimeError, match="elements instead of"):
+        drain_reported(spark, start(63, "b"), "b", os.path.join(out, "summary"))
+    kept = {r.run_id: r for r in spark.read.json(os.path.join(out, "summary")).collect()}
+    assert kept["a"].status == "ended" and kept["b"].status == "failed" and "elements instead of" in kept["b"].reason

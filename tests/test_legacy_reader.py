@@ -134,6 +134,38 @@ def test_a_root_without_shards(spark, tmpdir_fresh):
     assert [r[:6] for r in _rows(LG.read_legacy(spark, sd))] == [("", 1, 9, 1, t, "bfloat16") for t in (0, 1)]
 
 
+def test_a_growing_root_gives_every_append_once(spark, tmpdir_fresh, monkeypatch):
+    from actlake.sources.legacy_reader import LegacyStreamReader
+    from actlake.streaming.ingest import drain
+    root, out, ck = (os.path.join(tmpdir_fresh, n) for n in ("root", "out", "ck"))
+    monkeypatch.setattr(LegacyStreamReader, "TAIL", 5)
+
+    def read():
+        q = LG.stream_legacy(spark, root).writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out)
+        drain(q, 300)
+        return _rows(spark.read.parquet(out))
+    steps = [_acts(spark, [1, 2]), _acts(spark, [3], shards=("shard_0001",)), _acts(spark, [4]), _acts(spark, [4])]
+    want = []
+    for n, acts in enumerate(steps):
+        _export(spark, acts, root) if n < 2 else LG.append_legacy(acts, root, "m", D, "bfloat16")
+        want += _rows(acts)
+        assert read() == sorted(want)
+    assert read() == sorted(want)
+    # a line that is not whole yet waits
+    path = os.path.join(root, "shard_0001", "index.jsonl")
+    whole = os.path.getsize(path)
+    with open(path, "a") as f:
+        f.write('{"prompt_id": 3, "completion_idx"')
+    assert read() == sorted(want)
+    reader = LegacyStreamReader({"path": root})
+    assert reader.latestOffset()["shard_0001"] == whole and reader.initialOffset() == {}
+    assert [(p.shard, p.low) for p in reader.partitions({"shard_0000": 10}, reader.latestOffset())] == [("shard_0000", 10), ("shard_0001", 0)]
+    with open(path, "a") as f:
+        f.write(': 0, "layer": 5, "start": 0, "n_tokens": 1}\n')
+    first = next(r for r in _rows(steps[1]) if r[1] == 5 and r[4] == 0)
+    assert read() == sorted([*want, first])
+
+
 # ------------------------------------------------------------------ a writer that dies
 
 class Death(Exception):
