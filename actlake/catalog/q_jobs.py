@@ -16,6 +16,7 @@ from ..operators.windows import running_sums
 from ..plans import extraction as X
 from ..plans.jobs import compare_legacy_job, ingest_job, plan_job, verify_legacy_job
 from ..session import qualified, scratch_path, stored
+from ..sinks.jsonl_zstd import write_jsonl_zstd
 from ..sinks.tables import write_by_replica
 from ..sources import fixtures as fx
 from ..sources.jsonl import read_completions, read_prompts
@@ -57,8 +58,8 @@ def _completion_files(spark, d) -> list[str]:
     root = scratch_path(spark, "completion files")
     raw = fx.completions_raw(spark, d).select("prompt_id", "completion_idx", "text", "src_ord")
     raw.where("src_ord = 0").drop("src_ord").write.json(f"{root}/first")
-    raw.where("src_ord = 1").drop("src_ord").write.option("compression", "gzip").json(f"{root}/second")
-    return [f"{root}/first", f"{root}/second/*.gz"]
+    write_jsonl_zstd(raw.where("src_ord = 1").drop("src_ord"), f"{root}/second")
+    return [f"{root}/first", f"{root}/second/*.zst"]
 
 
 @query("prompt_files_merged", "S1 S3 T3 A1", with_views("SELECT prompt_id, prompt FROM prompts", "prompts"))
@@ -70,7 +71,7 @@ def q_prompt_files_merged(spark, d):
 @query("rollout_files_last_wins", "S2 S3 A2 P10", with_views(
     "SELECT prompt_id, completion_idx, completion FROM last_rollouts", "last_rollouts"))
 def q_rollout_files_last_wins(spark, d):
-    """Completion files, a plain folder and a compressed glob, read back; the last row in (file, line) order wins."""
+    """Completion files, a plain folder and a glob of zstandard files, read back; the last row in (file, line) order wins."""
     return P.last_rollout(read_completions(spark, _completion_files(spark, d)), 0)
 
 

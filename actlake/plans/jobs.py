@@ -24,7 +24,7 @@ from ..operators import layout as L
 from ..operators import verify as VF
 from ..sinks import tables as K
 from ..sources.jsonl import read_completions, read_prompts
-from ..sources.legacy import import_legacy, legacy_report
+from ..sources.legacy import import_legacy, legacy_report, read_legacy
 from ..sources.shards import read_capture, read_index
 from ..streaming.ingest import capture_stream, capture_to_activations, drain, start_ingest
 from . import extraction as X
@@ -155,6 +155,8 @@ def compare_job(acts: DataFrame, run_a: str, run_b: str, layer: int, completion_
 
 def compare_legacy_job(spark: SparkSession, root_a: str, root_b: str, layer: int, completion_idx: int = 0,
                        prompt_ids=None) -> dict[str, DataFrame]:
-    """``compare_job`` of two legacy shard roots."""
-    sides = [import_legacy(spark, root).withColumn("run_id", F.lit(name)).drop("shard") for name, root in (("a", root_a), ("b", root_b))]
+    """``compare_job`` of two legacy shard roots. Only the layer's files are opened, and of them the sequences that are compared; each is
+    checked where it is read."""
+    where = {"layer": [layer], "completion_idx": [completion_idx]} | ({} if prompt_ids is None else {"prompt_id": prompt_ids})
+    sides = [read_legacy(spark, root, where).withColumn("run_id", F.lit(name)).drop("shard") for name, root in (("a", root_a), ("b", root_b))]
     return compare_job(sides[0].unionByName(sides[1]), "a", "b", layer, completion_idx, prompt_ids)

@@ -47,3 +47,15 @@ def test_zstd_completions_last_wins(spark, tmpdir_fresh):
     assert got == {1: "z", 2: "keep"}
     only_first = {r.prompt_id: r.completion for r in last_rollout(read_completions(spark, [c1]), 0).collect()}
     assert only_first == {1: "y", 2: "keep"}
+
+
+def test_zstd_files_are_written_and_read_back(spark, tmpdir_fresh):
+    from actlake.sinks.jsonl_zstd import write_jsonl_zstd
+    rows = spark.range(1000).selectExpr("id as prompt_id", "cast(id % 3 as int) as completion_idx", "concat('t\u00e9xt \\n ', id) as text", "7 as more")
+    path = os.path.join(tmpdir_fresh, "z z")
+    write_jsonl_zstd(rows.repartition(3), path)
+    assert sorted(os.listdir(path)) == [f"part-{i:05d}.jsonl.zst" for i in range(3)]
+    back = read_completions(spark, [path + "/*.zst"])
+    assert back.select("src_ord").distinct().count() == 3
+    got = sorted((r.prompt_id, r.completion_idx, r.text) for r in back.collect())
+    assert got == sorted((r.prompt_id, r.completion_idx, r.text) for r in rows.collect()) and "\n" in got[0][2]
