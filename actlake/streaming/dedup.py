@@ -68,7 +68,7 @@ class FirstCopies(StatefulProcessor):
             at = parsed[at]
             pos = part["token_pos"].to_numpy()[at].astype(np.int64)
             key = tuple(int(x) for x in sequence)
-            old = self.seen.getValue(key) if self.seen.containsKey(key) else None
+            old = self.seen.getValue(key)  # None for a sequence that is new
             bits = np.unpackbits(np.frombuffer(bytes(old[0]), np.uint8)) if old else np.zeros(0, np.uint8)
             if len(bits) <= pos.max():
                 bits = np.append(bits, np.zeros((int(pos.max()) // 8 + 1) * 8 - len(bits), np.uint8))
