@@ -58,7 +58,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     folder. Neither edges nor labels reach the driver, which sees two numbers a round.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .filter("u <> v").distinct(), "cc", links.count())
+                    .filter("u <> v").distinct().hint("rebalance"), "cc")
     mark = None
     for _ in range(max_rounds):
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -73,7 +73,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u")
         edges = written(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                         .unionByName(small.select("u", F.col("m").alias("v")))
-                        .filter("u <> v").distinct(), "cc", now[0])
+                        .filter("u <> v").distinct().hint("rebalance"), "cc")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(

@@ -1,15 +1,18 @@
 """Grouped prefix join: documents whose word-shingle sets have a Jaccard similarity of at least t.
 
 A document's set is ordered by one global order (shingles that are frequent among
-first prefixes come last, all others by hash). Two sets that link share m
-shingles in their prefixes of n - ceil(t n) + m shingles; m grows with the size
-n, so that long documents must share many. Documents with equal sets form a
+first prefixes come last, all others by hash). Its prefix holds the first steps of that order: pairs of
+neighbours, the first shingle counting as a neighbour of the start. Of a set of n shingles at most
+2 (1 - t) n steps are not steps of a set that links with it: a missing shingle breaks two, a further one of
+the other set breaks one. So two sets that link share m steps among their first 2 (1 - t) n + m;
+m grows with n. Unrelated long documents share many single shingles but hardly ever a step, so lists stay short at every size.
+Below t = 3/4 the prefixes hold the shingles themselves, n - ceil(t n) + m of them. Documents with equal sets form a
 class; classes with the same size and the same prefix form a group, so the inverted index
 holds groups. Group pairs are filtered by size, by a 256-bit parity sketch and by
-the number of shared prefix shingles, expanded to member pairs, filtered again, and
+the number of shared prefix entries, expanded to member pairs, filtered again, and
 verified by exact intersection.
 
-The join works in two rounds. Round one tries every group against one hub per list and every
+The join works in two rounds. Round one tries every group against one hub, that of its longest list, and every
 member against its group's hub; what links becomes one component. Round two pairs
 everything that is left between different components, leaving out each list's
 dominant component against itself, so a large group of near copies costs rows in
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .bloom import repeat_filter
 from .common import connected_components, held, written
-from .hashing import batch_bytes, hash_words, shingles
+from .hashing import batch_bytes, hash_words, mix, shingles
 
 #: A shingle that more prefixes hold goes to the end of the order; at least this, and so many
 #: that the list of such shingles, which is broadcast, has at most HOT_LIST entries.
@@ -38,8 +41,8 @@ HOT_LIST = 1_000_000
 CHUNK_BYTES = 2 << 20
 #: One shared prefix shingle more is asked for every so many shingles of a set.
 SHARE_STEP = 64
-#: A set, and a prefix, are as large as so many narrow rows.
-SET_ROWS, PREFIX_ROWS = 100, 16
+#: From this similarity on, prefixes hold steps; at least half of a set's steps are then in every set that links with it.
+STEPS_FROM = (3, 4)
 SKETCH = ["b0", "b1", "b2", "b3"]
 
 
@@ -80,13 +83,12 @@ class Sets:
     def of(self, i: int) -> np.ndarray:
         return self.values[self.starts[i]:self.starts[i + 1]]
 
-    def prefixes(self, t: tuple[int, int], hot: np.ndarray) -> list[np.ndarray]:
-        """The prefix of every document; hot holds the hot shingles by value, with their ranks in the order.
+    def firsts(self, size: np.ndarray, hot: np.ndarray) -> list[np.ndarray]:
+        """The first ``size`` shingles of every document; hot holds the hot shingles by value, with their ranks in the order.
         Also sets ``hot``, the number of hot shingles in each set."""
-        size = np.minimum(self.n, self.n - -(-t[0] * self.n // t[1]) + 1 + self.n // SHARE_STEP)
         if not len(hot):
             self.hot = np.zeros(len(self.n), np.int64)
-            return [self.of(i)[:size[i]] if self.n[i] else self.of(i) for i in range(len(self.n))]
+            return [self.of(i)[:size[i]] for i in range(len(self.n))]
         at = np.minimum(np.searchsorted(hot[0], self.values), len(hot[0]) - 1)
         is_hot, rank = hot[0][at] == self.values, hot[1][at]
         upto = np.concatenate([[0], np.cumsum(is_hot)])
@@ -95,13 +97,24 @@ class Sets:
         for i in range(len(self.n)):
             a, z = self.starts[i], self.starts[i + 1]
             x, m = self.values[a:z], is_hot[a:z]
-            p = x[~m][:size[i]] if a < z else x
-            if len(p) < size[i] and a < z:
+            p = x[~m][:size[i]]
+            if len(p) < size[i]:
                 late = x[m][np.argsort(rank[a:z][m], kind="stable")]
                 p = np.concatenate([p, late[:size[i] - len(p)]])
             out.append(p)
         return out
 
+    def shingle_prefixes(self, t: tuple[int, int], hot: np.ndarray) -> list[np.ndarray]:
+        """The shingles that two linked sets share some of."""
+        return self.firsts(np.minimum(self.n, self.n - -(-t[0] * self.n // t[1]) + 1 + self.n // SHARE_STEP), hot)
+
+    def prefixes(self, t: tuple[int, int], hot: np.ndarray) -> list[np.ndarray]:
+        """The prefix of every document: steps of the order, or shingles where the similarity is low."""
+        if t[0] * STEPS_FROM[1] < t[1] * STEPS_FROM[0]:
+            return self.shingle_prefixes(t, hot)
+        size = 2 * (t[1] - t[0]) * self.n // t[1] + 1 + self.n // SHARE_STEP
+        return [_steps(x) for x in self.firsts(np.minimum(self.n, size), hot)]
+
     def sketches(self) -> list[np.ndarray]:
         """Four 64-bit words per document: the parity of shingles at each of 256 cells."""
         some = self.n > 0
@@ -119,6 +132,13 @@ class Sets:
         return _long(self.of(i).tobytes())
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """A hash of every shingle with the one before it."""
+    before = np.zeros_like(x)
+    before[1:] = x[:-1]
+    return mix(mix(before) + x)
+
+
 def _long(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
@@ -128,10 +148,10 @@ def _hot_arrays(hot) -> np.ndarray | tuple:
 
 
 def _prefix_tokens(k, t, hot):
-    """Prefix shingles of every document, as one long column."""
+    """First shingles of every document, as one long column."""
     def run(batches):
         for _, raw, off in _chunks(batches):
-            p = Sets(raw, off, k).prefixes(t, _hot_arrays(hot))
+            p = Sets(raw, off, k).shingle_prefixes(t, _hot_arrays(hot))
             if p:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).view(np.int64))], ["token"])
     return run
@@ -184,8 +204,13 @@ def _wanted_sets(k, ids, classes):
     return run
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written in files of an even size: what makes the rows keeps its own number of tasks."""
+    return written(df.hint("rebalance"), name)
+
+
 def _share(n: Column) -> Column:
-    """Prefix shingles that a set of n shingles shares with any it links to, at least."""
+    """Prefix entries that a set of n shingles shares with any it links to, at least."""
     return F.floor(n / SHARE_STEP) + 1
 
 
@@ -205,23 +230,24 @@ def _alike(a: str, b: str, t: tuple[int, int]) -> Column:
 
 def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links, class_id.
+    """One row per input row: doc_id, n_shingles, component_id, class_id.
 
     Words are the maximal runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased; a set holds the
     distinct k-word shingles (fewer words: the whole sequence). Documents link when
-    t[1] * intersection >= t[0] * union. component_id is the least id reachable by links,
-    n_links the number of other documents' classes that a document's class links to in the verified spanning links.
+    t[1] * intersection >= t[0] * union. component_id is the least id reachable by links;
+    links inside a component beyond those that span it are not looked for.
     Null, empty and blank texts have an empty set, link with nothing and are their own
     component. Rows with equal ids or repeated rows are each answered; a null id is passed over as
     a component's name unless the component has no other. Other columns are not read.
 
     Equality of shingles and of sets is by 64-bit hashes. Texts are read twice, those of candidates
-    twice again, and never shuffled; only prefix postings that may be shared, and the sets of candidate pairs, are. Broadcast: the
+    twice again, and never shuffled; only prefix postings that may be shared, and the sets of candidate pairs, are. Building the
+    frame runs jobs that write tables. Broadcast: the
     hot list (at most HOT_LIST longs) and filters (at most 32 MB each).
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n_docs = src.count()
+    n_docs = src.count()  # sizes the filters
     counts = held(src.mapInArrow(_prefix_tokens(k, t, None), "token long").groupBy("token").agg(F.count("*").alias("c"))
                   .filter(f"c > {HOT_PREFIXES}"))
     # each listed shingle has over `least` of at most sum(c) prefix rows
@@ -238,16 +264,16 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
                                  "b2 long, b3 long, prefix array<long>, least array<long>"), "sets")
     rows = own.filter("n > 0")
     sketch = [F.first(w).alias(w) for w in SKETCH]
-    classes = written(rows.groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("hot").alias("hot"), *sketch), "classes", n_docs)
+    classes = _kept(rows.groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("hot").alias("hot"), *sketch), "classes")
     # a group of one document goes through as it is; only possibly repeated groups shuffle
     again = repeat_filter(rows.select("gid"), n_docs)
     cols = ["gid", "cid", "n", "hot", "prefix", "least", *SKETCH]
     several = written(rows.filter(_in_filter(again)("gid")).groupBy("gid").agg(
-        F.min("cid").alias("cid"), F.max("cid").alias("last"), *(F.first(c).alias(c) for c in cols[2:])), "several", PREFIX_ROWS * n_docs // 4)
-    groups = written(rows.filter(~_in_filter(again)("gid")).select(*cols, F.lit(True).alias("single")).unionByName(
-        several.select(*cols, F.expr("cid = last").alias("single"))), "groups", PREFIX_ROWS * n_docs)
+        F.min("cid").alias("cid"), F.max("cid").alias("last"), *(F.first(c).alias(c) for c in cols[2:])), "several")
+    groups = rows.filter(~_in_filter(again)("gid")).select(*cols, F.lit(True).alias("single")).unionByName(
+        several.select(*cols, F.expr("cid = last").alias("single")))
     n_prefix = groups.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    filt = repeat_filter(groups.select(F.explode("prefix").alias("token")), int(n_prefix), k=2)
+    filt = repeat_filter(groups.select(F.explode("prefix").alias("token")), int(n_prefix), k=1)
 
     # Round one: hubs. In a group, and among groups of near sizes (buckets within a factor of 1 / t) that share one of their
     # two least shingles, as similar sets mostly do. The set with the most hot shingles is the hub: near copies resemble their
@@ -258,18 +284,18 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     in_group = classes.alias("a").join(hubs.alias("h"), F.expr("a.gid = h.gid")).filter("a.cid <> h.hub") \
         .select(F.col("a.cid").alias("a"), F.col("h.hub").alias("b"))
     lists = groups.select(F.explode("least").alias("token"), bucket, "cid", "n", "hot", *SKETCH)
-    heads = lists.groupBy("token", "bucket").agg(typical.alias("cid"))
+    heads = lists.groupBy("token", "bucket").agg(typical.alias("cid"), F.count("*").alias("m"))
     heads = heads.join(lists, ["token", "bucket", "cid"]).withColumn("bucket", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")))
     stars = lists.alias("a").join(heads.alias("b"), F.expr("a.token = b.token and a.bucket = b.bucket")) \
         .filter(F.expr("a.cid <> b.cid") & _close("a", "b", t) & _alike("a", "b", t)) \
-        .select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
-    tried = written(_pairs(in_group.unionByName(stars)), "star-pairs", n_docs)
-    links = written(_verify(src, own, tried, k, t), "links-1", n_docs)
+        .groupBy(F.col("a.cid").alias("a")).agg(F.max_by("b.cid", F.struct("m", "b.cid")).alias("b"))
+    tried = _kept(_pairs(in_group.unionByName(stars)), "star-pairs")
+    links = _kept(_verify(src, own, tried, k, t), "links-1")
     comps = connected_components(links)
 
     # Round two: what lies between different components.
-    member = written(classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-                     .withColumn("comp", F.coalesce("comp", "cid")), "members", n_docs)
+    member = _kept(classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+                     .withColumn("comp", F.coalesce("comp", "cid")), "members")
     group = member.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("last"), F.max(F.expr("comp <> cid")).alias("moved"))
     inner = member.join(group.filter("comp <> last").select("gid"), "gid", "left_semi")
     within = _between(inner, "gid", t, F.lit(True)).select("a", "b")
@@ -285,33 +311,28 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     held_by = postings(filt).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("c"))
     mixed = held(held_by.filter("lo < hi or (k < c and c > 1)").select("token"))
     lists = postings(repeat_filter(mixed, mixed.count(), min_count=1))
-    pairs = written(_between(lists, "token", t, F.expr("a.single and b.single")).groupBy("a", "b")
+    pairs = _kept(_between(lists, "token", t, F.expr("a.single and b.single")).groupBy("a", "b")
                     .agg(F.count("*").alias("c"), F.min("n").alias("n"), F.first("plain").alias("plain"))
-                    .filter(F.col("c") >= _share(F.col("n"))).select("a", "b", "plain"), "group-pairs", n_docs)
+                    .filter(F.col("c") >= _share(F.col("n"))).select("a", "b", "plain"), "group-pairs")
     # groups of one class are classes already, and have been compared as such; only others are expanded
     of_group = member.select("cid", "gid")
     wide = pairs.filter("not plain").join(of_group.toDF("a", "ga"), "a").join(of_group.toDF("b", "gb"), "b").select("ga", "gb")
     across = wide.join(member.alias("a"), F.expr("ga = a.gid")).join(member.alias("b"), F.expr("gb = b.gid")) \
         .filter(F.expr("a.comp <> b.comp") & _close("a", "b", t) & _alike("a", "b", t)) \
         .select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).unionByName(pairs.filter("plain").select("a", "b"))
-    left = written(_pairs(within.unionByName(across)).join(tried, ["a", "b"], "left_anti"), "pairs-2", n_docs)
-    more = written(_verify(src, own, left, k, t), "links-2", n_docs)
+    left = _kept(_pairs(within.unionByName(across)).join(tried, ["a", "b"], "left_anti"), "pairs-2")
+    more = _kept(_verify(src, own, left, k, t), "links-2")
     # the components themselves are the nodes now
     of = member.select("cid", "comp")
     merged = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     comps = connected_components(merged).toDF("comp", "whole")
-    links = links.unionByName(more)
-
-    degree = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))) \
-        .groupBy("cid").agg(F.count("*").alias("n_links"))
     first_id = rows.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
-    label = of.join(comps, "comp", "left").join(degree, "cid", "left").join(first_id, "cid").select(
-        "cid", "first_id", F.coalesce("whole", "comp").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    label = written(label, "labels", n_docs)
-    label = label.join(label.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("cid", "component_id", "n_links")
+    label = of.join(comps, "comp", "left").join(first_id, "cid").select("cid", "first_id", F.coalesce("whole", "comp").alias("comp"))
+    label = _kept(label, "labels")
+    label = label.join(label.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("cid", "component_id")
     return own.select("doc_id", "n", "cid").join(label, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("cid").alias("class_id"))
+        F.col("cid").alias("class_id"))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -341,15 +362,12 @@ def _verify(src: DataFrame, own: DataFrame, pairs: DataFrame, k: int, t: tuple[i
     """The pairs that link, by exact intersection of their sets."""
     asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     # one document of each class; its text is read again
-    few = pairs.count()
-    asked = written(own.select("cid", "doc_id").join(asked, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")),
-                    "asked", 2 * few)
+    asked = _kept(own.select("cid", "doc_id").join(asked, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "asked")
     n = asked.count()
     classes = repeat_filter(asked.select("cid"), n, min_count=1)
     ids = repeat_filter(asked.select("doc_id").filter("doc_id is not null"), n, min_count=1)
     sets = src.mapInArrow(_wanted_sets(k, ids, classes), "cid long, tokens array<long>")
-    sets = written(sets.join(asked, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens")), "wanted-sets",
-                   SET_ROWS * n)
+    sets = written(sets.join(asked, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens")), "wanted-sets")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a") \
         .join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
