@@ -12,7 +12,7 @@ holds groups. Group pairs are filtered by size, by a 256-bit parity sketch and b
 the number of shared prefix entries, expanded to member pairs, filtered again, and
 verified by exact intersection.
 
-The join works in two rounds. Round one tries every group against one hub, that of its longest list, and every
+The join works in two rounds. Round one tries every group against the hubs of its longest lists, and every
 member against its group's hub; what links becomes one component. Round two pairs
 everything that is left between different components, leaving out each list's
 dominant component against itself, so a large group of near copies costs rows in
@@ -41,6 +41,8 @@ HOT_LIST = 1_000_000
 CHUNK_BYTES = 2 << 20
 #: One shared prefix shingle more is asked for every so many shingles of a set.
 SHARE_STEP = 64
+#: Hubs that round one tries for a group, those of its longest lists first.
+HUBS = 2
 #: From this similarity on, prefixes hold steps; at least half of a set's steps are then in every set that links with it.
 STEPS_FROM = (3, 4)
 SKETCH = ["b0", "b1", "b2", "b3"]
@@ -209,9 +211,21 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return written(df.hint("rebalance"), name)
 
 
-def _share(n: Column) -> Column:
-    """Prefix entries that a set of n shingles shares with any it links to, at least."""
-    return F.floor(n / SHARE_STEP) + 1
+def _share(n: Column, more: Column, t: tuple[int, int]) -> Column:
+    """Prefix entries that linked sets of n and ``more`` >= n shingles share, at least.
+
+    By their sizes the sets lack at most x and y of each other's shingles, which break 2 x + y of the steps of the one;
+    so many of a prefix may be missing, and the first of the others are in both prefixes.
+    """
+    least = F.floor(n / SHARE_STEP) + 1
+    if t[0] * STEPS_FROM[1] < t[1] * STEPS_FROM[0]:
+        return least
+    both = F.floor((t[0] * (n + more) + (t[0] + t[1] - 1)) / (t[0] + t[1]))
+
+    def left(size: Column, other: Column) -> Column:
+        prefix = F.least(size, F.floor(2 * (t[1] - t[0]) * size / t[1] + 1e-9) + 1 + F.floor(size / SHARE_STEP))
+        return prefix - 2 * (size - both) - (other - both)
+    return F.greatest(least, F.least(left(n, more), left(more, n)))
 
 
 def _close(a: str, b: str, t: tuple[int, int]) -> Column:
@@ -288,7 +302,8 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     heads = heads.join(lists, ["token", "bucket", "cid"]).withColumn("bucket", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")))
     stars = lists.alias("a").join(heads.alias("b"), F.expr("a.token = b.token and a.bucket = b.bucket")) \
         .filter(F.expr("a.cid <> b.cid") & _close("a", "b", t) & _alike("a", "b", t)) \
-        .groupBy(F.col("a.cid").alias("a")).agg(F.max_by("b.cid", F.struct("m", "b.cid")).alias("b"))
+        .groupBy(F.col("a.cid").alias("a")).agg(F.collect_set(F.struct("m", F.col("b.cid").alias("cid"))).alias("hubs")) \
+        .select("a", F.explode(F.slice(F.sort_array("hubs", False), 1, HUBS)).alias("b")).select("a", F.col("b.cid").alias("b"))
     tried = _kept(_pairs(in_group.unionByName(stars)), "star-pairs")
     links = _kept(_verify(src, own, tried, k, t), "links-1")
     comps = connected_components(links)
@@ -296,7 +311,8 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     # Round two: what lies between different components.
     member = _kept(classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
                      .withColumn("comp", F.coalesce("comp", "cid")), "members")
-    group = member.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("last"), F.max(F.expr("comp <> cid")).alias("moved"))
+    group = member.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("last"), F.max(F.expr("comp <> cid")).alias("moved"),
+                                       F.count("*").alias("m"))
     inner = member.join(group.filter("comp <> last").select("gid"), "gid", "left_semi")
     within = _between(inner, "gid", t, F.lit(True)).select("a", "b")
     # A group goes by its least class; one of several components is its own component here and can never be left out.
@@ -312,13 +328,17 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     mixed = held(held_by.filter("lo < hi or (k < c and c > 1)").select("token"))
     lists = postings(repeat_filter(mixed, mixed.count(), min_count=1))
     pairs = _kept(_between(lists, "token", t, F.expr("a.single and b.single")).groupBy("a", "b")
-                    .agg(F.count("*").alias("c"), F.min("n").alias("n"), F.first("plain").alias("plain"))
-                    .filter(F.col("c") >= _share(F.col("n"))).select("a", "b", "plain"), "group-pairs")
+                    .agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("more").alias("more"), F.first("plain").alias("plain"))
+                    .filter(F.col("c") >= _share(F.col("n"), F.col("more"), t)).select("a", "b", "plain"), "group-pairs")
     # groups of one class are classes already, and have been compared as such; only others are expanded
-    of_group = member.select("cid", "gid")
-    wide = pairs.filter("not plain").join(of_group.toDF("a", "ga"), "a").join(of_group.toDF("b", "gb"), "b").select("ga", "gb")
-    across = wide.join(member.alias("a"), F.expr("ga = a.gid")).join(member.alias("b"), F.expr("gb = b.gid")) \
-        .filter(F.expr("a.comp <> b.comp") & _close("a", "b", t) & _alike("a", "b", t)) \
+    # a group of one component is ``whole``: what lies in that component need not be expanded on the other side, which goes first; of two
+    # mixed groups the smaller one does
+    whole = member.select("cid", "gid").join(group.select("gid", F.when(F.expr("comp = last"), F.col("comp")).alias("whole"), "m"), "gid")
+    wide = pairs.filter("not plain").join(whole.toDF("ga", "a", "wa", "ma"), "a").join(whole.toDF("gb", "b", "wb", "mb"), "b") \
+        .withColumn("first", F.expr("wa is null and (wb is not null or ma <= mb)"))
+    wide = wide.select(F.expr("if(first, ga, gb)").alias("x"), F.expr("if(first, gb, ga)").alias("y"), F.expr("if(first, wb, wa)").alias("w"))
+    across = wide.join(member.alias("a"), F.expr("x = a.gid and (w is null or a.comp <> w)")) \
+        .join(member.alias("b"), F.expr("y = b.gid and a.comp <> b.comp") & _close("a", "b", t) & _alike("a", "b", t)) \
         .select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).unionByName(pairs.filter("plain").select("a", "b"))
     left = _kept(_pairs(within.unionByName(across)).join(tried, ["a", "b"], "left_anti"), "pairs-2")
     more = _kept(_verify(src, own, left, k, t), "links-2")
@@ -340,7 +360,7 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column) -> DataFrame:
-    """Pairs (a, b, n, plain) of classes in one list of ``key`` with different components, once a list; n is the smaller size.
+    """Pairs (a, b, n, more, plain) of classes in one list of ``key`` with different components, once a list; n and more are their sizes.
 
     Each list's most frequent component is not paired with itself: one side leaves it out, and lists of a single component
     give nothing. A null component (a mixed group) differs from all. ``plain`` says when both stand for one class, so
@@ -355,7 +375,7 @@ def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column) -> Da
         "a.cid <> b.cid and (a.comp is null or b.comp is null or a.comp <> b.comp)") & once & _close("a", "b", t)
         & (~plain | _alike("a", "b", t))) \
         .select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b"), F.least("a.n", "b.n").alias("n"),
-                plain.alias("plain"))
+                F.greatest("a.n", "b.n").alias("more"), plain.alias("plain"))
 
 
 def _verify(src: DataFrame, own: DataFrame, pairs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
