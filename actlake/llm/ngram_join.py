@@ -8,8 +8,9 @@ the other set breaks one. So two sets that link share m steps among their first
 m grows with n. Unrelated long documents share many single shingles but hardly ever a step, so lists stay short at every size.
 Below t = 3/4 the prefixes hold the shingles themselves, n - ceil(t n) + m of them. Documents with equal sets form a
 class; classes with the same size and the same prefix form a group, so the inverted index
-holds groups. Group pairs are filtered by size, by a 256-bit parity sketch and by
-the number of shared prefix entries, expanded to member pairs, filtered again, and
+holds groups. Two groups that share many lists are paired in one of them: that of the least entry that both have
+among their LEAST_ENTRIES least; only without one are they paired in each. Group pairs are filtered by size, by a
+256-bit parity sketch and by the number of shared prefix entries, expanded to member pairs, filtered again, and
 verified by exact intersection.
 
 The join works in two rounds. Round one tries every group against the hubs of its longest lists, and every
@@ -43,6 +44,8 @@ CHUNK_BYTES = 2 << 20
 SHARE_STEP = 64
 #: Hubs that round one tries for a group, those of its longest lists first.
 HUBS = 2
+#: So many least prefix entries go with a posting, to tell the one list of several in which two groups are paired.
+LEAST_ENTRIES = 8
 #: From this similarity on, prefixes hold steps; at least half of a set's steps are then in every set that links with it.
 STEPS_FROM = (3, 4)
 SKETCH = ["b0", "b1", "b2", "b3"]
@@ -318,18 +321,20 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     # A group goes by its least class; one of several components is its own component here and can never be left out.
     # A group of one class that no link has moved is its own component and needs no row here.
     linked = group.filter("moved or comp <> last").select("gid", F.expr("comp <> last").alias("mixed"), F.col("comp").alias("whole"))
-    every = groups.select("gid", "cid", "n", "single", F.explode("prefix").alias("token"), *SKETCH)
+    every = groups.select("gid", "cid", "n", "single", "prefix", F.slice(F.sort_array("prefix"), 1, LEAST_ENTRIES).alias("low"), *SKETCH) \
+        .select("gid", "cid", "n", "single", F.explode("prefix").alias("token"), "low", *SKETCH)
 
     def postings(kept) -> DataFrame:
         return every.filter(_in_filter(kept)("token")).join(linked, "gid", "left").withColumn(
             "comp", F.when(F.col("mixed"), F.lit(None)).otherwise(F.coalesce("whole", "cid"))).drop("gid", "mixed", "whole")
     # lists of one component have no pairs: what is left is told by a filter and exact in the join
-    held_by = postings(filt).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("c"))
+    held_by = postings(filt).drop("low").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("c"))
     mixed = held(held_by.filter("lo < hi or (k < c and c > 1)").select("token"))
     lists = postings(repeat_filter(mixed, mixed.count(), min_count=1))
-    pairs = _kept(_between(lists, "token", t, F.expr("a.single and b.single")).groupBy("a", "b")
-                    .agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("more").alias("more"), F.first("plain").alias("plain"))
-                    .filter(F.col("c") >= _share(F.col("n"), F.col("more"), t)).select("a", "b", "plain"), "group-pairs")
+    # two groups of different components differ in every list that they share, so the list of an entry that both have is there
+    here = F.expr("coalesce(array_min(array_intersect(a.low, b.low)), a.token) = a.token")
+    met = _kept(_between(lists, "token", t, F.expr("a.single and b.single"), here).distinct(), "met")
+    pairs = _kept(_sharing(met, groups, t), "group-pairs")
     # groups of one class are classes already, and have been compared as such; only others are expanded
     # a group of one component is ``whole``: what lies in that component need not be expanded on the other side, which goes first; of two
     # mixed groups the smaller one does
@@ -359,8 +364,18 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column) -> DataFrame:
+def _sharing(met: DataFrame, groups: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b, plain) of the pairs of groups whose prefixes share as many entries as their sizes ask for."""
+    asked = met.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    few = repeat_filter(asked, 2 * met.count(), min_count=1)
+    entries = groups.filter(_in_filter(few)("cid")).select("cid", "prefix")
+    both = met.join(entries.toDF("a", "pa"), "a").join(entries.toDF("b", "pb"), "b")
+    return both.filter(F.size(F.array_intersect("pa", "pb")) >= _share(F.col("n"), F.col("more"), t)).select("a", "b", "plain")
+
+
+def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column, here: Column | None = None) -> DataFrame:
     """Pairs (a, b, n, more, plain) of classes in one list of ``key`` with different components, once a list; n and more are their sizes.
+    With ``here``, only in the lists for which it holds.
 
     Each list's most frequent component is not paired with itself: one side leaves it out, and lists of a single component
     give nothing. A null component (a mixed group) differs from all. ``plain`` says when both stand for one class, so
@@ -373,7 +388,7 @@ def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column) -> Da
     once = F.expr("(a.comp is not null and a.comp <=> b.top) or a.cid < b.cid")
     return rows.alias("a").join(rest.alias("b"), F.expr(f"a.{key} = b.{key}") & F.expr(
         "a.cid <> b.cid and (a.comp is null or b.comp is null or a.comp <> b.comp)") & once & _close("a", "b", t)
-        & (~plain | _alike("a", "b", t))) \
+        & (~plain | _alike("a", "b", t)) & (F.lit(True) if here is None else here)) \
         .select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b"), F.least("a.n", "b.n").alias("n"),
                 F.greatest("a.n", "b.n").alias("more"), plain.alias("plain"))
 
