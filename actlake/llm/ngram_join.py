@@ -39,7 +39,7 @@ from .hashing import batch_bytes, hash_words, mix, shingles
 HOT_PREFIXES = 64
 HOT_LIST = 1_000_000
 #: Bytes of text that one numpy pass takes at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 #: One shared prefix shingle more is asked for every so many shingles of a set.
 SHARE_STEP = 64
 #: Hubs that round one tries for a group, those of its longest lists first.
