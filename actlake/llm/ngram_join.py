@@ -10,11 +10,11 @@ Below t = 3/4 the prefixes hold the shingles themselves, n - ceil(t n) + m of th
 class; classes with the same size and the same prefix form a group, so the inverted index
 holds groups. Two groups that share many lists are paired in one of them: that of the least entry that both have
 among their LEAST_ENTRIES least; only without one are they paired in each. Group pairs are filtered by size, by a
-256-bit parity sketch and by the number of shared prefix entries, expanded to member pairs, filtered again, and
-verified by exact intersection.
+256-bit parity sketch (of a group: by the cells in which its members agree) and by the number of shared prefix entries,
+expanded to member pairs, filtered again, and verified by exact intersection.
 
-The join works in two rounds. Round one tries every group against the hubs of its longest lists, and every
-member against its group's hub; what links becomes one component. Round two pairs
+The join works in two rounds. Round one tries every class against its group's hub and the hubs of its longest lists: the
+set nearest to what most sets of the list hold, the original of near copies. What links becomes one component. Round two pairs
 everything that is left between different components, leaving out each list's
 dominant component against itself, so a large group of near copies costs rows in
 proportion to its members and never all its pairs.
@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,13 +41,15 @@ HOT_LIST = 1_000_000
 CHUNK_BYTES = 512 << 10
 #: One shared prefix shingle more is asked for every so many shingles of a set.
 SHARE_STEP = 64
-#: Hubs that round one tries for a group, those of its longest lists first.
+#: Hubs that round one tries for a class, those of its longest lists first.
 HUBS = 2
 #: So many least prefix entries go with a posting, to tell the one list of several in which two groups are paired.
 LEAST_ENTRIES = 8
 #: From this similarity on, prefixes hold steps; at least half of a set's steps are then in every set that links with it.
 STEPS_FROM = (3, 4)
 SKETCH = ["b0", "b1", "b2", "b3"]
+#: Sketch cells in which the members of a group differ.
+VARY = ["v0", "v1", "v2", "v3"]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], only=None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -185,9 +186,9 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _in_filter(filt):
-    @F.pandas_udf("boolean")
-    def maybe(value: pd.Series) -> pd.Series:
-        return pd.Series(filt.maybe_repeated(value.to_numpy().view(np.uint64)))
+    @F.arrow_udf("boolean")  # of Arrow: a task needs no pandas
+    def maybe(value: pa.Array) -> pa.Array:
+        return pa.array(filt.maybe_repeated(value.to_numpy(zero_copy_only=False).view(np.uint64)))
     return maybe
 
 
@@ -236,12 +237,13 @@ def _close(a: str, b: str, t: tuple[int, int]) -> Column:
     return (F.least(f"{a}.n", f"{b}.n") * t[1]) >= (F.greatest(f"{a}.n", f"{b}.n") * t[0])
 
 
-def _alike(a: str, b: str, t: tuple[int, int]) -> Column:
-    """Sketches differ in no more cells than a linked pair's shingles can: necessary for a link."""
+def _alike(a: str, b: str, t: tuple[int, int], groups: bool = False) -> Column:
+    """Sketches differ in no more cells than a linked pair's shingles can: necessary for a link. Of groups only the
+    cells in which either's members agree are compared: necessary for a link of any two members."""
     total = F.col(f"{a}.n") + F.col(f"{b}.n")
     differ = F.lit(0)
-    for w in SKETCH:
-        differ = differ + F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
+    for w, v in zip(SKETCH, VARY, strict=True):
+        differ = differ + F.expr(f"bit_count(({a}.{w} ^ {b}.{w}) & ~({a}.{v} | {b}.{v}))" if groups else f"bit_count({a}.{w} ^ {b}.{w})")
     return differ <= total - 2 * F.ceil(total * t[0] / (t[0] + t[1]) - 1e-9)
 
 
@@ -280,29 +282,27 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     own = written(src.mapInArrow(_documents(k, t, hot), "doc_id long, n long, hot long, cid long, gid long, b0 long, b1 long, "
                                  "b2 long, b3 long, prefix array<long>, least array<long>"), "sets")
     rows = own.filter("n > 0")
-    sketch = [F.first(w).alias(w) for w in SKETCH]
-    classes = _kept(rows.groupBy("cid").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("hot").alias("hot"), *sketch), "classes")
+    classes = _kept(rows.groupBy("cid").agg(*(F.first(c).alias(c) for c in ["gid", "n", "hot", "least", *SKETCH])), "classes")
     # a group of one document goes through as it is; only possibly repeated groups shuffle
     again = repeat_filter(rows.select("gid"), n_docs)
-    cols = ["gid", "cid", "n", "hot", "prefix", "least", *SKETCH]
+    cols = ["gid", "cid", "n", "prefix", *SKETCH]
     several = written(rows.filter(_in_filter(again)("gid")).groupBy("gid").agg(
-        F.min("cid").alias("cid"), F.max("cid").alias("last"), *(F.first(c).alias(c) for c in cols[2:])), "several")
-    groups = rows.filter(~_in_filter(again)("gid")).select(*cols, F.lit(True).alias("single")).unionByName(
-        several.select(*cols, F.expr("cid = last").alias("single")))
+        F.min("cid").alias("cid"), F.max("cid").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+        *(F.bit_and(w).alias(w) for w in SKETCH), *(F.bit_or(w).bitwiseXOR(F.bit_and(w)).alias(v) for w, v in zip(SKETCH, VARY, strict=True))),
+        "several")
+    groups = rows.filter(~_in_filter(again)("gid")).select(*cols, *(F.lit(0).cast("long").alias(v) for v in VARY), F.lit(True).alias("single")) \
+        .unionByName(several.select(*cols, *VARY, F.expr("cid = last").alias("single")))
     n_prefix = groups.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     filt = repeat_filter(groups.select(F.explode("prefix").alias("token")), int(n_prefix), k=1)
 
-    # Round one: hubs. In a group, and among groups of near sizes (buckets within a factor of 1 / t) that share one of their
-    # two least shingles, as similar sets mostly do. The set with the most hot shingles is the hub: near copies resemble their
-    # original more than each other. A guess, which only spares work: round two misses nothing.
+    # Round one: hubs. In a group, and among classes of near sizes (buckets within a factor of 1 / t) that share one of their
+    # two least shingles, as similar sets mostly do. A guess, which only spares work: round two misses nothing.
     bucket = F.floor(F.log("n") / F.lit(float(np.log(t[1] / t[0])))).alias("bucket")
-    typical = F.max_by("cid", F.struct(F.col("hot") / F.col("n"), F.col("cid")))
-    hubs = classes.groupBy("gid").agg(typical.alias("hub"), F.count("*").alias("m")).filter("m > 1")
+    hubs = classes.groupBy("gid").agg(_typical("cid").alias("hub"), F.count("*").alias("m")).filter("m > 1")
     in_group = classes.alias("a").join(hubs.alias("h"), F.expr("a.gid = h.gid")).filter("a.cid <> h.hub") \
         .select(F.col("a.cid").alias("a"), F.col("h.hub").alias("b"))
-    lists = groups.select(F.explode("least").alias("token"), bucket, "cid", "n", "hot", *SKETCH)
-    heads = lists.groupBy("token", "bucket").agg(typical.alias("cid"), F.count("*").alias("m"))
-    heads = heads.join(lists, ["token", "bucket", "cid"]).withColumn("bucket", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")))
+    lists = classes.select(F.explode("least").alias("token"), bucket, "cid", "n", "hot", *SKETCH)
+    heads = _hubs(lists, ["token", "bucket"]).withColumn("bucket", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")))
     stars = lists.alias("a").join(heads.alias("b"), F.expr("a.token = b.token and a.bucket = b.bucket")) \
         .filter(F.expr("a.cid <> b.cid") & _close("a", "b", t) & _alike("a", "b", t)) \
         .groupBy(F.col("a.cid").alias("a")).agg(F.collect_set(F.struct("m", F.col("b.cid").alias("cid"))).alias("hubs")) \
@@ -321,8 +321,8 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     # A group goes by its least class; one of several components is its own component here and can never be left out.
     # A group of one class that no link has moved is its own component and needs no row here.
     linked = group.filter("moved or comp <> last").select("gid", F.expr("comp <> last").alias("mixed"), F.col("comp").alias("whole"))
-    every = groups.select("gid", "cid", "n", "single", "prefix", F.slice(F.sort_array("prefix"), 1, LEAST_ENTRIES).alias("low"), *SKETCH) \
-        .select("gid", "cid", "n", "single", F.explode("prefix").alias("token"), "low", *SKETCH)
+    every = groups.select("gid", "cid", "n", "single", "prefix", F.slice(F.sort_array("prefix"), 1, LEAST_ENTRIES).alias("low"), *SKETCH, *VARY) \
+        .select("gid", "cid", "n", "single", F.explode("prefix").alias("token"), "low", *SKETCH, *VARY)
 
     def postings(kept) -> DataFrame:
         return every.filter(_in_filter(kept)("token")).join(linked, "gid", "left").withColumn(
@@ -333,7 +333,8 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     lists = postings(repeat_filter(mixed, mixed.count(), min_count=1))
     # two groups of different components differ in every list that they share, so the list of an entry that both have is there
     here = F.expr("coalesce(array_min(array_intersect(a.low, b.low)), a.token) = a.token")
-    met = _kept(_between(lists, "token", t, F.expr("a.single and b.single"), here).distinct(), "met")
+    met = _between(lists, "token", t, F.expr("a.single and b.single"), here, _alike("a", "b", t, groups=True))
+    met = _kept(met.filter("agree").drop("agree").distinct(), "met")
     pairs = _kept(_sharing(met, groups, t), "group-pairs")
     # groups of one class are classes already, and have been compared as such; only others are expanded
     # a group of one component is ``whole``: what lies in that component need not be expanded on the other side, which goes first; of two
@@ -360,6 +361,32 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
         F.col("cid").alias("class_id"))
 
 
+def _typical(value: str) -> Column:
+    """That of the set with the most hot shingles."""
+    return F.max_by(value, F.struct(F.col("hot") / F.col("n"), F.col("cid")))
+
+
+def _hubs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m, cid, n, sketch): the hub of every list, which has m rows.
+
+    For each byte of the sketch the value that most rows of the list have is found; the hub is the set whose sketch is nearest
+    to these. Of near copies that change different places it is the original, which resembles each of them more than
+    they do each other. Of two rows it is the one with more hot shingles.
+    """
+    first = held(rows.groupBy(*keys).agg(F.count("*").alias("m"), _typical("cid").alias("cid")))
+    voters = rows.join(first.filter("m > 2").select(*keys), keys, "left_semi")
+    word = F.element_at(F.array(*SKETCH), F.expr("cast(at div 8 as int) + 1"))
+    votes = voters.select(*keys, *SKETCH, F.explode(F.sequence(F.lit(0), F.lit(31))).alias("at")) \
+        .select(*keys, "at", F.call_function("shiftrightunsigned", word, F.expr("8 * (at % 8)")).bitwiseAND(F.lit(255)).alias("byte"))
+    most = votes.groupBy(*keys, "at", "byte").agg(F.count("*").alias("c")) \
+        .groupBy(*keys, "at").agg(F.max(F.expr("c * 256 + byte")).alias("top")) \
+        .groupBy(*keys).agg(*(F.expr(f"bit_or(if(at div 8 = {i}, shiftleft(top & 255L, 8 * (at % 8)), 0L))").alias(f"most_{w}")
+                              for i, w in enumerate(SKETCH)))
+    away = F.expr(" + ".join(f"bit_count({w} ^ most_{w})" for w in SKETCH))
+    voted = voters.join(most, keys).groupBy(*keys).agg(F.count("*").alias("m"), F.min_by("cid", F.struct(away, F.col("cid"))).alias("cid"))
+    return first.filter("m <= 2").unionByName(voted).join(rows.select(*keys, "cid", "n", *SKETCH), [*keys, "cid"])
+
+
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -373,9 +400,10 @@ def _sharing(met: DataFrame, groups: DataFrame, t: tuple[int, int]) -> DataFrame
     return both.filter(F.size(F.array_intersect("pa", "pb")) >= _share(F.col("n"), F.col("more"), t)).select("a", "b", "plain")
 
 
-def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column, here: Column | None = None) -> DataFrame:
+def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column, here: Column | None = None,
+             agree: Column | None = None) -> DataFrame:
     """Pairs (a, b, n, more, plain) of classes in one list of ``key`` with different components, once a list; n and more are their sizes.
-    With ``here``, only in the lists for which it holds.
+    With ``here``, only in the lists for which it holds; ``agree`` is given as a column.
 
     Each list's most frequent component is not paired with itself: one side leaves it out, and lists of a single component
     give nothing. A null component (a mixed group) differs from all. ``plain`` says when both stand for one class, so
@@ -390,7 +418,7 @@ def _between(rows: DataFrame, key: str, t: tuple[int, int], plain: Column, here:
         "a.cid <> b.cid and (a.comp is null or b.comp is null or a.comp <> b.comp)") & once & _close("a", "b", t)
         & (~plain | _alike("a", "b", t)) & (F.lit(True) if here is None else here)) \
         .select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b"), F.least("a.n", "b.n").alias("n"),
-                F.greatest("a.n", "b.n").alias("more"), plain.alias("plain"))
+                F.greatest("a.n", "b.n").alias("more"), plain.alias("plain"), *([] if agree is None else [agree.alias("agree")]))
 
 
 def _verify(src: DataFrame, own: DataFrame, pairs: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
