@@ -23,6 +23,8 @@ SLICE_BITS = 1 << 20
 FAN_IN = 64
 #: Hashes that a task marks at a time.
 MARK_HASHES = 500_000
+#: Hashes that are taken of a batch, or asked for, at a time.
+PIECE_HASHES = 1 << 16
 PARTS_SCHEMA = "slice int, part long, once binary, twice binary"
 
 
@@ -55,7 +57,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1))).astype(np.uint32)
 
 
-def _mark(n_bits: int, k: int, min_count: int):
+def _first_column(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _mark(n_bits: int, k: int, min_count: int, values):
     def marks(got):
         cell, times = np.unique(cells(np.concatenate(got), n_bits, k).ravel(), return_counts=True)
         part = TaskContext.get().partitionId()
@@ -70,12 +76,13 @@ def _mark(n_bits: int, k: int, min_count: int):
     def run(batches):
         got, held_rows = [], 0
         for b in batches:
-            if b.num_rows:
-                got.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-                held_rows += b.num_rows
-            if held_rows >= MARK_HASHES:  # pieces of one task merge like those of several
-                yield from marks(got)
-                got, held_rows = [], 0
+            found = values(b) if b.num_rows else ()
+            for at in range(0, len(found), PIECE_HASHES):
+                got.append(found[at:at + PIECE_HASHES])
+                held_rows += len(got[-1])
+                if held_rows >= MARK_HASHES:  # pieces of one task merge like those of several
+                    yield from marks(got)
+                    got, held_rows = [], 0
         if got:
             yield from marks(got)
     return run
@@ -105,23 +112,24 @@ class RepeatFilter:
 
     def maybe_repeated(self, h: np.ndarray) -> np.ndarray:
         """True for every hash that occurs at least twice (and a few that do not)."""
-        bits, at = self.bits.value, cells(h, self.n_bits, self.k)
+        bits = self.bits.value
         out = np.ones(len(h), bool)
-        for row in at:
-            out &= (bits[row >> np.uint64(3)] >> (row & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        for a in range(0, len(h), PIECE_HASHES):
+            for row in cells(h[a:a + PIECE_HASHES], self.n_bits, self.k):
+                out[a:a + PIECE_HASHES] &= (bits[row >> np.uint64(3)] >> (row & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
 
 def repeat_filter(hashes: DataFrame, n_items: int, bits_per_item: int = 16, max_bits: int = 1 << 28,
-                  k: int = 3, min_count: int = 2) -> RepeatFilter:
-    """Build the filter over a frame with one non-null long column.
+                  k: int = 3, min_count: int = 2, values=_first_column) -> RepeatFilter:
+    """Build the filter over a frame with one non-null long column, or over what ``values`` takes of each batch.
 
     ``max_bits`` bounds the broadcast (2**28 cells: 32 MB) and the driver's copy.
     With more items than it was sized for the filter lets more single hashes
     through; no repeated hash is ever missed. With ``min_count`` 1 it holds every hash: a plain Bloom filter.
     """
     n_bits = filter_bits(n_items, bits_per_item, max_bits)
-    parts = held(hashes.mapInArrow(_mark(n_bits, k, min_count), PARTS_SCHEMA))
+    parts = held(hashes.mapInArrow(_mark(n_bits, k, min_count, values), PARTS_SCHEMA))
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while n > FAN_IN:
         parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(_regroup, PARTS_SCHEMA)

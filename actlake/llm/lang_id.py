@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Labelled texts sampled per language, characters taken of each, and bytes of a dictionary at most.
@@ -91,12 +91,16 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
     """
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    @F.pandas_udf("lang string, score double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")  # of Arrow: a task needs no pandas and holds one text in Python at a time
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         comp = _compressors(model.value, level)
         for col in texts:
-            got = [classify(t, comp) for t in col]
-            yield pd.DataFrame({"lang": [g[0] for g in got], "score": [g[1] for g in got]})
+            langs, scores = [], []
+            for t in col:
+                lang, score = classify(t.as_py(), comp)
+                langs.append(lang)
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     docs = docs.drop("lang_pred", "score", "accepted", "lang_id_result")
     cols = [F.col(f"`{c}`") for c in docs.columns]

@@ -192,6 +192,34 @@ def _in_filter(filt):
     return maybe
 
 
+def _of_groups(again, b: pa.RecordBatch) -> np.ndarray:
+    """Which rows (gid, shared) are groups: those of several documents, and documents with a prefix of their own."""
+    gid, shared = b.column(0), b.column(1)
+    return shared.to_numpy(zero_copy_only=False) | ~again.maybe_repeated(gid.to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def _entries(again, kept):
+    """Of (gid, shared, prefix) the entries that ``kept`` lets through, none of a row that is no group. One function asks both
+    filters, so that a task needs one Python worker and no entry passes it that goes."""
+    @F.arrow_udf("array<long>")
+    def entries(gid: pa.Array, shared: pa.Array, prefix: pa.Array) -> pa.Array:
+        n = np.diff(prefix.offsets.to_numpy())
+        flat = prefix.flatten().to_numpy(zero_copy_only=False)
+        is_group = _of_groups(again, pa.RecordBatch.from_arrays([gid, shared], ["gid", "shared"]))
+        keep = np.repeat(is_group, n)
+        keep[keep] = kept.maybe_repeated(flat[keep].view(np.uint64))
+        ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(n)])]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[keep]))
+    return entries
+
+
+def _prefixes_of(again):
+    """The prefix entries of the groups in a batch of (gid, shared, prefix), for a filter."""
+    def values(b: pa.RecordBatch) -> np.ndarray:
+        return b.filter(pa.array(_of_groups(again, b))).column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return values
+
+
 def _wanted_sets(k, ids, classes):
     """(cid, tokens) of the classes asked for, once a task: only texts with their ids are read."""
     def run(batches):
@@ -290,10 +318,12 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
         F.min("cid").alias("cid"), F.max("cid").alias("last"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
         *(F.bit_and(w).alias(w) for w in SKETCH), *(F.bit_or(w).bitwiseXOR(F.bit_and(w)).alias(v) for w, v in zip(SKETCH, VARY, strict=True))),
         "several")
-    groups = rows.filter(~_in_filter(again)("gid")).select(*cols, *(F.lit(0).cast("long").alias(v) for v in VARY), F.lit(True).alias("single")) \
-        .unionByName(several.select(*cols, *VARY, F.expr("cid = last").alias("single")))
+    # every document, and the groups of several; a document whose prefix may be repeated is no group
+    either = rows.select(*cols, *(F.lit(0).cast("long").alias(v) for v in VARY), F.lit(True).alias("single"), F.lit(False).alias("shared")) \
+        .unionByName(several.select(*cols, *VARY, F.expr("cid = last").alias("single"), F.lit(True).alias("shared")))
+    groups = either.filter(F.col("shared") | ~_in_filter(again)("gid"))
     n_prefix = groups.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    filt = repeat_filter(groups.select(F.explode("prefix").alias("token")), int(n_prefix), k=1)
+    filt = repeat_filter(either.select("gid", "shared", "prefix"), int(n_prefix), k=1, values=_prefixes_of(again))
 
     # Round one: hubs. In a group, and among classes of near sizes (buckets within a factor of 1 / t) that share one of their
     # two least shingles, as similar sets mostly do. A guess, which only spares work: round two misses nothing.
@@ -321,11 +351,11 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     # A group goes by its least class; one of several components is its own component here and can never be left out.
     # A group of one class that no link has moved is its own component and needs no row here.
     linked = group.filter("moved or comp <> last").select("gid", F.expr("comp <> last").alias("mixed"), F.col("comp").alias("whole"))
-    every = groups.select("gid", "cid", "n", "single", "prefix", F.slice(F.sort_array("prefix"), 1, LEAST_ENTRIES).alias("low"), *SKETCH, *VARY) \
-        .select("gid", "cid", "n", "single", F.explode("prefix").alias("token"), "low", *SKETCH, *VARY)
+    every = either.select("gid", "cid", "n", "single", "shared", "prefix", F.slice(F.sort_array("prefix"), 1, LEAST_ENTRIES).alias("low"), *SKETCH, *VARY)
 
     def postings(kept) -> DataFrame:
-        return every.filter(_in_filter(kept)("token")).join(linked, "gid", "left").withColumn(
+        entries = every.withColumn("token", F.explode(_entries(again, kept)("gid", "shared", "prefix"))).drop("shared", "prefix")
+        return entries.join(linked, "gid", "left").withColumn(
             "comp", F.when(F.col("mixed"), F.lit(None)).otherwise(F.coalesce("whole", "cid"))).drop("gid", "mixed", "whole")
     # lists of one component have no pairs: what is left is told by a filter and exact in the join
     held_by = postings(filt).drop("low").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("c"))
