@@ -129,7 +129,7 @@ def repeat_filter(hashes: DataFrame, n_items: int, bits_per_item: int = 16, max_
     through; no repeated hash is ever missed. With ``min_count`` 1 it holds every hash: a plain Bloom filter.
     """
     n_bits = filter_bits(n_items, bits_per_item, max_bits)
-    parts = held(hashes.mapInArrow(_mark(n_bits, k, min_count, values), PARTS_SCHEMA))
+    marked = parts = held(hashes.mapInArrow(_mark(n_bits, k, min_count, values), PARTS_SCHEMA))
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while n > FAN_IN:
         parts = parts.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(_regroup, PARTS_SCHEMA)
@@ -139,6 +139,7 @@ def repeat_filter(hashes: DataFrame, n_items: int, bits_per_item: int = 16, max_
     for r in parts.select("slice", "twice").toLocalIterator():
         at = _unpack(bytes(r["twice"])).astype(np.int64) + r["slice"] * SLICE_BITS
         np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    marked.unpersist()  # the filter has it all
     return RepeatFilter(hashes.sparkSession, bits, n_bits, k)
 
 

@@ -301,6 +301,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     listed, rows = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     least = HOT_PREFIXES if listed <= HOT_LIST else max(HOT_PREFIXES, rows // HOT_LIST)
     got = counts.filter(F.col("c") > least).orderBy("c", "token").toPandas() if listed else None
+    counts.unpersist()
     hot = None
     if got is not None and len(got):
         tokens = got["token"].to_numpy().view(np.uint64)
@@ -361,6 +362,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, t: tuple[int, int] = (90, 100), id
     held_by = postings(filt).drop("low").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("comp").alias("k"), F.count("*").alias("c"))
     mixed = held(held_by.filter("lo < hi or (k < c and c > 1)").select("token"))
     lists = postings(repeat_filter(mixed, mixed.count(), min_count=1))
+    mixed.unpersist()
     # two groups of different components differ in every list that they share, so the list of an entry that both have is there
     here = F.expr("coalesce(array_min(array_intersect(a.low, b.low)), a.token) = a.token")
     met = _between(lists, "token", t, F.expr("a.single and b.single"), here, _alike("a", "b", t, groups=True))

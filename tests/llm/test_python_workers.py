@@ -53,3 +53,11 @@ def test_filter_asks_in_pieces(spark, monkeypatch):
         asked = np.array(h[:n], np.uint64)
         assert list(filt.maybe_repeated(asked)[:40]) == [True] * min(n, 40)
         assert filt.maybe_repeated(asked)[40:].sum() <= 3
+
+
+def test_filter_leaves_nothing_on_disk(spark):
+    kept = spark.sparkContext._jsc.getPersistentRDDs
+    before = set(kept())
+    filt = bloom.repeat_filter(spark.range(500).selectExpr("id % 400 as h"), 500)
+    assert filt.maybe_repeated(np.arange(100, dtype=np.uint64)).all()
+    assert set(kept()) <= before
