@@ -26,8 +26,8 @@ K1, B = 1.2, 0.75
 #: Items in a block, and UTF-8 bytes of items that one index (one broadcast) holds at most.
 BLOCK_ITEMS = 32
 INDEX_BYTES = 16 << 20
-#: Bytes of text that one numpy pass takes at a time.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that one numpy pass takes at a time; its arrays take some 80 times that.
+CHUNK_BYTES = 128 << 10
 #: Up to so many cells a distinct or a sum is taken in a dense array, beyond by sorting.
 DENSE = 1 << 24
 #: Share of an item's BM25 mass that retrieves it; share of five-word shingles that verifies it.
@@ -255,7 +255,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     out = None
     for i in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(n)) == i)
-        rows = sorted(part.distinct().toLocalIterator(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["question"], r["answer"]))
+        rows = sorted(part.distinct().coalesce(1).toLocalIterator(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["question"], r["answer"]))
         index = docs.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in rows]))
         got = src.mapInArrow(_search(index, threshold, overlap), "doc_id long, item_id long, passage int, score double, "
                              "question_overlap double, answer_overlap double")
