@@ -25,6 +25,8 @@ FAN_IN = 64
 MARK_HASHES = 500_000
 #: Hashes that are taken of a batch, or asked for, at a time.
 PIECE_HASHES = 1 << 16
+#: Cells that come to the driver in one job, 4 MB of them; a job for each of the merging tasks would be hundreds.
+JOB_BITS = 1 << 25
 PARTS_SCHEMA = "slice int, part long, once binary, twice binary"
 
 
@@ -136,7 +138,7 @@ def repeat_filter(hashes: DataFrame, n_items: int, bits_per_item: int = 16, max_
         n = -(-n // FAN_IN)
     parts = parts.groupBy("slice").applyInArrow(_merge, PARTS_SCHEMA)
     bits = np.zeros(n_bits // 8, np.uint8)
-    for r in parts.select("slice", "twice").toLocalIterator():
+    for r in parts.select("slice", "twice").repartition(max(1, n_bits // JOB_BITS)).toLocalIterator():
         at = _unpack(bytes(r["twice"])).astype(np.int64) + r["slice"] * SLICE_BITS
         np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     marked.unpersist()  # the filter has it all

@@ -50,12 +50,18 @@ def join_stats(rows: DataFrame, stats: DataFrame, key: str, size_col: str, total
     return hot.unionByName(cold)
 
 
+def _edge(u: Column | str, v: Column | str) -> Column:
+    u, v = (F.col(x) if isinstance(x, str) else x for x in (u, v))
+    return F.struct(u.alias("u"), v.alias("v"))
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of the undirected ``links`` (a, b); comp is the least node.
 
     Alternating large-star and small-star rounds; every round is two
     aggregations and joins over the remaining edges, written to the shared
-    folder. Neither edges nor labels reach the driver, which sees two numbers a round.
+    folder. Neither edges nor labels reach the driver, which sees two numbers a round. A row gives both its
+    edges at once: as a union, each part of which repeats what comes before, a round's plan would be four times as large.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .filter("u <> v").distinct().hint("rebalance"), "cc")
@@ -65,14 +71,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(_edge("u", "v"), _edge("v", "u"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = written(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-                        .unionByName(small.select("u", F.col("m").alias("v")))
+        edges = written(small.select(F.inline(F.array(_edge(F.greatest("v", "m"), F.least("v", "m")), _edge("u", "m"))))
                         .filter("u <> v").distinct().hint("rebalance"), "cc")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
