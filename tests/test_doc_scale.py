@@ -1,10 +1,15 @@
-"""Document-scale queries: what is shuffled."""
+"""Document-scale queries: what is shuffled and what lies on disk."""
 
+import os
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from actlake.catalog import q_docs as Q
 from actlake.operators import demux as D
+from actlake.session import _scratch_root, local_path
 from actlake.sources import fixtures as fx
 
 
@@ -41,3 +46,47 @@ def test_capture_shuffles_no_token(spark, tmpdir_fresh):
     assert {k: v for k, v in got.items() if k // 4 not in (1, 2)} == want
     assert not any(k // 4 == 2 for k in got)  # a length is missing: the batch is dropped
     assert got[7][0] in (12, 16)  # two documents of one id in either order: the tokens of each at the offsets of both, up to the batch end
+
+
+def _compared(spark, path, monkeypatch, slice_bytes):
+    """The metrics, and for each written run the bytes of stored payloads that were on disk after it."""
+    seen, write = [], Q.write_activations_bucketed
+
+    def spy(acts, name, *args, **kw):
+        assert "payload" in acts.columns and not any("Exchange" in x and "payload" in x for x in acts._jdf.queryExecution().executedPlan().toString().split("\n"))
+        write(acts, name, *args, **kw)
+        alive = [t.name for t in spark.catalog.listTables() if t.name.startswith("doc_")]
+        seen.append(sum(spark.table(t).agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0] for t in alive))
+
+    monkeypatch.setattr(Q, "SLICE_BYTES", slice_bytes, raising=False)
+    monkeypatch.setattr(Q, "write_activations_bucketed", spy)
+    rows = sorted(map(tuple, Q.q_doc_compare_metrics(spark, path).collect()))
+    monkeypatch.undo()
+    return rows, seen
+
+
+def test_compared_runs_are_stored_in_slices(spark, tmpdir_fresh, monkeypatch):
+    docs = [(i, "a b  c " * (5 + i % 5), "en", "s", 0) for i in range(60)] + [(60, None, "en", "s", 0), (61, "", "en", "s", 0), (None, "x y", "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmpdir_fresh}/documents.parquet")
+    spark.createDataFrame([(i, [float(i) + 0.3, 1.7 * i, -1.0], 0) for i in range(30)], "vec_id long, embedding array<float>, label int") \
+        .write.parquet(f"{tmpdir_fresh}/embeddings.parquet")
+    old = {t.name for t in spark.catalog.listTables()}
+    rows, seen = _compared(spark, tmpdir_fresh, monkeypatch, 3000)
+    payload = sum(3 * (5 + i % 5) for i in range(60)) * 3 * 3  # three words a repeat, three elements, two bytes and one
+    assert max(seen) < payload / 2 and len(seen) > 4
+    assert sum(seen[1::2]) == payload  # after the second run of a slice both are there: every token of each is stored once
+    assert {t.name for t in spark.catalog.listTables()} == old
+    left = [f for d, _, files in os.walk(local_path(_scratch_root(spark))) for f in files if "doc-slice" in d or "doc_bf16" in d]
+    assert not left
+    whole, once = _compared(spark, tmpdir_fresh, monkeypatch, 1 << 30)
+    assert len(once) == 2 and rows == whole and [r[1] for r in rows] == list(range(60)) and rows[7][3] == 21
+
+
+def test_scratch_scope_ends_with_an_error(spark):
+    from actlake.session import exists, scratch_path, scratch_scope
+    with pytest.raises(ValueError), scratch_scope(spark, "outer"):
+        kept = scratch_path(spark, "t")
+        spark.range(3).write.parquet(kept)
+        raise ValueError
+    after = scratch_path(spark, "t")
+    assert not exists(spark, kept) and "outer" in kept and "outer" not in after
