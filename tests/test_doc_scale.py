@@ -90,3 +90,29 @@ def test_scratch_scope_ends_with_an_error(spark):
         raise ValueError
     after = scratch_path(spark, "t")
     assert not exists(spark, kept) and "outer" in kept and "outer" not in after
+
+
+def test_vectors_come_in_pieces(spark, tmpdir_fresh, monkeypatch):
+    _tables(spark, tmpdir_fresh)
+    whole, meta = fx.doc_capture(spark, tmpdir_fresh)
+    want = sorted(map(tuple, whole.where("batch_id > 2").collect()))
+    monkeypatch.setattr(fx, "VEC_BROADCAST", 100, raising=False)
+    monkeypatch.setattr(fx, "VEC_PIECE", 300, raising=False)  # 30 vectors of two elements: 720 bytes
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(conf)
+    spark.conf.set(conf, "16")
+    try:
+        toks, meta = fx.doc_capture(spark, tmpdir_fresh)
+        x = D.demux(toks, meta, tp_size=1)
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, toks.where("batch_id > 2").collect()))
+        runs = fx.doc_tokens(spark, tmpdir_fresh)
+        dealt = runs.groupBy("prompt_id").count()._jdf.queryExecution().executedPlan().toString()
+        n_runs = runs.count()
+    finally:
+        spark.conf.set(conf, old)
+    assert got == want and len(got) == 3 * sum(i % 5 for i in range(12, 40)) and n_runs == 3 * sum(i % 5 for i in range(40)) + 2
+    for p, least in ((plan, 3), (dealt, 3)):
+        assert p.count("BroadcastHashJoin [vec_id") >= least and "SortMergeJoin [vec_id" not in p
+        assert not [line for line in p.split("\n") if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line], p
+    assert "Union" in plan and "SortMergeJoin [batch_id" in plan
